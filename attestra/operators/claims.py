@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
+from attestra.functions.ids import as_column
 from attestra.functions.status import is_ok
 from attestra.operators.sequence import SCOPE, last_per_key
 
@@ -77,20 +78,22 @@ def reference_keys(evidence: DataFrame, *, scope: Sequence[str] = SCOPE) -> Data
     )
 
 
-def _finding(rows: DataFrame, scope: Sequence[str], category: str | Column, ref: Column, detail: Column,
-             step: int, pos: Column, occurrences: Column) -> DataFrame:
+def _finding(
+    rows: DataFrame, scope: Sequence[str], category: str | Column, step: int, *, ref: Column | None = None,
+    detail: Column | None = None, pos: Column | None = None, occurrences: Column | None = None,
+) -> DataFrame:
+    def given(column: Column | None, default) -> Column:
+        return F.lit(default) if column is None else column
+
     return rows.select(
         *scope, "claim_id", "ord",
-        F.lit(category).alias("category") if isinstance(category, str) else category.alias("category"),
-        ref.cast("string").alias("ref"), detail.alias("detail"),
-        F.lit(step).alias("step"), pos.cast("bigint").alias("pos"), occurrences.cast("bigint").alias("occurrences"),
+        given(None, category).alias("category") if isinstance(category, str) else category.alias("category"),
+        given(ref, None).cast("string").alias("ref"), given(detail, None).cast("string").alias("detail"),
+        F.lit(step).alias("step"), given(pos, 0).cast("bigint").alias("pos"),
+        given(occurrences, 1).cast("bigint").alias("occurrences"),
     )
 
 
-NOTHING = F.lit(None).cast("string")
-ZERO, ONE = F.lit(0), F.lit(1)
-
-
 def completed_claims(claim: DataFrame) -> DataFrame:
     """Only claims that claim completion are checked; all others pass through unchecked."""
     return claim.filter(is_ok(F.col("claimed_status")))
@@ -114,7 +117,7 @@ def reference_findings(
     statuses = F.array_join(F.array_sort("_statuses"), ", ")
     conflict = F.when(F.size("_statuses") > 1, F.struct(F.lit("conflicting_statuses").alias("c"), statuses.alias("d")))
     worst = (
-        F.when(F.col("_statuses").isNull(), F.struct(F.lit("non_existent_evidence").alias("c"), NOTHING.alias("d")))
+        F.when(F.col("_statuses").isNull(), F.struct(F.lit("non_existent_evidence").alias("c"), F.lit(None).cast("string").alias("d")))
         .when(F.col("_violated"), F.struct(F.lit("violated_evidence").alias("c"), F.lit("violated").alias("d")))
         .when(
             F.col("_other").isNotNull(),
@@ -122,8 +125,8 @@ def reference_findings(
         )
     )
     found = seen.withColumn("_f", F.explode(F.array_compact(F.array(conflict, worst))))
-    return _finding(alone, scope, "self_referential_claim", NOTHING, NOTHING, 1, ZERO, ONE).unionByName(
-        _finding(found, scope, F.col("_f.c"), F.col("ref"), F.col("_f.d"), 1, F.col("pos"), ONE)
+    return _finding(alone, scope, "self_referential_claim", 1).unionByName(
+        _finding(found, scope, F.col("_f.c"), 1, ref=F.col("ref"), detail=F.col("_f.d"), pos=F.col("pos"))
     )
 
 
@@ -158,8 +161,9 @@ def task_findings(
         F.count_if(~F.col("status").eqNullSafe("covered")).alias("_n_failed"),
     )
     task_ac = (
-        cover.filter((F.col("source_type") == "task")
-                     & F.startswith(F.col("item_id").cast("string"), ac_prefix if isinstance(ac_prefix, Column) else F.lit(ac_prefix)))
+        cover.filter(
+            (F.col("source_type") == "task") & F.startswith(F.col("item_id").cast("string"), as_column(ac_prefix))
+        )
         .select(*scope, "evidence_id", F.col("item_id").alias("ac_id"))
         .join(task.select(*scope, "related_task", "evidence_id"), [*scope, "evidence_id"])
         .join(tests, [*scope, "ac_id"], "left")
@@ -190,11 +194,11 @@ def task_findings(
     return reduce(
         DataFrame.unionByName,
         [
-            _finding(unfinished, scope, "task_not_completed", F.col("related_task"), F.col("_task_status"), 2, ZERO, ONE),
-            _finding(untested, scope, "no_test_coverage", F.col("ac_id"), NOTHING, 3, ZERO, ONE),
-            _finding(failing, scope, "failed_tests", F.col("ac_id"), NOTHING, 3, ZERO, F.col("_n_failed")),
-            _finding(missed, scope, "test_covers_mismatch", F.col("ac_id"), NOTHING, 4, ZERO, ONE),
-            _finding(unknown, scope, "non_existent_task", F.col("related_task"), NOTHING, 2, ZERO, ONE),
+            _finding(unfinished, scope, "task_not_completed", 2, ref=F.col("related_task"), detail=F.col("_task_status")),
+            _finding(untested, scope, "no_test_coverage", 3, ref=F.col("ac_id")),
+            _finding(failing, scope, "failed_tests", 3, ref=F.col("ac_id"), occurrences=F.col("_n_failed")),
+            _finding(missed, scope, "test_covers_mismatch", 4, ref=F.col("ac_id")),
+            _finding(unknown, scope, "non_existent_task", 2, ref=F.col("related_task")),
         ],
     )
 
