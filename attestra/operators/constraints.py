@@ -29,22 +29,27 @@ class Check:
     value: Any = None
 
 
+# What to do about each kind of violation.
+HINTS = {
+    "required": "Add the required field: {field}.",
+    "type": "Field '{field}' must be of type '{value}'.",
+    "enum": "Field '{field}' must be one of: {value}.",
+    "pattern": "Field '{field}' must match pattern: {value}.",
+    "min_length": "Field '{field}' must have a minimum length of {value}.",
+    "max_length": "Field '{field}' must have a maximum length of {value}.",
+    "minimum": "Field '{field}' must be >= {value}.",
+    "maximum": "Field '{field}' must be <= {value}.",
+    "min_items": "Field '{field}' must have at least {value} entries.",
+    "additional": "Remove unexpected properties from '{field}'.",
+    "item_enum": "Entries of '{field}' must be one of: {value}.",
+    "item_pattern": "Entries of '{field}' must match pattern: {value}.",
+    "item_required": "Entries of '{field}' need the field: {value}.",
+}
+
+
 def _hint(check: Check) -> str:
-    return {
-        "required": f"Add the required field: {check.field}.",
-        "type": f"Field '{check.field}' must be of type '{check.value}'.",
-        "enum": f"Field '{check.field}' must be one of: {', '.join(map(str, check.value or ()))}.",
-        "pattern": f"Field '{check.field}' must match pattern: {check.value}.",
-        "min_length": f"Field '{check.field}' must have a minimum length of {check.value}.",
-        "max_length": f"Field '{check.field}' must have a maximum length of {check.value}.",
-        "minimum": f"Field '{check.field}' must be >= {check.value}.",
-        "maximum": f"Field '{check.field}' must be <= {check.value}.",
-        "min_items": f"Field '{check.field}' must have at least {check.value} entries.",
-        "additional": f"Remove unexpected properties from '{check.field}'.",
-        "item_enum": f"Entries of '{check.field}' must be one of: {', '.join(map(str, check.value or ()))}.",
-        "item_pattern": f"Entries of '{check.field}' must match pattern: {check.value}.",
-        "item_required": f"Entries of '{check.field}' need the field: {check.value}.",
-    }[check.kind]
+    value = ", ".join(map(str, check.value)) if isinstance(check.value, (tuple, list)) else check.value
+    return HINTS[check.kind].format(field=check.field, value=value)
 
 
 def _broken(check: Check, value: Column) -> Column:

@@ -184,7 +184,8 @@ def coverage_summary(coverage_file: DataFrame, *, scope: Sequence[str] = SCOPE)
     return coverage_file.groupBy(*scope).agg(
         F.when(total > 0, F.bround(covered / total * 100, 1)).otherwise(F.lit(0.0)).alias("aggregate_percent"),
         total.alias("total_statements"),
-        F.floor(covered).alias("total_covered"),
+        # Rounded first, so the order in which doubles are added cannot move the floor.
+        F.floor(F.round(covered, 6)).alias("total_covered"),
         F.count(F.lit(1)).alias("file_count"),
     )
 

@@ -94,16 +94,13 @@ def document_entries(document: DataFrame, *, text: str = "text", depth: int = 6,
         rest = rest.unionByName(part)
 
     items = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>"))
-    ids = F.coalesce(
-        *[
-            F.when(
-                (F.size("_items") > 0)
-                & F.forall("_items", lambda i, k=k: F.get_json_object(i, f"$.{k}").isNotNull()),
-                F.transform("_items", lambda i, k=k: F.get_json_object(i, f"$.{k}")),
-            )
-            for k in DIFF_ID_KEYS
-        ]
-    )
+
+    def ids_under(key: str) -> Column:
+        """Ids of all entries, where every entry has this key."""
+        found = F.transform("_items", lambda item: F.get_json_object(item, f"$.{key}"))
+        return F.when((F.size("_items") > 0) & F.forall(found, lambda i: i.isNotNull()), found)
+
+    ids = F.coalesce(*[ids_under(key) for key in DIFF_ID_KEYS])
     listed = rest.withColumn("_items", items).withColumn("_ids", ids)
     plain = listed.filter(F.col("_ids").isNull()).select(*scope, "path", F.lit("").alias("rule_id"), "value")
     keyed = listed.filter(F.col("_ids").isNotNull()).select(

@@ -31,10 +31,11 @@ def task_reference_problems(
     ``parents`` maps an array column of ``task`` to (parent table, key). All links are unpivoted into
     one set and checked by one anti-join, whatever the number of columns.
     """
-    links = [
-        F.transform(F.col(column), lambda target, c=column: F.struct(F.lit(c).alias("link"), target.alias("target")))
-        for column in parents
-    ]
+
+    def links_of(column: str) -> Column:
+        return F.transform(column, lambda target: F.struct(F.lit(column).alias("link"), target.alias("target")))
+
+    links = [links_of(column) for column in parents]
     exploded = task.select(*scope, "task_id", F.explode(F.flatten(F.array(*links))).alias("_l")).select(
         *scope, "task_id", "_l.link", "_l.target"
     )

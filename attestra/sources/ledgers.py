@@ -111,21 +111,29 @@ def rules_from(document: DataFrame, *, text: str = "text", scope: Sequence[str]
     )
     schema = T.StructType([T.StructField(s, T.ArrayType(body)) for s in RULE_SECTIONS])
     parsed = document.select(*scope, F.from_json(text, schema).alias("_d"))
-    sections = F.flatten(
-        F.array(
-            *[
-                F.coalesce(
-                    F.transform(
-                        F.col(f"_d.{s}"), lambda r, i, s=s, n=n: F.struct(
-                            F.lit(s).alias("section"), r.alias("rule"), (i + F.lit(n * 1_000_000)).cast("bigint").alias("ord"))
-                    ),
-                    F.array().cast(T.ArrayType(T.StructType([
-                        T.StructField("section", T.StringType()), T.StructField("rule", body), T.StructField("ord", T.LongType())]))),
-                )
-                for n, s in enumerate(RULE_SECTIONS)
-            ]
+    empty = F.array().cast(
+        T.ArrayType(
+            T.StructType(
+                [
+                    T.StructField("section", T.StringType()), T.StructField("rule", body),
+                    T.StructField("ord", T.LongType()),
+                ]
+            )
         )
     )
+
+    def entries(number: int, section: str) -> Column:
+        """Rules of one section, in document order after those of earlier sections."""
+        start = F.lit(number * 1_000_000)
+        rows = F.transform(
+            F.col(f"_d.{section}"),
+            lambda rule, i: F.struct(
+                F.lit(section).alias("section"), rule.alias("rule"), (i + start).cast("bigint").alias("ord")
+            ),
+        )
+        return F.coalesce(rows, empty)
+
+    sections = F.flatten(F.array(*[entries(n, s) for n, s in enumerate(RULE_SECTIONS)]))
     rows = parsed.select(*scope, F.explode(sections).alias("_r")).select(*scope, "_r.section", "_r.rule.*", "_r.ord")
     ids = [F.when(F.col(k) != "", F.col(k)) for k in RULE_ID_KEYS]
     return rows.withColumn("_id", F.coalesce(*ids)).drop(*RULE_ID_KEYS).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.text import iso_timestamp
@@ -116,25 +116,33 @@ def run_metadata(
     )
 
 
+def archived_claims(claim: DataFrame, commit: DataFrame, *, as_of: Column, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Current claims of the projects in ``commit`` under their commit name.
+
+    ``commit``: scope, commit_id; a null id gives a time stamp name.
+    """
+    name = F.concat(F.lit("commit-"), F.coalesce("commit_id", F.date_format(as_of, "yyyyMMddHHmmss")))
+    return claim.join(commit, list(scope)).withColumn("commit_id", name)
+
+
+def remaining_claims(claim: DataFrame, commit: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Claims of the projects that were not archived; the archived projects have none left."""
+    return claim.join(commit.select(*scope).distinct(), list(scope), "left_anti")
+
+
 def archive_claims(
-    spark: SparkSession, claim: DataFrame, current_path: str, archive_path: str, *, commit: DataFrame, as_of: Column,
+    claim: DataFrame, commit: DataFrame, archive_path: str, next_path: str, *, as_of: Column,
     scope: Sequence[str] = SCOPE,
 ) -> None:
-    """Copy each project's current claims under its commit, then empty them.
+    """Write the archive, then the emptied ledger as a new version at ``next_path``.
 
-    ``commit``: scope, commit_id for the projects to archive; a null id gives a time stamp name. The
-    archive is written before the current claims are replaced, so a failure in between loses nothing.
-    Both tables are partitioned by project; other projects' partitions are left alone.
+    The ledger that is being read is never overwritten: a failure at any point loses nothing, and
+    running again gives the same archive partitions.
     """
-    name = F.concat(
-        F.lit("commit-"), F.coalesce("commit_id", F.date_format(as_of, "yyyyMMddHHmmss"))
-    )
-    archived = claim.join(commit, list(scope)).withColumn("commit_id", name)
-    archived.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *scope, "commit_id"
-    ).parquet(archive_path)
-    remaining = claim.join(commit.select(*scope), list(scope), "left_anti")
-    remaining.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*scope).parquet(current_path)
+    archived_claims(claim, commit, as_of=as_of, scope=scope).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*scope, "commit_id").parquet(archive_path)
+    remaining_claims(claim, commit, scope=scope).write.mode("overwrite").partitionBy(*scope).parquet(next_path)
 
 
 def upsert(stored: DataFrame, changed: DataFrame, *, key: Sequence[str] = SCOPE) -> DataFrame:
