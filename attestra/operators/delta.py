@@ -67,51 +67,42 @@ def document_entries(document: DataFrame, *, text: str = "text", depth: int = 6,
     entries; any other list, scalar, or object below ``depth`` levels is one value. Values are
     canonical JSON, so key order and spacing do not count.
     """
-    level = document.select(*scope, F.lit("").alias("path"), canonical_json(F.col(text)).alias("value"))
-    closed = []
-    for _ in range(depth):
-        pairs = level.select(
-            *scope,
-            F.col("path").alias("_parent"),
-            F.explode(
-                F.transform(
-                    F.map_entries(F.from_json("value", "map<string,string>")),
-                    lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
-                )
-            ).alias("_e"),
-        ).select(
-            *scope,
-            F.when(F.col("_parent") == "", F.col("_e.key"))
-            .otherwise(F.concat_ws(".", "_parent", "_e.key"))
-            .alias("path"),
-            F.col("_e.value").alias("value"),
+    def child(parent: Column, key: Column, value: Column) -> Column:
+        path = F.when(parent == "", key).otherwise(F.concat_ws(".", parent, key))
+        return F.struct(path.alias("path"), value.alias("value"))
+
+    def opened(entry: Column) -> Column:
+        """An object's children, anything else as it is."""
+        children = F.transform(
+            F.map_entries(F.from_json(entry["value"], "map<string,string>")),
+            lambda e: child(entry["path"], e["key"], e["value"]),
         )
-        opens = F.coalesce(F.col("value").rlike(r"^\{.+\}$"), F.lit(False))
-        closed.append(pairs.filter(~opens))
-        level = pairs.filter(opens)
-    rest = closed[0]
-    for part in [*closed[1:], level]:
-        rest = rest.unionByName(part)
+        return F.when(entry["value"].rlike(r"^\{.+\}$"), children).otherwise(F.array(entry))
 
-    items = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>"))
+    # A document is one value, so it is opened in place, level by level.
+    flat = document.select(
+        *scope, F.array(F.struct(F.lit("").alias("path"), canonical_json(F.col(text)).alias("value"))).alias("_e")
+    )
+    for _ in range(depth):
+        flat = flat.withColumn("_e", F.flatten(F.transform("_e", opened)))
 
-    def ids_under(key: str) -> Column:
+    def ids_under(items: Column, key: str) -> Column:
         """Ids of all entries, where every entry has this key."""
-        found = F.transform("_items", lambda item: F.get_json_object(item, f"$.{key}"))
-        return F.when((F.size("_items") > 0) & F.forall(found, lambda i: i.isNotNull()), found)
-
-    ids = F.coalesce(*[ids_under(key) for key in DIFF_ID_KEYS])
-    listed = rest.withColumn("_items", items).withColumn("_ids", ids)
-    plain = listed.filter(F.col("_ids").isNull()).select(*scope, "path", F.lit("").alias("rule_id"), "value")
-    keyed = listed.filter(F.col("_ids").isNotNull()).select(
-        *scope, F.col("path").alias("_section"), F.explode(F.arrays_zip("_ids", "_items")).alias("_e")
-    ).select(
-        *scope,
-        F.concat_ws(".", "_section", "_e._ids").alias("path"),
-        F.col("_e._ids").alias("rule_id"),
-        canonical_json(F.col("_e._items")).alias("value"),
+        found = F.transform(items, lambda item: F.get_json_object(item, f"$.{key}"))
+        return F.when(F.forall(found, lambda i: i.isNotNull()), found)
+
+    def unit(path: Column, rule_id: Column, value: Column) -> Column:
+        return F.struct(path.alias("path"), rule_id.alias("rule_id"), value.alias("value"))
+
+    listed = flat.select(*scope, F.inline("_e")).withColumn(
+        "_items", F.when(F.col("value").startswith("[{"), F.from_json("value", "array<string>"))
+    ).withColumn("_ids", F.coalesce(*[ids_under(F.col("_items"), key) for key in DIFF_ID_KEYS]))
+    pairs = F.arrays_zip(F.col("_ids").alias("id"), F.col("_items").alias("body"))
+    entries = F.transform(
+        pairs, lambda p: unit(F.concat_ws(".", "path", p["id"]), p["id"], canonical_json(p["body"]))
     )
-    return plain.unionByName(keyed)
+    whole = F.array(unit(F.col("path"), F.lit(""), F.col("value")))
+    return listed.select(*scope, F.explode(F.coalesce(entries, whole)).alias("_u")).select(*scope, "_u.*")
 
 
 def document_diff(base: DataFrame, current: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:

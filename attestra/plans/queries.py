@@ -277,7 +277,7 @@ def uncovered_files(b: Bound) -> DataFrame:
 
 
 def _affected(b: Bound) -> DataFrame:
-    changed = b.table("part").filter((F.col("p_brand") == "Brand#7") & (F.col("p_size") == 7)).select(
+    changed = b.table("part").filter((F.col("p_brand") == "Brand#7") & (F.col("p_size") < 20)).select(
         module_file("p_partkey").alias("path")
     )
     tasks = b.table("customer")
