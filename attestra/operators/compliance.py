@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
-from attestra.functions.ids import sentinel_evidence
+from attestra.functions.ids import as_column, sentinel_evidence
 from attestra.functions.status import is_stale_acceptance
 from attestra.operators.sequence import SCOPE, first_per_key
 from attestra.schemas import ACCEPTANCE_DAYS, BANNED_PACKAGES, BANNED_RUNTIMES, RULE_SECTIONS
@@ -129,14 +129,15 @@ def external_resources(html_artifact: DataFrame, *, html: str = "html", pattern:
 
 
 def artifact_status(
-    project: DataFrame, artifact: DataFrame, *, rule_id: str, scope: Sequence[str] = SCOPE
+    project: DataFrame, artifact: DataFrame, *, rule: Column, scope: Sequence[str] = SCOPE
 ) -> DataFrame:
     """Rule status per project from its artefacts; a project without any is unclear."""
     found = artifact.groupBy(*scope).agg(F.bool_or(F.col("n_urls") > 0).alias("_external"))
-    return project.select(*scope).join(found, list(scope), "left").select(
-        *scope, F.lit(rule_id).alias("rule_id"),
-        F.when(F.col("_external").isNull(), "unclear").when(F.col("_external"), "violated").otherwise("compliant").alias("status"),
-        F.lit("must").alias("severity"),
+    status = (
+        F.when(F.col("_external").isNull(), "unclear").when(F.col("_external"), "violated").otherwise("compliant")
+    )
+    return project.join(found, list(scope), "left").select(
+        *scope, rule.alias("rule_id"), status.alias("status"), F.lit("must").alias("severity")
     )
 
 
@@ -231,45 +232,59 @@ def classified_status(classified: DataFrame, *, scope: Sequence[str] = SCOPE) ->
     )
 
 
-# Numbers of the roll-up rules.
-ROLLUP_RULES = {"violated": "GATE-{prefix}-006", "unclear": "GATE-{prefix}-007", "silent": "FORBID-{prefix}-007"}
-
-
 def must_rollup(
-    project: DataFrame, rule_status: DataFrame, *, prefix: str = "P", scope: Sequence[str] = SCOPE
+    project: DataFrame, rule_status: DataFrame, *, prefix: str | Column = "P", scope: Sequence[str] = SCOPE
 ) -> DataFrame:
     """Three roll-up rules per project: any violated must rule, any unclear must rule, and the constant
-    one (nothing is passed over in silence). Computed over the checked rules only."""
+    one (nothing is passed over in silence). Computed over the checked rules only.
+
+    ``prefix`` may be a column of ``project``.
+    """
     must = F.col("severity") == "must"
     totals = rule_status.groupBy(*scope).agg(
         F.bool_or(must & (F.col("status") == "violated")).alias("_violated"),
         F.bool_or(must & (F.col("status") == "unclear")).alias("_unclear"),
     )
-    names = {k: v.format(prefix=prefix) for k, v in ROLLUP_RULES.items()}
+
+    def rule(kind: str, number: str, status: Column) -> Column:
+        return F.struct(rule_id(kind, prefix, number).alias("rule_id"), status.alias("status"))
+
     rows = F.array(
-        F.struct(
-            F.lit(names["violated"]).alias("rule_id"),
-            F.when(F.col("_violated"), "violated").otherwise("compliant").alias("status"),
-        ),
-        F.struct(
-            F.lit(names["unclear"]).alias("rule_id"),
-            F.when(F.col("_unclear"), "unclear").otherwise("compliant").alias("status"),
-        ),
-        F.struct(F.lit(names["silent"]).alias("rule_id"), F.lit("compliant").alias("status")),
+        rule("GATE", "006", F.when(F.col("_violated"), "violated").otherwise("compliant")),
+        rule("GATE", "007", F.when(F.col("_unclear"), "unclear").otherwise("compliant")),
+        rule("FORBID", "007", F.lit("compliant")),
     )
     return (
-        project.select(*scope)
-        .join(totals, list(scope), "left")
+        project.join(totals, list(scope), "left")
         .select(*scope, F.explode(rows).alias("_r"))
         .select(*scope, "_r.rule_id", "_r.status", F.lit("must").alias("severity"))
     )
 
 
-def drift_status(drift: DataFrame, rule: DataFrame, *, rule_id: str, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Status of the change-record rule, for projects that have it: unclear (should) on any drift."""
-    having = rule.filter(F.col("rule_id") == rule_id).select(*scope).distinct()
+def rule_id(kind: str, prefix: str | Column, number: str) -> Column:
+    """Id of a built-in rule, for example ``GATE-P-001``."""
+    return F.concat(F.lit(f"{kind}-"), as_column(prefix), F.lit(f"-{number}"))
+
+
+def presence_status(
+    project: DataFrame, violation: DataFrame, *, rule: Column, scope: Sequence[str] = SCOPE
+) -> DataFrame:
+    """Status of one built-in rule per project: violated where it has a violation row, else compliant."""
+    broken = violation.select(*scope).distinct().withColumn("_v", F.lit(True))
+    return project.join(broken, list(scope), "left").select(
+        *scope, rule.alias("rule_id"), F.when(F.col("_v"), "violated").otherwise("compliant").alias("status"),
+        F.lit("must").alias("severity"),
+    )
+
+
+def drift_status(drift: DataFrame, rule: DataFrame, *, rule_ids: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Status of the change-record rule, for projects that have it: unclear (should) on any drift.
+
+    ``rule_ids``: scope, rule_id - the id of that rule in each project.
+    """
+    having = rule_ids.join(rule.select(*scope, "rule_id").distinct(), [*scope, "rule_id"], "left_semi")
     calm = F.col("drift") == "none"
-    return drift.join(having, list(scope), "left_semi").select(
-        *scope, F.lit(rule_id).alias("rule_id"), F.when(calm, "compliant").otherwise("unclear").alias("status"),
+    return drift.join(having, list(scope)).select(
+        *scope, "rule_id", F.when(calm, "compliant").otherwise("unclear").alias("status"),
         F.when(calm, "must").otherwise("should").alias("severity"),
     )
