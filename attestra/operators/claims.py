@@ -89,7 +89,7 @@ def _finding(
         *scope, "claim_id", "ord",
         given(None, category).alias("category") if isinstance(category, str) else category.alias("category"),
         given(ref, None).cast("string").alias("ref"), given(detail, None).cast("string").alias("detail"),
-        F.lit(step).alias("step"), given(pos, 0).cast("bigint").alias("pos"),
+        F.lit(step).alias("step"), F.coalesce(given(pos, 0), F.lit(0)).cast("bigint").alias("pos"),
         given(occurrences, 1).cast("bigint").alias("occurrences"),
     )
 
@@ -107,27 +107,26 @@ def reference_findings(
     ``evidence_ref``: scope, claim_id, ref, pos.
     """
     claims = completed_claims(claim).select(*scope, "claim_id", "ord")
-    external = (
-        evidence_ref.filter(F.col("ref") != F.col("claim_id")).select(*scope, "claim_id", "ref", "pos")
-        .join(claims, [*scope, "claim_id"])
+    external = evidence_ref.filter(F.col("ref") != F.col("claim_id")).select(*scope, "claim_id", "ref", "pos")
+    # A claim without external references keeps one row, with a null reference.
+    seen = claims.join(external, [*scope, "claim_id"], "left").join(
+        reference_keys(evidence, scope=scope), [*scope, "ref"], "left"
     )
-    alone = claims.join(external.select(*scope, "claim_id").distinct(), [*scope, "claim_id"], "left_anti")
-    seen = external.join(reference_keys(evidence, scope=scope), [*scope, "ref"], "left")
+
+    def found(category: str, detail: Column | None = None) -> Column:
+        text = F.lit(None).cast("string") if detail is None else detail
+        return F.struct(F.lit(category).alias("category"), text.alias("detail"))
 
     statuses = F.array_join(F.array_sort("_statuses"), ", ")
-    conflict = F.when(F.size("_statuses") > 1, F.struct(F.lit("conflicting_statuses").alias("c"), statuses.alias("d")))
+    conflict = F.when(F.size("_statuses") > 1, found("conflicting_statuses", statuses))
     worst = (
-        F.when(F.col("_statuses").isNull(), F.struct(F.lit("non_existent_evidence").alias("c"), F.lit(None).cast("string").alias("d")))
-        .when(F.col("_violated"), F.struct(F.lit("violated_evidence").alias("c"), F.lit("violated").alias("d")))
-        .when(
-            F.col("_other").isNotNull(),
-            F.struct(F.lit("unclear_evidence_status").alias("c"), F.col("_other").alias("d")),
-        )
-    )
-    found = seen.withColumn("_f", F.explode(F.array_compact(F.array(conflict, worst))))
-    return _finding(alone, scope, "self_referential_claim", 1).unionByName(
-        _finding(found, scope, F.col("_f.c"), 1, ref=F.col("ref"), detail=F.col("_f.d"), pos=F.col("pos"))
+        F.when(F.col("ref").isNull(), found("self_referential_claim"))
+        .when(F.col("_statuses").isNull(), found("non_existent_evidence"))
+        .when(F.col("_violated"), found("violated_evidence", F.lit("violated")))
+        .when(F.col("_other").isNotNull(), found("unclear_evidence_status", F.col("_other")))
     )
+    rows = seen.withColumn("_f", F.explode(F.array_compact(F.array(conflict, worst))))
+    return _finding(rows, scope, F.col("_f.category"), 1, ref=F.col("ref"), detail=F.col("_f.detail"), pos=F.col("pos"))
 
 
 def task_findings(
@@ -150,9 +149,12 @@ def task_findings(
         ),
         [*scope, "related_task"], ["_task_ord", "evidence_id"],
     )
-    placed = claims.join(task, [*scope, "related_task"], "left")
-    unknown = placed.filter(F.col("evidence_id").isNull())
-    unfinished = placed.filter(F.col("evidence_id").isNotNull() & ~F.col("_task_status").eqNullSafe("covered"))
+    open_task = claims.join(task, [*scope, "related_task"], "left").withColumn(
+        "_category",
+        F.when(F.col("evidence_id").isNull(), "non_existent_task").when(
+            ~F.col("_task_status").eqNullSafe("covered"), "task_not_completed"
+        ),
+    ).filter(F.col("_category").isNotNull())
 
     # Criteria of each task, with what their tests say.
     test_cover = cover.filter(F.col("source_type") == "test")
@@ -169,36 +171,30 @@ def task_findings(
         .join(tests, [*scope, "ac_id"], "left")
         .select(*scope, "related_task", "ac_id", "_n_tests", "_n_failed")
     )
-    untested = claims.join(task_ac.filter(F.col("_n_tests").isNull()), [*scope, "related_task"])
-    failing = claims.join(task_ac.filter(F.col("_n_failed") > 0), [*scope, "related_task"])
+    unproven = claims.join(
+        task_ac.filter(F.col("_n_tests").isNull() | (F.col("_n_failed") > 0)), [*scope, "related_task"]
+    ).withColumn("_category", F.when(F.col("_n_tests").isNull(), "no_test_coverage").otherwise("failed_tests"))
 
     # Criteria with tests, none of which the claim names although it names tests.
     named = test_ref.select(*scope, "claim_id", tx.file_of(F.col("ref")).alias("path")).distinct()
-    naming = named.select(*scope, "claim_id").distinct()
-    tested = (
-        claims.join(naming, [*scope, "claim_id"], "left_semi")
-        .join(task_ac.filter(F.col("_n_tests") > 0).select(*scope, "related_task", "ac_id"), [*scope, "related_task"])
-    )
     covering = test_cover.select(
-        *scope, F.col("item_id").alias("ac_id"), tx.file_of(F.col("source_path")).alias("path")
+        *scope, F.col("item_id").alias("ac_id"), tx.file_of(F.col("source_path")).alias("path"), F.lit(True).alias("_hit")
     ).distinct()
-    named_cover = (
-        tested.select(*scope, "claim_id", "ac_id")
+    missed = (
+        claims.join(task_ac.filter(F.col("_n_tests") > 0).select(*scope, "related_task", "ac_id"), [*scope, "related_task"])
         .join(named, [*scope, "claim_id"])
-        .join(covering, [*scope, "ac_id", "path"], "left_semi")
-        .select(*scope, "claim_id", "ac_id")
-        .distinct()
+        .join(covering, [*scope, "ac_id", "path"], "left")
+        .groupBy(*scope, "claim_id", "ac_id", "ord")
+        .agg(F.count("_hit").alias("_named"))
+        .filter(F.col("_named") == 0)
     )
-    missed = tested.join(named_cover, [*scope, "claim_id", "ac_id"], "left_anti")
 
     return reduce(
         DataFrame.unionByName,
         [
-            _finding(unfinished, scope, "task_not_completed", 2, ref=F.col("related_task"), detail=F.col("_task_status")),
-            _finding(untested, scope, "no_test_coverage", 3, ref=F.col("ac_id")),
-            _finding(failing, scope, "failed_tests", 3, ref=F.col("ac_id"), occurrences=F.col("_n_failed")),
+            _finding(open_task, scope, F.col("_category"), 2, ref=F.col("related_task"), detail=F.col("_task_status")),
+            _finding(unproven, scope, F.col("_category"), 3, ref=F.col("ac_id"), occurrences=F.coalesce("_n_failed", F.lit(1))),
             _finding(missed, scope, "test_covers_mismatch", 4, ref=F.col("ac_id")),
-            _finding(unknown, scope, "non_existent_task", 2, ref=F.col("related_task")),
         ],
     )
 

@@ -30,7 +30,7 @@ def number_rows(
     """
     groups = [*scope, *([rank] if rank else []), "_block"]
     order = [ord, *ties]
-    blocked = df.withColumn("_block", F.floor(F.col(ord) / block))
+    blocked = df.withColumn("_block", F.expr(f"`{ord}` div {block}"))
     earlier = Window.partitionBy(*scope).orderBy(*groups[len(scope):]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(*groups)

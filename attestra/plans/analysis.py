@@ -69,11 +69,14 @@ def fresh_evidence(
 
 def build_index(
     tables: Tables, *, task_path: str = "docs/task_list.json", claim_path: str = "claims/current.json",
+    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
     """The evidence index: fresh rows, test and coverage rows carried over, consecutive ids per project."""
     rows = fresh_evidence(
         tables["task"], tables["claim"], tables["tool_evidence"], task_path=task_path, claim_path=claim_path
     )
+    # Read three times below: for the carried-over keys, the block counts and the rows themselves.
+    rows = materialise(rows)
     if "old_evidence" in tables:
         rows = rows.unionByName(_index_rows(delta.carry_over(tables["old_evidence"], rows), 4))
     numbered = number_rows(
@@ -175,7 +178,7 @@ def run(
     the findings are used by many branches and are materialised once each.
     """
     project, decision, changed = tables["project"], tables["decision"], tables["changed_file"]
-    evidence = materialise(build_index(tables))
+    evidence = materialise(build_index(tables, materialise=materialise))
     cover = coverage.explode_covers(evidence)
     refs = claims.explode_refs(tables["claim"])
     file_ref = refs.filter(F.col("kind") != "evidence")

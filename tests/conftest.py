@@ -10,9 +10,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from attestra.session import local_session  # noqa: E402
 
 
+# The unit tests run many small plans once: compiling them takes longer than running them.
+FAST = {"spark.ui.showConsoleProgress": "false", "spark.sql.codegen.wholeStage": "false"}
+
+
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("attestra-tests", cores="4", shuffle_partitions=4, **{"spark.ui.showConsoleProgress": "false"})
+    session = local_session("attestra-tests", cores="4", shuffle_partitions=2, **FAST)
     yield session
     session.stop()
 

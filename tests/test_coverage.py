@@ -1,7 +1,5 @@
 """Coverage of requirements, criteria and tasks."""
 
-import pytest
-
 from attestra.operators import coverage as cov
 from tests.conftest import list_of, rows_of
 
@@ -13,9 +11,8 @@ def requirement(table, priority):
     return table(REQ, [("REQ-P-1", "Login", priority, 1)])
 
 
-@pytest.mark.parametrize(
-    "priority, statuses, expected, gap",
-    [
+def test_requirement_truth_table(spark):
+    cases = [
         ("must", ["covered", "covered"], "covered", False),
         ("must", ["covered", "partial"], "partial", False),
         ("must", ["missing"], "partial", False),  # a task that is only planned still covers in part
@@ -24,12 +21,15 @@ def requirement(table, priority):
         ("unclear", [], "missing", False),
         ("must", [], "missing", True),
         ("should", [], "missing", False),
-    ],
-)
-def test_requirement_truth_table(table, priority, statuses, expected, gap):
-    cover = table(COVER, [("REQ-P-1", f"E{i}", "task", s) for i, s in enumerate(statuses)])
-    out = cov.requirement_coverage(requirement(table, priority), cover)
-    assert rows_of(out, "status", "n_evidence", "is_gap") == {(expected, len(statuses), gap)}
+    ]
+    req = spark.createDataFrame([(i, "R1", "t", c[0], 1) for i, c in enumerate(cases)], f"project_id int, {REQ}")
+    cover = spark.createDataFrame(
+        [(i, "R1", f"E{n}", "task", s) for i, c in enumerate(cases) for n, s in enumerate(c[1])], f"project_id int, {COVER}"
+    )
+    out = cov.requirement_coverage(req, cover)
+    assert rows_of(out, "project_id", "status", "n_evidence", "is_gap") == {
+        (i, status, len(tasks), gap) for i, (_, tasks, status, gap) in enumerate(cases)
+    }
 
 
 def test_requirement_ignores_other_evidence(table):
@@ -48,9 +48,8 @@ def test_requirement_evidence_and_gap_rows(table):
     assert "Login" in row.reason
 
 
-@pytest.mark.parametrize(
-    "priority, required, tests, expected, gap",
-    [
+def test_criterion_truth_table(spark):
+    cases = [
         ("must", True, [("test", "covered")], "covered", False),
         ("must", True, [("test", "violated")], "missing", True),
         ("must", True, [("test", "violated"), ("test", "covered")], "covered", False),
@@ -59,41 +58,59 @@ def test_requirement_evidence_and_gap_rows(table):
         ("must", False, [], "missing", False),
         ("should", True, [], "missing", False),
         (None, True, [], "missing", False),
-    ],
-)
-def test_criterion_truth_table(table, priority, required, tests, expected, gap):
-    ac = table("ac_id string, priority string, is_testing_required boolean, ord bigint", [("AC-P-1-1", priority, required, 1)])
-    cover = table(COVER, [("AC-P-1-1", f"E{i}", t, s) for i, (t, s) in enumerate(tests)])
-    assert rows_of(cov.criterion_coverage(ac, cover), "status", "is_gap") == {(expected, gap)}
+    ]
+    ac = spark.createDataFrame(
+        [(i, "A1", c[0], c[1], 1) for i, c in enumerate(cases)],
+        "project_id int, ac_id string, priority string, is_testing_required boolean, ord bigint",
+    )
+    cover = spark.createDataFrame(
+        [(i, "A1", f"E{n}", t, s) for i, c in enumerate(cases) for n, (t, s) in enumerate(c[2])], f"project_id int, {COVER}"
+    )
+    out = cov.criterion_coverage(ac, cover)
+    assert rows_of(out, "project_id", "status", "is_gap") == {(i, c[3], c[4]) for i, c in enumerate(cases)}
 
 
 TASK = "task_id string, priority string, related_acceptance_criteria array<string>"
 
 
-@pytest.mark.parametrize(
-    "claims, refs, results, expected",
-    [
-        ([], [], [], "no_claim_for_task"),
-        (["C1"], [], [], "no_tests_declared"),
-        (["C1"], [], [("other.py", "covered", 1)], "no_tests_declared"),
-        (["C1"], [("C1", "t.py")], [], None),  # no result is known: declared tests count
-        (["C1"], [("C1", "t.py")], [("t.py", "violated", 1)], "test_failed"),
-        (["C1"], [("C1", "t.py")], [("x.py", "covered", 1)], "test_failed"),
-        (["C1"], [("C1", "t.py")], [("t.py", "covered", 1)], None),
-        (["C1"], [("C1", "t.py")], [("t.py", "covered", 1), ("t.py", "violated", 2)], "test_failed"),  # last counts
-        (["C1", "C2"], [("C2", "t.py")], [("t.py", "covered", 1)], None),
-    ],
-)
-@pytest.mark.parametrize("scoped", [True, False])
-def test_task_claim_coverage(table, claims, refs, results, expected, scoped):
-    scope = ("project_id",) if scoped else ()
-    task = table(TASK, [("T1", "must", ["A1", "A2"]), ("T2", "should", ["A3"])])
-    claim = table("claim_id string, related_task string", [(c, "T1") for c in claims])
-    ref = table("claim_id string, ref string", refs)
-    result = table("path string, status string, ord bigint", results)
-    out = cov.task_claim_coverage(task, claim, ref, result, scope=scope)
-    assert rows_of(out, "task_id", "reason") == ({("T1", expected)} if expected else set())
-    assert cov.uncovered_task_criteria(out).count() == (2 if expected else 0)
+CLAIM_CASES = [
+    ([], [], [], "no_claim_for_task"),
+    (["C1"], [], [], "no_tests_declared"),
+    (["C1"], [], [("other.py", "covered", 1)], "no_tests_declared"),
+    (["C1"], [("C1", "t.py")], [], None),  # no result is known: declared tests count
+    (["C1"], [("C1", "t.py")], [("t.py", "violated", 1)], "test_failed"),
+    (["C1"], [("C1", "t.py")], [("x.py", "covered", 1)], "test_failed"),
+    (["C1"], [("C1", "t.py")], [("t.py", "covered", 1)], None),
+    (["C1"], [("C1", "t.py")], [("t.py", "covered", 1), ("t.py", "violated", 2)], "test_failed"),  # last counts
+    (["C1", "C2"], [("C2", "t.py")], [("t.py", "covered", 1)], None),
+]
+
+
+def test_task_claim_coverage(spark):
+    def rows(schema, of):
+        data = [(i, *row) for i, case in enumerate(CLAIM_CASES) for row in of(case)]
+        return spark.createDataFrame(data, f"project_id int, {schema}")
+
+    out = cov.task_claim_coverage(
+        rows(TASK, lambda c: [("T1", "must", ["A1", "A2"]), ("T2", "should", ["A3"])]),
+        rows("claim_id string, related_task string", lambda c: [(k, "T1") for k in c[0]]),
+        rows("claim_id string, ref string", lambda c: c[1]),
+        rows("path string, status string, ord bigint", lambda c: c[2]),
+    )
+    expected = {(i, "T1", c[3]) for i, c in enumerate(CLAIM_CASES) if c[3]}
+    assert rows_of(out, "project_id", "task_id", "reason") == expected
+    assert cov.uncovered_task_criteria(out).count() == 2 * len(expected)
+
+
+def test_task_claim_coverage_without_projects(table):
+    """Without a project column, whether results are known is a property of the whole input."""
+    for results, expected in (([], set()), ([("x.py", "covered", 1)], {("T1", "test_failed")})):
+        out = cov.task_claim_coverage(
+            table(TASK, [("T1", "must", ["A1"])]), table("claim_id string, related_task string", [("C1", "T1")]),
+            table("claim_id string, ref string", [("C1", "t.py")]), table("path string, status string, ord bigint", results),
+            scope=(),
+        )
+        assert rows_of(out, "task_id", "reason") == expected
 
 
 def test_inherit_covers(table):
