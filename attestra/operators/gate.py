@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from attestra.functions.text import fill
 from attestra.operators.findings import decisions_applied, is_self_referential, lookup, with_decision_flag
 from attestra.operators.impact import tag_current
-from attestra.operators.sequence import SCOPE, number_rows
+from attestra.operators.sequence import SCOPE, number_by_range, number_rows
 
 # Finding code -> (position in the report, text).
 REASONS = {
@@ -181,9 +181,14 @@ def gate_result(
     )
 
 
-def gate_reasons(gate: DataFrame, findings: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
+def gate_reasons(
+    gate: DataFrame, findings: DataFrame, *, by_range: bool = False, scope: Sequence[str] = SCOPE
+) -> DataFrame:
     """The reasons of every decision in report order: scope, seq, reason, effect, item_id.
 
+    ``by_range`` numbers them by ranges of the whole order instead of blocks of ``ord``; needed where
+    many findings of a project share one ``ord``.
+
     A resolved finding and one outside the change are marked in the text. A pass without findings
     and a draft get one line each.
     """
@@ -197,10 +202,12 @@ def gate_reasons(gate: DataFrame, findings: DataFrame, *, scope: Sequence[str] =
         .otherwise(""),
     )
     drafts = gate.filter(F.col("gate_decision") == "draft_approved").select(*scope)
-    listed = number_rows(
-        findings.join(drafts, list(scope), "left_anti").withColumn("_rank", lookup(F.col("code"), REASONS, 0)),
-        scope=scope, rank="_rank", ties=["item_id", "detail"],
-    ).select(*scope, "seq", F.concat(prefix, text).alias("reason"), "effect", "item_id", "code")
+    ranked = findings.join(drafts, list(scope), "left_anti").withColumn("_rank", lookup(F.col("code"), REASONS, 0))
+    if by_range:
+        numbered = number_by_range(ranked, scope=scope, order=["_rank", "ord", "item_id", "detail"])
+    else:
+        numbered = number_rows(ranked, scope=scope, rank="_rank", ties=["item_id", "detail"])
+    listed = numbered.select(*scope, "seq", F.concat(prefix, text).alias("reason"), "effect", "item_id", "code")
     quiet = (F.col("gate_decision") == "pass") & (F.col("n_noted") == 0)
     single = gate.filter(quiet | (F.col("gate_decision") == "draft_approved")).select(
         *scope, F.lit(1).cast("bigint").alias("seq"),

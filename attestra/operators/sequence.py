@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.session import cut_lineage
+
 SCOPE = ("project_id",)
 BLOCK = 100_000
 
@@ -28,22 +30,50 @@ def number_rows(
     number of rows in earlier blocks. Only block counts are ordered project-wide. ``ord`` must be a
     whole number, and one ``ord`` value may only hold what one source row expands to.
     """
-    groups = [*scope, *([rank] if rank else []), "_block"]
-    order = [ord, *ties]
+    groups = [*([rank] if rank else []), "_block"]
     blocked = df.withColumn("_block", F.expr(f"`{ord}` div {block}"))
-    earlier = Window.partitionBy(*scope).orderBy(*groups[len(scope):]).rowsBetween(Window.unboundedPreceding, -1)
+    return _number_in_groups(blocked, scope, groups, [ord, *ties], name).drop("_block")
+
+
+def number_by_range(
+    df: DataFrame,
+    *,
+    scope: Sequence[str] = SCOPE,
+    order: Sequence[str],
+    name: str = "seq",
+    partitions: int | None = None,
+    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> DataFrame:
+    """The same for any order columns, texts too, that are unique per scope.
+
+    Rows are cut into ranges of about equal size, whatever their project, and each range is numbered
+    on its own. The range a row fell into is sampled, so it is materialised with the row: a lost
+    executor then cannot bring back other ranges.
+    """
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(partitions, *scope, *order).withColumn("_range", F.spark_partition_id())
+    return _number_in_groups(materialise(ranged), scope, ["_range"], order, name).drop("_range")
+
+
+def _number_in_groups(
+    df: DataFrame, scope: Sequence[str], groups: Sequence[str], order: Sequence[str], name: str
+) -> DataFrame:
+    """Position in the row's group plus the rows of the scope's earlier groups."""
+    keys = [*scope, *groups]
+    earlier = Window.partitionBy(*scope).orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        blocked.groupBy(*groups)
+        df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    local = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
-        blocked.withColumn("_local", local)
-        .join(offsets, groups)
+        df.withColumn("_local", local)
+        .join(offsets, keys)
         .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_block", "_local", "_before")
+        .drop("_local", "_before")
     )
 
 

@@ -12,7 +12,7 @@ from attestra.functions import scope as sc
 from attestra.functions.ids import numbered_id
 from attestra.functions.status import task_evidence_status
 from attestra.operators import claims, compliance, coverage, delta, findings, gate, impact, integrity
-from attestra.operators.sequence import SCOPE, number_rows
+from attestra.operators.sequence import SCOPE, number_by_range, number_rows
 from attestra.session import cut_lineage
 
 Tables = Mapping[str, DataFrame]
@@ -213,8 +213,10 @@ def run(
 
     # Rules.
     rules = check_compliance(tables, as_of=as_of, package=package)
-    violation = number_rows(rules["violations"], rank="rank", ties=["rule_id", "path", "message"], name="_n").drop("rank")
-    violation = violation.withColumn("ord", F.col("_n")).drop("_n")
+    violation = number_by_range(
+        rules["violations"], order=["rank", "rule_id", "path", "ord", "message"], name="_n", materialise=materialise
+    )
+    violation = violation.withColumn("ord", F.col("_n")).drop("_n", "rank")
     prefixed = _with_prefix(violation, tables)
     violation = materialise(compliance.evidence_for_paths(prefixed, evidence, prefix=F.col("id_prefix")).drop("id_prefix"))
 
@@ -269,7 +271,7 @@ def run(
         .unionByName(gate.coverage_findings(low))
     )
     result = gate.gate_result(project, gate_rows, decision)
-    reasons = gate.gate_reasons(result, gate_rows)
+    reasons = gate.gate_reasons(result, gate_rows, by_range=True)
 
     # Actions and flags.
     with_urgency = findings.gap_urgency(gaps, affected, cover)

@@ -37,7 +37,7 @@ def front_matter(document: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFr
     body = F.regexp_extract("text", _FENCED, 1)
     entries = F.transform(
         F.filter(
-            F.transform(tx.lines(body), F.trim),
+            F.transform(tx.lines(body), lambda line: F.trim(line)),
             lambda line: (line != "") & ~line.startswith("#") & line.contains(":"),
         ),
         lambda line: F.struct(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.functions.hashing import file_hash
 from attestra.functions.ids import as_column, is_template
-from attestra.functions.text import parse_timestamp
-from attestra.operators.sequence import SCOPE
+from attestra.functions.text import lines, parse_timestamp
+from attestra.operators.sequence import SCOPE, number_rows
 from attestra.schemas import RULE_ID_KEYS, RULE_SECTIONS, TABLES
 
 
@@ -178,6 +178,7 @@ def decisions_from(document: DataFrame, *, text: str = "text", scope: Sequence[s
     )
 
 
+HOUR = 3_600_000_000  # microseconds
 DECISION_FIELDS = ("category", "targetId", "action", "reason", "decidedBy")
 
 
@@ -188,15 +189,12 @@ def invalid_decisions(request: DataFrame) -> DataFrame:
 
 
 def new_decisions(request: DataFrame, log: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Complete requests with ids continuing each project's log, in time order.
-
-    Requests are few: people make them one at a time between two runs.
-    """
+    """Complete requests with ids continuing each project's log, in time order."""
     complete = request.filter(" and ".join(f"{f} is not null" for f in DECISION_FIELDS))
     last = log.groupBy(*scope).agg(F.max("decision_id").alias("_last"))
-    position = F.row_number().over(Window.partitionBy(*scope).orderBy("timestamp", *DECISION_FIELDS))
+    timed = complete.withColumn("_at", F.coalesce(F.unix_micros("timestamp"), F.lit(0)))
     return (
-        complete.withColumn("_n", position)
+        number_rows(timed, scope=scope, ord="_at", ties=DECISION_FIELDS, name="_n", block=HOUR)
         .join(last, list(scope), "left")
         .withColumn("decision_id", (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("bigint"))
         .select(*scope, "decision_id", *DECISION_FIELDS, "timestamp")
@@ -209,9 +207,7 @@ def append_decisions(decision: DataFrame, path: str) -> None:
 
 def changed_files(listing: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Listings of changed paths (scope, text; one path per line) -> distinct changed files."""
-    from attestra.functions.text import lines
-
-    paths = F.filter(F.transform(lines(F.col("text")), F.trim), lambda p: p != "")
+    paths = F.filter(F.transform(lines(F.col("text")), lambda line: F.trim(line)), lambda p: p != "")
     return listing.select(*scope, F.explode(paths).alias("path")).distinct()
 
 

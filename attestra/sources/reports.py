@@ -207,7 +207,8 @@ def skipped_refs(file_ref: DataFrame, *, extensions: Sequence[str] = (".py",), s
         .distinct()
         .withColumn("tool_category", F.lit(None).cast("string"))
         .withColumn("exit_code", F.lit(0))
-        .withColumn("ord", F.lit(0).cast("bigint"))
+        # These rows have no source position; a hash spreads and orders them.
+        .withColumn("ord", F.pmod(F.xxhash64("path"), F.lit(1 << 31)))
     )
     return _evidence(
         rows, scope, source_type=F.lit("tool"), source_path=F.col("path"), status=F.lit("skipped"),

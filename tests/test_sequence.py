@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from attestra.operators import sequence as seq
+from attestra.session import cut_lineage
 from tests.conftest import rows_of
 
 
@@ -19,6 +20,18 @@ def test_numbering_equals_a_plain_sort_whatever_the_blocks(spark):
     for block in (1, 37, 100_000):
         out = seq.number_rows(df, rank="rank", ties=["tie"], block=block)
         assert {tuple(r)[:4]: r.seq for r in out.select("project_id", "rank", "ord", "tie", "seq").collect()} == want
+    out = seq.number_by_range(df, order=["rank", "ord", "tie"], partitions=6)
+    assert {tuple(r)[:4]: r.seq for r in out.select("project_id", "rank", "ord", "tie", "seq").collect()} == want
+
+
+def test_ranges_split_one_hot_project_of_texts(spark):
+    rows = [("hot", f"src/same/prefix/{i:05d}.py") for i in range(4000)]
+    df = spark.createDataFrame(rows, "project_id string, path string")
+    parts = []
+    out = seq.number_by_range(df, order=["path"], partitions=8, materialise=lambda d: parts.append(cut_lineage(d)) or parts[0])
+    assert [r.seq for r in out.orderBy("path").collect()] == list(range(1, 4001))
+    sizes = [r["count"] for r in parts[0].groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1500
 
 
 def test_first_and_last_per_key(table):
