@@ -637,6 +637,83 @@ _SQL: dict[str, str] = {
     "unknown_extensions": r"""
         SELECT DISTINCT e AS extension FROM (
             SELECT regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '[^/](\.[^./]+)$', 1) AS e FROM pages) WHERE e <> '' AND e <> '.py'""",
+    "input_manifest": """
+        SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS file_key, CASE WHEN lang = 'de' THEN 'missing' ELSE 'ok' END AS status,
+            CASE WHEN lang = 'de' AND n_chars < 1000 THEN 'missing_input' END AS error_code,
+            CASE WHEN lang <> 'de' THEN sha256(text) END AS sha256 FROM documents""",
+    "manifest_errors": """
+        SELECT source AS project_id, count(*) FILTER (lang = 'es' OR (lang = 'de' AND n_chars < 1000)) AS n_errors,
+            bool_or(lang IN ('es', 'de') AND n_chars < 1000) AS has_required_errors FROM documents GROUP BY 1""",
+    "tasks_from_documents": """
+        SELECT c_nationkey AS project_id, 'TASK-P-' || c_custkey AS task_id, CAST(NULL AS VARCHAR) AS title, 'done' AS status,
+            'REQ-P-' || c_nationkey || ',REQ-P-99' AS requirements, CAST(0 AS BIGINT) AS ord FROM customer WHERE c_acctbal >= 0
+        UNION ALL SELECT c_nationkey, 'TASK-P-' || c_custkey || '1', c_name, NULL, NULL, 2 FROM customer WHERE c_acctbal >= 0""",
+    "claims_from_documents": """
+        SELECT 'CLAIM-P-' || o_orderkey AS claim_id, 'TASK-P-' || o_custkey AS related_task, date_trunc('day', o_orderdate)::TIMESTAMP AS claimed_ts,
+            'a.py,b.py#L' || o_orderkey AS code_refs, 0 AS n_tests, CAST(0 AS BIGINT) AS ord FROM orders WHERE o_orderkey <> 9999""",
+    "rules_from_documents": """
+        SELECT c_custkey AS project_id, 'security_rules' AS section, 'S-' || c_custkey AS rule_id, 'must' AS severity, 'machine' AS verification_method FROM customer
+        UNION ALL SELECT c_custkey, 'quality_gates', 'G-' || c_custkey, 'must', 'manual' FROM customer""",
+    "modules_from_documents": """
+        SELECT c_custkey AS project_id, 'M-' || c_custkey AS module_id, 'f.py' AS files, 0 AS n_allowed, true AS no_forbidden_list FROM customer""",
+    "scope_patterns": """
+        SELECT c_custkey AS project_id, 'include' AS kind, 'src/' || c_mktsegment || '/**' AS pattern FROM customer""",
+    "nested_requirement_links": """
+        SELECT c_custkey AS project_id, 'REQ-P-' || c_nationkey AS req_id, true AS top_level FROM customer
+        UNION ALL SELECT c_custkey, 'REQ-P-77', false FROM customer""",
+    "decisions_from_documents": """
+        SELECT user_id AS project_id, event_id AS decision_id, event_type AS action, json_extract_string(props, '$.k') AS "targetId",
+            TIMESTAMP '2024-01-01' AS timestamp FROM events WHERE event_type <> 'error'""",
+    "new_decision_ids": """
+        SELECT user_id AS project_id, coalesce(l.last, 0) + row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS decision_id,
+            CAST(event_id AS VARCHAR) AS "targetId"
+        FROM events LEFT JOIN (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'signup' GROUP BY 1) l USING (user_id)
+        WHERE event_type = 'purchase' AND value < 50""",
+    "changed_files_from_listings": """
+        SELECT page_id AS project_id, url AS path FROM pages UNION SELECT page_id, 'b.py' FROM pages""",
+    "drift_findings": """
+        WITH d AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+        s AS (SELECT c_custkey, CASE WHEN c_acctbal <= 5000 THEN 'none' WHEN c_nationkey = 3 THEN 'no_metadata' WHEN c_nationkey = 4 THEN 'no_baseline'
+                WHEN n IS NULL THEN 'format_only' ELSE 'changed' END AS drift FROM customer LEFT JOIN d ON o_custkey = c_custkey)
+        SELECT c_custkey AS project_id, 'risk' AS kind, 'should' AS severity FROM s WHERE drift <> 'none'
+        UNION ALL SELECT c_custkey, 'gap', 'should' FROM s WHERE drift = 'changed'
+        UNION ALL SELECT c_custkey, 'undocumented', 'must' FROM s WHERE drift = 'no_baseline'
+            OR (drift = 'changed' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000))""",
+    "lock_baseline": """
+        SELECT c_custkey AS project_id, outcome,
+            CASE WHEN outcome = 'locked' THEN 'py' WHEN c_nationkey <= 5 THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'js' ELSE 'py' END AS language,
+            CASE WHEN outcome = 'locked' THEN 'h' WHEN c_nationkey <= 5 THEN NULL WHEN c_acctbal > 2000 THEN 'h' ELSE 'old' END AS architecture_constraints_hash,
+            CASE WHEN outcome = 'locked' THEN CASE WHEN c_acctbal > 9000 THEN 'new' ELSE 'p' END WHEN c_nationkey <= 5 THEN NULL ELSE 'p' END AS prd_hash
+        FROM (SELECT *, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'language_unknown' WHEN c_nationkey <= 5 THEN 'locked'
+                WHEN c_mktsegment = 'BUILDING' THEN 'language_conflict' WHEN c_acctbal > 2000 AND c_acctbal <= 9000 THEN 'unchanged'
+                WHEN c_acctbal <= 2000 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 'undocumented_change'
+                ELSE 'locked' END AS outcome FROM customer)""",
+    "edge_modules": """
+        SELECT CASE WHEN o_orderstatus <> 'F' THEN 'M' || substr(o_orderpriority, 1, 1) END AS from_module,
+            CASE WHEN project_id = 3 THEN 'MSUB' WHEN project_id = 4 OR project_id >= 20 THEN NULL ELSE 'M' || project_id END AS to_module, count(*) AS n
+        FROM op GROUP BY ALL""",
+    "rule_gate": """
+        WITH p AS (SELECT *, p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AS ch FROM part),
+        r AS (SELECT p_brand, ch, 'must_rule_violation' AS code, 'block' AS e FROM p WHERE p_type = 'PROMO' AND p_size = 7
+            UNION ALL SELECT p_brand, ch, 'rule_status_violated', 'block' FROM p WHERE p_type <> 'PROMO' AND p_size = 7
+            UNION ALL SELECT p_brand, ch, 'unclear_rule', 'fail' FROM p WHERE p_type = 'SMALL' AND p_size = 9
+            UNION ALL SELECT p_brand, ch, 'rule_status_unclear', 'fail' FROM p WHERE p_size = 9)
+        SELECT p_brand AS project_id, code, CASE WHEN ch THEN 'note' ELSE e END AS effect, CASE WHEN ch THEN 'pre_existing' ELSE 'all' END AS change_scope, count(*) AS n
+        FROM r GROUP BY ALL
+        UNION ALL SELECT p_brand, 'coverage_violation', 'block', 'current', count(*) FROM p WHERE p_size = 1 AND p_type = 'LARGE' GROUP BY 1""",
+    "run_metadata": """
+        WITH r AS (SELECT g.project_id, code, row_number() OVER (PARTITION BY g.project_id ORDER BY rank, ord) AS seq FROM gfx g JOIN gproj p USING (project_id) WHERE p.status <> 'draft'),
+        j AS (SELECT project_id, count(*) AS n, string_agg(code, '; ' ORDER BY seq) AS s FROM r GROUP BY 1)
+        SELECT project_id, 'RUN-1' AS run_id, '2001-02-15T12:00:00.000000Z' AS scan_time, gate_decision, CASE gate_decision WHEN 'blocked' THEN 2 ELSE 0 END AS exit_code,
+            coalesce(j.n, 1) AS n_reasons, CASE WHEN j.n IS NOT NULL THEN j.s WHEN gate_decision = 'pass' THEN 'all_passed' ELSE 'draft' END AS summary
+        FROM gate LEFT JOIN j USING (project_id)""",
+    "fallback_actions": """
+        WITH r AS (SELECT g.project_id, code, row_number() OVER (PARTITION BY g.project_id ORDER BY rank, ord) AS seq FROM gfx g JOIN gproj p USING (project_id) WHERE p.status <> 'draft')
+        SELECT project_id, 'gate_blocked' AS type, code AS detail, 80 AS urgency, seq AS ord FROM r JOIN gate USING (project_id)
+        WHERE gate_decision IN ('blocked', 'fail') AND project_id NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""",
+    "reusable_results": """
+        SELECT 'doc/' || doc_id AS path, sha256(text) AS file_hash, toxic FROM documents JOIN labels USING (doc_id)
+        WHERE quality = 1 OR sha256(text) = sha256('x')""",
     "normalised_refs": r"""
         SELECT page_id, split_part(url, '#', 1) AS without_fragment, regexp_extract(split_part(url, '#', 1), '([^/]*)$', 1) AS base_name,
             CASE WHEN starts_with(url, 'https://m.ththth.example.net/') THEN substr(url, 30) ELSE url END AS relative,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import ids, scope as sc, text as tx
@@ -13,7 +13,7 @@ from attestra.functions.status import coverage_status, task_evidence_status
 from attestra.operators import claims, compliance, constraints, coverage, delta, findings, gate, health, impact, integrity
 from attestra.operators.sequence import first_per_key, number_rows
 from attestra.plans.bindings import Bound, module_file, priority_of, text_id
-from attestra.sources import documents, reports
+from attestra.sources import documents, ledgers, reports, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -1098,3 +1098,205 @@ def normalised_refs(b: Bound) -> DataFrame:
         tx.relative_path(url, F.lit("https://m.ththth.example.net/")).alias("relative"), tx.clip(url, 20).alias("clipped"),
         tx.clean_title(F.concat(F.lit(" ：: "), url, F.lit(" :： "))).alias("title"),
     )
+
+
+@query
+def input_manifest(b: Bound) -> DataFrame:
+    """Documents as files: every labelled or short document is expected, some under another name."""
+    document = b.table("documents").withColumn("project_id", F.col("source"))
+    file = document.select(
+        "project_id", text_id("doc/", "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"), F.sha2("text", 256).alias("sha256")
+    )
+    name = F.when(F.col("lang") == "de", text_id("doc/x", "doc_id")).when(F.col("lang") == "es", text_id("doc/", "doc_id"))
+    expected = document.select(
+        "project_id", F.col("doc_id").cast("string").alias("file_key"),
+        F.coalesce(name, text_id("doc/", "doc_id")).alias("path"), (F.col("n_chars") < 1000).alias("is_required"),
+    )
+    return ledgers.input_manifest(expected, file).select("project_id", "file_key", "status", "error_code", "sha256")
+
+
+@query
+def manifest_errors(b: Bound) -> DataFrame:
+    status = F.when(F.col("lang") == "de", "missing").when(F.col("lang") == "es", "parse_error").otherwise("ok")
+    rows = b.table("documents").select(F.col("source").alias("project_id"), status.alias("status"), (F.col("n_chars") < 1000).alias("is_required"))
+    return ledgers.manifest_errors(rows)
+
+
+def _quoted(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query
+def tasks_from_documents(b: Bound) -> DataFrame:
+    """A task list per customer, built from its row; the negative balances hold broken JSON."""
+    key = F.col("c_custkey")
+    text = F.when(F.col("c_acctbal") < 0, "{").otherwise(
+        _quoted('{"tasks": [{"task_id": "TASK-P-', key, '", "status": "done", "related_requirements": ["REQ-P-', F.col("c_nationkey"),
+                '", "REQ-P-99"]}, {"task_id": "TASK-P-9999"}, {"task_id": "TASK-P-', key, '1", "title": "', F.col("c_name"), '"}]}')
+    )
+    rows = ledgers.tasks_from(b.table("customer").select(F.col("c_nationkey").alias("project_id"), text.alias("text")))
+    return rows.select("project_id", "task_id", "title", "status", F.array_join("related_requirements", ",").alias("requirements"), "ord")
+
+
+@query
+def claims_from_documents(b: Bound) -> DataFrame:
+    key = F.col("o_orderkey")
+    text = _quoted('[{"claim_id": "CLAIM-P-', key, '", "related_task": "TASK-P-', F.col("o_custkey"), '", "timestamp": "',
+                   F.date_format("o_orderdate", "yyyy-MM-dd"), 'T02:00:00+02:00", "code_refs": ["a.py", "b.py#L', key, '"]}, {"claim_id": "CLAIM-P-9999"}]')
+    rows = ledgers.claims_from(b.table("orders").select(F.lit(1).alias("project_id"), text.alias("text")))
+    return rows.select("claim_id", "related_task", "claimed_ts", F.array_join("code_refs", ",").alias("code_refs"), F.size("test_refs").alias("n_tests"), "ord")
+
+
+def _rule_document(b: Bound) -> DataFrame:
+    key = F.col("c_custkey")
+    text = _quoted(
+        '{"security_rules": [{"rule_id": "S-', key, '", "severity": "must", "related_requirements": ["REQ-P-', F.col("c_nationkey"),
+        '"]}], "quality_gates": [{"gate_id": "G-', key, '", "verification_method": "manual", "note": {"related_requirements": ["REQ-P-77"]}}], ',
+        '"module_boundaries": [{"module_id": "M-', key, '", "owned_files": ["f.py"], "allowed_to_call": []}], ',
+        '"governance_boundary": {"included_patterns": ["src/', F.col("c_mktsegment"), '/**"], "excluded_patterns": []}}')
+    return b.table("customer").select(key.alias("project_id"), text.alias("text"))
+
+
+@query
+def rules_from_documents(b: Bound) -> DataFrame:
+    return ledgers.rules_from(_rule_document(b)).select("project_id", "section", "rule_id", "severity", "verification_method")
+
+
+@query
+def modules_from_documents(b: Bound) -> DataFrame:
+    return ledgers.modules_from(_rule_document(b)).select(
+        "project_id", "module_id", F.array_join("owned_files", ",").alias("files"), F.size("allowed_to_call").alias("n_allowed"),
+        F.col("forbidden_to_call").isNull().alias("no_forbidden_list"),
+    )
+
+
+@query
+def scope_patterns(b: Bound) -> DataFrame:
+    return ledgers.scope_patterns_from(_rule_document(b))
+
+
+@query
+def nested_requirement_links(b: Bound) -> DataFrame:
+    return integrity.nested_requirement_links(_rule_document(b))
+
+
+@query
+def decisions_from_documents(b: Bound) -> DataFrame:
+    """One log per event, wrapped or bare by its type; error events hold broken JSON."""
+    kind = F.col("event_type")
+    entry = _quoted('{"decision_id": ', F.col("event_id"), ', "action": "', kind, '", "targetId": "', F.get_json_object("props", "$.k"), '", "timestamp": "2024-01-01T00:00:00Z"}')
+    text = F.when(kind == "error", F.concat(F.lit("["), entry)).when(kind == "view", _quoted("[", entry, "]")).otherwise(_quoted('{"decisions": [', entry, "]}"))
+    rows = ledgers.decisions_from(b.table("events").select(F.col("user_id").alias("project_id"), text.alias("text")))
+    return rows.select("project_id", "decision_id", "action", "targetId", "timestamp")
+
+
+@query
+def new_decision_ids(b: Bound) -> DataFrame:
+    """Purchases are requests, sign-ups the existing log of each user."""
+    request = b.table("events").filter(F.col("event_type") == "purchase").select(
+        F.col("user_id").alias("project_id"), F.lit("c").alias("category"), F.col("event_id").cast("string").alias("targetId"),
+        F.when(F.col("value") < 50, "accept_risk").alias("action"), F.lit("r").alias("reason"), F.lit("d").alias("decidedBy"),
+        F.col("ts").alias("timestamp"),
+    )
+    log = b.table("events").filter(F.col("event_type") == "signup").select(F.col("user_id").alias("project_id"), F.col("event_id").alias("decision_id"))
+    return ledgers.new_decisions(request, log).select("project_id", "decision_id", "targetId")
+
+
+@query
+def changed_files_from_listings(b: Bound) -> DataFrame:
+    listing = b.table("pages").select(F.col("page_id").alias("project_id"), F.concat(F.lit(" "), F.col("url"), F.lit(" \n\nb.py\r\nb.py")).alias("text"))
+    return ledgers.changed_files(listing)
+
+
+@query
+def drift_findings(b: Bound) -> DataFrame:
+    drift = baseline_drift(b)
+    risks = delta.drift_risks(drift).select("project_id", F.lit("risk").alias("kind"), "severity")
+    gaps = delta.drift_gaps(drift).select("project_id", F.lit("gap").alias("kind"), "severity")
+    logged = b.table("orders").filter(F.col("o_totalprice") > 490000).select(
+        F.col("o_custkey").alias("project_id"), F.lit("docs/architecture_change_log.md").alias("path")
+    )
+    late = delta.undocumented_changes(drift, logged).select("project_id", F.lit("undocumented").alias("kind"), F.lit("must").alias("severity"))
+    return risks.unionByName(gaps).unionByName(late)
+
+
+@query
+def lock_baseline(b: Bound) -> DataFrame:
+    customer = b.table("customer").withColumn("project_id", F.col("c_custkey"))
+    config = customer.filter(F.col("c_nationkey") > 5).select(
+        "project_id", F.when(F.col("c_mktsegment") == "BUILDING", "js").otherwise("py").alias("language"),
+        F.array(F.lit("test"), F.lit("lint")).alias("validation_tools"),
+        F.when(F.col("c_acctbal") > 2000, "h").otherwise("old").alias("architecture_constraints_hash"), F.lit("p").alias("prd_hash"),
+    )
+    proposal = customer.select(
+        "project_id", F.when(F.col("c_mktsegment") == "FURNITURE", "go").otherwise("py").alias("language"),
+        F.array(F.lit("py"), F.lit("js")).alias("tool_languages"), F.array(F.lit("lint"), F.lit("test")).alias("tools"),
+        F.lit("h").alias("rules_hash"), F.when(F.col("c_acctbal") > 9000, "new").otherwise("p").alias("prd_hash"),
+    )
+    late = b.table("orders").filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("project_id"))
+    out = delta.lock_baseline(config, proposal, late)
+    return out.select("project_id", "outcome", "language", "architecture_constraints_hash", "prd_hash")
+
+
+@query
+def edge_modules(b: Bound) -> DataFrame:
+    """Orders import the file of their customer's nation; each nation owns one file, nation 3 is a folder."""
+    nation = F.col("project_id").cast("string")
+    edge = b.order_project.select(
+        F.concat(F.lit("src/app/"), F.when(F.col("o_orderstatus") == "F", "core/").otherwise(""), F.lit("f"), F.substring("o_orderpriority", 1, 1), F.lit(".py")).alias("file_path"),
+        F.when(F.col("project_id") == 3, F.concat(F.lit("app.sub.f"), nation)).when(F.col("project_id") == 4, F.concat(F.lit("lib.f"), nation))
+        .otherwise(F.concat(F.lit("app.f"), nation)).alias("imported_module"),
+        F.col("o_orderkey").alias("lineno"),
+    )
+    module = b.table("nation").filter(F.col("n_nationkey") < 20).select(
+        text_id("M", "n_nationkey").alias("module_id"), F.col("n_name").alias("name"),
+        F.array(F.concat(text_id("f", "n_nationkey"), F.lit(".py"))).alias("owned_files"), F.col("n_nationkey").alias("ord"),
+    )
+    out = compliance.edge_modules(edge, module, package="app", folders={"sub": "MSUB"}, scope=SINGLE)
+    return out.groupBy("from_module", "to_module").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def rule_gate(b: Bound) -> DataFrame:
+    """Gate of rule and coverage findings; projects are brands, three of them have a changed set."""
+    part = b.table("part").withColumn("project_id", F.col("p_brand")).withColumn("ord", F.col("p_partkey"))
+    rule = text_id("RULE-", "p_partkey").alias("rule_id")
+    violation = part.filter((F.col("p_type") == "PROMO") & (F.col("p_size") == 7)).select("project_id", rule, F.lit("bad").alias("message"), "ord")
+    unclear = part.filter((F.col("p_type") == "SMALL") & (F.col("p_size") == 9)).select("project_id", rule, F.lit("why").alias("reason"), "ord")
+    status = part.filter(F.col("p_size") <= 9).select(
+        "project_id", rule, "ord", F.lit("must").alias("severity"),
+        F.when(F.col("p_size") == 7, "violated").when(F.col("p_size") == 9, "unclear").otherwise("compliant").alias("status"),
+    )
+    changed = part.filter(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3")).select("project_id")
+    low = part.filter((F.col("p_size") == 1) & (F.col("p_type") == "LARGE")).select("project_id", module_file("p_partkey").alias("path"), (F.col("p_size") * 1.0).alias("percent_covered"), "ord")
+    found = gate.rule_findings(violation, unclear, status, changed).unionByName(gate.coverage_findings(low))
+    return found.groupBy("project_id", "code", "effect", "change_scope").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def run_metadata(b: Bound) -> DataFrame:
+    project, rows, decision = _gate_parts(b)
+    result = gate.gate_result(project, rows, decision)
+    reasons = gate.gate_reasons(result, rows).select("project_id", "seq", F.col("code").alias("reason"))
+    manifest = project.select("project_id", F.lit("prd").alias("file_key"), F.lit("docs/prd.md").alias("path"), F.lit("ok").alias("status"))
+    out = sinks.run_metadata(result, reasons, manifest, run_id="RUN-1", scan_time=F.lit(AS_OF).cast("timestamp"))
+    return out.select("project_id", "run_id", "scan_time", "gate_decision", "exit_code", "n_reasons", "summary")
+
+
+@query
+def fallback_actions(b: Bound) -> DataFrame:
+    project, rows, decision = _gate_parts(b)
+    result = gate.gate_result(project, rows, decision)
+    reasons = gate.gate_reasons(result, rows).withColumn("reason", F.col("code"))
+    high = b.table("orders").filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("project_id"), F.lit("HIGH").alias("priority"))
+    return findings.reason_actions(result, reasons, high).select("project_id", "type", "detail", "urgency", "ord")
+
+
+@query
+def reusable_results(b: Bound) -> DataFrame:
+    document = b.table("documents")
+    previous = document.join(b.table("labels"), "doc_id").select(
+        text_id("doc/", "doc_id").alias("path"), F.sha2(F.when(F.col("quality") == 1, F.col("text")).otherwise("x"), 256).alias("file_hash"), "toxic"
+    )
+    snapshot = document.select(text_id("doc/", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    return reports.reusable_results(previous, snapshot, scope=SINGLE)

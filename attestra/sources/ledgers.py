@@ -192,7 +192,7 @@ def new_decisions(request: DataFrame, log: DataFrame, *, scope: Sequence[str] =
     """Complete requests with ids continuing each project's log, in time order."""
     complete = request.filter(" and ".join(f"{f} is not null" for f in DECISION_FIELDS))
     last = log.groupBy(*scope).agg(F.max("decision_id").alias("_last"))
-    timed = complete.withColumn("_at", F.coalesce(F.unix_micros("timestamp"), F.lit(0)))
+    timed = complete.withColumn("_at", F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(0)))
     return (
         number_rows(timed, scope=scope, ord="_at", ties=DECISION_FIELDS, name="_n", block=HOUR)
         .join(last, list(scope), "left")

@@ -273,3 +273,12 @@ def claim_test_results(
         )
         .withColumn("num_tests", F.col("n_passed") + F.col("n_failed") + F.col("n_errors"))
     )
+
+
+def reusable_results(previous: DataFrame, file_snapshot: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Earlier test results whose file still has the content it was tested with.
+
+    ``previous``: scope, path, file_hash and the result's columns.
+    """
+    same = file_snapshot.select(*scope, "path", F.col("sha256").alias("file_hash")).distinct()
+    return previous.join(same, [*scope, "path", "file_hash"], "left_semi")
