@@ -108,8 +108,8 @@ def reference_findings(
     """
     claims = completed_claims(claim).select(*scope, "claim_id", "ord")
     external = evidence_ref.filter(F.col("ref") != F.col("claim_id")).select(*scope, "claim_id", "ref", "pos")
-    # A claim without external references keeps one row, with a null reference.
-    seen = claims.join(external, [*scope, "claim_id"], "left").join(
+    alone = claims.join(external.select(*scope, "claim_id").distinct(), [*scope, "claim_id"], "left_anti")
+    seen = external.join(claims, [*scope, "claim_id"]).join(
         reference_keys(evidence, scope=scope), [*scope, "ref"], "left"
     )
 
@@ -120,13 +120,14 @@ def reference_findings(
     statuses = F.array_join(F.array_sort("_statuses"), ", ")
     conflict = F.when(F.size("_statuses") > 1, found("conflicting_statuses", statuses))
     worst = (
-        F.when(F.col("ref").isNull(), found("self_referential_claim"))
-        .when(F.col("_statuses").isNull(), found("non_existent_evidence"))
+        F.when(F.col("_statuses").isNull(), found("non_existent_evidence"))
         .when(F.col("_violated"), found("violated_evidence", F.lit("violated")))
         .when(F.col("_other").isNotNull(), found("unclear_evidence_status", F.col("_other")))
     )
     rows = seen.withColumn("_f", F.explode(F.array_compact(F.array(conflict, worst))))
-    return _finding(rows, scope, F.col("_f.category"), 1, ref=F.col("ref"), detail=F.col("_f.detail"), pos=F.col("pos"))
+    return _finding(alone, scope, "self_referential_claim", 1).unionByName(
+        _finding(rows, scope, F.col("_f.category"), 1, ref=F.col("ref"), detail=F.col("_f.detail"), pos=F.col("pos"))
+    )
 
 
 def task_findings(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -143,7 +143,7 @@ RISK_ORDER = ("step", "pos", "ref", "risk_category", "description")
 
 def number_risks(
     sources: Sequence[DataFrame], *, existing: DataFrame | None = None, prefix: str | Column = "P",
-    scope: Sequence[str] = SCOPE,
+    materialise: Callable[[DataFrame], DataFrame] | None = None, scope: Sequence[str] = SCOPE,
 ) -> DataFrame:
     """Risks of several sources in source order with consecutive ids after the highest existing one.
 
@@ -152,7 +152,7 @@ def number_risks(
     ranked = [rows.withColumn("source_rank", F.lit(i)) for i, rows in enumerate(sources, 1)]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
     ties = [c for c in RISK_ORDER if c in union.columns]
-    rows = number_rows(union, scope=scope, rank="source_rank", ties=ties, name="_seq")
+    rows = number_rows(union, scope=scope, rank="source_rank", ties=ties, name="_seq", materialise=materialise)
     start = F.lit(0)
     if existing is not None:
         last = existing.groupBy(*scope).agg(F.max(id_number(F.col("risk_id"), "RISK", prefix)).alias("_last"))
@@ -303,11 +303,13 @@ def reason_actions(
     return _action(rows, scope, "HIGH", "gate_blocked", "item_id", tx.clip(F.col("reason")), F.lit(80), 6)
 
 
-def rank_actions(action: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
+def rank_actions(
+    action: DataFrame, *, materialise: Callable[[DataFrame], DataFrame] | None = None, scope: Sequence[str] = SCOPE
+) -> DataFrame:
     """Position of every action in its project: most urgent first, then source order."""
     ranked = action.withColumn("_rank", (100 - F.col("urgency")) * 10 + F.col("source_rank"))
     return number_rows(
-        ranked, scope=scope, rank="_rank", ties=["item_id", "detail"], name="position"
+        ranked, scope=scope, rank="_rank", ties=["item_id", "detail"], name="position", materialise=materialise
     ).drop("_rank")
 
 

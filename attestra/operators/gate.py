@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.text import fill
 from attestra.operators.findings import decisions_applied, is_self_referential, lookup, with_decision_flag
-from attestra.operators.impact import tag_current
+from attestra.operators.impact import tag_current, with_change_mode
 from attestra.operators.sequence import SCOPE, number_by_range, number_rows
 
 # Finding code -> (position in the report, text).
@@ -115,8 +115,7 @@ def _whole_project(rows: DataFrame, changed: DataFrame | None, scope: Sequence[s
     """Rule findings relate to no item: ``all`` without a changed set, else ``pre_existing``."""
     if changed is None:
         return rows.withColumn("change_scope", F.lit("all"))
-    projects = changed.select(*scope).distinct().withColumn("_changes", F.lit(True))
-    return rows.join(projects, list(scope), "left").withColumn(
+    return with_change_mode(rows, changed, "_changes", scope=scope).withColumn(
         "change_scope", F.when(F.col("_changes"), "pre_existing").otherwise("all")
     ).drop("_changes")
 

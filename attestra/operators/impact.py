@@ -54,9 +54,11 @@ def _with_membership(rows: DataFrame, members: DataFrame, on: Sequence[str], fla
     return rows.join(marked, list(on), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def _with_change_mode(rows: DataFrame, changed: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """``_changes``: whether the row's project has changed files; without any, everything is analysed."""
-    return _with_membership(rows, changed, scope, "_changes")
+def with_change_mode(rows: DataFrame, changed: DataFrame, name: str, *, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """``name``: whether the row's project has changed files; without any, everything is analysed."""
+    if not scope:
+        return rows.withColumn(name, changed.agg((F.count(F.lit(1)) > 0).alias("any")).scalar())
+    return _with_membership(rows, changed, scope, name)
 
 
 def mark_stale_gaps(
@@ -66,7 +68,7 @@ def mark_stale_gaps(
     rows = _with_membership(gap.drop("stale"), affected, [*scope, "item_type", "item_id"], "_hit")
     tracked = F.col("item_type").isin("claim", "requirement", "ac")
     return (
-        _with_change_mode(rows, changed, scope)
+        with_change_mode(rows, changed, "_changes", scope=scope)
         .withColumn("stale", F.col("_changes") & tracked & ~F.col("_hit"))
         .drop("_hit", "_changes")
     )
@@ -79,7 +81,7 @@ def mark_stale_risks(
     claims = affected.filter(F.col("item_type") == "claim").select(*scope, F.col("item_id").alias("claim_id"))
     rows = _with_membership(risk.drop("stale"), claims, [*scope, "claim_id"], "_hit")
     return (
-        _with_change_mode(rows, changed, scope)
+        with_change_mode(rows, changed, "_changes", scope=scope)
         .withColumn("stale", F.col("_changes") & F.col("claim_id").isNotNull() & ~F.col("_hit"))
         .drop("_hit", "_changes")
     )
@@ -117,6 +119,6 @@ def tag_current(
     hit: Column = reduce(lambda a, b: a | b, [F.col(f) for f in flags], F.lit(False))
     tag = F.when(hit, "current").otherwise("pre_existing")
     if changed is not None:
-        out = _with_change_mode(out, changed, scope)
+        out = with_change_mode(out, changed, "_changes", scope=scope)
         tag = F.when(F.col("_changes"), tag).otherwise("all")
     return out.withColumn(name, tag).drop(*flags, "_changes")

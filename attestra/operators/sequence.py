@@ -22,6 +22,7 @@ def number_rows(
     ties: Sequence[str] = (),
     name: str = "seq",
     block: int = BLOCK,
+    materialise: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """1-based position of each row in its scope, ordered by ``rank``, ``ord``, ``ties``.
 
@@ -29,7 +30,11 @@ def number_rows(
     into blocks of consecutive ``ord`` values; a row's position is its position in its block plus the
     number of rows in earlier blocks. Only block counts are ordered project-wide. ``ord`` must be a
     whole number, and one ``ord`` value may only hold what one source row expands to.
+
+    The input is read twice, for the counts and for the rows; ``materialise`` computes a costly one once.
     """
+    if materialise is not None:
+        df = materialise(df)
     groups = [*([rank] if rank else []), "_block"]
     blocked = df.withColumn("_block", F.expr(f"`{ord}` div {block}"))
     return _number_in_groups(blocked, scope, groups, [ord, *ties], name).drop("_block")

@@ -237,7 +237,7 @@ def run(
     if "drift" in tables:
         risk_sources.append(delta.drift_risks(tables["drift"]))
     sources = [_with_prefix(rows.drop("id_prefix"), tables) for rows in risk_sources]
-    numbered = findings.number_risks(sources, prefix=prefix).drop("id_prefix")
+    numbered = findings.number_risks(sources, prefix=prefix, materialise=materialise).drop("id_prefix")
     risks = materialise(impact.mark_stale_risks(numbered, affected, changed))
 
     # Gaps only the gate sees: changed files without claim, must criteria uncovered through claims.
@@ -270,7 +270,7 @@ def run(
             "ord", F.coalesce("ord", F.lit(0))), changed))
         .unionByName(gate.coverage_findings(low))
     )
-    result = gate.gate_result(project, gate_rows, decision)
+    result = materialise(gate.gate_result(project, gate_rows, decision))
     reasons = gate.gate_reasons(result, gate_rows, by_range=True)
 
     # Actions and flags.
@@ -278,7 +278,7 @@ def run(
     actions = findings.gap_actions(with_urgency).unionByName(
         findings.risk_actions(findings.risk_urgency(risks, affected, cover))
     ).unionByName(findings.violation_actions(violation, rules["rule_status"].withColumn("ord", F.coalesce("ord", F.lit(0)))))
-    actions = actions.unionByName(findings.reason_actions(result, reasons, actions))
+    actions = materialise(actions.unionByName(findings.reason_actions(result, reasons, actions)))
     uncovered = integrity.uncovered_files(
         changed, of_kind["code"].join(tables["claim"].select(*SCOPE, "claim_id", "related_task"), [*SCOPE, "claim_id"])
     )

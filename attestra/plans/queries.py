@@ -13,6 +13,7 @@ from attestra.functions.status import coverage_status, task_evidence_status
 from attestra.operators import claims, compliance, constraints, coverage, delta, findings, gate, health, impact, integrity
 from attestra.operators.sequence import first_per_key, number_rows
 from attestra.plans.bindings import Bound, module_file, priority_of, text_id
+from attestra.session import cut_lineage
 from attestra.sources import documents, ledgers, reports, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,10 +314,7 @@ def _impact_gaps(b: Bound) -> DataFrame:
 
 @query
 def stale_gaps(b: Bound) -> DataFrame:
-    gap = _impact_gaps(b).withColumn("project_id", F.lit(1))
-    affected = _affected(b).withColumn("project_id", F.lit(1))
-    changed = b.changed_file.withColumn("project_id", F.lit(1))
-    marked = impact.mark_stale_gaps(gap, affected, changed)
+    marked = impact.mark_stale_gaps(_impact_gaps(b), _affected(b), b.changed_file, scope=SINGLE)
     return marked.groupBy("item_type", "stale").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -486,7 +484,7 @@ def evidence_index(b: Bound) -> DataFrame:
         F.when(F.col("value") > 10, "coverage").alias("tool_category"),
     )
     carried = delta.carry_over(old, fresh, scope=SINGLE).drop("tool_category")
-    rows = number_rows(fresh.unionByName(carried), rank="source_rank", name="seq")
+    rows = number_rows(fresh.unionByName(carried), rank="source_rank", name="seq", materialise=cut_lineage)
     return rows.select(
         "project_id", ids.numbered_id("EVIDENCE", F.col("project_id").cast("string"), F.col("seq")).alias("evidence_id"),
         "source_type", "source_path", F.array_join("covers", ",").alias("covers"), "status", "carried_over",
@@ -568,7 +566,7 @@ def _gaps(b: Bound) -> DataFrame:
 
 @query
 def risks_from_gaps(b: Bound) -> DataFrame:
-    out = findings.number_risks([findings.gap_risks(_gaps(b), prefix="P")], prefix="P")
+    out = findings.number_risks([findings.gap_risks(_gaps(b), prefix="P")], prefix="P", materialise=cut_lineage)
     return out.select("project_id", "risk_id", "description", "severity", "evidence_id")
 
 
@@ -609,7 +607,7 @@ def _actions(b: Bound) -> DataFrame:
 
 @query
 def urgent_actions(b: Bound) -> DataFrame:
-    return findings.rank_actions(_actions(b)).select("project_id", "position", "priority", "type", "item_id", "urgency")
+    return findings.rank_actions(_actions(b), materialise=cut_lineage).select("project_id", "position", "priority", "type", "item_id", "urgency")
 
 
 @query
@@ -708,11 +706,17 @@ def gate_by_account(b: Bound) -> DataFrame:
     return gate.gate_result(project, rows, decision)
 
 
+def _gate_with_reasons(b: Bound) -> tuple[DataFrame, DataFrame]:
+    """Decisions and reasons; findings and decisions are read several times, so each is computed once."""
+    project, rows, decision = _gate_parts(b)
+    rows = cut_lineage(rows)
+    result = cut_lineage(gate.gate_result(project, rows, decision))
+    return result, gate.gate_reasons(result, rows)
+
+
 @query
 def gate_reasons(b: Bound) -> DataFrame:
-    project, rows, decision = _gate_parts(b)
-    result = gate.gate_result(project, rows, decision)
-    return gate.gate_reasons(result, rows).select("project_id", "seq", "code", "item_id", "effect")
+    return _gate_with_reasons(b)[1].select("project_id", "seq", "code", "item_id", "effect")
 
 
 @query
@@ -1050,10 +1054,7 @@ def coverage_report_scan(b: Bound) -> DataFrame:
 def tool_work_list(b: Bound) -> DataFrame:
     refs = b.file_ref
     present = b.table("part").filter(F.col("p_size") <= 45).select(module_file("p_partkey").alias("path"))
-    one = F.lit(1).alias("project_id")
-    return reports.work_list(
-        refs.select("*", one), present.select("*", one), b.changed_file.select("*", one)
-    ).select("path", "path_type")
+    return reports.work_list(refs, present, b.changed_file, scope=SINGLE).select("path", "path_type")
 
 
 @query
@@ -1275,19 +1276,17 @@ def rule_gate(b: Bound) -> DataFrame:
 
 @query
 def run_metadata(b: Bound) -> DataFrame:
-    project, rows, decision = _gate_parts(b)
-    result = gate.gate_result(project, rows, decision)
-    reasons = gate.gate_reasons(result, rows).select("project_id", "seq", F.col("code").alias("reason"))
-    manifest = project.select("project_id", F.lit("prd").alias("file_key"), F.lit("docs/prd.md").alias("path"), F.lit("ok").alias("status"))
+    result, reasons = _gate_with_reasons(b)
+    reasons = cut_lineage(reasons.select("project_id", "seq", F.col("code").alias("reason")))
+    manifest = result.select("project_id", F.lit("prd").alias("file_key"), F.lit("docs/prd.md").alias("path"), F.lit("ok").alias("status"))
     out = sinks.run_metadata(result, reasons, manifest, run_id="RUN-1", scan_time=F.lit(AS_OF).cast("timestamp"))
     return out.select("project_id", "run_id", "scan_time", "gate_decision", "exit_code", "n_reasons", "summary")
 
 
 @query
 def fallback_actions(b: Bound) -> DataFrame:
-    project, rows, decision = _gate_parts(b)
-    result = gate.gate_result(project, rows, decision)
-    reasons = gate.gate_reasons(result, rows).withColumn("reason", F.col("code"))
+    result, reasons = _gate_with_reasons(b)
+    reasons = reasons.withColumn("reason", F.col("code"))
     high = b.table("orders").filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("project_id"), F.lit("HIGH").alias("priority"))
     return findings.reason_actions(result, reasons, high).select("project_id", "type", "detail", "urgency", "ord")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
 from attestra.functions.status import coverage_status, exit_outcome, outcome_status
+from attestra.operators.impact import with_change_mode
 from attestra.operators.sequence import SCOPE
 from attestra.schemas import COVERAGE_THRESHOLD
 
@@ -186,13 +187,11 @@ def work_list(
         .agg(F.max("path_type").alias("path_type"))
         .join(file_snapshot.select(*scope, "path").distinct(), [*scope, "path"], "left_semi")
     )
-    changes = changed.select(*scope, "path").distinct()
-    projects = changes.select(*scope).distinct().withColumn("_changes", F.lit(True))
-    touched = changes.withColumn("_touched", F.lit(True))
+    touched = changed.select(*scope, "path").distinct().withColumn("_touched", F.lit(True))
     return (
-        files.join(projects, list(scope), "left")
+        with_change_mode(files, changed, "_changes", scope=scope)
         .join(touched, [*scope, "path"], "left")
-        .filter(F.col("_changes").isNull() | F.col("_touched"))
+        .filter(~F.col("_changes") | F.col("_touched"))
         .drop("_changes", "_touched")
     )
 
