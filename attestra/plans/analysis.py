@@ -96,21 +96,26 @@ def _with_prefix(rows: DataFrame, tables: Tables) -> DataFrame:
 
 def check_compliance(
     tables: Tables, *, as_of: Column, package: str, adapter_number: str = "001", folders: Mapping[str, str] | None = None,
+    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> dict[str, DataFrame]:
-    """Rule statuses, violations, unclear and accepted rules of all projects."""
+    """Rule statuses, violations, unclear and accepted rules of all projects.
+
+    Edges with their modules, statuses and classified rules are read several times, so each is computed once.
+    """
     project, prefix = tables["project"], F.col("id_prefix")
     rule, module = tables["rule"], tables["module_boundary"]
-    edge = compliance.edge_modules(tables["import_edge"], module, package=package, folders=folders)
+    edge = materialise(
+        _with_prefix(compliance.edge_modules(tables["import_edge"], module, package=package, folders=folders), tables)
+    )
 
     broken = compliance.boundary_violations(edge, module)
-    owned = _with_prefix(edge, tables)
     adapter = compliance.rule_id("MOD", prefix, adapter_number)
-    runtime = compliance.runtime_imports(owned, adapter_module=adapter)
-    stored = compliance.banned_packages(owned)
+    runtime = compliance.runtime_imports(edge, adapter_module=adapter)
+    stored = compliance.banned_packages(edge)
     external = compliance.external_resources(tables["html_artifact"])
     missing = compliance.missing_inputs(project, tables["manifest"])
 
-    checked = reduce(
+    checked = materialise(reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
         [
             compliance.module_status(module, broken),
@@ -119,14 +124,14 @@ def check_compliance(
             compliance.presence_status(project, stored, rule=compliance.rule_id("STORE", prefix, "001")),
             compliance.presence_status(project, missing, rule=compliance.rule_id("GATE", prefix, "001")),
         ],
-    )
+    ))
     rollup = compliance.must_rollup(project, checked, prefix=prefix)
     drift = tables.get("drift")
     if drift is not None:
         ids = project.select(*SCOPE, compliance.rule_id("GATE", prefix, "014").alias("rule_id"))
         rollup = rollup.unionByName(compliance.drift_status(drift, rule, rule_ids=ids))
-    status = checked.unionByName(rollup, allowMissingColumns=True)
-    classified = compliance.classify_rules(rule, status, as_of=as_of)
+    status = materialise(checked.unionByName(rollup, allowMissingColumns=True))
+    classified = materialise(compliance.classify_rules(rule, status, as_of=as_of))
 
     def found(rows: DataFrame, rule_id: Column, path: Column, message: Column, rank: int, ord: Column) -> DataFrame:
         return rows.select(
@@ -136,7 +141,8 @@ def check_compliance(
 
     line = F.col("lineno")
     none = F.lit(None).cast("string")
-    rolled = rollup.filter(F.col("status") == "violated")
+    gate_rule = F.col("rule_id") == compliance.rule_id("GATE", prefix, "006")
+    rolled = _with_prefix(status.filter(F.col("status") == "violated"), tables).filter(gate_rule)
     violation = reduce(
         DataFrame.unionByName,
         [
@@ -174,8 +180,8 @@ def run(
 
     ``tables``: project (id_prefix, status), requirement, criterion, task, claim, tool_evidence, rule,
     module_boundary, import_edge, html_artifact, manifest, changed_file, scope_pattern, decision; and
-    where a project has them old_evidence, head_claim, drift. The evidence index, the affected items and
-    the findings are used by many branches and are materialised once each.
+    where a project has them old_evidence, head_claim, drift. Every table that several branches read (the
+    evidence index, the affected items, findings, gaps, risks, rule statuses) is materialised once.
     """
     project, decision, changed = tables["project"], tables["decision"], tables["changed_file"]
     evidence = materialise(build_index(tables, materialise=materialise))
@@ -212,7 +218,7 @@ def run(
         direct = modified.select(*SCOPE, F.col("claim_id").alias("item_id"))
 
     # Rules.
-    rules = check_compliance(tables, as_of=as_of, package=package)
+    rules = check_compliance(tables, as_of=as_of, package=package, materialise=materialise)
     violation = number_by_range(
         rules["violations"], order=["rank", "rule_id", "path", "ord", "message"], name="_n", materialise=materialise
     )
@@ -226,7 +232,7 @@ def run(
     ]
     if "drift" in tables:
         gap_sources.append(delta.drift_gaps(tables["drift"]))
-    gaps = impact.mark_stale_gaps(findings.merge_gaps(gap_sources), affected, changed)
+    gaps = materialise(impact.mark_stale_gaps(findings.merge_gaps(gap_sources), affected, changed))
     prefix = F.col("id_prefix")
     risk_sources = [
         findings.enrich_claim_risks(claims.claim_risks(claim_finding)),
