@@ -186,16 +186,16 @@ class Bound:
 
     @cached_property
     def orders_snapshots(self) -> tuple[DataFrame, DataFrame]:
-        """Claims of the last revision and of the staged one."""
-        orders = self.table("orders").select(
-            F.col("o_orderkey").alias("claim_id"), "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-            F.col("o_orderkey").alias("ord"),
-        )
-        head = orders.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"))
-        staged = orders.withColumn(
-            "o_orderstatus", F.when(F.col("claim_id") % 10 == 0, "X").otherwise(F.col("o_orderstatus"))
-        )
-        return head, staged
+        """Claims of the last revision and of the staged one, in which urgent claims were reopened."""
+        def claims(status: Column) -> DataFrame:
+            return self.table("orders").select(
+                F.col("o_orderkey").alias("claim_id"), "o_custkey", status.alias("o_orderstatus"), "o_totalprice", "o_orderdate",
+                F.col("o_orderkey").alias("ord"),
+            )
+
+        before = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
+        reopened = F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("o_orderstatus"))
+        return claims(F.col("o_orderstatus")).filter(before), claims(reopened)
 
     # -- decisions -----------------------------------------------------------------------------------------
 

@@ -108,7 +108,7 @@ _CTES: dict[str, str] = {
             'src/' || l_partkey || '.py' AS path, l_linestatus = 'F' AS has_fragment, l_linenumber AS pos, l_partkey
         FROM lineitem""",
     "staged": """
-        SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+        SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
             o_totalprice, o_orderdate FROM orders""",
     "head": "SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'",
     "dec": """
@@ -343,7 +343,8 @@ _SQL: dict[str, str] = {
             AND NOT (path GLOB '[!0-4]*9.py' OR path GLOB '*/[!0-4]*9.py') AS in_scope FROM globbed""",
     "unclaimed_files": """
         SELECT path FROM changed JOIN globbed USING (path) WHERE in_scope
-            AND path NOT IN (SELECT path FROM fref WHERE NOT has_fragment AND claim_id LIKE '%7')""",
+            AND path NOT IN (
+            SELECT path FROM fref JOIN claim USING (claim_id) WHERE NOT has_fragment AND o_orderdate >= TIMESTAMP '2001-01-01')""",
     "ghost_files": """
         SELECT path FROM changed WHERE path <> 'src/11.py' AND path NOT LIKE 'src/5%' AND path NOT IN (
             SELECT f.path FROM fref f JOIN staged s ON f.claim_id = 'C' || s.o_orderkey
@@ -353,7 +354,7 @@ _SQL: dict[str, str] = {
         SELECT DISTINCT f.path, c.related_task AS task_id, CASE WHEN t.task_id IS NULL THEN 'block' ELSE 'warn' END AS effect
         FROM fref f JOIN changed USING (path) JOIN claim c USING (claim_id) LEFT JOIN tev t ON t.task_id = c.related_task
         LEFT JOIN customer m ON 'K' || m.c_custkey = c.related_task AND m.c_acctbal < -500
-        WHERE f.kind = 'code' AND path LIKE 'src/1%' AND (t.task_id IS NULL OR (m.c_custkey IS NULL AND t.status <> 'covered'))""",
+        WHERE f.kind = 'code' AND (t.task_id IS NULL OR (m.c_custkey IS NULL AND t.status <> 'covered'))""",
     "fresh_refs": """
         WITH a AS (SELECT DISTINCT p_size AS project_id, substr(CAST(p_partkey AS VARCHAR), 1, 1) AS ac_id FROM part WHERE p_size <= 12)
         SELECT project_id, o_orderkey AS task_id, substr(o_orderpriority, 1, 1) AS ac_id,
@@ -588,7 +589,7 @@ _SQL: dict[str, str] = {
             OR (scenario = 'default' AND o_orderstatus = 'P' AND o_totalprice >= 50000) GROUP BY 1""",
     "health_report": """
         WITH i AS (
-            SELECT 'evidence_refs_integrity' AS "check" FROM evref WHERE (ref LIKE 'E%' OR ref LIKE 'S%') AND ref NOT IN (SELECT evidence_id FROM pev)
+            SELECT 'evidence_refs_integrity' AS "check" FROM evref WHERE ref NOT IN (SELECT evidence_id FROM pev)
             UNION ALL SELECT 'file_refs_integrity' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45)
             UNION ALL SELECT 'requirement_mapping' FROM orders WHERE 'K' || o_custkey NOT IN (SELECT task_id FROM tev)
             UNION ALL SELECT 'ac_mapping' FROM orders WHERE substr(o_orderpriority, 3) NOT IN (

@@ -60,7 +60,8 @@ def _readable(tool_run: DataFrame, category: str) -> DataFrame:
 
 
 def _is_json_object(text: Column) -> Column:
-    return F.coalesce(F.ltrim(text).startswith("{") & F.try_parse_json(text).isNotNull(), F.lit(False))
+    # Null for anything but an object; keys are read without building the values.
+    return F.json_object_keys(text).isNotNull()
 
 
 def test_evidence(tool_run: DataFrame, *, prefix: str | Column, scope: Sequence[str] = SCOPE) -> DataFrame:
