@@ -11,7 +11,7 @@ from attestra.functions import ids, scope as sc, text as tx
 from attestra.functions.hashing import with_content_hash
 from attestra.functions.status import coverage_status, task_evidence_status
 from attestra.operators import claims, compliance, constraints, coverage, delta, findings, gate, health, impact, integrity
-from attestra.operators.sequence import first_per_key, number_rows
+from attestra.operators.sequence import number_rows
 from attestra.plans.bindings import Bound, module_file, priority_of, text_id
 from attestra.session import cut_lineage
 from attestra.sources import documents, ledgers, reports, sinks

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from attestra.functions.hashing import with_content_hash
 from attestra.operators import delta, impact
