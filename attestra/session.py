@@ -1,8 +1,9 @@
-"""Session settings the plans are written for, and lineage cutting."""
+"""Session settings the plans are written for, lineage cutting and stored intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,16 +34,39 @@ def local_session(app: str = "attestra", cores: str = "*", shuffle_partitions: i
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recomputation.
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply ``SETTINGS`` to a session that someone else built."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where none is set (a
-    local session) a temporary one is used.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that driver and executors share.
+
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local session that names none
+    gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="attestra-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Smaller than a checkpoint and read by column, for tables that are large or read in part.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
