@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import simhash
+from attestra.llm import bpe, quality, sharding, simhash, urls, warc
 from attestra.llm.rows import read
 
+#: The installed package that holds the public tokenizers' vocabulary files.
+TOKENIZERS = "public_tokenizers"
+URL_RULES = (
+    urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"),
+)
+SHARDS = 16
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -18,7 +27,40 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+def tokenizer_file(name: str) -> str:
+    return import_module(TOKENIZERS).path(name)
+
+
 @query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.fit(urls.labelled_urls(spark))
+    return urls.judge(read(spark, sf_dir, "pages"), model, URL_RULES)
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(read(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.payload_report(warc.read(spark, manifest))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = sharding.regular_tree(SHARDS)
+    placed = sharding.shards(read(spark, sf_dir, "documents"), tree, sharding.grow(tree))
+    return placed.withColumn("law", F.lit("key"))
