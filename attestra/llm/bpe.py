@@ -211,9 +211,9 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text: str
     return rows.mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, ids binary, decoded string")
 
 
-def digests(coded: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def digests(coded: DataFrame, id_column: str = "doc_id", *, keep_ids: bool = False) -> DataFrame:
     """The rows of ``round_trip`` with SHA-256 of the ids and of the decoded text."""
     return coded.select(
         id_column, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []),
     )

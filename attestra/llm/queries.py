@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe, quality, sharding, simhash, urls, warc
-from attestra.llm.rows import read
+from attestra.llm import bpe, decontamination, embeddings, line_templates, quality, sharding, simhash, token_counts, urls, warc
+from attestra.llm.rows import read, tokenizer_file
 
-#: The installed package that holds the public tokenizers' vocabulary files.
-TOKENIZERS = "public_tokenizers"
 URL_RULES = (
     urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
     urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"),
@@ -27,10 +25,6 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
-def tokenizer_file(name: str) -> str:
-    return import_module(TOKENIZERS).path(name)
-
-
 @query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -43,6 +37,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), model, URL_RULES)
 
 
+@query
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
@@ -59,8 +58,34 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontamination.build_index(read(spark, sf_dir, "documents"))
+    found = decontamination.contamination(index, decontamination.search(index, read(spark, sf_dir, "benchmark")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "near_items",
+    )
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.regular_tree(SHARDS)
     placed = sharding.shards(read(spark, sf_dir, "documents"), tree, sharding.grow(tree))
     return placed.withColumn("law", F.lit("key"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.drop_recurring_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Added columns start with this; an input column of the same name is set aside by ``only``.
 ROW = "_row"
 
+#: The installed package that holds the public tokenizers' vocabulary files.
+TOKENIZERS = "public_tokenizers"
+
+
+def tokenizer_file(name: str) -> str:
+    return import_module(TOKENIZERS).path(name)
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -20,12 +27,14 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in columns])
 
 
-def with_row(df: DataFrame, name: str = ROW) -> DataFrame:
-    """A key per row, repeated rows too: its position in the stored table's partitions.
+def with_row(df: DataFrame, name: str | None = None) -> tuple[DataFrame, str]:
+    """A key per row, repeated rows too, and the key's name.
 
-    It is the same each time the same stored table is scanned with the same columns order and splits.
+    It is the row's place in the partitions, so ``df`` must be a stored table: each scan of it then gives the
+    same keys, whichever columns are read, and so does a task that is run again.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    name = name or free_name(df.columns, ROW)
+    return df.withColumn(name, F.monotonically_increasing_id()), name
 
 
 def text_bytes(text: str = "text") -> Column:

@@ -114,7 +114,7 @@ def shards(
         (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    rows = with_shard(with_row(rows), key, tree)
+    rows = with_shard(with_row(rows, "_row")[0], key, tree)
     rows = with_shard(rows, key, grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
     order = ["shard", "id", "_row"]
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

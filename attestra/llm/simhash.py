@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestra.llm.components import components
-from attestra.llm.rows import only, text_bytes
+from attestra.llm.rows import only, text_bytes, with_row
 from attestra.session import cut_lineage
 
 SHINGLE = 3
@@ -149,3 +149,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def hex_digits(fingerprint: Column) -> Column:
     """A signed 64-bit value as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component of near-duplicates, with all its columns: the one with the smallest id.
+
+    Of rows with that id, the first stored one stays; a row without an id stays only if no row of its
+    component has one. ``docs`` must be a stored table (see ``with_row``).
+    """
+    keyed, row = with_row(docs)
+    rows = cut_lineage(keyed.select(
+        F.col(row).alias("row"), F.col(f"`{id_column}`").alias("id"), fingerprint(f"`{text}`").alias("fingerprint")
+    ))
+    roots = fingerprint_components(rows)
+    first = rows.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    kept = (
+        first.join(roots, "fingerprint", "left")
+        .groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("first").alias("first"))
+        .select(F.col("first.row").alias(row))
+    )
+    return keyed.join(cut_lineage(kept), row, "left_semi").drop(row)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from attestra.llm import bpe
-from attestra.llm.queries import tokenizer_file
+from attestra.llm.rows import tokenizer_file
 
 tokenizers = pytest.importorskip("tokenizers")
 PATH = tokenizer_file("byte_bpe_50k.json")
