@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session, once, as its own job would with --py-files."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="attestra-package-"), "attestra")
+        context.addPyFile(shutil.make_archive(archive, "zip", parent, "attestra"))
+        _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate data that driver and executors share.
 
