@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 
@@ -43,17 +42,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_shipped: set[str] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers of a session, once, as its own job would with --py-files."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        archive = os.path.join(tempfile.mkdtemp(prefix="attestra-package-"), "attestra")
-        context.addPyFile(shutil.make_archive(archive, "zip", parent, "attestra"))
-        _shipped.add(context.applicationId)
+    """Let Python workers import this package from where the driver has it.
+
+    Local workers then need no setting. A job on a cluster sends the package along with --py-files.
+    """
+    environment = spark.sparkContext.environment
+    parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if parent not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, parent])
 
 
 def shared_folder(spark: SparkSession) -> str:
