@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.functions.hashing import canonical_json
 from attestra.functions.ids import is_template
 from attestra.functions.text import without_fragment
 from attestra.operators.sequence import SCOPE, first_per_key
 from attestra.schemas import DIFF_ID_KEYS
+from attestra.session import cut_lineage
 
 
 def active_claims(staged: DataFrame, head: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
@@ -39,20 +39,26 @@ def keyed_delta(
     )
 
 
+def _action(in_base: Column, in_current: Column, differ: Column) -> Column:
+    return F.when(~in_base, "add").when(~in_current, "delete").when(differ, "modify")
+
+
 def rule_diff(
-    base: DataFrame, current: DataFrame, *, body: str = "body_hash", scope: Sequence[str] = SCOPE
+    base: DataFrame, current: DataFrame, *, body: str = "body_hash", ord: str = "ord", scope: Sequence[str] = SCOPE
 ) -> DataFrame:
-    """Rules added, modified or deleted between two rule sets: scope, section, rule_id, action, path."""
+    """Rules added, modified or deleted between two rule sets: scope, section, rule_id, action, path.
+
+    A repeated id counts once a side, by its last entry; without an ``ord`` column, by the greatest body.
+    """
     keys = [*scope, "section", "rule_id"]
-    old = base.select(*keys, F.col(body).alias("_old"), F.lit(True).alias("_in_base"))
-    new = current.select(*keys, F.col(body).alias("_new"), F.lit(True).alias("_in_current"))
-    action = (
-        F.when(F.col("_in_base").isNull(), "add")
-        .when(F.col("_in_current").isNull(), "delete")
-        .when(~F.col("_old").eqNullSafe(F.col("_new")), "modify")
-    )
+
+    def side(rules: DataFrame, name: str) -> DataFrame:
+        last = F.max_by(body, ord) if ord in rules.columns else F.max(body)
+        return rules.groupBy(*keys).agg(last.alias(name), F.lit(True).alias(f"{name}_in"))
+
+    action = _action(F.col("_old_in").isNotNull(), F.col("_new_in").isNotNull(), ~F.col("_old").eqNullSafe(F.col("_new")))
     return (
-        old.join(new, keys, "full_outer")
+        side(base, "_old").join(side(current, "_new"), keys, "full_outer")
         .withColumn("action", action)
         .filter(F.col("action").isNotNull())
         .withColumn("path", F.concat_ws(".", "section", "rule_id"))
@@ -60,72 +66,92 @@ def rule_diff(
     )
 
 
-def document_entries(document: DataFrame, *, text: str = "text", depth: int = 6, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """JSON documents flattened to (path, rule_id, value): the units two documents are compared by.
+def document_diff(
+    base: DataFrame, current: DataFrame, *, text: str = "text", scope: Sequence[str] = SCOPE,
+    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> DataFrame:
+    """Structural difference of two versions of a JSON document: scope, path, rule_id, action.
+
+    The two versions are paired first and opened together, as far as both are objects: a key on one side
+    only is one added or deleted entry, whatever is below it. Two lists whose entries, on both sides, are all
+    objects with the same id key are compared by id, the last entry of an id counting. Anything else that
+    differs, in type too, is modified. Order of keys and spacing do not count. A missing or broken
+    document is an empty one.
 
-    Objects open into their keys. A list whose entries all carry one of the id keys opens into its
-    entries; any other list, scalar, or object below ``depth`` levels is one value. Values are
-    canonical JSON, so key order and spacing do not count.
+    Each level of nesting is one pass over the pairs that still differ, until none is open.
     """
-    def child(parent: Column, key: Column, value: Column) -> Column:
-        path = F.when(parent == "", key).otherwise(F.concat_ws(".", parent, key))
-        return F.struct(path.alias("path"), value.alias("value"))
-
-    def opened(entry: Column) -> Column:
-        """An object's children, anything else as it is."""
-        children = F.transform(
-            F.map_entries(F.from_json(entry["value"], "map<string,string>")),
-            lambda e: child(entry["path"], e["key"], e["value"]),
-        )
-        return F.when(entry["value"].rlike(r"^\{.+\}$"), children).otherwise(F.array(entry))
+    one = "_document"
+    keys = [*scope, one]
 
-    # A document is one value, so it is opened in place, level by level.
-    flat = document.select(
-        *scope, F.array(F.struct(F.lit("").alias("path"), canonical_json(F.col(text)).alias("value"))).alias("_e")
-    )
-    for _ in range(depth):
-        flat = flat.withColumn("_e", F.flatten(F.transform("_e", opened)))
-
-    def ids_under(items: Column, key: str) -> Column:
-        """Ids of all entries, where every entry has this key."""
-        found = F.transform(items, lambda item: F.get_json_object(item, f"$.{key}"))
-        return F.when(F.forall(found, lambda i: i.isNotNull()), found)
-
-    def unit(path: Column, rule_id: Column, value: Column) -> Column:
-        return F.struct(path.alias("path"), rule_id.alias("rule_id"), value.alias("value"))
-
-    listed = flat.select(*scope, F.inline("_e")).withColumn(
-        "_items", F.when(F.col("value").startswith("[{"), F.from_json("value", "array<string>"))
-    ).withColumn("_ids", F.coalesce(*[ids_under(F.col("_items"), key) for key in DIFF_ID_KEYS]))
-    pairs = F.arrays_zip(F.col("_ids").alias("id"), F.col("_items").alias("body"))
-    entries = F.transform(
-        pairs, lambda p: unit(F.concat_ws(".", "path", p["id"]), p["id"], canonical_json(p["body"]))
+    def side(document: DataFrame, name: str) -> DataFrame:
+        return document.select(*scope, F.lit(1).alias(one), F.try_parse_json(F.col(text)).alias(name))
+
+    empty = F.parse_json(F.lit("{}"))
+    pair = side(base, "_b").join(side(current, "_c"), keys, "full_outer").select(
+        *scope, F.array().cast("array<string>").alias("_path"), F.coalesce("_b", empty).alias("_b"), F.coalesce("_c", empty).alias("_c")
     )
-    whole = F.array(unit(F.col("path"), F.lit(""), F.col("value")))
-    return listed.select(*scope, F.explode(F.coalesce(entries, whole)).alias("_u")).select(*scope, "_u.*")
+    object_b, object_c = (F.try_variant_get(v, "$", "map<string,variant>") for v in ("_b", "_c"))
+    list_b, list_c = (F.try_variant_get(v, "$", "array<variant>") for v in ("_b", "_c"))
+    differ = F.to_json("_b") != F.to_json("_c")
+    path = F.concat_ws(".", "_path").alias("path")
+    found = None
+    open_pairs = materialise(pair.filter(differ))
+    while not open_pairs.isEmpty():
+        both_objects = object_b.isNotNull() & object_c.isNotNull()
+        both_lists = list_b.isNotNull() & list_c.isNotNull()
+        children = open_pairs.filter(both_objects).select(
+            *scope, "_path", object_b.alias("_b"), object_c.alias("_c"),
+            F.explode(F.array_union(F.map_keys(object_b), F.map_keys(object_c))).alias("_key"),
+        ).select(
+            *scope, F.concat("_path", F.array("_key")).alias("_path"),
+            F.map_contains_key("_b", F.col("_key")).alias("_in_b"), F.map_contains_key("_c", F.col("_key")).alias("_in_c"),
+            F.element_at("_b", F.col("_key")).alias("_b"), F.element_at("_c", F.col("_key")).alias("_c"),
+        )
+        one_sided = children.filter(~(F.col("_in_b") & F.col("_in_c"))).select(
+            *scope, path, F.lit(None).cast("string").alias("rule_id"), F.when(F.col("_in_b"), "delete").otherwise("add").alias("action")
+        )
+        values = open_pairs.filter(~both_objects & ~both_lists).select(
+            *scope, path, F.lit(None).cast("string").alias("rule_id"), F.lit("modify").alias("action")
+        )
+        lists = open_pairs.filter(both_lists).select(*scope, "_path", list_b.alias("_b"), list_c.alias("_c"))
+        for part in (one_sided, values, _list_diff(lists, scope)):
+            found = part if found is None else found.unionByName(part)
+        open_pairs = materialise(children.filter(F.col("_in_b") & F.col("_in_c") & differ).select(*scope, "_path", "_b", "_c"))
+    if found is None:
+        found = open_pairs.select(*scope, path, F.lit(None).cast("string").alias("rule_id"), F.lit("modify").alias("action"))
+    return found
 
 
-def document_diff(base: DataFrame, current: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Structural difference of two versions of a JSON document: scope, path, rule_id, action."""
-    keys = [*scope, "path"]
-    old = document_entries(base, scope=scope).select(
-        *keys, F.col("rule_id").alias("_old_rule"), F.col("value").alias("_old"), F.lit(True).alias("_in_base")
-    )
-    new = document_entries(current, scope=scope).select(
-        *keys, F.col("rule_id").alias("_new_rule"), F.col("value").alias("_new"), F.lit(True).alias("_in_current")
-    )
-    action = (
-        F.when(F.col("_in_base").isNull(), "add")
-        .when(F.col("_in_current").isNull(), "delete")
-        .when(~F.col("_old").eqNullSafe(F.col("_new")), "modify")
-    )
-    return (
-        old.join(new, keys, "full_outer")
-        .withColumn("action", action)
-        .filter(F.col("action").isNotNull())
-        .select(*keys, F.nullif(F.coalesce("_new_rule", "_old_rule"), F.lit("")).alias("rule_id"), "action")
+def _list_diff(lists: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Entries of two different lists by id, or the list as a whole where the entries have no common id key."""
+    both = F.concat("_b", "_c")
+
+    def has(item: Column, key: str) -> Column:
+        return F.coalesce(F.map_contains_key(F.try_variant_get(item, "$", "map<string,variant>"), key), F.lit(False))
+
+    def all_have(key: str) -> Column:
+        return (F.size(both) > 0) & F.forall(both, lambda item: has(item, key))
+
+    named = F.coalesce(*[F.when(all_have(key), F.lit(key)) for key in DIFF_ID_KEYS])
+    keyed = lists.withColumn("_id_key", named)
+    whole = keyed.filter(F.col("_id_key").isNull()).select(
+        *scope, F.concat_ws(".", "_path").alias("path"), F.lit(None).cast("string").alias("rule_id"), F.lit("modify").alias("action")
     )
 
+    def entries(side: str, name: str) -> DataFrame:
+        items = keyed.filter(F.col("_id_key").isNotNull()).select(*scope, "_path", "_id_key", F.posexplode(side).alias("_pos", "_item"))
+        value = F.element_at(F.try_variant_get("_item", "$", "map<string,variant>"), F.col("_id_key"))
+        return items.select(
+            *scope, "_path", F.to_json(value).alias("_id"), F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)).alias("rule_id"),
+            F.struct("_pos", F.to_json("_item").alias("body")).alias(name),
+        )
+
+    rows = entries("_b", "_old").unionByName(entries("_c", "_new"), allowMissingColumns=True)
+    last = rows.groupBy(*scope, "_path", "_id", "rule_id").agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    action = _action(F.col("_old").isNotNull(), F.col("_new").isNotNull(), F.col("_old.body") != F.col("_new.body"))
+    by_id = last.select(*scope, F.concat_ws(".", F.concat("_path", F.array("rule_id"))).alias("path"), "rule_id", action.alias("action"))
+    return whole.unionByName(by_id.filter(F.col("action").isNotNull()))
+
 
 def baseline_drift(
     run_config: DataFrame, manifest: DataFrame, diff: DataFrame | None = None, baseline: DataFrame | None = None, *,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from attestra.functions import text as tx
 from attestra.functions.ids import parent_requirement
 from attestra.functions.scope import is_allowed
 from attestra.operators.sequence import SCOPE
+from attestra.session import cut_lineage
 
 
 def dangling_refs(
@@ -77,40 +78,32 @@ def rule_requirement_links(
     )
 
 
-def nested_requirement_links(document: DataFrame, *, text: str = "text", scope: Sequence[str] = SCOPE) -> DataFrame:
+def nested_requirement_links(
+    document: DataFrame, *, text: str = "text", scope: Sequence[str] = SCOPE,
+    materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> DataFrame:
     """The same from raw rule documents: every ``related_requirements`` list at any depth of the JSON.
 
-    A list is top level where it belongs to an entry of a list directly under the document.
+    A list is top level where it belongs to an entry of a list directly under the document. A broken
+    document has no links. Each level of nesting is one pass over the values that are open at it.
     """
-    field = r'"related_requirements"\s*:\s*\[([^\]]*)\]'
-    sections = F.map_values(F.from_json(F.col(text), "map<string,string>"))
-    entries = F.flatten(
-        F.transform(
-            F.filter(sections, lambda s: s.startswith("[")),
-            lambda s: F.coalesce(F.from_json(s, "array<string>"), F.array().cast("array<string>")),
-        )
-    )
-    direct = F.array_distinct(
-        F.flatten(
-            F.filter(
-                F.transform(entries, lambda e: F.from_json(F.get_json_object(e, "$.related_requirements"), "array<string>")),
-                lambda ids: ids.isNotNull(),
-            )
-        )
-    )
-    everywhere = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.regexp_extract_all(F.col(text), F.lit(field), F.lit(1)),
-                lambda body: F.regexp_extract_all(body, F.lit(r'"([^"]*)"'), F.lit(1)),
-            )
-        )
-    )
-    return (
-        document.select(*scope, direct.alias("_direct"), F.explode(everywhere).alias("req_id"))
-        .withColumn("top_level", F.coalesce(F.array_contains("_direct", F.col("req_id")), F.lit(False)))
-        .drop("_direct")
-    )
+    level = materialise(document.select(*scope, F.try_parse_json(F.col(text)).alias("_v")).filter(F.col("_v").isNotNull()))
+    entries, items = (F.try_variant_get("_v", "$", kind) for kind in ("map<string,variant>", "array<variant>"))
+    # Where a value stands: 0 the document, 1 a list under it, 2 an entry of such a list, -1 anywhere else.
+    level, found = level.withColumn("_at", F.lit(0)), None
+    while not level.isEmpty():
+        ids = F.try_variant_get(F.element_at(entries, "related_requirements"), "$", "array<string>")
+        links = level.select(*scope, F.explode(ids).alias("req_id"), (F.col("_at") == 2).alias("top_level"))
+        found = links if found is None else found.unionByName(links)
+        in_list = level.filter(items.isNotNull()).select(*scope, F.explode(items).alias("_v"), F.when(F.col("_at") == 1, 2).otherwise(-1).alias("_at"))
+        in_object = level.filter(entries.isNotNull()).select(*scope, "_at", F.explode(F.map_values(entries)).alias("_v"))
+        is_list = F.try_variant_get("_v", "$", "array<variant>").isNotNull()
+        in_object = in_object.withColumn("_at", F.when((F.col("_at") == 0) & is_list, 1).otherwise(-1))
+        below = in_list.unionByName(in_object)
+        level = materialise(below.filter(entries.isNotNull() | items.isNotNull()))
+    if found is None:
+        found = level.select(*scope, F.lit(None).cast("string").alias("req_id"), F.lit(False).alias("top_level"))
+    return found.filter(F.col("req_id").isNotNull()).groupBy(*scope, "req_id").agg(F.bool_or("top_level").alias("top_level"))
 
 
 def requirement_rule_mapping(

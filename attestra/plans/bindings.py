@@ -14,6 +14,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.session import configure
+
 
 def text_id(prefix: str, key: str | Column) -> Column:
     return F.concat(F.lit(prefix), (F.col(key) if isinstance(key, str) else key).cast("string"))
@@ -40,7 +42,7 @@ class Bound:
     """Entities over one folder of sample tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = configure(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -703,11 +703,14 @@ _SQL: dict[str, str] = {
         FROM r GROUP BY ALL
         UNION ALL SELECT p_brand, 'coverage_violation', 'block', 'current', count(*) FROM p WHERE p_size = 1 AND p_type = 'LARGE' GROUP BY 1""",
     "run_metadata": """
-        WITH r AS (SELECT g.project_id, code, row_number() OVER (PARTITION BY g.project_id ORDER BY rank, ord) AS seq FROM gfx g JOIN gproj p USING (project_id) WHERE p.status <> 'draft'),
-        j AS (SELECT project_id, count(*) AS n, string_agg(code, '; ' ORDER BY seq) AS s FROM r GROUP BY 1)
+        WITH j AS (SELECT g.project_id, count(*) AS n FROM gfx g JOIN gproj p USING (project_id) WHERE p.status <> 'draft' GROUP BY 1)
         SELECT project_id, 'RUN-1' AS run_id, '2001-02-15T12:00:00.000000Z' AS scan_time, gate_decision, CASE gate_decision WHEN 'blocked' THEN 2 ELSE 0 END AS exit_code,
-            coalesce(j.n, 1) AS n_reasons, CASE WHEN j.n IS NOT NULL THEN j.s WHEN gate_decision = 'pass' THEN 'all_passed' ELSE 'draft' END AS summary
-        FROM gate LEFT JOIN j USING (project_id)""",
+            coalesce(j.n, 1) AS n_reasons FROM gate LEFT JOIN j USING (project_id)""",
+    "run_reasons": """
+        WITH r AS (SELECT g.project_id, code, row_number() OVER (PARTITION BY g.project_id ORDER BY rank, ord) AS seq FROM gfx g JOIN gproj p USING (project_id) WHERE p.status <> 'draft')
+        SELECT project_id, 'RUN-1' AS run_id, seq, code AS reason FROM r
+        UNION ALL SELECT project_id, 'RUN-1', 1, CASE gate_decision WHEN 'pass' THEN 'all_passed' ELSE 'draft' END
+        FROM gate WHERE project_id NOT IN (SELECT project_id FROM r)""",
     "fallback_actions": """
         WITH r AS (SELECT g.project_id, code, row_number() OVER (PARTITION BY g.project_id ORDER BY rank, ord) AS seq FROM gfx g JOIN gproj p USING (project_id) WHERE p.status <> 'draft')
         SELECT project_id, 'gate_blocked' AS type, code AS detail, 80 AS urgency, seq AS ord FROM r JOIN gate USING (project_id)
@@ -718,7 +721,7 @@ _SQL: dict[str, str] = {
     "normalised_refs": r"""
         SELECT page_id, split_part(url, '#', 1) AS without_fragment, regexp_extract(split_part(url, '#', 1), '([^/]*)$', 1) AS base_name,
             CASE WHEN starts_with(url, 'https://m.ththth.example.net/') THEN substr(url, 30) ELSE url END AS relative,
-            substr(url, 1, 20) AS clipped, url AS title FROM pages""",
+            substr(html, 1, 80) AS clipped, url AS title FROM pages""",
 }
 
 

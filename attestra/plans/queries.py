@@ -1095,7 +1095,7 @@ def normalised_refs(b: Bound) -> DataFrame:
     url = F.col("url")
     return b.table("pages").select(
         "page_id", tx.without_fragment(url).alias("without_fragment"), tx.base_name(tx.without_fragment(url)).alias("base_name"),
-        tx.relative_path(url, F.lit("https://m.ththth.example.net/")).alias("relative"), tx.clip(url, 20).alias("clipped"),
+        tx.relative_path(url, F.lit("https://m.ththth.example.net/")).alias("relative"), tx.clip(F.col("html")).alias("clipped"),
         tx.clean_title(F.concat(F.lit(" ：: "), url, F.lit(" :： "))).alias("title"),
     )
 
@@ -1279,7 +1279,13 @@ def run_metadata(b: Bound) -> DataFrame:
     reasons = cut_lineage(reasons.select("project_id", "seq", F.col("code").alias("reason")))
     manifest = result.select("project_id", F.lit("prd").alias("file_key"), F.lit("docs/prd.md").alias("path"), F.lit("ok").alias("status"))
     out = sinks.run_metadata(result, reasons, manifest, run_id="RUN-1", scan_time=F.lit(AS_OF).cast("timestamp"))
-    return out.select("project_id", "run_id", "scan_time", "gate_decision", "exit_code", "n_reasons", "summary")
+    return out.select("project_id", "run_id", "scan_time", "gate_decision", "exit_code", "n_reasons")
+
+
+@query
+def run_reasons(b: Bound) -> DataFrame:
+    _, reasons = _gate_with_reasons(b)
+    return sinks.run_reasons(reasons.select("project_id", "seq", F.col("code").alias("reason")), run_id="RUN-1")
 
 
 @query

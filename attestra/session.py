@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Python workers hold a few batches at a time, and there are as many workers as cores.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
@@ -42,11 +44,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+def prepare(spark: SparkSession) -> None:
+    """``configure``, and let Python workers import this package from where the driver has it.
 
-    Local workers then need no setting. A job on a cluster sends the package along with --py-files.
+    Local workers then need no setting of their own. A job on a cluster sends the package along with --py-files.
     """
+    configure(spark)
     environment = spark.sparkContext.environment
     parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]

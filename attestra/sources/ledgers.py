@@ -123,8 +123,10 @@ def rules_from(document: DataFrame, *, text: str = "text", scope: Sequence[str]
     )
 
     def entries(number: int, section: str) -> Column:
-        """Rules of one section, in document order after those of earlier sections."""
-        start = F.lit(number * 1_000_000)
+        """Rules of one section, in document order after those of the sections before it."""
+        start = F.lit(0)
+        for earlier in RULE_SECTIONS[:number]:
+            start = start + F.coalesce(F.array_size(f"_d.{earlier}"), F.lit(0))
         rows = F.transform(
             F.col(f"_d.{section}"),
             lambda rule, i: F.struct(
@@ -179,6 +181,7 @@ def decisions_from(document: DataFrame, *, text: str = "text", scope: Sequence[s
 
 
 HOUR = 3_600_000_000  # microseconds
+UNTIMED_BLOCKS = 4_096
 DECISION_FIELDS = ("category", "targetId", "action", "reason", "decidedBy")
 
 
@@ -192,7 +195,9 @@ def new_decisions(request: DataFrame, log: DataFrame, *, scope: Sequence[str] =
     """Complete requests with ids continuing each project's log, in time order."""
     complete = request.filter(" and ".join(f"{f} is not null" for f in DECISION_FIELDS))
     last = log.groupBy(*scope).agg(F.max("decision_id").alias("_last"))
-    timed = complete.withColumn("_at", F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(0)))
+    # Requests without a time come first, spread over blocks by their fields.
+    untimed = -F.pmod(F.xxhash64(*DECISION_FIELDS), F.lit(UNTIMED_BLOCKS)) * HOUR - 1
+    timed = complete.withColumn("_at", F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), untimed))
     return (
         number_rows(timed, scope=scope, ord="_at", ties=DECISION_FIELDS, name="_n", block=HOUR)
         .join(last, list(scope), "left")

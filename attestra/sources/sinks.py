@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestra.functions.text import iso_timestamp
 from attestra.operators.constraints import check_rows, evidence_checks
 from attestra.operators.sequence import SCOPE
+from attestra.session import cut_lineage
 
 
 class InvalidIndex(ValueError):
@@ -23,8 +24,9 @@ def run_header(project: DataFrame, *, run_id: str, scan_time: Column, scope: Seq
 def write_evidence_index(evidence: DataFrame, path: str, *, run_id: str, prefix: str) -> None:
     """Validate, then write the index partitioned by project and run.
 
-    Only whether a violation exists reaches the driver.
+    The evidence is materialised, as it is read twice. Only whether a violation exists reaches the driver.
     """
+    evidence = cut_lineage(evidence)
     broken = check_rows(evidence, evidence_checks(prefix), table="evidences", key="evidence_id")
     first = broken.limit(1).collect()
     if first:
@@ -33,9 +35,12 @@ def write_evidence_index(evidence: DataFrame, path: str, *, run_id: str, prefix:
 
 
 def write_section(rows: DataFrame, path: str) -> None:
-    """One report table, partitioned by project and run; partitions of other projects and runs are kept."""
+    """One report table, partitioned by project and run; partitions of other projects and runs are kept.
+
+    Rows are rebalanced on the partition columns: a small project is one file, a large one is split.
+    """
     (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.hint("rebalance", "project_id", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("project_id", "run_id").parquet(path)
     )
 
@@ -53,69 +58,61 @@ def write_report(sections: Mapping[str, DataFrame], path: str, *, run_id: str) -
             write_section(sections[name].withColumn("run_id", F.lit(run_id)), f"{path}/{name}")
 
 
-def report_documents(
-    header: DataFrame, sections: Mapping[str, DataFrame], *, max_rows: int = 10_000, scope: Sequence[str] = SCOPE
-) -> DataFrame:
-    """One JSON document per project for projects whose sections hold at most ``max_rows`` rows each.
+#: About so many rows of a section go into one part of a report document.
+PART_ROWS = 1_000
+
+
+def report_documents(sections: Mapping[str, DataFrame], *, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Sections as JSON lists in numbered parts: scope, section, part, n_parts, document.
 
-    A document is one value on one task, so larger projects get ``document`` null and are read from
-    the section tables, which always hold everything. ``header``: scope and the scalar fields.
+    Every row is in exactly one part, so the parts of a section together are the section, and no task
+    holds a section that is large. Rows fall into parts by their hash; inside a part they are in order.
     """
-    keys = list(scope)
-    out = header
-    oversized: Column = F.lit(False)
+    keys, out = list(scope), None
     for name, rows in sections.items():
         fields = [c for c in rows.columns if c not in keys]
-        n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        small = n.filter(F.col("_n") <= max_rows).select(*keys)
-        packed = (
-            rows.join(small, keys, "left_semi")
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct(*([c for c in ("ord", "seq") if c in fields] + [
-                c for c in fields if c not in ("ord", "seq")])))).alias(name))
+        order = [c for c in ("ord", "seq") if c in fields]
+        n_parts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("n_parts"))
+        entry = F.struct(*order, *[c for c in fields if c not in order]).alias("_entry")
+        parts = (
+            rows.select(*keys, F.xxhash64(F.to_json(F.struct(*fields))).alias("_hash"), entry)
+            .join(n_parts, keys)
+            .groupBy(*keys, "n_parts", F.pmod("_hash", "n_parts").cast("int").alias("part"))
+            .agg(F.to_json(F.array_sort(F.collect_list("_entry"))).alias("document"))
+            .select(*keys, F.lit(name).alias("section"), "part", "n_parts", "document")
         )
-        out = out.join(n.withColumnRenamed("_n", f"_n_{name}"), keys, "left").join(packed, keys, "left")
-        oversized = oversized | F.coalesce(F.col(f"_n_{name}") > max_rows, F.lit(False))
-    body = F.struct(
-        *header.columns,
-        *[F.coalesce(F.col(n), F.array()).alias(n) if n not in header.columns else F.col(n) for n in sections],
-    )
-    return out.select(*keys, F.when(~oversized, F.to_json(body)).alias("document"))
+        out = parts if out is None else out.unionByName(parts)
+    return out
 
 
 def run_metadata(
-    gate: DataFrame, reasons: DataFrame, manifest: DataFrame, *, run_id: str, scan_time: Column,
-    max_summary: int = 1_000, scope: Sequence[str] = SCOPE,
+    gate: DataFrame, reasons: DataFrame, manifest: DataFrame, *, run_id: str, scan_time: Column, scope: Sequence[str] = SCOPE
 ) -> DataFrame:
-    """One row per run: inputs, decision, exit code and the reasons joined by ``"; "``.
+    """One row per run: inputs, decision, exit code and the number of reasons; see ``run_reasons``.
 
-    The summary is one string; a project with more than ``max_summary`` reasons names their number
-    there, and its reasons are read from the reasons table.
+    ``input_files`` is a map, as there are only as many input files as file keys in the configuration.
     """
     keys = list(scope)
     counts = reasons.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_reasons"))
-    short = reasons.join(counts.filter(F.col("n_reasons") <= max_summary).select(*keys), keys, "left_semi")
-    joined = short.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("seq", "reason"))), lambda r: r["reason"]), "; "
-        ).alias("_summary")
-    )
     inputs = manifest.filter(F.col("status") == "ok").groupBy(*keys).agg(
         F.map_from_entries(F.array_sort(F.collect_set(F.struct("file_key", "path")))).alias("input_files")
     )
     return (
         gate.select(*keys, "gate_decision")
-        .join(counts, keys, "left").join(joined, keys, "left").join(inputs, keys, "left")
+        .join(counts, keys, "left").join(inputs, keys, "left")
         .select(
             *keys, F.lit(run_id).alias("run_id"), iso_timestamp(scan_time).alias("scan_time"), "gate_decision",
             F.when(F.col("gate_decision") == "blocked", 2).otherwise(0).alias("exit_code"),
-            F.coalesce("n_reasons", F.lit(0)).alias("n_reasons"),
-            F.coalesce("_summary", F.format_string("%d reasons, see the reasons table", "n_reasons")).alias("summary"),
-            "input_files",
+            F.coalesce("n_reasons", F.lit(0)).alias("n_reasons"), "input_files",
         )
     )
 
 
+def run_reasons(reasons: DataFrame, *, run_id: str, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """The reasons of a run, all of them, in order: scope, run_id, seq, reason."""
+    return reasons.select(*scope, F.lit(run_id).alias("run_id"), "seq", "reason")
+
+
 def archived_claims(claim: DataFrame, commit: DataFrame, *, as_of: Column, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Current claims of the projects in ``commit`` under their commit name.
 

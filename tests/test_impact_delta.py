@@ -76,6 +76,39 @@ def test_document_diff(table):
         ("rules.r3", "r3", "add"), ("gone", None, "delete"), ("new", None, "add")}
 
 
+DIFFERENCES = {
+    "type": ('{"a":"1"}', '{"a":1}', {("a", None, "modify")}),
+    "text that looks like an object": ('{"s":"{\\"k\\":1}"}', '{"s":{"k":1}}', {("s", None, "modify")}),
+    "dot in a key": ('{"a.b":1}', '{"a":{"b":1}}', {("a.b", None, "delete"), ("a", None, "add")}),
+    "empty list": ('{"rules":[]}', '{"rules":[{"rule_id":"R1"}]}', {("rules.R1", "R1", "add")}),
+    "emptied object": ('{"n":{"p":1}}', '{"n":{}}', {("n.p", None, "delete")}),
+    "subtree": ('{}', '{"t":{"u":{"v":1},"w":[1]}}', {("t", None, "add")}),
+    "repeated id": ('{"r":[{"rule_id":"A","x":1},{"rule_id":"A","x":2}]}', '{"r":[{"rule_id":"A","x":2}]}', set()),
+    "other id key": ('{"r":[{"rule_id":"R1"}]}', '{"r":[{"gate_id":"R1"}]}', {("r", None, "modify")}),
+    "deep": ('{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":1,"j":2}}}}}}}}}', '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":1,"j":3}}}}}}}}}', {("a.b.c.d.e.f.g.h.j", None, "modify")}),
+    "id types": ('{"r":[{"rule_id":1}]}', '{"r":[{"rule_id":"1"}]}', {("r.1", "1", "add"), ("r.1", "1", "delete")}),
+    "null": ('{"a":null}', '{"a":null}', set()),
+    "null against nothing": ('{"a":null}', '{}', {("a", None, "delete")}),
+    "list order": ('{"l":[1,2]}', '{"l":[2,1]}', {("l", None, "modify")}),
+    "mixed list": ('{"l":[{"rule_id":"a"},1]}', '{"l":[{"rule_id":"a"},2]}', {("l", None, "modify")}),
+    "not an object": ('[1]', '{"a":1}', {("", None, "modify")}),
+    "broken": ('{"a":', '{"a":1}', {("a", None, "add")}),
+}
+
+
+def test_structural_differences(spark):
+    sides = [spark.createDataFrame([(name, case[i]) for name, case in DIFFERENCES.items()], "project_id string, text string") for i in (0, 1)]
+    found = rows_of(delta.document_diff(*sides), "project_id", "path", "rule_id", "action")
+    assert found == {(name, *row) for name, case in DIFFERENCES.items() for row in case[2]}
+
+
+def test_repeated_rules_do_not_differ(table):
+    schema = "section string, rule_id string, body_hash string, ord bigint"
+    rules = table(schema, [("s", "1", "a", 1), ("s", "1", "b", 2)])
+    assert delta.rule_diff(rules, rules).count() == 0
+    assert rows_of(delta.rule_diff(rules, table(schema, [("s", "1", "a", 5), ("s", "1", "c", 4)])), "action") == {("modify",)}
+
+
 CONFIG = ("architecture_constraints_hash string, prd_hash string, finalize_git_commit string, finalize_constraints_path string, "
           "language string, validation_tools array<string>")
 

@@ -48,6 +48,15 @@ def test_nested_links_from_documents(table):
     assert rows_of(out, "req_id", "top_level") == {("R1", True), ("R2", False), ("R3", False)}
 
 
+def test_nested_links_of_odd_documents(table):
+    texts = [
+        '{"r": [{"related_requirements": ["R]1", "R\\"2"]}]}', '{"r": [{"related_requirements": ["B1"]', '[{"related_requirements": ["L1"]}]',
+        '{"related_requirements": ["T1"], "a": {"b": [{"c": [[{"related_requirements": ["D1"]}]]}]}, "n": null}', '{"r": [{"related_requirements": []}]}',
+    ]
+    out = integrity.nested_requirement_links(table("text string", texts))
+    assert rows_of(out, "req_id", "top_level") == {("R]1", True), ('R"2', True), ("L1", False), ("T1", False), ("D1", False)}
+
+
 def test_unclaimed_and_ghost_files(table):
     changed = table("path string", ["a.py", "b.py", "docs/task_list.json", "output/x"])
     refs = table("ref string", ["a.py", "b.py#L1"])

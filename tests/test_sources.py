@@ -240,17 +240,25 @@ def test_index_and_report_sinks(spark, tmp_path, table):
     manifest = table("file_key string, path string, status string", [("prd", "docs/prd.md", "ok")])
     when = F.lit("2024-01-01").cast("timestamp")
     (meta,) = sinks.run_metadata(gate, reasons, manifest, run_id="R1", scan_time=when).collect()
-    assert (meta.exit_code, meta.summary, meta.input_files, meta.scan_time) == (2, "a; b", {"prd": "docs/prd.md"}, "2024-01-01T00:00:00.000000Z")
-    (meta,) = sinks.run_metadata(gate, reasons, manifest, run_id="R1", scan_time=when, max_summary=1).collect()
-    assert meta.summary == "2 reasons, see the reasons table"
+    assert (meta.exit_code, meta.n_reasons, meta.input_files, meta.scan_time) == (2, 2, {"prd": "docs/prd.md"}, "2024-01-01T00:00:00.000000Z")
+    assert rows_of(sinks.run_reasons(reasons, run_id="R1"), "run_id", "seq", "reason") == {("R1", 1, "a"), ("R1", 2, "b")}
 
     sinks.write_report({"gate": gate, "reasons": reasons}, str(tmp_path / "report"), run_id="R1")
     assert spark.read.parquet(str(tmp_path / "report" / "reasons")).count() == 2
-    (doc,) = sinks.report_documents(gate, {"reasons": reasons, "gaps": table("item_id string", [])}).collect()
-    body = json.loads(doc.document)
-    assert body["gate_decision"] == "blocked" and [r["reason"] for r in body["reasons"]] == ["a", "b"] and body["gaps"] == []
-    (doc,) = sinks.report_documents(gate, {"reasons": reasons}, max_rows=1).collect()
-    assert doc.document is None
+    (doc,) = sinks.report_documents({"reasons": reasons, "gaps": table("item_id string", [])}).collect()
+    assert (doc.section, doc.part, doc.n_parts) == ("reasons", 0, 1) and [r["reason"] for r in json.loads(doc.document)] == ["a", "b"]
+
+
+def test_large_reports_are_complete(spark):
+    reasons = spark.range(20_000).select(F.lit("p").alias("project_id"), F.col("id").alias("seq"), F.concat(F.lit("r"), "id").alias("reason"))
+    parts = sinks.report_documents({"reasons": reasons}).collect()
+    assert {p.n_parts for p in parts} == {20} and len(parts) == 20
+    rows = [r["reason"] for p in parts for r in json.loads(p.document)]
+    assert sorted(rows) == sorted(f"r{i}" for i in range(20_000))
+    gate = spark.createDataFrame([("p", "blocked")], "project_id string, gate_decision string")
+    manifest = spark.createDataFrame([], "project_id string, file_key string, path string, status string")
+    (meta,) = sinks.run_metadata(gate, reasons, manifest, run_id="R1", scan_time=F.lit("2024-01-01").cast("timestamp")).collect()
+    assert meta.n_reasons == 20_000 and sinks.run_reasons(reasons, run_id="R1").count() == 20_000
 
 
 def test_claim_archive_and_upsert(spark, tmp_path, table):
