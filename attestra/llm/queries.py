@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm import bpe, decontamination, embeddings, line_templates, quality, sharding, simhash, token_counts, urls, warc
 from attestra.llm.rows import read, tokenizer_file
-from attestra.session import ship_package
+from attestra.session import prepare
 
 URL_RULES = (
     urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
@@ -23,7 +23,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return build(spark, sf_dir)
 
     REGISTRY[build.__name__] = run

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm import bpe, decontamination, line_templates, quality, simhash
 from attestra.llm.rows import read, tokenizer_file
-from attestra.session import ship_package, stored
+from attestra.session import prepare, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
@@ -27,25 +27,25 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     A document all of whose words are in such lines of others is gone; one that had no words stays.
     """
-    ship_package(spark)
+    prepare(spark)
     return line_templates.keep_new_text(docs).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates."""
-    ship_package(spark)
+    prepare(spark)
     return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
-    ship_package(spark)
+    prepare(spark)
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of the text they decode to."""
-    ship_package(spark)
+    prepare(spark)
     return bpe.digests(bpe.round_trip(docs, tokenizer_file("byte_bpe_50k.json")), keep_ids=True)
 
 
