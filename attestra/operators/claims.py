@@ -13,29 +13,29 @@ from attestra.functions.ids import as_column
 from attestra.functions.status import is_ok
 from attestra.operators.sequence import SCOPE, last_per_key
 
-# Finding category -> (severity, effect on the verdict, message).
+# Finding category -> (severity, effect on the verdict, message). Categories, severities and effects are fixed values.
 FINDINGS = {
     "self_referential_claim": (
-        "must", "self", "Completed claim {claim} has only self-referential or empty evidence."),
+        "must", "self", "Claim {claim} is done on self-referential evidence alone."),
     "conflicting_statuses": (
-        "should", "none", "Claim {claim} references evidence {ref} which has conflicting statuses: {detail}."),
+        "should", "none", "Evidence {ref} of claim {claim} disagrees with itself: {detail}."),
     "violated_evidence": (
-        "must", "failed", "Claim {claim} references evidence {ref} which has status '{detail}'."),
+        "must", "failed", "Evidence {ref} of claim {claim} is '{detail}'."),
     "unclear_evidence_status": (
-        "must", "other", "Claim {claim} references evidence {ref} which has status '{detail}'."),
+        "must", "other", "Evidence {ref} of claim {claim} is '{detail}'."),
     "non_existent_evidence": (
-        "must", "other", "Claim {claim} references non-existent evidence {ref}."),
+        "must", "other", "Evidence {ref} of claim {claim} cannot be found."),
     "task_not_completed": (
         "must", "other",
-        "Claim {claim} is completed but related task {ref} is not completed (status: '{detail}')."),
+        "Claim {claim} is done while its task {ref} is still '{detail}'."),
     "no_test_coverage": (
-        "must", "other", "Claim {claim} is completed but related AC {ref} has no test coverage."),
+        "must", "other", "Claim {claim} is done, yet no test covers criterion {ref}."),
     "failed_tests": (
-        "must", "failed", "Claim {claim} is completed but related AC {ref} has failed tests."),
+        "must", "failed", "Claim {claim} is done, yet tests of criterion {ref} fail."),
     "test_covers_mismatch": (
-        "must", "other", "Claim {claim} is completed but none of its test refs covers AC {ref}."),
+        "must", "other", "The tests that claim {claim} cites do not cover criterion {ref}."),
     "non_existent_task": (
-        "must", "other", "Claim {claim} references non-existent task {ref}."),
+        "must", "other", "Task {ref} of claim {claim} cannot be found."),
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attestra.functions import text as tx
 from attestra.functions.ids import as_column, sentinel_evidence
 from attestra.functions.status import is_stale_acceptance
+from attestra.operators.joins import left_join_known
 from attestra.operators.sequence import SCOPE, first_per_key
 from attestra.schemas import ACCEPTANCE_DAYS, BANNED_PACKAGES, BANNED_RUNTIMES, RULE_SECTIONS
 
@@ -48,12 +49,15 @@ def edge_modules(
             out = F.when(F.array_contains(parts, folder), module).otherwise(out)
         return out
 
-    return (
+    files = (
         edge.withColumn("_file", tx.base_name(F.col("file_path")))
         .withColumn("_stem", F.when(own_import, F.try_element_at(import_parts, F.lit(2))))
         .join(by_file.select(*scope, "_file", F.col("module_id").alias("_fm")), [*scope, "_file"], "left")
-        .join(by_stem.select(*scope, "_stem", F.col("module_id").alias("_im")), [*scope, "_stem"], "left")
-        .withColumn(
+    )
+    # Most imports are from elsewhere and have no stem.
+    both = left_join_known(files, by_stem.select(*scope, "_stem", F.col("module_id").alias("_im")), [*scope, "_stem"], "_stem")
+    return (
+        both.withColumn(
             "from_module",
             F.when(~F.array_contains(path_parts, exempt), F.coalesce(assigned(path_parts), F.col("_fm"))),
         )
@@ -221,7 +225,7 @@ def unclear_rules(classified: DataFrame, *, scope: Sequence[str] = SCOPE) -> Dat
     """Machine-verified rules without a check, as rows the gate counts."""
     return classified.filter(F.col("classification") == "unclear_blocking").select(
         *scope, "rule_id",
-        F.lit("This constraint is not machine-verifiable and requires manual review.").alias("reason"), "ord",
+        F.lit("No check covers this rule; someone has to review it.").alias("reason"), "ord",
     )
 
 

@@ -29,21 +29,21 @@ class Check:
     value: Any = None
 
 
-# What to do about each kind of violation.
+# What to do about each kind of violation.
 HINTS = {
-    "required": "Add the required field: {field}.",
-    "type": "Field '{field}' must be of type '{value}'.",
-    "enum": "Field '{field}' must be one of: {value}.",
-    "pattern": "Field '{field}' must match pattern: {value}.",
-    "min_length": "Field '{field}' must have a minimum length of {value}.",
-    "max_length": "Field '{field}' must have a maximum length of {value}.",
-    "minimum": "Field '{field}' must be >= {value}.",
-    "maximum": "Field '{field}' must be <= {value}.",
-    "min_items": "Field '{field}' must have at least {value} entries.",
-    "additional": "Remove unexpected properties from '{field}'.",
-    "item_enum": "Entries of '{field}' must be one of: {value}.",
-    "item_pattern": "Entries of '{field}' must match pattern: {value}.",
-    "item_required": "Entries of '{field}' need the field: {value}.",
+    "required": "Set '{field}', which has no value.",
+    "type": "Make '{field}' a value of type {value}.",
+    "enum": "Use one of these for '{field}': {value}.",
+    "pattern": "Write '{field}' in the form {value}.",
+    "min_length": "Give '{field}' {value} characters or more.",
+    "max_length": "Shorten '{field}' to {value} characters.",
+    "minimum": "Raise '{field}' to {value} or more.",
+    "maximum": "Lower '{field}' to {value} or less.",
+    "min_items": "List {value} entries or more in '{field}'.",
+    "additional": "Drop the unknown keys of '{field}'.",
+    "item_enum": "Use only these in '{field}': {value}.",
+    "item_pattern": "Write each entry of '{field}' in the form {value}.",
+    "item_required": "Set '{value}' in each entry of '{field}'.",
 }
 
 

@@ -85,7 +85,7 @@ def requirement_gaps(coverage: DataFrame, *, scope: Sequence[str] = SCOPE) -> Da
         *scope,
         F.col("req_id").cast("string").alias("item_id"),
         F.lit("requirement").alias("item_type"),
-        F.format_string("Must requirement %s (%s) has no task coverage.", F.col("req_id"), F.col("title")).alias(
+        F.format_string("No task works on must requirement %s (%s).", F.col("req_id"), F.col("title")).alias(
             "reason"
         ),
         F.col("req_id").cast("string").alias("target_id"),
@@ -100,7 +100,7 @@ def criterion_gaps(coverage: DataFrame, *, scope: Sequence[str] = SCOPE) -> Data
         *scope,
         F.col("ac_id").cast("string").alias("item_id"),
         F.lit("ac").alias("item_type"),
-        F.format_string("Must acceptance criterion %s is missing passing test coverage.", F.col("ac_id")).alias(
+        F.format_string("No passing test covers must criterion %s.", F.col("ac_id")).alias(
             "reason"
         ),
         F.col("ac_id").cast("string").alias("target_id"),

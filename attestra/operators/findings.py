@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
 from attestra.functions.ids import decision_key, id_number, numbered_id, sentinel_evidence
+from attestra.operators.joins import left_join_known
 from attestra.operators.sequence import SCOPE, first_per_key, number_rows, top_per_scope
 
 # What a risk category means and what to do about it.
@@ -172,7 +173,7 @@ def with_decision_flag(
         .distinct()
         .withColumn(flag, F.lit(True))
     )
-    return rows.join(targets, [*scope, target], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return left_join_known(rows, targets, [*scope, target], target).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def decisions_applied(decision: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
@@ -263,13 +264,16 @@ def gap_actions(gap: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
     return _action(rows, scope, "HIGH", "cover_gap", "item_id", F.col("reason"), F.col("urgency"), 1)
 
 
-def is_self_referential(description: Column) -> Column:
-    return F.coalesce(F.contains(description, F.lit("self-referential")), F.lit(False))
+def is_self_referential(risk: DataFrame) -> Column:
+    """By its category where a risk has one; risks from elsewhere by their description."""
+    said = F.contains(F.col("description"), F.lit("self-referential"))
+    by_category = F.col("risk_category") == "self_referential_claim" if "risk_category" in risk.columns else F.lit(None)
+    return F.coalesce(by_category, said, F.lit(False))
 
 
 def risk_actions(risk: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Must and self-referential risks; stale risks that are not deferred, as low-priority debt."""
-    high = risk.filter(F.coalesce(F.col("severity") == "must", F.lit(False)) | is_self_referential(F.col("description")))
+    high = risk.filter(F.coalesce(F.col("severity") == "must", F.lit(False)) | is_self_referential(risk))
     deferred = F.coalesce("deferred", F.lit(False)) if "deferred" in risk.columns else F.lit(False)
     debt = risk.filter(F.coalesce("stale", F.lit(False)) & ~deferred)
     return _action(high, scope, "HIGH", "high_risk", "risk_id", F.col("description"), F.col("urgency"), 2).unionByName(

@@ -89,7 +89,7 @@ def risk_findings(
         return F.coalesce(F.col(name), F.lit("")) if name in risk.columns else F.lit("")
 
     must = F.coalesce(F.col("severity") == "must", F.lit(False)) & ~accepted
-    high = must | is_self_referential(F.col("description")) | accepted
+    high = must | is_self_referential(risk) | accepted
     blocks = high & ~accepted & (F.col("change_scope") != "pre_existing")
     unadvised = blocks & must & ((given("suggested_action") == "") | (given("business_impact") == ""))
     low = (

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import text as tx
+from attestra.operators.joins import left_join_known
 from attestra.operators.sequence import SCOPE
 
 
@@ -50,8 +51,9 @@ def affected_items(
 
 
 def _with_membership(rows: DataFrame, members: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
+    """``flag``: whether ``members`` has the row's key; the last column of ``on`` may be null."""
     marked = members.select(*on).distinct().withColumn(flag, F.lit(True))
-    return rows.join(marked, list(on), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return left_join_known(rows, marked, on, on[-1]).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def with_change_mode(rows: DataFrame, changed: DataFrame, name: str, *, scope: Sequence[str] = SCOPE) -> DataFrame:

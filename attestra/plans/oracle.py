@@ -440,10 +440,10 @@ _SQL: dict[str, str] = {
     "enriched_risks": """
         SELECT category AS risk_category, CASE category WHEN 'conflicting_statuses' THEN 'should' ELSE 'must' END AS severity,
             count(*) AS n, true AS has_impact, max(CASE category
-                WHEN 'self_referential_claim' THEN 'Completed claim ' || claim_id || ' has only self-referential or empty evidence.'
-                WHEN 'conflicting_statuses' THEN 'Claim ' || claim_id || ' references evidence ' || ref || ' which has conflicting statuses: ' || detail || '.'
-                WHEN 'non_existent_evidence' THEN 'Claim ' || claim_id || ' references non-existent evidence ' || ref || '.'
-                ELSE 'Claim ' || claim_id || ' references evidence ' || ref || ' which has status ''' || detail || '''.' END) AS last_description
+                WHEN 'self_referential_claim' THEN 'Claim ' || claim_id || ' is done on self-referential evidence alone.'
+                WHEN 'conflicting_statuses' THEN 'Evidence ' || ref || ' of claim ' || claim_id || ' disagrees with itself: ' || detail || '.'
+                WHEN 'non_existent_evidence' THEN 'Evidence ' || ref || ' of claim ' || claim_id || ' cannot be found.'
+                ELSE 'Evidence ' || ref || ' of claim ' || claim_id || ' is ''' || detail || '''.' END) AS last_description
         FROM refind GROUP BY 1, 2""",
     "urgent_actions": """
         SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY urgency DESC, rank, ord) AS position, priority, type, item_id, urgency

@@ -212,7 +212,7 @@ def skipped_refs(file_ref: DataFrame, *, extensions: Sequence[str] = (".py",), s
     )
     return _evidence(
         rows, scope, source_type=F.lit("tool"), source_path=F.col("path"), status=F.lit("skipped"),
-        skip_reason=F.lit("non-code file, tools not applicable"),
+        skip_reason=F.lit("no_tool_applies"),
     )
 
 

@@ -123,7 +123,7 @@ def test_last_task_row_counts(table):
 def test_messages_gaps_and_risks(table):
     _, _, found = analyse(table, claim(["C1"]), [TASK_OK, TEST_OK])
     (gap,) = cl.claim_gaps(found).collect()
-    assert gap.item_type == "claim" and gap.reason == "Completed claim C1 has only self-referential or empty evidence."
+    assert gap.item_type == "claim" and gap.reason == "Claim C1 is done on self-referential evidence alone."
     (risk,) = cl.claim_risks(found).collect()
     assert (risk.severity, risk.risk_category, risk.claim_id) == ("must", "self_referential_claim", "C1")
 
