@@ -160,30 +160,35 @@ def evidence_for_paths(
 ) -> DataFrame:
     """First evidence whose path equals, ends with, or is the end of each path; else the sentinel.
 
-    A suffix match is an equality with one of the other text's suffixes. Distinct paths on either side
-    are expanded into their suffixes and joined on equality, each key reduced to its first evidence.
+    A suffix match is an equality with one of the other text's suffixes. A text is only expanded into
+    suffixes of the lengths that texts of the other side have in its scope, and suffixes are joined by
+    their 64-bit hash, the texts then being compared.
     """
     norm = F.regexp_replace(F.regexp_replace(F.col("path"), r"\\", "/"), "^/+|/+$", "")
     ev_norm = F.regexp_replace(F.regexp_replace(F.col("source_path"), r"\\", "/"), "^/+|/+$", "")
-
-    def suffixes(column: str) -> Column:
-        return F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length(column)), lambda i: F.substr(F.col(column), i))
+    known = first_per_key(
+        evidence.select(*scope, ev_norm.alias("_text"), "evidence_id", "ord").filter(F.col("_text") != ""),
+        [*scope, "_text"], ["ord", "evidence_id"],
+    ).withColumn("_hash", F.xxhash64("_text"))
+    wanted = path.select(*scope, norm.alias("_norm")).filter(F.col("_norm") != "").distinct().withColumn("_hash", F.xxhash64("_norm"))
+    one = "_one"
+
+    def suffixes(texts: DataFrame, text: str, others: DataFrame, other: str) -> DataFrame:
+        """``texts`` with the hash of each suffix that is as long as some text of the other side."""
+        lengths = others.groupBy(*scope, F.lit(1).alias(one)).agg(F.collect_set(F.length(other)).alias("_lengths"))
+        fitting = F.filter("_lengths", lambda n: n <= F.length(text))
+        return (
+            texts.withColumn(one, F.lit(1)).join(lengths, [*scope, one])
+            .withColumn("_hash", F.explode(F.transform(fitting, lambda n: F.xxhash64(F.substr(F.col(text), F.length(text) - n + 1)))))
+            .drop(one, "_lengths")
         )
 
-    known = first_per_key(
-        evidence.select(*scope, ev_norm.alias("_ev_path"), "evidence_id", "ord").filter(F.col("_ev_path") != ""),
-        [*scope, "_ev_path"], ["ord", "evidence_id"],
-    )
-    wanted = path.select(*scope, norm.alias("_norm")).filter(F.col("_norm") != "").distinct()
+    keys = [*scope, "_hash"]
     # The path ends with the evidence path ...
-    longer = wanted.withColumn("_ev_path", F.explode(suffixes("_norm"))).join(known, [*scope, "_ev_path"])
-    # ... or the evidence path ends with the path.
-    tails = first_per_key(
-        known.select(*scope, F.explode(suffixes("_ev_path")).alias("_norm"), "evidence_id", "ord"),
-        [*scope, "_norm"], ["ord", "evidence_id"],
-    )
-    shorter = wanted.join(tails, [*scope, "_norm"])
+    longer = suffixes(wanted, "_norm", known, "_text").join(known, keys).filter(F.endswith("_norm", F.col("_text")))
+    # ... or the evidence path ends with the path: of the evidence a suffix stands for, the first.
+    tails = suffixes(known, "_text", wanted, "_norm")
+    shorter = tails.join(wanted, keys).filter(F.endswith("_text", F.col("_norm")))
     columns = [*scope, "_norm", "evidence_id", "ord"]
     best = first_per_key(
         longer.select(*columns).unionByName(shorter.select(*columns)), [*scope, "_norm"], ["ord", "evidence_id"]

@@ -170,9 +170,8 @@ _CTES: dict[str, str] = {
         FROM orders o
         LEFT JOIN gdec d ON d.project_id = o.o_custkey AND d.action = 'accept_risk' AND d.target = CAST(o.o_orderkey AS VARCHAR)
         JOIN (VALUES ('high_risk', 4, 'block'), ('low_risk', 11, 'fail')) k(code, rank, effect)
-            ON (k.code = 'high_risk' AND (o.o_orderpriority LIKE '1%' OR d.target IS NOT NULL))
-            OR (k.code = 'low_risk' AND o.o_orderpriority NOT LIKE '1%')
-        WHERE o.o_orderstatus = 'P' AND o.o_totalprice > 490000""",
+            ON (k.code = 'high_risk' AND ((o.o_orderstatus = 'P' AND o.o_totalprice > 490000 AND o.o_orderpriority LIKE '1%') OR d.target IS NOT NULL))
+            OR (k.code = 'low_risk' AND o.o_orderstatus = 'P' AND o.o_totalprice > 490000 AND o.o_orderpriority NOT LIKE '1%')""",
     "gfx": "SELECT *, CASE WHEN resolved THEN 'note' ELSE open_effect END AS effect FROM gfind",
     "gate": """
         SELECT p.project_id,
@@ -243,7 +242,7 @@ _CTES: dict[str, str] = {
             ELSE 'N' || c.c_nationkey || ',S' || c.c_mktsegment END, op.o_orderstatus, 2, op.o_orderkey, false
         FROM op JOIN customer c ON c.c_custkey = op.o_custkey
         UNION ALL SELECT p_size, CASE WHEN p_type = 'ECONOMY' THEN 'test' ELSE 'tool' END, 'src/' || p_partkey || '.py', '',
-            CASE WHEN p_size * 3 >= 80 THEN 'compliant' ELSE 'violated' END, 3, p_partkey, false FROM part WHERE p_size <= 30""",
+            CASE WHEN p_size * 3 >= 80 THEN 'compliant' ELSE 'violated' END, 3, p_partkey, false FROM part""",
     "oldidx": """
         SELECT c.c_nationkey AS project_id, CASE event_type WHEN 'error' THEN 'test' WHEN 'view' THEN 'tool' ELSE 'claim' END AS source_type,
             'src/' || json_extract_string(props, '$.k') || '.py' AS source_path, event_id, value > 10 AS cov
@@ -329,8 +328,7 @@ _SQL: dict[str, str] = {
     "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "mapping_both_ways": """
         WITH r AS (SELECT p_partkey AS id, p_size FROM part WHERE p_size > 5),
-        k AS (SELECT l_partkey AS id, bool_or(l_linestatus = 'F') AS top FROM lineitem
-              WHERE l_returnflag = 'R' AND l_discount >= 0.08 GROUP BY 1)
+        k AS (SELECT l_partkey AS id, bool_or(l_linestatus = 'F' AND l_returnflag = 'R' AND l_discount >= 0.08) AS top FROM lineitem GROUP BY 1)
         SELECT 'dead_link' AS finding, id AS req_id FROM k WHERE id NOT IN (SELECT id FROM r)
         UNION ALL SELECT CASE WHEN p_size <= 20 THEN 'must_uncovered' ELSE 'should_uncovered' END, id FROM r
             WHERE p_size <= 40 AND id NOT IN (SELECT id FROM k WHERE top)""",
@@ -356,10 +354,11 @@ _SQL: dict[str, str] = {
         LEFT JOIN customer m ON 'K' || m.c_custkey = c.related_task AND m.c_acctbal < -500
         WHERE f.kind = 'code' AND (t.task_id IS NULL OR (m.c_custkey IS NULL AND t.status <> 'covered'))""",
     "fresh_refs": """
-        WITH a AS (SELECT DISTINCT p_size AS project_id, substr(CAST(p_partkey AS VARCHAR), 1, 1) AS ac_id FROM part WHERE p_size <= 12)
+        WITH a AS (SELECT DISTINCT p_size AS project_id, CASE WHEN p_size % 4 = 0 THEN '' ELSE 'X' END || substr(CAST(p_partkey AS VARCHAR), 1, 1) AS ac_id
+                   FROM part WHERE p_size % 2 = 0)
         SELECT project_id, o_orderkey AS task_id, substr(o_orderpriority, 1, 1) AS ac_id,
             CASE WHEN project_id IN (SELECT project_id FROM a) THEN 'criterion_not_in_document' ELSE 'document_not_staged' END AS reason
-        FROM op WHERE o_orderdate >= TIMESTAMP '2001-01-01' AND NOT EXISTS (
+        FROM op WHERE NOT EXISTS (
             SELECT 1 FROM a WHERE a.project_id = op.project_id AND a.ac_id = substr(o_orderpriority, 1, 1))""",
     "uncovered_files": """
         SELECT 'src/' || p_partkey || '.py' AS path FROM part
@@ -403,7 +402,7 @@ _SQL: dict[str, str] = {
             CASE WHEN accepted_by IS NULL THEN r.at ELSE accepted_at END AS accepted_at
         FROM rule LEFT JOIN (
             SELECT 'RULE-' || l_partkey AS rule_id, min(l_shipdate) AS at, arg_min('S' || l_suppkey, {'a': l_shipdate, 'b': 'S' || l_suppkey}) AS who
-            FROM lineitem WHERE l_discount >= 0.09 GROUP BY 1) r USING (rule_id) WHERE severity = 'must'""",
+            FROM lineitem GROUP BY 1) r USING (rule_id) WHERE severity = 'must'""",
     "unknown_acceptances": """
         SELECT l_orderkey, 'RULE-' || l_partkey AS rule_id FROM lineitem
         WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)""",
@@ -420,8 +419,8 @@ _SQL: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) = 1""",
     "risk_ids": """
         WITH u AS (
-            SELECT project_id, 'C' || o_orderkey AS target_id, 1 AS rank, o_orderkey AS ord FROM op WHERE o_orderstatus = 'P' AND o_totalprice > 300000
-            UNION ALL SELECT c_nationkey, 'K' || c_custkey, 2, c_custkey FROM customer WHERE c_acctbal < 0),
+            SELECT project_id, 'C' || o_orderkey AS target_id, 1 AS rank, o_orderkey AS ord FROM op
+            UNION ALL SELECT c_nationkey, 'K' || c_custkey, 2, c_custkey FROM customer),
         m AS (SELECT s_nationkey AS project_id, max(s_suppkey) FILTER (s_acctbal >= 0) AS last FROM supplier GROUP BY 1),
         n AS (SELECT u.*, coalesce(m.last, 0) + row_number() OVER (PARTITION BY project_id ORDER BY rank, ord) AS n FROM u LEFT JOIN m USING (project_id))
         SELECT project_id, target_id, 'RISK-P-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS risk_id FROM n""",
@@ -476,7 +475,7 @@ _SQL: dict[str, str] = {
         WHERE position <= 3""",
     "titled_gaps": """
         SELECT l_orderkey, l_partkey AS ac_id, coalesce(p_name, '') AS ac_title FROM lineitem
-        LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10 WHERE l_discount >= 0.1""",
+        LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10""",
     "gate_by_account": "SELECT * FROM gate",
     "gate_reasons": """
         SELECT g.project_id, row_number() OVER (PARTITION BY g.project_id ORDER BY rank, ord) AS seq, code, item_id, effect
@@ -532,8 +531,8 @@ _SQL: dict[str, str] = {
         SELECT c_custkey AS project_id, k AS file_key FROM customer, (VALUES ('prd', 'F'), ('architecture_constraints', 'O'), ('task_list', 'P')) v(k, s)
         WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = s AND o_totalprice > 100000)""",
     "evidence_for_paths": """
-        WITH e AS (SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'src/' || p_partkey || '.py' ELSE 'other/repo/src/' || p_partkey || '.py' END AS p
-                   FROM part WHERE p_size <= 20),
+        WITH e AS (SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'src/' || p_partkey || '.py' WHEN p_size > 20 THEN 'lib/' || p_partkey || '.pyi'
+                ELSE 'other/repo/src/' || p_partkey || '.py' END AS p FROM part),
         c AS (SELECT '/repo/src/' || c_custkey || '.py' AS path, 'repo/src/' || c_custkey || '.py' AS n FROM customer)
         SELECT path, coalesce('E' || min(p_partkey), 'EVIDENCE-P-999') AS evidence_id
         FROM c LEFT JOIN e ON ends_with(n, p) OR ends_with(p, n) GROUP BY 1""",
@@ -695,13 +694,13 @@ _SQL: dict[str, str] = {
         FROM op GROUP BY ALL""",
     "rule_gate": """
         WITH p AS (SELECT *, p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AS ch FROM part),
-        r AS (SELECT p_brand, ch, 'must_rule_violation' AS code, 'block' AS e FROM p WHERE p_type = 'PROMO' AND p_size = 7
-            UNION ALL SELECT p_brand, ch, 'rule_status_violated', 'block' FROM p WHERE p_type <> 'PROMO' AND p_size = 7
-            UNION ALL SELECT p_brand, ch, 'unclear_rule', 'fail' FROM p WHERE p_type = 'SMALL' AND p_size = 9
-            UNION ALL SELECT p_brand, ch, 'rule_status_unclear', 'fail' FROM p WHERE p_size = 9)
+        r AS (SELECT p_brand, ch, 'must_rule_violation' AS code, 'block' AS e FROM p WHERE p_type = 'PROMO'
+            UNION ALL SELECT p_brand, ch, 'rule_status_violated', 'block' FROM p WHERE p_type <> 'PROMO' AND p_size % 5 = 2
+            UNION ALL SELECT p_brand, ch, 'unclear_rule', 'fail' FROM p WHERE p_type = 'SMALL'
+            UNION ALL SELECT p_brand, ch, 'rule_status_unclear', 'fail' FROM p WHERE p_size % 5 = 4)
         SELECT p_brand AS project_id, code, CASE WHEN ch THEN 'note' ELSE e END AS effect, CASE WHEN ch THEN 'pre_existing' ELSE 'all' END AS change_scope, count(*) AS n
         FROM r GROUP BY ALL
-        UNION ALL SELECT p_brand, 'coverage_violation', 'block', 'current', count(*) FROM p WHERE p_size = 1 AND p_type = 'LARGE' GROUP BY 1""",
+        UNION ALL SELECT p_brand, 'coverage_violation', 'block', 'current', count(*) FROM p WHERE p_type = 'LARGE' GROUP BY 1""",
     "run_metadata": """
         WITH j AS (SELECT g.project_id, count(*) AS n FROM gfx g JOIN gproj p USING (project_id) WHERE p.status <> 'draft' GROUP BY 1)
         SELECT project_id, 'RUN-1' AS run_id, '2001-02-15T12:00:00.000000Z' AS scan_time, gate_decision, CASE gate_decision WHEN 'blocked' THEN 2 ELSE 0 END AS exit_code,
