@@ -14,6 +14,7 @@ from attestra.functions.status import task_evidence_status
 from attestra.operators import claims, compliance, coverage, delta, findings, gate, impact, integrity
 from attestra.operators.sequence import SCOPE, number_by_range, number_rows
 from attestra.session import cut_lineage
+from attestra.sources import reports
 
 Tables = Mapping[str, DataFrame]
 
@@ -71,10 +72,16 @@ def build_index(
     tables: Tables, *, task_path: str = "docs/task_list.json", claim_path: str = "claims/current.json",
     materialise: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> DataFrame:
-    """The evidence index: fresh rows, test and coverage rows carried over, consecutive ids per project."""
+    """The evidence index: fresh rows, test and coverage rows carried over, consecutive ids per project.
+
+    With file_snapshot and last_scan beside old_evidence, the task and claim rows of a ledger file that has not
+    changed since the last scan are taken from the old index.
+    """
     rows = fresh_evidence(
         tables["task"], tables["claim"], tables["tool_evidence"], task_path=task_path, claim_path=claim_path
     )
+    if {"old_evidence", "file_snapshot", "last_scan"} <= tables.keys():
+        rows = _with_reuse(rows, tables)
     # Read three times below: for the carried-over keys, the block counts and the rows themselves.
     rows = materialise(rows)
     if "old_evidence" in tables:
@@ -90,6 +97,16 @@ def build_index(
     )
 
 
+def _with_reuse(rows: DataFrame, tables: Tables) -> DataFrame:
+    """``rows`` with the old task and claim rows in place of those from unchanged ledger files."""
+    from_ledger = F.col("source_type").isin("task", "claim")
+    rank = F.when(F.col("source_type") == "task", 1).otherwise(2)
+    old = _index_rows(tables["old_evidence"].filter(from_ledger), 0).withColumn("source_rank", rank)
+    old = old.withColumn("carried_over", F.coalesce("carried_over", F.lit(False)))
+    ledger = delta.reuse_or_regenerate(rows.filter(from_ledger), old, tables["file_snapshot"], tables["last_scan"])
+    return ledger.unionByName(rows.filter(~from_ledger))
+
+
 def _with_prefix(rows: DataFrame, tables: Tables) -> DataFrame:
     return rows.join(tables["project"].select(*SCOPE, "id_prefix"), list(SCOPE))
 
@@ -180,8 +197,9 @@ def run(
 
     ``tables``: project (id_prefix, status), requirement, criterion, task, claim, tool_evidence, rule,
     module_boundary, import_edge, html_artifact, manifest, changed_file, scope_pattern, decision; and
-    where a project has them old_evidence, head_claim, drift. Every table that several branches read (the
-    evidence index, the affected items, findings, gaps, risks, rule statuses) is materialised once.
+    where a project has them old_evidence, head_claim, drift, file_snapshot, last_scan, test_run. Every table that
+    several branches read (the evidence index, the affected items, findings, gaps, risks, rule statuses) is materialised once.
+    ``claim_tests``, the results of the test files that claims cite, is there with test_run and file_snapshot.
     """
     project, decision, changed = tables["project"], tables["decision"], tables["changed_file"]
     evidence = materialise(build_index(tables, materialise=materialise))
@@ -295,7 +313,10 @@ def run(
     files = evidence.filter(F.col("tool_category") == "coverage").select(
         *SCOPE, F.col("source_path").alias("path"), "percent_covered", "num_statements"
     )
-    return {
+    claim_tests = {}
+    if {"test_run", "file_snapshot"} <= tables.keys():
+        claim_tests["claim_tests"] = reports.claim_test_results(of_kind["test"], tables["test_run"], tables["file_snapshot"])
+    return claim_tests | {
         "evidence": evidence,
         "requirement_coverage": requirement.select(*SCOPE, "req_id", "status", "n_evidence", "ord"),
         "criterion_coverage": criterion.select(*SCOPE, "ac_id", "status", "n_evidence", "ord"),

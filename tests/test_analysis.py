@@ -156,3 +156,24 @@ def test_integrity_gates(spark, tables):
     assert gates["reverse_coverage"].count() == 0
     assert rows_of(gates["criterion_freshness"], "project_id", "ac_id", "reason") == {("good", "AC-P-1-1", "criterion_not_in_document")}
     assert rows_of(gates["mapping"], "finding") == {("must_uncovered",)}
+
+
+def test_unchanged_ledgers_are_reused_and_claim_tests_reported(spark, tables):
+    old = spark.createDataFrame(
+        [(p, "task", "docs/task_list.json", ["AC-P-1-1"], "partial", "TASK-OLD", 1) for p in ("good", "selfish")]
+        + [("good", "claim", "claims/current.json", [], "covered", None, 2)],
+        "project_id string, source_type string, source_path string, covers array<string>, status string, task_id string, ord bigint",
+    ).withColumn("tool_category", F.lit(None).cast("string"))
+    before, after = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 2)
+    snapshot = spark.createDataFrame(
+        [("good", "docs/task_list.json", before), ("good", "claims/current.json", after), ("selfish", "docs/task_list.json", after), ("good", "tests/a.py", before)],
+        "project_id string, path string, modified_at timestamp")
+    scan = spark.createDataFrame([(p, dt.datetime(2024, 2, 1)) for p in PROJECTS], "project_id string, scan_time timestamp")
+    runs = spark.createDataFrame([("good", "tests/a.py", 0, "3 passed", False)], "project_id string, path string, exit_code int, stdout string, timed_out boolean")
+    more = {**tables, "old_evidence": old, "file_snapshot": snapshot, "last_scan": scan, "test_run": runs}
+    index = analysis.build_index(more)
+    assert rows_of(index.filter("source_type = 'task'"), "project_id", "task_id") == {
+        ("good", "TASK-OLD"), *((p, "TASK-P-1") for p in PROJECTS if p != "good")}
+    assert index.filter("source_type = 'claim' and claim_id = 'CLAIM-P-1'").count() == len(PROJECTS)
+    results = analysis.run(more, as_of=F.lit(AS_OF).cast("timestamp"), package="app")["claim_tests"]
+    assert rows_of(results, "project_id", "status", "n_passed") == {("good", "passed", 3), *((p, "file_not_found", 0) for p in PROJECTS if p != "good")}
