@@ -721,6 +721,75 @@ _SQL: dict[str, str] = {
         SELECT page_id, split_part(url, '#', 1) AS without_fragment, regexp_extract(split_part(url, '#', 1), '([^/]*)$', 1) AS base_name,
             CASE WHEN starts_with(url, 'https://m.ththth.example.net/') THEN substr(url, 30) ELSE url END AS relative,
             substr(html, 1, 80) AS clipped, url AS title FROM pages""",
+    "skipped_refs": """
+        SELECT DISTINCT p_brand AS project_id, 'doc/f' || (p_partkey % 40) || '.md' AS source_path, 'skipped' AS status, 'no_tool_applies' AS skip_reason
+        FROM part WHERE p_size % 3 = 0""",
+    "active_gaps": """
+        SELECT project_id, o_orderkey AS item_id FROM op WHERE o_orderstatus = 'P' OR NOT starts_with(o_orderpriority, '1')""",
+    "file_hashes": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "sentences_and_hints": """
+        SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '。' || p_type || '。' ELSE p_name END AS sentence,
+            CASE WHEN p_size % 4 = 2 THEN p_type WHEN p_size % 2 = 0 THEN p_name WHEN p_size % 4 = 3 THEN p_brand ELSE '' END AS hint
+        FROM part""",
+    "presence_status": """
+        SELECT c_custkey AS project_id, 'DEP-' || c_custkey AS rule_id,
+            CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'violated' ELSE 'compliant' END AS status, 'must' AS severity
+        FROM customer""",
+    "artifact_status": """
+        WITH p AS (SELECT page_id % 20 AS project_id, bool_or(page_id % 11 = 0) AS bad FROM pages GROUP BY 1)
+        SELECT n_nationkey::BIGINT AS project_id, 'DEP-002' AS rule_id, CASE WHEN bad IS NULL THEN 'unclear' WHEN bad THEN 'violated' ELSE 'compliant' END AS status
+        FROM nation LEFT JOIN p ON p.project_id = n_nationkey""",
+    "external_links": r"""
+        SELECT page_id, len(u) AS n_urls, array_to_string(u, ' ') AS urls FROM (
+            SELECT page_id, regexp_extract_all(html || CASE WHEN page_id % 2 = 0 THEN '<a HREF=''https://e.example/' || page_id || '''>x</a>' ELSE '' END,
+                '(?i)(?:href|src)\s*=\s*["''](?:https?:)?//[^"'']+["'']') AS u FROM pages)""",
+    "drift_status": """
+        SELECT c_custkey AS project_id, 'GATE-' || c_nationkey AS rule_id, CASE WHEN c_acctbal < 0 THEN 'unclear' ELSE 'compliant' END AS status,
+            CASE WHEN c_acctbal < 0 THEN 'should' ELSE 'must' END AS severity
+        FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 25 = c_nationkey)""",
+    "unclear_rules": """
+        SELECT project_id, rule_id, CAST(substr(rule_id, 6) AS BIGINT) AS ord FROM rule
+        WHERE severity = 'must' AND section <> 'other_section' AND method <> 'manual' AND rule_id NOT IN (
+            SELECT 'RULE-' || l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.1)""",
+    "classified_status": """
+        SELECT project_id, rule_id, 'unclear' AS status, 'must' AS severity, p_name AS title
+        FROM rule JOIN (SELECT p_partkey, p_name FROM part) ON rule_id = 'RULE-' || p_partkey
+        WHERE severity = 'must' AND section <> 'other_section' AND NOT (method = 'manual' AND accepted_by IS NOT NULL) AND rule_id NOT IN (
+            SELECT 'RULE-' || l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.1)""",
+    "unclear_rule_risks": """
+        SELECT project_id, rule_id AS target_id, 'should' AS severity, 'EVIDENCE-P-999' AS evidence_id, 'low_confidence' AS confidence, 'suggestion' AS type
+        FROM rule WHERE severity = 'must' AND section <> 'other_section' AND method <> 'manual' AND rule_id NOT IN (
+            SELECT 'RULE-' || l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.1)""",
+    "violation_actions": """
+        SELECT CASE WHEN s_acctbal < 4000 THEN s_nationkey ELSE -s_nationkey - 1 END AS project_id, 'fix_violation' AS type, 'RULE-' || s_suppkey AS item_id,
+            s_name AS detail, 90 AS urgency FROM supplier
+        UNION ALL SELECT s_nationkey, 'arch_status_violation', 'RULE-' || s_suppkey, NULL, 90 FROM supplier
+        WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 AND s_acctbal >= 4000""",
+    "uncovered_task_criteria": """
+        WITH res AS (SELECT s_nationkey AS project_id, 't' || (s_suppkey % 100) AS path, max_by(s_acctbal < 3000, s_suppkey) AS good FROM supplier GROUP BY 1, 2),
+        k AS (SELECT op.project_id, op.o_custkey, bool_or(coalesce(res.good, false)) AS passing FROM op
+              LEFT JOIN res ON res.project_id = op.project_id AND res.path = 't' || (op.o_orderkey % 100) GROUP BY 1, 2)
+        SELECT c_nationkey AS project_id, 'K' || c_custkey AS task_id, ac AS ac_id, CASE WHEN k.o_custkey IS NULL THEN 'no_claim_for_task'
+                ELSE 'test_failed' END AS reason
+        FROM customer LEFT JOIN k ON k.o_custkey = c_custkey, LATERAL (SELECT unnest(['AC-' || (c_custkey % 50), 'AC-0']) AS ac)
+        WHERE c_acctbal > 0 AND (k.o_custkey IS NULL OR (c_nationkey IN (SELECT s_nationkey FROM supplier) AND NOT k.passing))""",
+    "row_validity": """
+        WITH p AS (SELECT project_id, 'T' || (o_orderkey % 400) AS task_id, count(*) AS n FROM op GROUP BY 1, 2)
+        SELECT c_nationkey AS project_id, 'T' || (c_custkey % 200) AS task_id, c_custkey, coalesce(n, 0) AS n_problems, n IS NULL AS is_valid
+        FROM customer LEFT JOIN p ON p.project_id = c_nationkey AND p.task_id = 'T' || (c_custkey % 200)""",
+    "head_snapshot": "SELECT project_id, o_orderkey, o_orderstatus FROM op WHERE o_orderkey % 3 = 0",
+    "written_index": """
+        SELECT c_nationkey AS project_id, 'RUN-7' AS run_id, 'EVIDENCE-P-' || c_custkey AS evidence_id, CASE WHEN c_acctbal < 0 THEN 'missing' ELSE 'covered' END AS status,
+            c_mktsegment AS covers FROM customer""",
+    "report_parts": "SELECT project_id, 'orders' AS section, o_orderkey AS ord, o_orderstatus FROM op",
+    "claim_archive": """
+        SELECT project_id, o_orderkey AS claim_id, CASE WHEN project_id % 2 = 0 THEN 'commit-' || CASE project_id WHEN 4 THEN '20010215120000' ELSE 'c' || project_id END END AS commit_id
+        FROM op""",
+    "structural_differences": """
+        SELECT c_custkey AS project_id, replace(path, '$', CAST(c_custkey AS VARCHAR)) AS path,
+            CASE WHEN k = 3 THEN 'R' || c_custkey END AS rule_id, action
+        FROM customer JOIN (VALUES (0, 'a', 'modify'), (1, 's', 'modify'), (2, 'a.b', 'delete'), (2, 'a', 'add'), (3, 'rules.R$', 'add'),
+            (4, 'n.p', 'delete'), (5, 't', 'add'), (7, 'r', 'modify'), (8, 'a.b.c.d.e.f.g.h', 'modify')) v(k, path, action) ON k = c_custkey % 10""",
 }
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import ids, scope as sc, text as tx
-from attestra.functions.hashing import with_content_hash
+from attestra.functions.hashing import file_hash, with_content_hash
 from attestra.functions.status import coverage_status, task_evidence_status
 from attestra.operators import claims, compliance, constraints, coverage, delta, findings, gate, health, impact, integrity
 from attestra.operators.sequence import number_rows
 from attestra.plans.bindings import Bound, module_file, priority_of, text_id
-from attestra.session import cut_lineage
+from attestra.session import cut_lineage, shared_folder
 from attestra.sources import documents, ledgers, reports, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1313,3 +1314,190 @@ def reusable_results(b: Bound) -> DataFrame:
     )
     snapshot = document.select(text_id("doc/", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
     return reports.reusable_results(previous, snapshot, scope=SINGLE)
+
+
+# --- operators that the queries above do not reach ------------------------------------------------
+
+
+@query
+def skipped_refs(b: Bound) -> DataFrame:
+    """References of brands to documents, sources and files without an extension."""
+    size = F.col("p_size")
+    end = F.when(size % 3 == 0, ".md").when(size % 3 == 1, ".py").otherwise("")
+    refs = b.table("part").select(F.col("p_brand").alias("project_id"), F.concat(F.lit("doc/f"), (F.col("p_partkey") % 40).cast("string"), end, F.lit("#L3")).alias("ref"))
+    return reports.skipped_refs(refs).select("project_id", "source_path", "status", "skip_reason")
+
+
+@query
+def active_gaps(b: Bound) -> DataFrame:
+    late = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority").startswith("1"))
+    return impact.active(b.order_project.withColumn("stale", late)).select("project_id", F.col("o_orderkey").alias("item_id"))
+
+
+@query
+def file_hashes(b: Bound) -> DataFrame:
+    return b.table("documents").select("doc_id", file_hash(F.col("text")).alias("sha256"))
+
+
+@query
+def sentences_and_hints(b: Bound) -> DataFrame:
+    text = F.concat(F.when(F.col("p_size") % 7 == 0, F.lit("")).otherwise(F.col("p_name")), F.lit("。"), F.col("p_type"), F.lit("。"))
+    hints = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("level1"), F.col("p_name"), F.lit("level2"), F.col("p_type"))).otherwise(
+        F.create_map(F.lit("level3"), F.col("p_brand")))
+    level = F.concat(F.lit("level"), (F.col("p_size") % 4).cast("string"))
+    return b.table("part").select("p_partkey", tx.first_sentence(text).alias("sentence"), tx.hint_level(hints, level).alias("hint"))
+
+
+@query
+def presence_status(b: Bound) -> DataFrame:
+    project = b.table("customer").select(F.col("c_custkey").alias("project_id"))
+    violation = b.table("orders").select(F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")).otherwise(-F.col("o_custkey")).alias("project_id"))
+    return compliance.presence_status(project, violation, rule=F.concat(F.lit("DEP-"), F.col("project_id").cast("string")))
+
+
+@query
+def artifact_status(b: Bound) -> DataFrame:
+    """Pages by language as a project's artefacts, with links of the operator's own kind planted in some."""
+    project = b.table("nation").select(F.col("n_nationkey").cast("bigint").alias("project_id"))
+    link = F.when(F.col("page_id") % 11 == 0, F.lit('<script SRC = "//cdn.example/x.js"></script>')).otherwise(F.lit(""))
+    artifact = b.table("pages").select((F.col("page_id") % 20).alias("project_id"), F.concat(F.regexp_replace("html", "//", ""), link).alias("html"))
+    found = compliance.external_resources(artifact)
+    return compliance.artifact_status(project, found, rule=F.lit("DEP-002")).select("project_id", "rule_id", "status")
+
+
+@query
+def external_links(b: Bound) -> DataFrame:
+    """The operator's own pattern over whole pages, an absolute link added to every other one."""
+    link = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<a HREF='https://e.example/"), F.col("page_id").cast("string"), F.lit("'>x</a>"))).otherwise(F.lit(""))
+    out = compliance.external_resources(b.table("pages").withColumn("html", F.concat("html", link)))
+    return out.select("page_id", F.col("n_urls").cast("bigint").alias("n_urls"), F.array_join("urls", " ").alias("urls"))
+
+
+@query
+def drift_status(b: Bound) -> DataFrame:
+    customer = b.table("customer")
+    drift = customer.select(F.col("c_custkey").alias("project_id"), F.when(F.col("c_acctbal") < 0, "changed").otherwise("none").alias("drift"))
+    ids = customer.select(F.col("c_custkey").alias("project_id"), F.concat(F.lit("GATE-"), F.col("c_nationkey").cast("string")).alias("rule_id"))
+    rule = b.table("orders").select(F.col("o_custkey").alias("project_id"), F.concat(F.lit("GATE-"), (F.col("o_orderkey") % 25).cast("string")).alias("rule_id"))
+    return compliance.drift_status(drift, rule, rule_ids=ids)
+
+
+@query
+def unclear_rules(b: Bound) -> DataFrame:
+    return compliance.unclear_rules(_classified(b)).select("project_id", "rule_id", "ord")
+
+
+@query
+def classified_status(b: Bound) -> DataFrame:
+    return compliance.classified_status(_classified(b)).select("project_id", "rule_id", "status", "severity", "title")
+
+
+@query
+def unclear_rule_risks(b: Bound) -> DataFrame:
+    out = findings.unclear_rule_risks(compliance.unclear_rules(_classified(b)), prefix="P")
+    return out.select("project_id", "target_id", "severity", "evidence_id", "confidence", "type")
+
+
+@query
+def violation_actions(b: Bound) -> DataFrame:
+    """Violations of a supplier's rules per nation; rules that are violated without one."""
+    rule = text_id("RULE-", "s_suppkey").alias("rule_id")
+    supplier = b.table("supplier")
+    broken = supplier.select(
+        F.when(F.col("s_acctbal") < 4000, F.col("s_nationkey")).otherwise(-F.col("s_nationkey") - 1).alias("project_id"), rule,
+        F.col("s_name").alias("message"), F.col("s_suppkey").alias("ord"))
+    status = supplier.select(
+        F.col("s_nationkey").alias("project_id"), rule, F.when(F.col("s_suppkey") % 2 == 0, "violated").otherwise("compliant").alias("status"),
+        F.when(F.col("s_suppkey") % 3 == 0, "should").otherwise("must").alias("severity"), F.col("s_suppkey").alias("ord"))
+    return findings.violation_actions(broken, status).select("project_id", "type", "item_id", "detail", "urgency")
+
+
+@query
+def uncovered_task_criteria(b: Bound) -> DataFrame:
+    """Tasks, claims, tests and results that share their keys between nations."""
+    nation = F.col("c_nationkey").alias("project_id")
+    number = (F.col("c_custkey") % 50).cast("string")
+    task = b.table("customer").select(
+        nation, F.concat(F.lit("K"), F.col("c_custkey").cast("string")).alias("task_id"), F.when(F.col("c_acctbal") > 0, "must").otherwise("could").alias("priority"),
+        F.array(F.concat(F.lit("AC-"), number), F.lit("AC-0")).alias("related_acceptance_criteria"))
+    claim = b.order_project.select("project_id", F.concat(F.lit("C"), (F.col("o_orderkey") % 500).cast("string"), F.lit("/"), F.col("o_custkey").cast("string")).alias("claim_id"),
+                                   F.concat(F.lit("K"), F.col("o_custkey").cast("string")).alias("related_task"))
+    tests = b.order_project.select("project_id", F.concat(F.lit("C"), (F.col("o_orderkey") % 500).cast("string"), F.lit("/"), F.col("o_custkey").cast("string")).alias("claim_id"),
+                                   F.concat(F.lit("t"), (F.col("o_orderkey") % 100).cast("string")).alias("ref"))
+    results = b.table("supplier").select(
+        F.col("s_nationkey").alias("project_id"), F.concat(F.lit("t"), (F.col("s_suppkey") % 100).cast("string")).alias("path"),
+        F.when(F.col("s_acctbal") < 3000, "covered").otherwise("violated").alias("status"), F.col("s_suppkey").alias("ord"))
+    found = coverage.task_claim_coverage(task, claim, tests, results)
+    return coverage.uncovered_task_criteria(found).select("project_id", "task_id", "ac_id", "reason")
+
+
+@query
+def row_validity(b: Bound) -> DataFrame:
+    customer = b.table("customer").select(F.col("c_nationkey").alias("project_id"), F.concat(F.lit("T"), (F.col("c_custkey") % 200).cast("string")).alias("task_id"), "c_custkey")
+    problems = b.order_project.select("project_id", F.concat(F.lit("T"), (F.col("o_orderkey") % 400).cast("string")).alias("item_id"))
+    return constraints.row_validity(customer, problems, key="task_id").select("project_id", "task_id", "c_custkey", "n_problems", "is_valid")
+
+
+@query
+def head_snapshot(b: Bound) -> DataFrame:
+    """The last revision's side of a table that holds both."""
+    table = b.order_project.withColumn("snapshot", F.when(F.col("o_orderkey") % 3 == 0, "head").otherwise("staged"))
+    return ledgers.snapshot(table, "head").select("project_id", "o_orderkey", "o_orderstatus")
+
+
+def _written(b: Bound) -> str:
+    return f"{shared_folder(b.spark)}/written-{uuid.uuid4().hex}"
+
+
+@query
+def written_index(b: Bound) -> DataFrame:
+    """Evidence of all customers, written by project and run and read back."""
+    evidence = b.table("customer").select(
+        F.col("c_nationkey").alias("project_id"), F.concat(F.lit("EVIDENCE-P-"), F.col("c_custkey").cast("string")).alias("evidence_id"),
+        F.lit("task").alias("source_type"), F.lit("docs/task_list.json").alias("source_path"), F.array("c_mktsegment").alias("covers"),
+        F.when(F.col("c_acctbal") < 0, "missing").otherwise("covered").alias("status"), F.col("c_custkey").alias("ord"))
+    path = _written(b)
+    sinks.write_evidence_index(evidence, path, run_id="RUN-7", prefix="P")
+    return b.spark.read.parquet(path).select("project_id", "run_id", "evidence_id", "status", F.array_join("covers", ",").alias("covers"))
+
+
+@query
+def report_parts(b: Bound) -> DataFrame:
+    """Orders as a section of each nation's report: every row is in one part."""
+    rows = b.order_project.select("project_id", F.col("o_orderkey").alias("ord"), "o_orderstatus")
+    parts = sinks.report_documents({"orders": rows, "empty": rows.filter("false")})
+    rows_in = F.explode(F.from_json("document", "array<struct<ord: bigint, o_orderstatus: string>>"))
+    return parts.select("project_id", "section", rows_in.alias("r")).select("project_id", "section", "r.ord", "r.o_orderstatus")
+
+
+@query
+def claim_archive(b: Bound) -> DataFrame:
+    """Claims of even nations archived under their commit, the others left in the ledger; both read back."""
+    claim = b.order_project.select("project_id", F.col("o_orderkey").alias("claim_id"))
+    commit = b.table("nation").filter("n_nationkey % 2 = 0").select(
+        F.col("n_nationkey").alias("project_id"), F.when(F.col("n_nationkey") != 4, F.concat(F.lit("c"), F.col("n_nationkey").cast("string"))).alias("commit_id"))
+    archive, rest = _written(b), _written(b)
+    sinks.archive_claims(claim, commit, archive, rest, as_of=F.lit(AS_OF).cast("timestamp"))
+    left = b.spark.read.parquet(rest).select("project_id", "claim_id", F.lit(None).cast("string").alias("commit_id"))
+    return b.spark.read.parquet(archive).select("project_id", "claim_id", "commit_id").unionByName(left)
+
+
+@query
+def structural_differences(b: Bound) -> DataFrame:
+    """Per customer one of the odd pairs of documents, with its own key in them."""
+    key = F.col("c_custkey").cast("string")
+    pairs = [
+        ('{"a":"$"}', '{"a":$}'), ('{"s":"{\\"k\\":$}"}', '{"s":{"k":$}}'), ('{"a.b":$}', '{"a":{"b":$}}'), ('{"rules":[]}', '{"rules":[{"rule_id":"R$"}]}'),
+        ('{"n":{"p":$}}', '{"n":{}}'), ('{}', '{"t":{"u":{"v":$},"w":[$]}}'), ('{"r":[{"rule_id":"A","x":1},{"rule_id":"A","x":$}]}', '{"r":[{"x":$,"rule_id":"A"}]}'),
+        ('{"r":[{"rule_id":"R$"}]}', '{"r":[{"gate_id":"R$"}]}'), ('{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":$}}}}}}}}', '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":-$}}}}}}}}'),
+        ('{"l":[{"rule_id":"a"},$]}', '{ "l" : [ {"rule_id":"a"} , $ ] }'),
+    ]
+
+    def side(n: int) -> DataFrame:
+        kind = F.col("c_custkey") % len(pairs)
+        text = F.lit(None).cast("string")
+        for i, pair in enumerate(pairs):
+            text = F.when(kind == i, F.replace(F.lit(pair[n]), F.lit("$"), key)).otherwise(text)
+        return b.table("customer").select(F.col("c_custkey").alias("project_id"), text.alias("text"))
+
+    return delta.document_diff(side(0), side(1))
