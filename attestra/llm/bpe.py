@@ -19,8 +19,8 @@ from attestra.llm.rows import only
 #: The byte-level alphabet's printable ranges, and the pre-tokenizer's pattern.
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded fragments and pre-tokens that a worker remembers. It saves work and changes no result.
-REMEMBERED = 1 << 18
+#: Encoded pre-tokens that a worker remembers. It saves work and changes no result.
+REMEMBERED = 1 << 17
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -113,11 +113,11 @@ class Codec:
         self.words = regex.compile(PATTERN)
         added = sorted(vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.of_fragment = Remembered(lambda f: np.array(vocabulary.merge(f), "<u4").tobytes())
         self.of_word = Remembered(self._word)
 
     def _word(self, word: str) -> bytes:
-        return b"".join([self.of_fragment[f] for f in self.vocabulary.fragments(word.encode())])
+        merge = self.vocabulary.merge
+        return np.array([i for f in self.vocabulary.fragments(word.encode()) for i in merge(f)], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         out = []

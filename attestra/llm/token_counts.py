@@ -20,7 +20,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Log-probabilities follow Zipf's law over the vocabulary's ranks, rounded to whole units, so ties are exact.
 SHIFT, UNITS = 2.7, 1 << 16
 #: Pre-tokens whose counts a worker takes along to its next batch. It saves work and changes no result.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def piece_scores(file_text: str) -> dict[bytes, int]:
