@@ -18,27 +18,41 @@ def request_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(T.DataType.fromDDL(TABLES["decision"])).json(path)
 
 
+LAST = "project_id string, decision_id bigint, batch bigint"
+
+
 def append_requests(requests: DataFrame, log_path: str, rejected_path: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer. Each batch owns one folder, so a repeated batch replaces itself and adds nothing."""
-    spark = requests.sparkSession
+    """Batch writer. Each batch owns one folder, so a repeated batch replaces itself and adds nothing.
+
+    Beside the log, every batch leaves the last id of each project. The next batch goes on from there, so
+    it reads a row per project and never the log.
+    """
+    spark, last_path = requests.sparkSession, f"{log_path}-last"
     log_schema = T.StructType([*T.DataType.fromDDL(TABLES["decision"]).fields, T.StructField("batch", T.LongType())])
 
+    def table(path: str, schema, batch_id: int) -> DataFrame:
+        return spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(path).filter(F.col("batch") == batch_id)
+
+    def put(rows: DataFrame, path: str, batch_id: int) -> None:
+        rows.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch").parquet(path)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        log = spark.read.schema(log_schema).option("ignoreMissingFiles", "true").parquet(log_path)
-        earlier = log.filter(F.col("batch") < batch_id)
-        for rows, path in ((new_decisions(batch, earlier), log_path), (invalid_decisions(batch), rejected_path)):
-            rows.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic"
-            ).partitionBy("batch").parquet(path)
+        before = table(last_path, LAST, batch_id - 1).drop("batch")
+        put(new_decisions(batch, before), log_path, batch_id)
+        put(invalid_decisions(batch), rejected_path, batch_id)
+        written = table(log_path, log_schema, batch_id).select("project_id", "decision_id")
+        put(before.unionByName(written).groupBy("project_id").agg(F.max("decision_id").alias("decision_id")), last_path, batch_id)
 
     return write
 
 
 def start(spark: SparkSession, request_path: str, log_path: str, rejected_path: str, checkpoint: str) -> StreamingQuery:
     """Append all requests present to the log, then stop. ``checkpoint`` is a folder all executors share."""
-    spark.createDataFrame([], T.StructType([*T.DataType.fromDDL(TABLES["decision"]).fields,
-                                            T.StructField("batch", T.LongType())])).write.mode("append").partitionBy(
-        "batch").parquet(log_path)
+    log = T.StructType([*T.DataType.fromDDL(TABLES["decision"]).fields, T.StructField("batch", T.LongType())])
+    for schema, path in ((log, log_path), (LAST, f"{log_path}-last")):
+        spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(path)
     requests = request_stream(spark, request_path)
     return (
         requests.writeStream.foreachBatch(append_requests(requests, log_path, rejected_path))
