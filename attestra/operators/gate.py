@@ -6,7 +6,7 @@ texts are only built for the reasons.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from attestra.functions.text import fill
 from attestra.operators.findings import decisions_applied, is_self_referential, lookup, with_decision_flag
 from attestra.operators.impact import tag_current, with_change_mode
-from attestra.operators.sequence import SCOPE, number_by_range, number_rows
+from attestra.operators.sequence import SCOPE, number_by_range
+from attestra.session import cut_lineage
 
 # Finding code -> (position in the report, text).
 REASONS = {
@@ -181,12 +182,12 @@ def gate_result(
 
 
 def gate_reasons(
-    gate: DataFrame, findings: DataFrame, *, by_range: bool = False, scope: Sequence[str] = SCOPE
+    gate: DataFrame, findings: DataFrame, *, materialise: Callable[[DataFrame], DataFrame] = cut_lineage, scope: Sequence[str] = SCOPE
 ) -> DataFrame:
     """The reasons of every decision in report order: scope, seq, reason, effect, item_id.
 
-    ``by_range`` numbers them by ranges of the whole order instead of blocks of ``ord``; needed where
-    many findings of a project share one ``ord``.
+    They are numbered by ranges of the whole order, as many findings of a project may share one ``ord``;
+    ranges are sampled, so they are materialised.
 
     A resolved finding and one outside the change are marked in the text. A pass without findings
     and a draft get one line each.
@@ -202,10 +203,7 @@ def gate_reasons(
     )
     drafts = gate.filter(F.col("gate_decision") == "draft_approved").select(*scope)
     ranked = findings.join(drafts, list(scope), "left_anti").withColumn("_rank", lookup(F.col("code"), REASONS, 0))
-    if by_range:
-        numbered = number_by_range(ranked, scope=scope, order=["_rank", "ord", "item_id", "detail"])
-    else:
-        numbered = number_rows(ranked, scope=scope, rank="_rank", ties=["item_id", "detail"])
+    numbered = number_by_range(ranked, scope=scope, order=["_rank", "ord", "item_id", "detail"], materialise=materialise)
     listed = numbered.select(*scope, "seq", F.concat(prefix, text).alias("reason"), "effect", "item_id", "code")
     quiet = (F.col("gate_decision") == "pass") & (F.col("n_noted") == 0)
     single = gate.filter(quiet | (F.col("gate_decision") == "draft_approved")).select(

@@ -295,7 +295,7 @@ def run(
         .unionByName(gate.coverage_findings(low))
     )
     result = materialise(gate.gate_result(project, gate_rows, decision))
-    reasons = gate.gate_reasons(result, gate_rows, by_range=True)
+    reasons = gate.gate_reasons(result, gate_rows, materialise=materialise)
 
     # Actions and flags.
     with_urgency = findings.gap_urgency(gaps, affected, cover)
