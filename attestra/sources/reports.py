@@ -8,7 +8,6 @@ is read instead. The tools themselves are not run.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,20 +42,18 @@ def _evidence(
     )
 
 
-def unreadable_runs(tool_run: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Runs whose exit code says there is no report: skipped or blocked evidence with an error code."""
-    rows = tool_run.withColumn("_o", exit_outcome(F.col("tool_category"), F.col("exit_code"))).filter("_o is not null")
-    return _evidence(
-        rows, scope, source_type=F.lit("tool"), source_path=F.col("path"), status=F.col("_o.status"),
-        error_code=F.col("_o.error_code"), skip_reason=F.col("_o.skip_reason"),
-    )
+ENTRY = (
+    "source_type string, source_path string, covers array<string>, status string, error_code string, nodeid string, "
+    "outcome string, n_findings int, skip_reason string, sub_ord int"
+)
 
 
-def _readable(tool_run: DataFrame, category: str) -> DataFrame:
-    return tool_run.filter(
-        (F.col("tool_category") == category)
-        & exit_outcome(F.col("tool_category"), F.col("exit_code")).isNull()
-    )
+def _entry(**fields: Column) -> Column:
+    """One evidence entry (ENTRY) of a run; fields that are not given are null or empty."""
+    given = {"covers": F.array().cast("array<string>"), "sub_ord": F.lit(0), **fields}
+    names = [field.split()[0] for field in ENTRY.split(", ")]
+    kind = ", ".join(": ".join(field.split()) for field in ENTRY.split(", "))
+    return F.struct(*[given.get(n, F.lit(None)).alias(n) for n in names]).cast(f"struct<{kind}>")
 
 
 def _is_json_object(text: Column) -> Column:
@@ -64,29 +61,24 @@ def _is_json_object(text: Column) -> Column:
     return F.json_object_keys(text).isNotNull()
 
 
-def test_evidence(tool_run: DataFrame, *, prefix: str | Column, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Test reports: one row per test with the ids its docstring covers; without a readable report, one
-    row per run from its exit code."""
-    runs = _readable(tool_run, "test").withColumn(
-        "_text", F.when(_is_json_object(F.col("report")), F.col("report"))
-        .when(_is_json_object(F.col("stdout")), F.col("stdout"))
-    )
-    tests = runs.filter(F.col("_text").isNotNull()).select(
-        "*", F.posexplode(F.from_json("_text", TEST_REPORT)["tests"]).alias("sub_ord", "_t")
-    ).filter(F.col("_t").isNotNull())
-    nodeid, outcome = F.coalesce("_t.nodeid", F.lit("")), F.coalesce("_t.outcome", F.lit(""))
-    docstring = F.coalesce("_t.docstring", "_t.metadata.docstring")
-    per_test = _evidence(
-        tests, scope, source_type=F.lit("test"),
-        source_path=F.when(nodeid != "", nodeid).otherwise(F.col("path")), status=outcome_status(outcome),
-        covers=tx.covered_ids(docstring, prefix), nodeid=nodeid, outcome=outcome, sub_ord=F.col("sub_ord"),
-    )
+def _test_entries(prefix: str | Column) -> Column:
+    """One entry per test of a readable report, in the report file or the output; else one for the run."""
+    text = F.when(_is_json_object(F.col("report")), F.col("report")).when(_is_json_object(F.col("stdout")), F.col("stdout"))
+
+    def per_test(test: Column, number: Column) -> Column:
+        nodeid, outcome = F.coalesce(test["nodeid"], F.lit("")), F.coalesce(test["outcome"], F.lit(""))
+        docstring = F.coalesce(test["docstring"], test["metadata"]["docstring"])
+        return F.when(test.isNotNull(), _entry(
+            source_type=F.lit("test"), source_path=F.when(nodeid != "", nodeid).otherwise(F.col("path")),
+            status=outcome_status(outcome), covers=tx.covered_ids(docstring, prefix), nodeid=nodeid, outcome=outcome, sub_ord=number,
+        ))
+
     passed = F.col("exit_code") == 0
-    per_run = _evidence(
-        runs.filter(F.col("_text").isNull()), scope, source_type=F.lit("test"), source_path=F.col("path"),
-        status=F.when(passed, "covered").otherwise("violated"), outcome=F.when(passed, "passed").otherwise("failed"),
+    per_run = _entry(
+        source_type=F.lit("test"), source_path=F.col("path"), status=F.when(passed, "covered").otherwise("violated"),
+        outcome=F.when(passed, "passed").otherwise("failed"),
     )
-    return per_test.unionByName(per_run)
+    return F.when(text.isNotNull(), F.array_compact(F.transform(F.from_json(text, TEST_REPORT)["tests"], per_test))).otherwise(F.array(per_run))
 
 
 def _json_list_size(text: Column, keys: Sequence[str]) -> Column:
@@ -97,35 +89,62 @@ def _json_list_size(text: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(length(text), *[length(F.get_json_object(text, f"$.{k}")) for k in keys])
 
 
-def _counted(runs: DataFrame, count: Column, scope: Sequence[str]) -> DataFrame:
-    rows = runs.withColumn("_n", F.coalesce(count, F.lit(0)))
-    return _evidence(
-        rows, scope, source_type=F.lit("tool"), source_path=F.col("path"),
-        status=F.when(F.col("_n") == 0, "compliant").otherwise("violated"), n_findings=F.col("_n").cast("int"),
-    )
+def _counted(count: Column) -> Column:
+    n = F.coalesce(count, F.lit(0)).cast("int")
+    return F.array(_entry(
+        source_type=F.lit("tool"), source_path=F.col("path"), status=F.when(n == 0, "compliant").otherwise("violated"), n_findings=n
+    ))
 
 
-def lint_evidence(tool_run: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Lint reports, a JSON list or an object with one: violations per file."""
-    runs = _readable(tool_run, "lint")
-    return _counted(runs, _json_list_size(F.col("stdout"), ("violations", "results", "issues")), scope)
+def _lint_count() -> Column:
+    return _json_list_size(F.col("stdout"), ("violations", "results", "issues"))
 
 
-def type_check_evidence(tool_run: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Type checks: the report's error count, else the error lines of a failed run."""
+def _type_check_count() -> Column:
     reported = F.get_json_object("report", "$.summary.error_count").try_cast("int")
     error_lines = F.size(F.filter(tx.lines(F.coalesce("stdout", F.lit(""))), lambda line: line.contains(": error:")))
-    count = F.when(F.coalesce(reported, F.lit(0)) != 0, reported).when(F.col("exit_code") == 1, error_lines).otherwise(0)
-    return _counted(_readable(tool_run, "type_check"), count, scope)
+    return F.when(F.coalesce(reported, F.lit(0)) != 0, reported).when(F.col("exit_code") == 1, error_lines).otherwise(0)
 
 
-def security_evidence(tool_run: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Security reports: entries under ``results`` of the report file, else of the output (or a bare list)."""
+def _security_count() -> Column:
     from_report = F.json_array_length(F.get_json_object("report", "$.results"))
-    count = F.when(F.coalesce(from_report, F.lit(0)) > 0, from_report).otherwise(
-        _json_list_size(F.col("stdout"), ("results",))
+    return F.when(F.coalesce(from_report, F.lit(0)) > 0, from_report).otherwise(_json_list_size(F.col("stdout"), ("results",)))
+
+
+def run_evidence(
+    tool_run: DataFrame, *, prefix: str | Column = "P", unreadable: bool = True, scope: Sequence[str] = SCOPE
+) -> DataFrame:
+    """Evidence of tool runs, in one pass: each run's category picks how its output becomes entries.
+
+    Tests: one row per test with the ids its docstring covers, or one per run without a readable report.
+    Lint: violations of a JSON list or an object with one. Type checks: the report's error count, else the
+    error lines of a failed run. Security: entries under ``results`` of the report file, else of the output.
+    ``unreadable``: runs whose exit code says that there is no report, as skipped or blocked evidence.
+    """
+    category = F.col("tool_category")
+    blocked = F.array(_entry(
+        source_type=F.lit("tool"), source_path=F.col("path"), status=F.col("_o.status"), error_code=F.col("_o.error_code"),
+        skip_reason=F.col("_o.skip_reason"),
+    ))
+    entries = (
+        F.when(F.col("_o").isNotNull(), blocked if unreadable else F.lit(None))
+        .when(category == "test", _test_entries(prefix))
+        .when(category == "lint", _counted(_lint_count()))
+        .when(category == "type_check", _counted(_type_check_count()))
+        .when(category == "security", _counted(_security_count()))
     )
-    return _counted(_readable(tool_run, "security"), count, scope)
+    rows = tool_run.withColumn("_o", exit_outcome(category, F.col("exit_code"))).withColumn("_e", F.explode(entries))
+    fields = [field.split()[0] for field in ENTRY.split(", ")]
+    return _evidence(rows, scope, **{name: F.col(f"_e.{name}") for name in fields})
+
+
+def _of_category(tool_run: DataFrame, category: str, scope: Sequence[str], prefix: str | Column = "P") -> DataFrame:
+    return run_evidence(tool_run.filter(F.col("tool_category") == category), prefix=prefix, unreadable=False, scope=scope)
+
+
+def test_evidence(tool_run: DataFrame, *, prefix: str | Column, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """The readable test runs of ``run_evidence``."""
+    return _of_category(tool_run, "test", scope, prefix)
 
 
 def coverage_evidence(
@@ -151,14 +170,8 @@ def tool_evidence(
     scope: Sequence[str] = SCOPE,
 ) -> DataFrame:
     """Evidence of all tool categories."""
-    parts = [
-        unreadable_runs(tool_run, scope=scope), test_evidence(tool_run, prefix=prefix, scope=scope),
-        lint_evidence(tool_run, scope=scope), type_check_evidence(tool_run, scope=scope),
-        security_evidence(tool_run, scope=scope),
-    ]
-    if coverage_report is not None:
-        parts.append(coverage_evidence(coverage_report, scope=scope))
-    return reduce(DataFrame.unionByName, parts)
+    found = run_evidence(tool_run, prefix=prefix, scope=scope)
+    return found if coverage_report is None else found.unionByName(coverage_evidence(coverage_report, scope=scope))
 
 
 def evidence_run_summary(evidence: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:

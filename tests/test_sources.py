@@ -183,7 +183,7 @@ def test_test_reports(table):
         ("t.py::a", "covered", ("AC-P-1-1",)), ("t.py::b", "violated", ("REQ-P-2",)), ("t.py::c", "unclear", ()), ("t.py", "violated", ())}
     assert list_of(out.filter("ord > 0"), "ord", "source_type", "status")[-2:] == [(2, "test", "covered"), (3, "test", "violated")]
     assert out.filter("ord = 1").count() == 4
-    assert list_of(re_.unreadable_runs(runs), "source_path", "status", "error_code") == [
+    assert list_of(re_.run_evidence(runs).filter("error_code is not null"), "source_path", "status", "error_code") == [
         ("x.py", "skipped", "tool_no_tests_collected"), ("y.py", "blocked", "tool_execution_failed")]
 
 
