@@ -268,12 +268,12 @@ _SQL: dict[str, str] = {
             CASE WHEN k.n IS NULL THEN 'no_claim_for_task' WHEN k.has_tests THEN 'test_failed' ELSE 'no_tests_declared' END AS reason
         FROM customer c LEFT JOIN (
             SELECT related_task, count(*) AS n, bool_or(has_tests) AS has_tests, bool_or(passing) AS passing FROM (
-                SELECT cl.related_task, cl.claim_id, count(t.path) > 0 AS has_tests,
+                SELECT CASE WHEN cl.o_orderdate >= TIMESTAMP '2001-01-01' THEN cl.related_task ELSE 'closed' END AS related_task, cl.claim_id, count(t.path) > 0 AS has_tests,
                     coalesce(bool_or(r.status = 'covered'), false) AS passing
                 FROM claim cl LEFT JOIN testref t USING (claim_id) LEFT JOIN (
                     SELECT source_path AS path, max_by(status, ord) AS status FROM pev WHERE source_type = 'test' GROUP BY 1) r
                     ON r.path = t.path
-                WHERE cl.o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1, 2) GROUP BY 1) k ON k.related_task = 'K' || c.c_custkey
+                GROUP BY 1, 2) GROUP BY 1) k ON k.related_task = 'K' || c.c_custkey
         WHERE c.c_mktsegment IN ('BUILDING', 'AUTOMOBILE') AND NOT coalesce(k.passing, false)""",
     "coverage_summary": """
         SELECT project_id, round_even(sum(num_statements * percent_covered / 100) / sum(num_statements) * 100, 1) AS aggregate_percent,
@@ -721,6 +721,12 @@ _SQL: dict[str, str] = {
         SELECT page_id, split_part(url, '#', 1) AS without_fragment, regexp_extract(split_part(url, '#', 1), '([^/]*)$', 1) AS base_name,
             CASE WHEN starts_with(url, 'https://m.ththth.example.net/') THEN substr(url, 30) ELSE url END AS relative,
             substr(html, 1, 80) AS clipped, url AS title FROM pages""",
+    "document_problems": """
+        SELECT c_nationkey AS project_id, c_custkey AS doc_id, problem,
+            CASE item WHEN 'req' THEN 'REQ-P-' || c_nationkey WHEN 'other' THEN 'AC-P-99-' || c_custkey ELSE 'AC-P-' || c_nationkey || '-' || c_custkey END AS item_id
+        FROM customer JOIN (VALUES (1, 'test_flag_missing', 'ac'), (2, 'test_flag_invalid', 'ac'), (3, 'category_invalid', 'req'),
+            (4, 'criterion_under_wrong_requirement', 'other'), (4, 'parent_requirement_missing', 'other'), (5, 'priority_missing', 'req'),
+            (6, 'duplicate_requirement', 'req')) v(k, problem, item) ON k = c_custkey % 7""",
     "skipped_refs": """
         SELECT DISTINCT p_brand AS project_id, 'doc/f' || (p_partkey % 40) || '.md' AS source_path, 'skipped' AS status, 'no_tool_applies' AS skip_reason
         FROM part WHERE p_size % 3 = 0""",

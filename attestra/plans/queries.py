@@ -55,10 +55,12 @@ def task_claim_coverage(b: Bound) -> DataFrame:
         F.col("c_nationkey").alias("project_id"), text_id("K", "c_custkey").alias("task_id"),
         F.when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "must").otherwise("should").alias("priority"),
     )
-    recent = b.claim.filter(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp"))
+    # Claims of earlier years belong to tasks that have been closed.
+    recent = F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp")
+    claim = b.claim.withColumn("related_task", F.when(recent, F.col("related_task")).otherwise(F.concat(F.lit("closed-"), "related_task")))
     refs = b.test_ref.withColumn("ref", tx.without_fragment(F.col("ref")))
     results = b.part_evidence.filter(F.col("source_type") == "test").withColumnRenamed("source_path", "path")
-    return coverage.task_claim_coverage(task, recent, refs, results, scope=SINGLE).select("project_id", "task_id", "reason")
+    return coverage.task_claim_coverage(task, claim, refs, results, scope=SINGLE).select("project_id", "task_id", "reason")
 
 
 def _coverage_file(b: Bound) -> DataFrame:
@@ -992,7 +994,7 @@ def _customer_document(b: Bound) -> DataFrame:
 
 @query
 def sections_from_documents(b: Bound) -> DataFrame:
-    lines = documents.document_lines(_customer_document(b), prefix="P")
+    lines = cut_lineage(documents.document_lines(_customer_document(b), prefix="P"))
     requirement = documents.parse_requirements(lines).select("doc_id", "req_id", "title", "priority", "category")
     criterion = documents.parse_criteria(lines).select("doc_id", "req_id", "ac_id", "is_testing_required")
     return requirement.join(criterion, ["doc_id", "req_id"])
@@ -1501,3 +1503,24 @@ def structural_differences(b: Bound) -> DataFrame:
         return b.table("customer").select(F.col("c_custkey").alias("project_id"), text.alias("text"))
 
     return delta.document_diff(side(0), side(1))
+
+
+@query
+def document_problems(b: Bound) -> DataFrame:
+    """A requirements document per customer, each seventh with the same kind of mistake."""
+    kind = F.col("c_custkey") % 7
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+
+    def unless(number: int, text: str, instead: str = "") -> Column:
+        return F.when(kind == number, instead).otherwise(text)
+
+    again = F.when(kind == 6, F.concat(F.lit("\n### REQ-P-"), nation, F.lit(": again\n\n#### 优先级\n\nmust\n\n#### 类别\n\nfunctional\n"))).otherwise("")
+    text = F.concat(
+        F.lit("# Title\n\n### REQ-P-"), nation, F.lit(": "), F.col("c_name"), F.lit("\n\n"), unless(5, "#### 优先级\n\nmust\n\n"),
+        F.lit("#### 类别\n\n"), unless(3, "functional", "other"), F.lit("\n\n##### AC-P-"), F.when(kind == 4, "99").otherwise(nation), F.lit("-"), key,
+        F.lit(": works\n\n"), F.when(kind == 1, "").when(kind == 2, "- 是否必须有测试：maybe\n").otherwise("- 是否必须有测试：是\n"), again,
+    )
+    document = b.table("customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    lines = cut_lineage(documents.document_lines(document, prefix="P"))
+    requirement, criterion = cut_lineage(documents.parse_requirements(lines)), cut_lineage(documents.parse_criteria(lines))
+    return documents.document_problems(lines, requirement, criterion).select("project_id", "doc_id", "problem", "item_id")
