@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,10 @@ PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded pre-tokens that a worker remembers. It saves work and changes no result.
 REMEMBERED = 1 << 17
+#: Fragments up to this length are merged without a heap.
+SHORT, NO_MERGE = 32, 1 << 30
+#: Ids are below 1 << ID_BITS.
+ID_BITS, GONE = 24, -1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,11 +42,14 @@ class Vocabulary:
         spec = json.loads(file_text)
         to_byte = byte_alphabet()
         self.id_of = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.rank = {}
-        for r, (left, right) in enumerate(pairs):
-            a, b = (bytes(to_byte[c] for c in part) for part in (left, right))
-            self.rank[a, b] = r
+        #: Merge ranks by pair of ids, the left one in the high bits; and the id that each rank gives.
+        self.rank: dict[int, int] = {}
+        self.merged: list[int] = []
+        for r, merge in enumerate(spec["model"]["merges"]):
+            left, right = (bytes(to_byte[c] for c in part) for part in (merge if isinstance(merge, list) else merge.split(" ")))
+            self.rank[self.id_of[left] << ID_BITS | self.id_of[right]] = r
+            self.merged.append(self.id_of[left + right])
+        self.of_byte = [self.id_of[bytes([b])] for b in range(256)]
         self.bytes_of: dict[int, bytes] = {i: token for token, i in self.id_of.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of.update({i: content.encode() for content, i in self.added.items()})
@@ -64,43 +72,62 @@ class Vocabulary:
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the lowest-ranked pair is merged first, the leftmost on a tie.
 
-        The pairs wait in a heap and the parts are a linked list, so a long fragment costs n log n.
+        In a long fragment the pairs wait in a heap and the parts are a linked list, which costs n log n.
         """
-        if fragment in self.id_of and len(fragment) == 1:
-            return [self.id_of[fragment]]
-        part: list[bytes | None] = [fragment[i : i + 1] for i in range(len(fragment))]
+        if len(fragment) <= SHORT:
+            return self._merge_short(fragment)
+        part = [self.of_byte[b] for b in fragment]
         n, rank = len(part), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := rank.get((part[i], part[i + 1]))) is not None]
+        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := rank.get(part[i] << ID_BITS | part[i + 1])) is not None]
         heapify(heap)
         while heap:
-            _, i, left, right = heappop(heap)
+            r, i, left, right = heappop(heap)
             j = after[i]
             if part[i] != left or j >= n or part[j] != right:
                 continue  # one of them has been merged meanwhile
-            part[i], part[j] = left + right, None
+            part[i], part[j] = self.merged[r], GONE
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get((part[i], part[k]))) is not None:
+                if (r := rank.get(part[i] << ID_BITS | part[k])) is not None:
                     heappush(heap, (r, i, part[i], part[k]))
-            if (h := before[i]) >= 0 and (r := rank.get((part[h], part[i]))) is not None:
+            if (h := before[i]) >= 0 and (r := rank.get(part[h] << ID_BITS | part[i])) is not None:
                 heappush(heap, (r, h, part[h], part[i]))
-        return [self.id_of[p] for p in part if p is not None]
+        return [p for p in part if p != GONE]
+
+    def _merge_short(self, fragment: bytes) -> list[int]:
+        """The same by looking at all pairs each time."""
+        of_byte, rank = self.of_byte, self.rank.get
+        part = [of_byte[b] for b in fragment]
+        ranks = [rank(a << ID_BITS | b, NO_MERGE) for a, b in pairwise(part)]
+        while ranks and (least := min(ranks)) < NO_MERGE:
+            i = ranks.index(least)
+            part[i] = new = self.merged[least]
+            del part[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(new << ID_BITS | part[i + 1], NO_MERGE)
+            if i:
+                ranks[i - 1] = rank(part[i - 1] << ID_BITS | new, NO_MERGE)
+        return part
 
 
 class Remembered(dict):
-    """What ``compute`` gives for a key; emptied when it holds REMEMBERED keys."""
+    """What ``compute`` gives for a key. Of the keys, those asked for lately stay: when REMEMBERED are held,
+    they become the old ones, and the old ones before go."""
 
     def __init__(self, compute: Callable):
         super().__init__()
-        self.compute = compute
+        self.compute, self.old = compute, {}
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= 64:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
             self[key] = value
         return value
 
