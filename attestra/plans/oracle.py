@@ -369,8 +369,8 @@ _SQL: dict[str, str] = {
             SELECT 1 FROM aff a WHERE a.item_type = g.item_type AND a.item_id = g.item_id) AS stale, count(*) AS n
         FROM igap g GROUP BY 1, 2""",
     "stale_risks": """
-        SELECT project_id, count(*) FILTER (n_regionkey <= 2 AND o_totalprice <= 400000) AS n_stale, count(*) AS n_total
-        FROM op JOIN nation ON n_nationkey = project_id WHERE o_orderstatus = 'P' GROUP BY 1""",
+        SELECT project_id, count(*) FILTER (o_orderstatus = 'P' AND n_regionkey <= 2 AND o_totalprice <= 400000) AS n_stale, count(*) AS n_total
+        FROM op JOIN nation ON n_nationkey = project_id GROUP BY 1""",
     "current_findings": """
         SELECT g.item_id AS claim_id, CASE WHEN g.item_id IN (SELECT item_id FROM aff) THEN 'current' ELSE 'pre_existing' END AS change_scope
         FROM igap g WHERE g.item_type = 'claim'""",

@@ -331,11 +331,9 @@ def stale_gaps(b: Bound) -> DataFrame:
 
 @query
 def stale_risks(b: Bound) -> DataFrame:
-    risk = b.order_project.filter(F.col("o_orderstatus") == "P").select(
-        "project_id", text_id("C", "o_orderkey").alias("claim_id")
-    )
-    affected = b.order_project.filter(F.col("o_totalprice") > 400000).select(
-        "project_id", F.lit("claim").alias("item_type"), text_id("C", "o_orderkey").alias("item_id")
+    risk = b.order_project.select("project_id", F.when(F.col("o_orderstatus") == "P", text_id("C", "o_orderkey")).alias("claim_id"))
+    affected = b.order_project.select(
+        "project_id", F.when(F.col("o_totalprice") > 400000, "claim").otherwise("task").alias("item_type"), text_id("C", "o_orderkey").alias("item_id")
     )
     changed = b.table("nation").filter(F.col("n_regionkey") <= 2).select(F.col("n_nationkey").alias("project_id"))
     return impact.stale_counts(impact.mark_stale_risks(risk, affected, changed))
@@ -748,16 +746,17 @@ def run_flags(b: Bound) -> DataFrame:
     project, rows, decision = _gate_parts(b)
     result = gate.gate_result(project, rows, decision)
     orders = b.table("orders").withColumn("project_id", F.col("o_custkey"))
-    gap = orders.filter(F.col("o_orderstatus") == "F").select(
-        "project_id", F.when(F.col("o_totalprice") > 300000, "ac").otherwise("claim").alias("item_type")
+    gap = orders.select(
+        _own_or_other("o_custkey", F.col("o_orderstatus") == "F"), F.when(F.col("o_totalprice") > 300000, "ac").otherwise("claim").alias("item_type")
     )
     risk = orders.select(
         "project_id", F.when(F.col("o_orderpriority").startswith("1"), "must").otherwise("should").alias("severity"),
         F.when(F.col("o_totalprice") < 5000, "low_confidence").alias("confidence"),
     )
-    unclear = orders.filter(F.col("o_totalprice") > 495000)
-    violation = orders.filter(F.col("o_totalprice") < 2000)
-    uncovered = orders.filter(F.col("o_orderpriority").startswith("5"))
+    unclear, violation, uncovered = (
+        orders.select(_own_or_other("o_custkey", said))
+        for said in (F.col("o_totalprice") > 495000, F.col("o_totalprice") < 2000, F.col("o_orderpriority").startswith("5"))
+    )
     return findings.run_flags(result, gap, risk, unclear, violation, uncovered)
 
 
@@ -834,9 +833,8 @@ def evidence_for_paths(b: Bound) -> DataFrame:
 
 
 def _classified(b: Bound) -> DataFrame:
-    checked = b.table("lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.1)).select(
-        text_id("RULE-", "l_partkey").alias("rule_id")
-    )
+    checks = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.1)
+    checked = b.table("lineitem").select(F.when(checks, text_id("RULE-", "l_partkey")).otherwise(text_id("LINE-", "l_orderkey")).alias("rule_id"))
     return compliance.classify_rules(b.rule, checked, as_of=F.lit(AS_OF).cast("timestamp"), scope=SINGLE)
 
 
@@ -955,13 +953,14 @@ def test_scenarios(b: Bound) -> DataFrame:
 @query
 def health_report(b: Bound) -> DataFrame:
     evidence = b.part_evidence.select("evidence_id")
-    snapshot = b.table("part").filter(F.col("p_size") <= 45).select(module_file("p_partkey").alias("path"))
+    snapshot = b.table("part").select(
+        F.when(F.col("p_size") <= 45, module_file("p_partkey")).otherwise(F.concat(F.lit("gone/"), module_file("p_partkey"))).alias("path"))
     task_link = b.table("orders").select(
         F.col("o_orderkey").alias("task_id"), text_id("K", "o_custkey").alias("req_id"),
         F.substring("o_orderpriority", 3, 20).alias("ac_id"),
     )
-    criteria = b.table("orders").filter(F.col("o_totalprice") > 499000).select(F.substring("o_orderpriority", 3, 20).alias("ac_id"))
-    modules = b.table("part").filter(F.col("p_size") <= 30).select(text_id("MOD-", "p_size").alias("module_id"))
+    criteria = b.table("orders").select(F.when(F.col("o_totalprice") > 499000, F.substring("o_orderpriority", 3, 20)).otherwise("none").alias("ac_id"))
+    modules = b.table("part").select(F.when(F.col("p_size") <= 30, text_id("MOD-", "p_size")).otherwise("MOD-none").alias("module_id"))
     issues = [
         health.evidence_ref_issues(b.evidence_ref, evidence, snapshot, scope=SINGLE),
         health.file_ref_issues(b.file_ref, snapshot, scope=SINGLE),
@@ -1225,13 +1224,19 @@ def drift_findings(b: Bound) -> DataFrame:
     drift = baseline_drift(b)
     risks = delta.drift_risks(drift).select("project_id", F.lit("risk").alias("kind"), "severity")
     gaps = delta.drift_gaps(drift).select("project_id", F.lit("gap").alias("kind"), "severity")
-    logged = b.table("orders").filter(F.col("o_totalprice") > 490000).select(
-        F.col("o_custkey").alias("project_id"), F.lit("docs/architecture_change_log.md").alias("path")
+    logged = b.table("orders").select(
+        F.col("o_custkey").alias("project_id"),
+        F.when(F.col("o_totalprice") > 490000, "docs/architecture_change_log.md").otherwise("docs/other.md").alias("path"),
     )
     late = delta.undocumented_changes(drift, logged).select("project_id", F.lit("undocumented").alias("kind"), F.lit("must").alias("severity"))
     return risks.unionByName(gaps).unionByName(late)
 
 
+def _own_or_other(key: str, own: Column) -> Column:
+    """The project of a row, or one that does not exist where the row says nothing about its own."""
+    return F.when(own, F.col(key)).otherwise(-F.col(key) - 1).alias("project_id")
+
+
 @query
 def lock_baseline(b: Bound) -> DataFrame:
     customer = b.table("customer").withColumn("project_id", F.col("c_custkey"))
@@ -1245,7 +1250,7 @@ def lock_baseline(b: Bound) -> DataFrame:
         F.array(F.lit("py"), F.lit("js")).alias("tool_languages"), F.array(F.lit("lint"), F.lit("test")).alias("tools"),
         F.lit("h").alias("rules_hash"), F.when(F.col("c_acctbal") > 9000, "new").otherwise("p").alias("prd_hash"),
     )
-    late = b.table("orders").filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("project_id"))
+    late = b.table("orders").select(_own_or_other("o_custkey", F.col("o_totalprice") > 400000))
     out = delta.lock_baseline(config, proposal, late)
     return out.select("project_id", "outcome", "language", "architecture_constraints_hash", "prd_hash")
 
@@ -1304,7 +1309,7 @@ def run_reasons(b: Bound) -> DataFrame:
 def fallback_actions(b: Bound) -> DataFrame:
     result, reasons = _gate_with_reasons(b)
     reasons = reasons.withColumn("reason", F.col("code"))
-    high = b.table("orders").filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("project_id"), F.lit("HIGH").alias("priority"))
+    high = b.table("orders").select(F.col("o_custkey").alias("project_id"), F.when(F.col("o_totalprice") > 400000, "HIGH").otherwise("LOW").alias("priority"))
     return findings.reason_actions(result, reasons, high).select("project_id", "type", "detail", "urgency", "ord")
 
 
