@@ -727,6 +727,9 @@ _SQL: dict[str, str] = {
         FROM customer JOIN (VALUES (1, 'test_flag_missing', 'ac'), (2, 'test_flag_invalid', 'ac'), (3, 'category_invalid', 'req'),
             (4, 'criterion_under_wrong_requirement', 'other'), (4, 'parent_requirement_missing', 'other'), (5, 'priority_missing', 'req'),
             (6, 'duplicate_requirement', 'req')) v(k, problem, item) ON k = c_custkey % 7""",
+    "analysis_gate": """
+        SELECT CAST(c_custkey AS VARCHAR) AS project_id, CASE c_custkey % 4 WHEN 0 THEN 'pass' WHEN 3 THEN 'draft_approved' ELSE 'blocked' END AS gate_decision
+        FROM customer""",
     "skipped_refs": """
         SELECT DISTINCT p_brand AS project_id, 'doc/f' || (p_partkey % 40) || '.md' AS source_path, 'skipped' AS status, 'no_tool_applies' AS skip_reason
         FROM part WHERE p_size % 3 = 0""",

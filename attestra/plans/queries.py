@@ -13,7 +13,9 @@ from attestra.functions.hashing import file_hash, with_content_hash
 from attestra.functions.status import coverage_status, task_evidence_status
 from attestra.operators import claims, compliance, constraints, coverage, delta, findings, gate, health, impact, integrity
 from attestra.operators.sequence import number_rows
+from attestra.plans import analysis
 from attestra.plans.bindings import Bound, module_file, priority_of, text_id
+from attestra.schemas import TABLES
 from attestra.session import cut_lineage, shared_folder
 from attestra.sources import documents, ledgers, reports, sinks
 
@@ -1529,3 +1531,64 @@ def document_problems(b: Bound) -> DataFrame:
     lines = cut_lineage(documents.document_lines(document, prefix="P"))
     requirement, criterion = cut_lineage(documents.parse_requirements(lines)), cut_lineage(documents.parse_criteria(lines))
     return documents.document_problems(lines, requirement, criterion).select("project_id", "doc_id", "problem", "item_id")
+
+
+def _portfolio(b: Bound) -> dict[str, DataFrame]:
+    """A small project per customer. By the customer's key: all is well; the test fails and rules are broken;
+    the claim cites only itself; a draft. Every other four projects have a changed file."""
+    kind = F.col("c_custkey") % 4
+    good, untested, selfish, draft = (kind == i for i in range(4))
+    project = F.col("c_custkey").cast("string").alias("project_id")
+    customer = b.table("customer")
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("bigint").alias("ord")
+
+    def words(*texts: str) -> Column:
+        return F.array(*[F.lit(t) for t in texts])
+
+    def null(name: str, of: str = "string") -> Column:
+        return F.lit(None).cast(of).alias(name)
+
+    claim = customer.select(
+        project, F.lit("CLAIM-P-1").alias("claim_id"), F.lit("TASK-P-1").alias("related_task"), F.lit("covered").alias("claimed_status"),
+        F.when(selfish, words("CLAIM-P-1")).otherwise(words("tests/a.py")).alias("evidence_refs"), F.lit(AS_OF).cast("timestamp").alias("claimed_ts"),
+        words("src/app/gate.py").alias("code_refs"), words("tests/a.py").alias("test_refs"), null("notes"), null("content_hash"), zero)
+    claim = with_content_hash(claim)
+    tests = customer.select(
+        project, F.lit("test").alias("source_type"), F.lit("tests/a.py").alias("source_path"), words("AC-P-1-1").alias("covers"),
+        F.when(untested | draft, "violated").otherwise("covered").alias("status"), F.lit("tests/a.py").alias("nodeid"), F.lit("test").alias("tool_category"),
+        null("percent_covered", "double"), null("num_statements", "int"), zero)
+    tool = customer.select(
+        project, F.lit("tool").alias("source_type"), F.lit("src/app/gate.py").alias("source_path"), none.alias("covers"), F.lit("compliant").alias("status"),
+        null("nodeid"), F.lit("coverage").alias("tool_category"), F.lit(90.0).alias("percent_covered"), F.lit(10).alias("num_statements"),
+        F.lit(1).cast("bigint").alias("ord"))
+    manifest = customer.select(project, F.explode(words("prd", "architecture_constraints", "task_list")).alias("file_key")).select(
+        "project_id", "file_key", F.concat(F.lit("docs/"), "file_key").alias("path"), F.lit("ok").alias("status"), F.lit("h").alias("sha256"))
+    return {
+        "project": customer.select(project, F.when(draft, "draft").otherwise("active").alias("status"), F.lit("P").alias("id_prefix")),
+        "requirement": customer.select(project, F.lit("REQ-P-1").alias("req_id"), F.lit("Login").alias("title"), F.lit("must").alias("priority"), F.lit("functional").alias("category"), zero),
+        "criterion": customer.select(project, F.lit("REQ-P-1").alias("req_id"), F.lit("AC-P-1-1").alias("ac_id"), F.lit("works").alias("title"), F.lit(True).alias("is_testing_required"), zero),
+        "task": customer.select(
+            project, F.lit("TASK-P-1").alias("task_id"), F.lit("t").alias("title"), F.lit("must").alias("priority"), F.lit("done").alias("status"),
+            words("REQ-P-1").alias("related_requirements"), words("AC-P-1-1").alias("related_acceptance_criteria"), zero),
+        "claim": claim, "head_claim": claim.filter("false"), "tool_evidence": tests.unionByName(tool),
+        "rule": customer.filter(good | untested).select(
+            project, F.lit("security_rules").alias("section"), F.when(good, "SEC-2").otherwise("SEC-1").alias("rule_id"), F.lit("s").alias("title"),
+            F.lit("").alias("description"), F.lit("must").alias("severity"), F.when(good, "manual").otherwise("machine").alias("verification_method"),
+            F.when(good, "lead").alias("accepted_by"), F.when(good, F.lit(AS_OF).cast("timestamp")).alias("accepted_at"), zero),
+        "module_boundary": customer.select(
+            project, F.lit("MOD-P-2").alias("module_id"), F.lit("gate").alias("name"), words("gate.py").alias("owned_files"), none.alias("allowed_to_call"),
+            none.alias("forbidden_to_call"), none.alias("related_requirements"), zero),
+        "import_edge": customer.select(project, F.lit("src/app/gate.py").alias("file_path"), F.when(untested, "sqlite3").otherwise("os").alias("imported_module"), F.lit(3).alias("lineno")),
+        "html_artifact": customer.select(project, F.lit("dashboard.html").alias("path"), F.lit("<p>x</p>").alias("html")),
+        "manifest": manifest,
+        "changed_file": customer.filter(F.col("c_custkey") % 8 >= 4).select(project, F.lit("src/app/gate.py").alias("path")),
+        "scope_pattern": customer.filter("false").select(project, F.lit("include").alias("kind"), F.lit("*").alias("pattern")),
+        "decision": b.spark.createDataFrame([], TABLES["decision"]),
+    }
+
+
+@query
+def analysis_gate(b: Bound) -> DataFrame:
+    """The whole analysis, end to end: the decision on every project."""
+    report = analysis.run(_portfolio(b), as_of=F.lit(AS_OF).cast("timestamp"), package="app")
+    return report["gate"].select("project_id", "gate_decision")
