@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from attestra.functions import text as tx
 from attestra.functions.ids import as_column
 from attestra.functions.status import is_ok
-from attestra.operators.joins import left_join_known
 from attestra.operators.sequence import SCOPE, last_per_key
 
 # Finding category -> (severity, effect on the verdict, message). Categories, severities and effects are fixed values.
@@ -109,10 +108,11 @@ def reference_findings(
     """
     claims = completed_claims(claim).select(*scope, "claim_id", "ord")
     external = evidence_ref.filter(F.col("ref") != F.col("claim_id")).select(*scope, "claim_id", "ref", "pos")
-    # A claim's references come from one row, so a claim is never hot; a path that many cite may be. One
-    # pass over the references also leaves the claims that have none, with a null reference.
-    cited = external.join(claims, [*scope, "claim_id"], "right")
-    seen = left_join_known(cited, reference_keys(evidence, scope=scope), [*scope, "ref"], "ref")
+    # The references stream on the left of both joins, so a hot claim and a hot path can both be split.
+    alone = claims.join(external.select(*scope, "claim_id").distinct(), [*scope, "claim_id"], "left_anti")
+    seen = external.join(claims, [*scope, "claim_id"]).join(
+        reference_keys(evidence, scope=scope), [*scope, "ref"], "left"
+    )
 
     def found(category: str, detail: Column | None = None) -> Column:
         text = F.lit(None).cast("string") if detail is None else detail
@@ -121,13 +121,14 @@ def reference_findings(
     statuses = F.array_join(F.array_sort("_statuses"), ", ")
     conflict = F.when(F.size("_statuses") > 1, found("conflicting_statuses", statuses))
     worst = (
-        F.when(F.col("ref").isNull(), found("self_referential_claim"))
-        .when(F.col("_statuses").isNull(), found("non_existent_evidence"))
+        F.when(F.col("_statuses").isNull(), found("non_existent_evidence"))
         .when(F.col("_violated"), found("violated_evidence", F.lit("violated")))
         .when(F.col("_other").isNotNull(), found("unclear_evidence_status", F.col("_other")))
     )
     rows = seen.withColumn("_f", F.explode(F.array_compact(F.array(conflict, worst))))
-    return _finding(rows, scope, F.col("_f.category"), 1, ref=F.col("ref"), detail=F.col("_f.detail"), pos=F.col("pos"))
+    return _finding(alone, scope, "self_referential_claim", 1).unionByName(
+        _finding(rows, scope, F.col("_f.category"), 1, ref=F.col("ref"), detail=F.col("_f.detail"), pos=F.col("pos"))
+    )
 
 
 def task_findings(
