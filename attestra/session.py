@@ -51,6 +51,8 @@ def prepare(spark: SparkSession) -> None:
     """
     configure(spark)
     environment = spark.sparkContext.environment
+    # What a worker frees goes back to the system: batches come as large blocks, and workers live on.
+    environment.update({"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20)})
     parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if parent not in paths:
