@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express.
 
-Not here, and tested against brute force instead: fingerprints (XXH64), the trained models, the encoder, the
-token counts and the line templates.
+Not here, and tested against brute force instead: fingerprints (XXH64), the trained models, the encoder and the
+token counts.
 """
 
 from __future__ import annotations
@@ -96,6 +96,40 @@ SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, text_crc32, 'key' AS law, old
 FROM d JOIN sums USING (r) JOIN old USING (r) JOIN new USING (r)
 """
 
+_FIELDS = ", ".join(f"count(DISTINCT f[{i}]) AS v{i}" for i in range(1, 9))
+_SAME = " + ".join(f"(k >= {i} AND v{i} = 1)::INTEGER" for i in range(1, 9))
+
+LINES = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS doc, text,
+    string_split(text, chr(10)) AS ls FROM documents
+), l AS (SELECT r, doc, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+t AS (
+  SELECT r, doc, i, list_transform(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'),
+    lambda w: CASE WHEN regexp_matches(w, '[0-9@]|://') THEN '<*>' ELSE w END) AS w FROM l
+), e AS (
+  SELECT r, doc, i, w, len(w) AS n, w[1:3] AS head, least(len(w) - 3, 8) AS k,
+    list_transform(range(least(len(w) - 3, 8)), lambda j: w[4 + (len(w) - 3) * j // least(len(w) - 3, 8) : 3 + (len(w) - 3) * (j + 1) // least(len(w) - 3, 8)]) AS f
+  FROM t WHERE len(w) >= 3
+), template AS (
+  SELECT w, min(doc) AS first FROM e GROUP BY w, n
+  HAVING count(DISTINCT r) >= CASE WHEN n < 8 THEN 10 ELSE 2 END AND min(doc) <> max(doc)
+), leaf AS (
+  SELECT n, head, first FROM (
+    SELECT n, head, k, min(doc) AS first, max(doc) AS last, count(DISTINCT r) AS docs, count(DISTINCT w) AS ws, {_FIELDS} FROM e GROUP BY n, head, k)
+  WHERE docs >= CASE WHEN n < 8 THEN 10 ELSE 2 END AND first <> last AND ws > 1 AND k > 0 AND {_SAME} >= 0.75 * k
+), gone AS (
+  SELECT r, i FROM e JOIN template USING (w) WHERE doc <> first UNION SELECT r, i FROM e JOIN leaf USING (n, head) WHERE doc <> first
+), left_over AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY i) FILTER (NOT g) AS text, count(*) AS n_lines, count(*) FILTER (g) AS n_dropped
+  FROM (SELECT l.*, gone.r IS NOT NULL AS g FROM l LEFT JOIN gone USING (r, i)) GROUP BY r
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped,
+  CASE WHEN d.text IS NOT NULL THEN coalesce(left_over.text, '') END AS text
+FROM d LEFT JOIN left_over USING (r)
+"""
+
 STATEMENTS: dict[str, str] = {
     "op3_embeddings": EMBEDDINGS, "op5_warc": WARC, "op7_decontamination": DECONTAMINATION, "op9_sharding": SHARDING,
+    "op10_line_dedup": LINES,
 }
