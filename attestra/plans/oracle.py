@@ -730,6 +730,31 @@ _SQL: dict[str, str] = {
     "analysis_gate": """
         SELECT CAST(c_custkey AS VARCHAR) AS project_id, CASE c_custkey % 4 WHEN 0 THEN 'pass' WHEN 3 THEN 'draft_approved' ELSE 'blocked' END AS gate_decision
         FROM customer""",
+    "affected_by_project": """
+        WITH r AS (SELECT DISTINCT project_id, 'C' || (o_orderkey % 211) AS claim_id, o_orderkey % 101 AS f FROM op),
+        x AS (SELECT DISTINCT project_id, o_orderkey % 97 AS f FROM op WHERE o_orderkey % 5 = 0),
+        c AS (SELECT DISTINCT project_id, claim_id FROM r JOIN x USING (project_id, f)),
+        t AS (SELECT DISTINCT op.project_id, op.o_custkey % 53 AS k FROM op JOIN c ON c.project_id = op.project_id AND c.claim_id = 'C' || (op.o_orderkey % 211))
+        SELECT project_id, 'claim' AS item_type, claim_id AS item_id FROM c
+        UNION ALL SELECT project_id, 'task', 'K' || k FROM t
+        UNION ALL SELECT DISTINCT op.project_id, CASE WHEN o_orderkey % 2 = 0 THEN 'requirement' ELSE 'ac' END, 'R' || (o_orderkey % 307)
+        FROM op JOIN t ON t.project_id = op.project_id AND t.k = op.o_custkey % 53""",
+    "reference_findings_by_project": """
+        WITH e AS (
+            SELECT p_size % 25 AS project_id, 'E' || (p_partkey % 50) AS ref, p_partkey,
+                CASE WHEN p_partkey % 7 = 0 THEN 'violated' WHEN p_partkey % 11 = 0 THEN 'unclear' ELSE 'compliant' END AS status FROM part),
+        k AS (SELECT project_id, ref, count(DISTINCT status) AS n, bool_or(status = 'violated') AS v, bool_or(status = 'unclear') AS u FROM e GROUP BY 1, 2),
+        c AS (SELECT project_id, o_orderkey FROM op WHERE o_orderstatus <> 'O'),
+        x AS (SELECT c.project_id, c.o_orderkey, 'E' || (l_partkey % 60) AS ref, l_linenumber AS pos FROM c JOIN lineitem ON l_orderkey = c.o_orderkey WHERE l_discount < 0.05),
+        j AS (SELECT x.*, k.n, k.v, k.u FROM x LEFT JOIN k USING (project_id, ref))
+        SELECT project_id, 'C' || o_orderkey AS claim_id, 'self_referential_claim' AS category, CAST(NULL AS VARCHAR) AS ref, CAST(0 AS BIGINT) AS pos
+        FROM c WHERE o_orderkey NOT IN (SELECT o_orderkey FROM x)
+        UNION ALL SELECT project_id, 'C' || o_orderkey, 'conflicting_statuses', ref, pos FROM j WHERE n > 1
+        UNION ALL SELECT project_id, 'C' || o_orderkey, CASE WHEN n IS NULL THEN 'non_existent_evidence' WHEN v THEN 'violated_evidence' ELSE 'unclear_evidence_status' END, ref, pos
+        FROM j WHERE n IS NULL OR v OR u""",
+    "dangling_by_project": """
+        SELECT project_id, o_orderkey, 'M' || (o_orderkey % 40) AS module_id FROM op WHERE NOT EXISTS (
+            SELECT 1 FROM supplier WHERE s_nationkey = op.project_id AND s_suppkey % 40 = op.o_orderkey % 40)""",
     "skipped_refs": """
         SELECT DISTINCT p_brand AS project_id, 'doc/f' || (p_partkey % 40) || '.md' AS source_path, 'skipped' AS status, 'no_tool_applies' AS skip_reason
         FROM part WHERE p_size % 3 = 0""",

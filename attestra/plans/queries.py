@@ -1592,3 +1592,42 @@ def analysis_gate(b: Bound) -> DataFrame:
     """The whole analysis, end to end: the decision on every project."""
     report = analysis.run(_portfolio(b), as_of=F.lit(AS_OF).cast("timestamp"), package="app")
     return report["gate"].select("project_id", "gate_decision")
+
+
+# --- projects that share their keys ---------------------------------------------------------------
+
+
+@query
+def affected_by_project(b: Bound) -> DataFrame:
+    """What changes touch, where every nation has claims, tasks, files and requirements of the same names."""
+    key = F.col("o_orderkey")
+    claim_id, task_id = F.concat(F.lit("C"), (key % 211).cast("string")), F.concat(F.lit("K"), (F.col("o_custkey") % 53).cast("string"))
+    orders = b.order_project
+    changed = orders.select("project_id", F.concat(F.when(key % 5 == 0, "f").otherwise("g"), (key % 97).cast("string")).alias("path"))
+    claim = orders.select("project_id", claim_id.alias("claim_id"), task_id.alias("related_task"))
+    file_ref = orders.select("project_id", claim_id.alias("claim_id"), F.concat(F.lit("f"), (key % 101).cast("string"), F.lit("#L2")).alias("ref"))
+    link = orders.select("project_id", task_id.alias("task_id"), F.when(key % 2 == 0, "requirement").otherwise("ac").alias("item_type"), F.concat(F.lit("R"), (key % 307).cast("string")).alias("item_id"))
+    return impact.affected_items(changed, claim, file_ref, link)
+
+
+@query
+def reference_findings_by_project(b: Bound) -> DataFrame:
+    """Claims cite evidence by names that other nations use too, with other statuses or not at all."""
+    orders = b.order_project
+    claim_id = text_id("C", "o_orderkey").alias("claim_id")
+    claim = orders.select("project_id", claim_id, F.when(F.col("o_orderstatus") == "O", "partial").otherwise("covered").alias("claimed_status"), F.col("o_orderkey").alias("ord"))
+    lines = b.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    refs = lines.select("project_id", claim_id, F.when(F.col("l_discount") < 0.05, F.concat(F.lit("E"), (F.col("l_partkey") % 60).cast("string"))).otherwise(text_id("C", "o_orderkey")).alias("ref"), F.col("l_linenumber").alias("pos"))
+    evidence = b.table("part").select(
+        (F.col("p_size") % 25).alias("project_id"), F.concat(F.lit("E"), (F.col("p_partkey") % 50).cast("string")).alias("evidence_id"), F.lit("").alias("source_path"),
+        F.lit("tool").alias("source_type"), F.lit(None).cast("string").alias("nodeid"),
+        F.when(F.col("p_partkey") % 7 == 0, "violated").when(F.col("p_partkey") % 11 == 0, "unclear").otherwise("compliant").alias("status"), F.col("p_partkey").alias("ord"))
+    return claims.reference_findings(claim, refs, evidence).select("project_id", "claim_id", "category", "ref", "pos")
+
+
+@query
+def dangling_by_project(b: Bound) -> DataFrame:
+    """References of orders to names that exist in other nations, but not in their own."""
+    child = b.order_project.select("project_id", "o_orderkey", F.concat(F.lit("M"), (F.col("o_orderkey") % 40).cast("string")).alias("module_id"))
+    parent = b.table("supplier").select(F.col("s_nationkey").alias("project_id"), F.concat(F.lit("M"), (F.col("s_suppkey") % 40).cast("string")).alias("module_id"))
+    return integrity.dangling_refs(child, parent, ref="module_id", key="module_id").select("project_id", "o_orderkey", "module_id")
