@@ -755,6 +755,22 @@ _SQL: dict[str, str] = {
     "dangling_by_project": """
         SELECT project_id, o_orderkey, 'M' || (o_orderkey % 40) AS module_id FROM op WHERE NOT EXISTS (
             SELECT 1 FROM supplier WHERE s_nationkey = op.project_id AND s_suppkey % 40 = op.o_orderkey % 40)""",
+    "more_constraint_checks": """
+        WITH p AS (SELECT *, 'parts[' || p_partkey || ']' AS spot FROM part)
+        SELECT p_brand AS project_id, CAST(p_partkey AS VARCHAR) AS key, spot || '.count' AS field_path, 'type' AS rule, 'many' AS value FROM p WHERE p_size % 5 = 0
+        UNION ALL SELECT p_brand, CAST(p_partkey AS VARCHAR), spot || '.title', 'min_length', p_type FROM p WHERE length(p_type) < 6
+        UNION ALL SELECT p_brand, CAST(p_partkey AS VARCHAR), spot || '.size', 'maximum', CAST(p_size AS VARCHAR) FROM p WHERE p_size > 40
+        UNION ALL SELECT p_brand, CAST(p_partkey AS VARCHAR), spot || '.words', 'min_items', NULL FROM p WHERE p_size % 2 <> 0
+        UNION ALL SELECT p_brand, CAST(p_partkey AS VARCHAR), spot || '.z', 'additional', 'z' FROM p WHERE p_size % 7 = 0
+        UNION ALL SELECT p_brand, CAST(p_partkey AS VARCHAR), spot || '.words[0]', 'item_enum', p_type FROM p WHERE p_type NOT IN ('ECONOMY', 'LARGE', 'MEDIUM')
+        UNION ALL SELECT p_brand, CAST(p_partkey AS VARCHAR), spot || '.words[1]', 'item_enum', p_brand FROM p WHERE p_size % 2 = 0 AND p_brand <> 'Brand#1'
+        UNION ALL SELECT p_brand, CAST(p_partkey AS VARCHAR), spot || '.parts[0].name', 'item_required', NULL FROM p WHERE p_size % 3 = 0""",
+    "document_criteria": """
+        SELECT DISTINCT c_custkey % 10 AS project_id, 'AC-P-' || c_nationkey || '-1' AS ac_id FROM customer
+        UNION SELECT c_custkey % 10, 'AC-QX-2-' || (c_custkey % 3) FROM customer""",
+    "rule_requirement_links": """
+        SELECT p_brand AS project_id, 'REQ-' || (p_size + d) AS req_id, true AS top_level, count(*) AS n FROM part, (VALUES (0), (1)) v(d) GROUP BY 1, 2
+        UNION ALL SELECT 'Brand#1', 'MREQ-' || n_nationkey, true, 1 FROM nation""",
     "skipped_refs": """
         SELECT DISTINCT p_brand AS project_id, 'doc/f' || (p_partkey % 40) || '.md' AS source_path, 'skipped' AS status, 'no_tool_applies' AS skip_reason
         FROM part WHERE p_size % 3 = 0""",

@@ -1631,3 +1631,38 @@ def dangling_by_project(b: Bound) -> DataFrame:
     child = b.order_project.select("project_id", "o_orderkey", F.concat(F.lit("M"), (F.col("o_orderkey") % 40).cast("string")).alias("module_id"))
     parent = b.table("supplier").select(F.col("s_nationkey").alias("project_id"), F.concat(F.lit("M"), (F.col("s_suppkey") % 40).cast("string")).alias("module_id"))
     return integrity.dangling_refs(child, parent, ref="module_id", key="module_id").select("project_id", "o_orderkey", "module_id")
+
+
+@query
+def more_constraint_checks(b: Bound) -> DataFrame:
+    """The kinds of constraint that ``constraint_checks`` does not use."""
+    size = F.col("p_size")
+    part = F.struct(F.when(size % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("p_type")).alias("name"), size.alias("n"))
+    rows = b.table("part").select(
+        F.col("p_brand").alias("project_id"), "p_partkey", F.col("p_partkey").alias("ord"),
+        F.when(size % 5 == 0, "many").otherwise(size.cast("string")).alias("count"), F.col("p_type").alias("title"), size.alias("size"),
+        F.when(size % 2 == 0, F.array("p_type", "p_brand")).otherwise(F.array("p_type")).alias("words"),
+        F.when(size % 7 == 0, '{"a": 1, "z": 2}').otherwise('{"a": 1}').alias("extra"), F.array(part).alias("parts"),
+    )
+    checks = [
+        constraints.Check("count", "type", "int"), constraints.Check("title", "min_length", 6), constraints.Check("size", "maximum", 40),
+        constraints.Check("words", "min_items", 2), constraints.Check("extra", "additional", ("a", "b")),
+        constraints.Check("words", "item_enum", ("ECONOMY", "LARGE", "MEDIUM", "Brand#1")), constraints.Check("parts", "item_required", "name"),
+    ]
+    out = constraints.check_rows(rows, checks, table="parts", key="p_partkey")
+    return out.select("project_id", "key", "field_path", "rule", F.when(F.col("rule") != "min_items", F.col("value")).alias("value"))
+
+
+@query
+def document_criteria(b: Bound) -> DataFrame:
+    document = b.table("customer").select(
+        (F.col("c_custkey") % 10).alias("project_id"), F.concat(F.lit("see AC-P-"), F.col("c_nationkey").cast("string"), F.lit("-1, AC-QX-2-"), (F.col("c_custkey") % 3).cast("string"), F.lit(" and AC-p-1-1")).alias("text"))
+    return integrity.document_criteria(document)
+
+
+@query
+def rule_requirement_links(b: Bound) -> DataFrame:
+    links = F.array(text_id("REQ-", "p_size"), text_id("REQ-", F.col("p_size") + 1)).alias("related_requirements")
+    rule = b.table("part").select(F.col("p_brand").alias("project_id"), links)
+    module = b.table("nation").select(F.lit("Brand#1").alias("project_id"), F.array(text_id("MREQ-", "n_nationkey")).alias("related_requirements"))
+    return integrity.rule_requirement_links(rule, module).groupBy("project_id", "req_id", "top_level").agg(F.count(F.lit(1)).alias("n"))
