@@ -227,26 +227,26 @@ def pending_decisions(
     )
 
 
-def _is_member(rows: DataFrame, members: DataFrame, column: str, flag: str, scope: Sequence[str]) -> DataFrame:
-    ids = members.select(*scope, F.col("item_id").alias(column)).distinct().withColumn(flag, F.lit(True))
-    return rows.join(ids, [*scope, column], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+def _base_urgency(rows: DataFrame, affected: DataFrame, cover: DataFrame, column: str, scope: Sequence[str]) -> DataFrame:
+    """``_urgency``: 85 for items the change touches, 60 for those that some evidence covers; one join for both."""
+    items = affected.select(*scope, F.col("item_id").alias(column), F.lit(85).alias("_urgency")).unionByName(
+        cover.select(*scope, F.col("item_id").alias(column), F.lit(60).alias("_urgency"))
+    )
+    known = items.groupBy(*scope, column).agg(F.max("_urgency").alias("_urgency"))
+    return left_join_known(rows, known, [*scope, column], column)
 
 
 def gap_urgency(gap: DataFrame, affected: DataFrame, cover: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
     """85 if the change touches the item, 60 if some evidence covers it, else 30."""
-    rows = _is_member(_is_member(gap, affected, "item_id", "_touched", scope), cover, "item_id", "_evidenced", scope)
-    return rows.withColumn(
-        "urgency", F.when(F.col("_touched"), 85).when(F.col("_evidenced"), 60).otherwise(30)
-    ).drop("_touched", "_evidenced")
+    rows = _base_urgency(gap, affected, cover, "item_id", scope)
+    return rows.withColumn("urgency", F.coalesce("_urgency", F.lit(30))).drop("_urgency")
 
 
 def risk_urgency(risk: DataFrame, affected: DataFrame, cover: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
     """85 if the change touches the claim, 60 if evidence covers it, 25 if stale, else 30."""
-    rows = _is_member(_is_member(risk, affected, "claim_id", "_touched", scope), cover, "claim_id", "_evidenced", scope)
+    rows = _base_urgency(risk, affected, cover, "claim_id", scope)
     stale = F.coalesce("stale", F.lit(False)) if "stale" in risk.columns else F.lit(False)
-    return rows.withColumn(
-        "urgency", F.when(F.col("_touched"), 85).when(F.col("_evidenced"), 60).when(stale, 25).otherwise(30)
-    ).drop("_touched", "_evidenced")
+    return rows.withColumn("urgency", F.coalesce("_urgency", F.when(stale, 25).otherwise(30))).drop("_urgency")
 
 
 def _action(rows: DataFrame, scope, priority, kind, item: str, detail: Column, urgency: Column, rank: int) -> DataFrame:
