@@ -21,7 +21,7 @@ from attestra.llm.rows import only
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded pre-tokens that a worker remembers. It saves work and changes no result.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
 #: Fragments up to this length are merged without a heap.
 SHORT, NO_MERGE = 32, 1 << 30
 #: Ids are below 1 << ID_BITS.
@@ -160,16 +160,16 @@ class Codec:
         return b"".join(map(of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
+_vocabularies: dict[str, Vocabulary] = {}
 
 
 def _codec(shipped: Broadcast) -> Codec:
-    """The worker's codec, built once per vocabulary file and kept between tasks."""
+    """A codec for one task. The worker keeps the vocabulary, but not the words that a task remembers."""
     text = shipped.value
     key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs[key] = Codec(Vocabulary(text))
-    return _codecs[key]
+    if key not in _vocabularies:
+        _vocabularies[key] = Vocabulary(text)
+    return Codec(_vocabularies[key])
 
 
 def ship(spark: SparkSession, path: str) -> Broadcast:

@@ -16,7 +16,7 @@ from attestra.session import cut_lineage, stored
 
 WINDOW = 13
 #: A segment of the index is closed after so many bytes of text; a document is never cut.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Test items are searched in blocks of so many bytes of text, which bounds what is sent to the tasks.
 BLOCK_BYTES = 8 << 20
 #: A proximity match has so many of a window's rarest terms, each so many words off its place at most.
