@@ -52,5 +52,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _digest(edges: DataFrame) -> tuple:
+    """Equal for equal tables. The sum is a decimal: one of whole numbers overflows from about 100,000 rows on."""
     h = F.xxhash64("big", "small")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 8))).collect()[0])
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(28,0)"))).collect()[0])

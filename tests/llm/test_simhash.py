@@ -89,3 +89,11 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.root for r in components(frame).collect()}
     clean = [(a, b) for a, b in pairs if a is not None and a != b]
     assert got == brute_components(clean, {n for p in clean for n in p})
+
+
+def test_components_of_a_million_links(spark):
+    n = 1_000_000
+    pairs = spark.range(n, numPartitions=4).selectExpr("id AS a", f"id + {n} AS b")
+    found = components(pairs)
+    assert found.count() == 2 * n
+    assert found.filter(f"root != node % {n}").count() == 0
