@@ -19,7 +19,8 @@ WINDOW = 13
 SEGMENT_BYTES = 2 << 20
 #: Test items are searched in blocks of so many bytes of text, which bounds what is sent to the tasks.
 BLOCK_BYTES = 8 << 20
-#: A proximity match has so many of a window's rarest terms, each so many words off its place at most.
+#: A proximity match has so many of a window's rarest terms that the index holds (all, if the item has fewer words),
+#: each so many words off its place at most.
 NEAR_TERMS, SLACK = 5, 3
 #: A document is contaminated if one word in so many, or more, is hit.
 SHARE = 20
@@ -118,6 +119,8 @@ class Items:
     ids: list[str] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
     number: dict[bytes, int] = field(default_factory=dict)
+    #: Per item and window: the places of its rarest terms in the whole index, rarest first; -1: too few are there.
+    rarest: list[np.ndarray] = field(default_factory=list)
 
     def add(self, item_id: str, text: bytes) -> None:
         found = [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
@@ -125,6 +128,15 @@ class Items:
             self.ids.append(item_id)
             self.words.append(np.array(found, np.int32))
 
+    def rank(self, lengths: np.ndarray) -> None:
+        """Set ``rarest`` by the terms' list lengths in the whole index, so that it is the same for every segment."""
+        for words in self.words:
+            windows = np.lib.stride_tricks.sliding_window_view(words, min(WINDOW, len(words)))
+            n = min(NEAR_TERMS, windows.shape[1])
+            held = lengths[windows]
+            order = np.argsort(np.where(held, held, np.iinfo(np.int64).max), axis=1, kind="stable")[:, :n]
+            self.rarest.append(np.where((held > 0).sum(axis=1, keepdims=True) >= n, order, -1))
+
 
 class Segment:
     """Postings of the test terms in one segment."""
@@ -134,6 +146,7 @@ class Segment:
         places = np.cumsum(np.frombuffer(positions, "<u4"), dtype=np.uint32).astype(np.int64)
         ends = np.cumsum(lengths)
         self.starts = np.array(starts, np.int64)
+        self.ends = self.starts + np.array(n_words, np.int64)
         length = int(starts[-1] + n_words[-1] + 1) if starts else 0
         self.postings: list[np.ndarray] = [places[:0]] * len(items.number)
         #: The test term at each position; -1: another one, or none.
@@ -160,25 +173,23 @@ class Segment:
             starts = starts[(self.term_at[starts[:, None] + np.arange(len(window))] == window).all(axis=1)]
         return starts
 
-    def near(self, window: np.ndarray) -> np.ndarray:
+    def near(self, window: np.ndarray, rarest: np.ndarray) -> np.ndarray:
         """Positions of the rarest term where the next rarest are all at their places, give or take SLACK."""
-        order = np.argsort(self.lengths[window], kind="stable")[:NEAR_TERMS]
-        found = self.postings[window[order[0]]]
+        found = self.postings[window[rarest[0]]]
         doc = np.searchsorted(self.starts, found, side="right")
-        for i in order[1:]:
+        for i in rarest[1:]:
             if not len(found):
                 return found
             other = self.postings[window[i]]
-            wanted = found - order[0] + i
-            low = np.searchsorted(other, wanted - SLACK)
-            inside = low < np.searchsorted(other, wanted + SLACK, side="right")
-            inside[inside] &= np.searchsorted(self.starts, other[low[inside]], side="right") == doc[inside]
+            wanted = found - rarest[0] + i
+            low = np.searchsorted(other, np.maximum(wanted - SLACK, self.starts[doc - 1]))
+            inside = low < np.searchsorted(other, np.minimum(wanted + SLACK, self.ends[doc - 1]), side="right")
             found, doc = found[inside], doc[inside]
         return found
 
     def search(self, items: Items) -> Iterator[tuple[int, str, list[tuple[int, int]], bool]]:
         """``(document, item, exact spans, near)`` with spans in words of the document."""
-        for item_id, words in zip(items.ids, items.words, strict=True):
+        for item_id, words, rarest in zip(items.ids, items.words, items.rarest, strict=True):
             n = min(WINDOW, len(words))
             absent = np.concatenate([[0], np.cumsum(self.lengths[words] == 0)])
             exact: dict[int, list[tuple[int, int]]] = {}
@@ -193,8 +204,10 @@ class Segment:
                         spans[-1] = (spans[-1][0], max(spans[-1][1], first + n))
                     else:
                         spans.append((first, first + n))
-                if n == WINDOW:
-                    near.update(self._doc(self.near(window)))
+            windows = np.lib.stride_tricks.sliding_window_view(words, n)
+            here = (self.lengths[np.take_along_axis(windows, rarest, axis=1)] > 0).all(axis=1) & (rarest[:, 0] >= 0)
+            for w in np.flatnonzero(here):
+                near.update(self._doc(self.near(windows[w], rarest[w])))
             for doc in exact.keys() | near:
                 yield doc, item_id, exact.get(doc, []), doc in near and doc not in exact
 
@@ -202,6 +215,30 @@ class Segment:
         return (np.searchsorted(self.starts, positions, side="right") - 1).tolist()
 
 
+def _list_lengths(index: DataFrame, items: Items) -> np.ndarray:
+    """The length of each test term's list in the whole index; a task gives one row per term it has."""
+    shipped = index.sparkSession.sparkContext.broadcast(items.number)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shipped.value
+        total = np.zeros(len(number), np.int64)
+        for batch in batches:
+            for terms, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lengths = np.frombuffer(counts, "<u4")
+                at = [(i, number[t]) for i, t in enumerate(terms.split(b" ") if terms else ()) if t in number]
+                if at:
+                    i, n = np.array(at).T
+                    total[n] += lengths[i]
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["term", "n"])
+
+    lengths = np.zeros(len(items.number), np.int64)
+    for term, n in index.select("terms", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
+        lengths[term] = n
+    shipped.unpersist()
+    return lengths
+
+
 HITS = "segment string, doc int, item string, spans array<struct<start: int, until: int>>, near boolean"
 
 
@@ -223,12 +260,14 @@ def search(index: DataFrame, benchmark: DataFrame, id_column: str = "item_id", t
 
     Every WINDOW consecutive words of an item are looked up, or all of its words if it has fewer. The
     offset-adjusted lists of a window's rarest terms in the segment are intersected, and what is left is compared word
-    by word. A document with no exact match has ``near`` set where NEAR_TERMS rarest terms of a window are
-    all found within SLACK words of their places. Test items are gone through in blocks, each against all
+    by word. A document with no exact match has ``near`` set where the NEAR_TERMS rarest terms of a window are
+    all found within SLACK words of their places: the rarest of those that the whole index holds, so matches do
+    not depend on which documents share a segment. Test items are gone through in blocks, each against all
     segments; segments are searched where they are read.
     """
     found = None
     for items in _item_blocks(benchmark, id_column, text):
+        items.rank(_list_lengths(index, items))
         shipped = index.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterable[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:

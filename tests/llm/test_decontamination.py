@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -91,3 +92,43 @@ def test_empty_tables(spark):
     assert {r.n_hit for r in dc.contamination(index, dc.search(index, benchmark.limit(0))).collect()} == {0}
     nothing = dc.build_index(frame.limit(0))
     assert dc.contamination(nothing, dc.search(nothing, benchmark)).collect() == []
+
+
+def brute_near(docs, items):
+    """Documents and the number of items near in each, by plain loops."""
+    have = [(doc_id, words(text)) for doc_id, text in docs]
+    total = Counter(w for _, text in have for w in text)
+    exact = {r[0]: r[3] for r in brute(docs, items)}
+    out = {}
+    for doc_id, text in have:
+        near = set()
+        for item_id, item in items:
+            need = words(item)
+            n = min(dc.WINDOW, len(need))
+            for s in range(len(need) - n + 1 if n else 0):
+                window = need[s : s + n]
+                rarest = sorted((i for i in range(n) if total[window[i]]), key=lambda i: total[window[i]])[: dc.NEAR_TERMS]
+                if len(rarest) == min(n, dc.NEAR_TERMS) and any(
+                    all(window[i] in text[max(0, at - rarest[0] + i - dc.SLACK) : max(0, at - rarest[0] + i + dc.SLACK + 1)] for i in rarest)
+                    for at in range(len(text)) if text[at] == window[rarest[0]]
+                ):
+                    near.add(str(item_id))
+        out[doc_id] = len(near - set(exact[doc_id]))
+    return out
+
+
+@pytest.mark.parametrize("segment", [1, 300, 2000, 1 << 20])
+def test_near_matches_do_not_depend_on_segments(spark, monkeypatch, segment):
+    monkeypatch.setattr(dc, "SEGMENT_BYTES", segment)
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(rng.choice([3, 6, 9, 14, 20])))) for i in range(30)]
+    docs = []
+    for i in range(60):
+        text = words(rng.choice(items)[1])
+        text[rng.randrange(len(text))] = f"changed{i}"
+        docs.append((i, " ".join([*[f"w{rng.randrange(260)}" for _ in range(rng.randrange(8))], *text])))
+    index = dc.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    hits = dc.search(index, spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: r.near_items for r in dc.contamination(index, hits).collect()}
+    assert got == brute_near(docs, items)
+    assert sum(got.values()) > 10
