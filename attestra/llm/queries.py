@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm import (
-    bpe, decontamination, embeddings, fim, line_templates, quality, sharding, simhash, token_counts, urls, warc, whitening,
+    bpe, decontamination, embeddings, fim, language_model, line_templates, quality, sharding, simhash, token_counts, urls, warc, whitening,
 )
 from attestra.llm.rows import read, tokenizer_file
 from attestra.session import prepare
@@ -109,6 +109,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
 
 
+@query
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.train(docs))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
