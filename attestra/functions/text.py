@@ -111,26 +111,3 @@ def test_scenarios(title: Column) -> Column:
     found = F.array_compact(F.array(*tags))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("default")))
 
-
-def import_lines(source: Column) -> Column:
-    """Imports of a Python source as ``array<struct<imported_module, lineno>>``.
-
-    Read line by line: imports inside strings count, names after a line continuation do not, and a
-    relative import without a module name has no target and is dropped.
-    """
-    from_form = r"^\s*from\s+\.*([\w.]*)\s+import\b"
-    plain_form = r"^\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)"
-
-    def of_line(line: Column, index: Column) -> Column:
-        names = F.when(line.rlike(from_form), F.array(F.regexp_extract(line, from_form, 1))).otherwise(
-            F.transform(
-                F.split(F.regexp_extract(line, plain_form, 1), r"\s*,\s*"),
-                lambda name: F.regexp_extract(name, r"^([\w.]+)", 1),
-            )
-        )
-        return F.transform(
-            F.filter(names, lambda name: name != ""),
-            lambda name: F.struct(name.alias("imported_module"), (index + 1).cast("int").alias("lineno")),
-        )
-
-    return F.flatten(F.transform(lines(source), of_line))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.functions import source_code
 from attestra.functions import text as tx
 from attestra.functions.ids import as_column, sentinel_evidence
 from attestra.functions.status import is_stale_acceptance
@@ -18,7 +19,7 @@ from attestra.schemas import ACCEPTANCE_DAYS, BANNED_PACKAGES, BANNED_RUNTIMES,
 
 def import_edges(source: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Python sources (scope, path, text) -> one row per import: scope, file_path, imported_module, lineno."""
-    return source.select(*scope, F.col("path").alias("file_path"), F.explode(tx.import_lines(F.col("text"))).alias("_i")).select(
+    return source.select(*scope, F.col("path").alias("file_path"), F.explode(source_code.import_lines(F.col("text"))).alias("_i")).select(
         *scope, "file_path", "_i.imported_module", "_i.lineno"
     )
 

@@ -553,7 +553,9 @@ _SQL: dict[str, str] = {
         SELECT 'f' || c_custkey AS file_path, 'os' AS imported_module, 1 AS lineno FROM customer
         UNION ALL SELECT 'f' || c_custkey, 'pkg.' || c_mktsegment, 1 FROM customer
         UNION ALL SELECT 'f' || c_custkey, 'pkg.n' || c_nationkey, 2 FROM customer
-        UNION ALL SELECT 'f' || c_custkey, 'sub', 4 FROM customer""",
+        UNION ALL SELECT 'f' || c_custkey, 'sub', 4 FROM customer
+        UNION ALL SELECT 'f' || c_custkey, CASE m WHEN 'more' THEN 'more.' || c_nationkey ELSE m END, n FROM customer,
+            (VALUES ('late', 11), ('more', 11), ('after', 14), ('lists', 15), ('last', 20), ('x.y', 20)) v(m, n)""",
     "id_checks": r"""
         WITH v AS (SELECT *, regexp_matches(id, '^((AC|DOD)-P-\d+-\d+|(REQ|TASK|MOD|GATE|FORBID|PRINCIPLE|PHASE|EVIDENCE|RISK|CLAIM)-P-\d+|PROJECT-P)$') AS ok FROM idtext)
         SELECT c_custkey, CASE WHEN ok THEN split_part(id, '-', 1) END AS id_type,

@@ -858,11 +858,14 @@ def must_rollup(b: Bound) -> DataFrame:
 
 @query
 def import_edges(b: Bound) -> DataFrame:
-    """Sources built per customer, one import line of each form."""
+    """Sources built per customer: every form of import, and imports that are none."""
     source = b.table("customer").select(
         F.concat(
             F.lit("import os, pkg."), F.col("c_mktsegment"), F.lit(" as m\n  from pkg.n"), F.col("c_nationkey").cast("string"),
             F.lit(" import x\nfrom . import y\nfrom .sub import z\n# import no\nvalue = 1\n"),
+            F.lit('''def f():\n    """Docs.\n    import no\n    """\n    import late, \\\n        more.'''), F.col("c_nationkey").cast("string"),
+            F.lit(" as k\ntext = 'it\\'s \\\nimport no'; import after\nfrom lists import (a,  # 'import no\n    b)\n"),
+            F.lit("again = '''\nimport no\n'''\nif value: import last; from x . y import z\n"),
         ).alias("text"),
         text_id("f", "c_custkey").alias("path"),
     )

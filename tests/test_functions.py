@@ -5,7 +5,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from attestra.functions import hashing, ids, status, text as tx
+from attestra.functions import hashing, ids, source_code, status, text as tx
 from tests.conftest import rows_of
 
 
@@ -102,5 +102,5 @@ def test_hashes(spark):
 
 def test_imports(spark):
     source = "import os, a.b as c\nfrom x.y import z\nfrom . import q\nfrom .rel import w\n  import late\nimportant = 1\n# import no\nfrom x import (a,\n"
-    (found,) = values(spark, [(source,)], "a string", tx.import_lines(F.col("a")))
+    (found,) = values(spark, [(source,)], "a string", source_code.import_lines(F.col("a")))
     assert [(f.imported_module, f.lineno) for f in found] == [("os", 1), ("a.b", 1), ("x.y", 2), ("rel", 4), ("late", 5), ("x", 8)]
