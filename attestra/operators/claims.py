@@ -100,18 +100,21 @@ def completed_claims(claim: DataFrame) -> DataFrame:
 
 
 def reference_findings(
-    claim: DataFrame, evidence_ref: DataFrame, evidence: DataFrame, *, scope: Sequence[str] = SCOPE
+    claim: DataFrame, evidence_ref: DataFrame, evidence: DataFrame, *, evidence_scope: Sequence[str] | None = None,
+    scope: Sequence[str] = SCOPE,
 ) -> DataFrame:
     """What is wrong with the evidence a completed claim cites (itself excluded).
 
-    ``evidence_ref``: scope, claim_id, ref, pos.
+    ``evidence_ref``: scope, claim_id, ref, pos. ``evidence_scope`` are the scope columns the evidence has, if it has fewer:
+    evidence that several projects share.
     """
+    shared = scope if evidence_scope is None else evidence_scope
     claims = completed_claims(claim).select(*scope, "claim_id", "ord")
     external = evidence_ref.filter(F.col("ref") != F.col("claim_id")).select(*scope, "claim_id", "ref", "pos")
     # The references stream on the left of both joins, so a hot claim and a hot path can both be split.
     alone = claims.join(external.select(*scope, "claim_id").distinct(), [*scope, "claim_id"], "left_anti")
     seen = external.join(claims, [*scope, "claim_id"]).join(
-        reference_keys(evidence, scope=scope), [*scope, "ref"], "left"
+        reference_keys(evidence, scope=shared), [*shared, "ref"], "left"
     )
 
     def found(category: str, detail: Column | None = None) -> Column:

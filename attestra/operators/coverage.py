@@ -17,21 +17,29 @@ def explode_covers(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("item_id", F.explode(F.array_distinct("covers"))).drop("covers")
 
 
-def requirement_coverage(requirement: DataFrame, cover: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
+def _rows_where(condition: Column | None, weight: str | None) -> Column:
+    """How many rows hold; rows may stand for several."""
+    n = F.lit(1) if weight is None else F.col(weight)
+    return F.coalesce(F.sum(n if condition is None else F.when(condition, n)), F.lit(0)).cast("bigint")
+
+
+def requirement_coverage(
+    requirement: DataFrame, cover: DataFrame, *, weight: str | None = None, scope: Sequence[str] = SCOPE
+) -> DataFrame:
     """Status of every requirement from the tasks that cover it.
 
     No task: missing. Unclear priority or an unclear task: unclear. All tasks covered: covered. Else
     partial. Evidence is reduced to one row per item before it meets the requirements.
 
-    ``cover``: scope, item_id, source_type, status.
+    ``cover``: scope, item_id, source_type, status; with ``weight``, the column that tells how many rows one stands for.
     """
     tasks = (
         cover.filter(F.col("source_type") == "task")
         .groupBy(*scope, F.col("item_id").alias("req_id"))
         .agg(
-            F.count(F.lit(1)).alias("n_evidence"),
-            F.count_if(F.col("status") == "unclear").alias("_unclear"),
-            F.count_if(F.col("status") == "covered").alias("_covered"),
+            _rows_where(None, weight).alias("n_evidence"),
+            _rows_where(F.col("status") == "unclear", weight).alias("_unclear"),
+            _rows_where(F.col("status") == "covered", weight).alias("_covered"),
         )
     )
     n = F.coalesce("n_evidence", F.lit(0))
@@ -50,13 +58,15 @@ def requirement_coverage(requirement: DataFrame, cover: DataFrame, *, scope: Seq
     )
 
 
-def criterion_coverage(criterion: DataFrame, cover: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:
+def criterion_coverage(
+    criterion: DataFrame, cover: DataFrame, *, weight: str | None = None, scope: Sequence[str] = SCOPE
+) -> DataFrame:
     """Covered if any passing test covers the criterion, else missing; ``criterion`` carries its
     requirement's ``priority``. A gap needs a must requirement and required testing."""
     passing = (
         cover.filter((F.col("source_type") == "test") & (F.col("status") == "covered"))
         .groupBy(*scope, F.col("item_id").alias("ac_id"))
-        .agg(F.count(F.lit(1)).alias("n_evidence"))
+        .agg(_rows_where(None, weight).alias("n_evidence"))
     )
     required = (F.col("priority") == "must") & F.col("is_testing_required")
     return (

@@ -257,6 +257,20 @@ _CTES: dict[str, str] = {
 _SQL: dict[str, str] = {
     "requirement_coverage": """
         SELECT project_id, req_id, priority, status, n_evidence, status = 'missing' AND priority = 'must' AS is_gap FROM req""",
+    "requirement_coverage_after_changes": """
+        WITH line AS (
+            SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN 'unclear' WHEN l_returnflag = 'A' THEN 'covered'
+                WHEN l_returnflag = 'N' THEN 'partial' ELSE 'unclear' END AS status FROM lineitem WHERE l_orderkey % 7 <> 0),
+        n AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (status = 'unclear') AS u, count(*) FILTER (status = 'covered') AS c FROM line GROUP BY 1),
+        r AS (SELECT c_nationkey AS project_id, o_orderkey AS req_id, coalesce(n, 0) AS n_evidence, left(o_orderpriority, 1) AS level, u, c
+            FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN n ON l_orderkey = o_orderkey),
+        s AS (SELECT *, CASE WHEN n_evidence = 0 THEN 'missing' WHEN level = '4' OR u > 0 THEN 'unclear' WHEN c = n_evidence THEN 'covered' ELSE 'partial' END AS status FROM r)
+        SELECT project_id, req_id, status, n_evidence, status = 'missing' AND level IN ('1', '2') AS is_gap FROM s""",
+    "published_report": """
+        WITH run AS (SELECT * FROM (VALUES ('RUN-1', 'RUN-1', 0), ('last', 'RUN-2', 2000)) v(asked, run_id, bound)),
+        n AS (SELECT asked, c_nationkey, count(*) AS n FROM customer JOIN run ON c_acctbal < bound GROUP BY ALL)
+        SELECT run.asked, run_id, n_nationkey AS project_id, CASE WHEN coalesce(n, 0) > 2 THEN 'blocked' ELSE 'pass' END AS gate_decision, coalesce(n, 0) AS n_gaps
+        FROM run CROSS JOIN nation LEFT JOIN n ON n.asked = run.asked AND c_nationkey = n_nationkey""",
     "requirement_evidence": """
         SELECT l_orderkey AS req_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS evidence_id
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority LIKE '1%'""",
@@ -855,6 +869,9 @@ def _needed(text: str, seen: list[str]) -> None:
                 seen.append(name)
 
 
+_SQL["gate_from_store"] = _SQL["gate_by_project"]
+
+
 def statements() -> dict[str, str]:
     """Query name -> statement with the expressions it needs."""
     out = {}

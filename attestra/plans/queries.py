@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from attestra.functions import ids, scope as sc, text as tx
 from attestra.functions.hashing import file_hash, with_content_hash
 from attestra.functions.status import coverage_status, task_evidence_status
-from attestra.operators import claims, compliance, constraints, coverage, delta, findings, gate, health, impact, integrity
+from attestra.operators import claims, compliance, constraints, coverage, delta, findings, gate, health, impact, integrity, rollup
 from attestra.operators.sequence import number_rows
 from attestra.plans import analysis
 from attestra.plans.bindings import Bound, module_file, priority_of, text_id
 from attestra.schemas import TABLES
 from attestra.session import cut_lineage, shared_folder
 from attestra.sources import documents, ledgers, reports, sinks
+from attestra.sources.rollups import RollupStore
+from attestra.sources.store import LedgerStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -33,6 +35,21 @@ def query(build: Callable[[Bound], DataFrame]) -> Callable[[Bound], DataFrame]:
 # --- coverage -------------------------------------------------------------------------------------
 
 
+@query
+def requirement_coverage_after_changes(b: Bound) -> DataFrame:
+    """Roll-ups from stored counts after a change set: lines of late orders returned, those of small ones taken back."""
+    cover = b.task_cover.withColumn("line", F.col("evidence_id"))
+    returned = cover.filter(F.col("item_id") % 5 == 0).withColumn("status", F.lit("unclear"))
+    gone = cover.filter(F.col("item_id") % 7 == 0)
+    touched = cover.filter((F.col("item_id") % 5 == 0) | (F.col("item_id") % 7 == 0))
+    store = RollupStore(b.spark, _written(b), parts=16, scope=SINGLE)
+    store.create(cover, run_id="RUN-1")
+    after = returned.join(gone.select("line"), "line", "left_anti")
+    store.apply(rollup.changed_rows(touched, after, ["line"], scope=SINGLE), run_id="RUN-2")
+    out = coverage.requirement_coverage(b.requirement, store.counts(), weight=rollup.COUNT, scope=SINGLE)
+    return out.select("project_id", "req_id", "status", "n_evidence", "is_gap")
+
+
 @query
 def requirement_coverage(b: Bound) -> DataFrame:
     out = coverage.requirement_coverage(b.requirement, b.task_cover, scope=SINGLE)
@@ -566,12 +583,15 @@ def _gaps(b: Bound) -> DataFrame:
     """Requirement, criterion and task gaps of all projects."""
     requirement = coverage.requirement_gaps(coverage.requirement_coverage(b.requirement, b.task_cover, scope=SINGLE))
     criterion = coverage.criterion_gaps(coverage.criterion_coverage(b.criterion, b.test_cover, scope=SINGLE))
-    task = b.table("customer").filter(F.col("c_acctbal") < 0).select(
+    return findings.merge_gaps([requirement, criterion, _task_gaps(b)])
+
+
+def _task_gaps(b: Bound) -> DataFrame:
+    return b.table("customer").filter(F.col("c_acctbal") < 0).select(
         F.col("c_nationkey").alias("project_id"), F.col("c_custkey").cast("string").alias("item_id"),
         F.lit("task").alias("item_type"), F.lit("no claim").alias("reason"),
         F.col("c_custkey").cast("string").alias("target_id"), F.lit("should").alias("severity"), F.col("c_custkey").alias("ord"),
     )
-    return findings.merge_gaps([requirement, criterion, task])
 
 
 @query
@@ -743,6 +763,48 @@ def gate_by_project(b: Bound) -> DataFrame:
     return gate.gate_result(project, rows, decision)
 
 
+def _stored_ledgers(b: Bound, buckets: int = 16) -> LedgerStore:
+    """The ledgers the gate reads, bucketed by project and item; evidence as counts per status."""
+    store = LedgerStore(b.spark, buckets=buckets)
+    project_of = b.order_project.select(F.col("o_orderkey").alias("item_id"), "project_id")
+
+    def counts(cover: DataFrame) -> DataFrame:
+        # Counted before the project is looked up: an item belongs to one project.
+        counted = rollup.status_counts(cover, scope=SINGLE).join(project_of, "item_id")
+        return counted.withColumn("item_id", F.col("item_id").cast("string"))
+
+    def keyed(rows: DataFrame, key: str) -> DataFrame:
+        return rows.withColumn(key, F.col(key).cast("string"))
+
+    in_project = b.order_project.select(text_id("C", "o_orderkey").alias("claim_id"), "project_id")
+    store.put("requirement", keyed(b.requirement, "req_id"), ["project_id", "req_id"])
+    store.put("criterion", keyed(b.criterion, "ac_id"), ["project_id", "ac_id"])
+    store.put("task_cover", counts(b.task_cover), ["project_id", "item_id"])
+    store.put("test_cover", counts(b.test_cover), ["project_id", "item_id"])
+    store.put("claim", b.claim.join(in_project, "claim_id").select("project_id", "claim_id", "claimed_status", "ord"), ["project_id", "claim_id"])
+    store.put("evidence_ref", b.evidence_ref.join(in_project, "claim_id"), ["project_id", "claim_id"])
+    store.put("decision", _project_decision(b), ["project_id", "targetId"])
+    return store
+
+
+def gate_of_store(b: Bound, store: LedgerStore) -> DataFrame:
+    requirement = coverage.requirement_coverage(store.table("requirement"), store.table("task_cover"), weight=rollup.COUNT)
+    criterion = coverage.criterion_coverage(store.table("criterion"), store.table("test_cover"), weight=rollup.COUNT)
+    gap = findings.merge_gaps([coverage.requirement_gaps(requirement), coverage.criterion_gaps(criterion), _task_gaps(b)])
+    decision = store.table("decision")
+    found = claims.reference_findings(store.table("claim"), store.table("evidence_ref"), b.claim_evidence, evidence_scope=SINGLE)
+    risk = findings.enrich_claim_risks(claims.claim_risks(found)).withColumn("risk_id", F.lit(None).cast("string"))
+    rows = gate.gap_findings(gap, decision).unionByName(gate.risk_findings(risk, decision))
+    project = b.table("nation").select(F.col("n_nationkey").alias("project_id"), F.lit("active").alias("status"))
+    return gate.gate_result(project, rows, decision)
+
+
+@query
+def gate_from_store(b: Bound) -> DataFrame:
+    """The flagship over ledgers kept in buckets: stored once, then joined without exchanges."""
+    return gate_of_store(b, _stored_ledgers(b))
+
+
 @query
 def run_flags(b: Bound) -> DataFrame:
     project, rows, decision = _gate_parts(b)
@@ -1473,6 +1535,33 @@ def written_index(b: Bound) -> DataFrame:
     return b.spark.read.parquet(path).select("project_id", "run_id", "evidence_id", "status", F.array_join("covers", ",").alias("covers"))
 
 
+@query
+def published_report(b: Bound) -> DataFrame:
+    """Gate decisions of three runs in one report: the second is published twice, the third breaks off before its last section."""
+    path = _written(b)
+    project = b.table("nation").select(F.col("n_nationkey").alias("project_id"))
+    gap = b.table("customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_custkey").alias("item_id"))
+
+    def sections(limit: int) -> dict[str, DataFrame]:
+        low = gap.join(b.table("customer").select(F.col("c_custkey").alias("item_id"), "c_acctbal"), "item_id").filter(F.col("c_acctbal") < limit)
+        counted = project.join(low.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")), "project_id", "left")
+        return {"gate": counted.withColumn("gate_decision", F.when(F.coalesce("n", F.lit(0)) > 2, "blocked").otherwise("pass")).drop("n"), "gaps": low.drop("c_acctbal")}
+
+    sinks.write_report(sections(0), path, run_id="RUN-1")
+    sinks.write_report(sections(500), path, run_id="RUN-2")
+    sinks.write_report(sections(2000), path, run_id="RUN-2")
+    broken = sections(9000)
+    sinks.write_section(broken["gate"].withColumn("run_id", F.lit("RUN-3")).withColumn("attempt", F.lit("broken")), f"{path}/gate", by=("project_id", "run_id", "attempt"))
+
+    def decisions(run: str | None) -> DataFrame:
+        gate_rows = sinks.read_report(b.spark, path, "gate", run_id=run)
+        gaps = sinks.read_report(b.spark, path, "gaps", run_id=run).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_gaps"))
+        return gate_rows.join(gaps, "project_id", "left").select(
+            F.lit(run or "last").alias("asked"), "run_id", "project_id", "gate_decision", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"))
+
+    return decisions("RUN-1").unionByName(decisions(None))
+
+
 @query
 def report_parts(b: Bound) -> DataFrame:
     """Orders as a section of each nation's report: every row is in one part."""

@@ -207,7 +207,8 @@ def new_decisions(request: DataFrame, log: DataFrame, *, scope: Sequence[str] =
 
 
 def append_decisions(decision: DataFrame, path: str) -> None:
-    decision.write.mode("append").partitionBy("project_id").json(path)
+    """Append to the log, partitioned by project: a small project gets one file, a large one several."""
+    decision.hint("rebalance", "project_id").write.mode("append").partitionBy("project_id").json(path)
 
 
 def changed_files(listing: DataFrame, *, scope: Sequence[str] = SCOPE) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions.text import iso_timestamp
 from attestra.operators.constraints import check_rows, evidence_checks
 from attestra.operators.sequence import SCOPE
 from attestra.session import cut_lineage
+from attestra.sources import commits
 
 
 class InvalidIndex(ValueError):
@@ -34,14 +36,13 @@ def write_evidence_index(evidence: DataFrame, path: str, *, run_id: str, prefix:
     write_section(evidence.withColumn("run_id", F.lit(run_id)), path)
 
 
-def write_section(rows: DataFrame, path: str) -> None:
+def write_section(rows: DataFrame, path: str, *, by: Sequence[str] = ("project_id", "run_id")) -> None:
     """One report table, partitioned by project and run; partitions of other projects and runs are kept.
 
     Rows are rebalanced on the partition columns: a small project is one file, a large one is split.
     """
     (
-        rows.hint("rebalance", "project_id", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("project_id", "run_id").parquet(path)
+        rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     )
 
 
@@ -51,11 +52,27 @@ REPORT_SECTIONS = (
 )
 
 
-def write_report(sections: Mapping[str, DataFrame], path: str, *, run_id: str) -> None:
-    """The report: one table per section, all rows of all projects."""
-    for name in REPORT_SECTIONS:
-        if name in sections:
-            write_section(sections[name].withColumn("run_id", F.lit(run_id)), f"{path}/{name}")
+def write_report(sections: Mapping[str, DataFrame], path: str, *, run_id: str) -> int:
+    """The report: one table per section, all rows of all projects, published together; returns the commit's number.
+
+    Every attempt of a run has partitions of its own. One that is stopped before its last section has been written has published
+    nothing, and ``read_report`` goes on showing the run before it.
+    """
+    attempt, names, spark = uuid.uuid4().hex, [n for n in REPORT_SECTIONS if n in sections], None
+    for name in names:
+        rows = sections[name].withColumn("run_id", F.lit(run_id)).withColumn("attempt", F.lit(attempt))
+        write_section(rows, f"{path}/{name}", by=("project_id", "run_id", "attempt"))
+        spark = rows.sparkSession
+    return commits.publish(spark, path, dict.fromkeys(names, attempt), run_id=run_id) if names else 0
+
+
+def read_report(spark: SparkSession, path: str, name: str, *, run_id: str | None = None) -> DataFrame:
+    """A section as last published, or as last published by a run."""
+    number = None if run_id is None else commits.commit_of_run(spark, path, run_id)
+    found = commits.current(spark, path, number)
+    if name not in found:
+        raise KeyError(f"{path} has no published {name}" + (f" of {run_id}" if run_id else ""))
+    return spark.read.parquet(f"{path}/{name}").filter(F.col("attempt") == found[name]).drop("attempt")
 
 
 #: About so many rows of a section go into one part of a report document.
@@ -66,7 +83,8 @@ def report_documents(sections: Mapping[str, DataFrame], *, scope: Sequence[str]
     """Sections as JSON lists in numbered parts: scope, section, part, n_parts, document.
 
     Every row is in exactly one part, so the parts of a section together are the section, and no task
-    holds a section that is large. Rows fall into parts by their hash; inside a part they are in order.
+    holds a section that is large. Rows fall into parts by their hash, and equal rows are dealt one by one; inside a part they are
+    in order.
     """
     keys, out = list(scope), None
     for name, rows in sections.items():
@@ -74,8 +92,11 @@ def report_documents(sections: Mapping[str, DataFrame], *, scope: Sequence[str]
         order = [c for c in ("ord", "seq") if c in fields]
         n_parts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("n_parts"))
         entry = F.struct(*order, *[c for c in fields if c not in order]).alias("_entry")
+        # Equal rows are counted, and their copies dealt out from the part their hash names.
+        dealt = rows.groupBy(*keys, *fields).agg(F.count(F.lit(1)).alias("_copies")) if fields else rows.withColumn("_copies", F.lit(1))
+        copies = dealt.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
         parts = (
-            rows.select(*keys, F.xxhash64(F.to_json(F.struct(*fields))).alias("_hash"), entry)
+            copies.select(*keys, (F.xxhash64(F.to_json(F.struct(*fields))).bitwiseAND(F.lit((1 << 62) - 1)) + F.col("_copy")).alias("_hash"), entry)
             .join(n_parts, keys)
             .groupBy(*keys, "n_parts", F.pmod("_hash", "n_parts").cast("int").alias("part"))
             .agg(F.to_json(F.array_sort(F.collect_list("_entry"))).alias("document"))
@@ -134,12 +155,14 @@ def archive_claims(
     """Write the archive, then the emptied ledger as a new version at ``next_path``.
 
     The ledger that is being read is never overwritten: a failure at any point loses nothing, and
-    running again gives the same archive partitions.
+    running again gives the same archive partitions. Rows are rebalanced on the partition columns: a small project is one
+    file, a large one is split.
     """
-    archived_claims(claim, commit, as_of=as_of, scope=scope).write.mode("overwrite").option(
+    archived_claims(claim, commit, as_of=as_of, scope=scope).hint("rebalance", *scope, "commit_id").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(*scope, "commit_id").parquet(archive_path)
-    remaining_claims(claim, commit, scope=scope).write.mode("overwrite").partitionBy(*scope).parquet(next_path)
+    left = remaining_claims(claim, commit, scope=scope).hint("rebalance", *scope)
+    left.write.mode("overwrite").partitionBy(*scope).parquet(next_path)
 
 
 def upsert(stored: DataFrame, changed: DataFrame, *, key: Sequence[str] = SCOPE) -> DataFrame:
