@@ -12,6 +12,7 @@ from attestra.functions import source_code
 from attestra.functions import text as tx
 from attestra.functions.ids import as_column, sentinel_evidence
 from attestra.functions.status import is_stale_acceptance
+from attestra.operators import affixes
 from attestra.operators.joins import left_join_known
 from attestra.operators.sequence import SCOPE, first_per_key
 from attestra.schemas import ACCEPTANCE_DAYS, BANNED_PACKAGES, BANNED_RUNTIMES, RULE_SECTIONS
@@ -161,42 +162,16 @@ def evidence_for_paths(
 ) -> DataFrame:
     """First evidence whose path equals, ends with, or is the end of each path; else the sentinel.
 
-    A suffix match is an equality with one of the other text's suffixes. A text is only expanded into
-    suffixes of the lengths that texts of the other side have in its scope, and suffixes are joined by
-    their 64-bit hash, the texts then being compared.
+    Both sides are reduced to their distinct texts, which one sorted scan compares (:func:`affixes.first_by_suffix`).
     """
-    norm = F.regexp_replace(F.regexp_replace(F.col("path"), r"\\", "/"), "^/+|/+$", "")
-    ev_norm = F.regexp_replace(F.regexp_replace(F.col("source_path"), r"\\", "/"), "^/+|/+$", "")
-    known = first_per_key(
-        evidence.select(*scope, ev_norm.alias("_text"), "evidence_id", "ord").filter(F.col("_text") != ""),
-        [*scope, "_text"], ["ord", "evidence_id"],
-    ).withColumn("_hash", F.xxhash64("_text"))
-    wanted = path.select(*scope, norm.alias("_norm")).filter(F.col("_norm") != "").distinct().withColumn("_hash", F.xxhash64("_norm"))
-    one = "_one"
-
-    def suffixes(texts: DataFrame, text: str, others: DataFrame, other: str) -> DataFrame:
-        """``texts`` with the hash of each suffix that is as long as some text of the other side."""
-        lengths = others.groupBy(*scope, F.lit(1).alias(one)).agg(F.collect_set(F.length(other)).alias("_lengths"))
-        fitting = F.filter("_lengths", lambda n: n <= F.length(text))
-        return (
-            texts.withColumn(one, F.lit(1)).join(lengths, [*scope, one])
-            .withColumn("_hash", F.explode(F.transform(fitting, lambda n: F.xxhash64(F.substr(F.col(text), F.length(text) - n + 1)))))
-            .drop(one, "_lengths")
-        )
+    def normal(text: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.col(text), r"\\", "/"), "^/+|/+$", "")
 
-    keys = [*scope, "_hash"]
-    # The path ends with the evidence path ...
-    longer = suffixes(wanted, "_norm", known, "_text").join(known, keys).filter(F.endswith("_norm", F.col("_text")))
-    # ... or the evidence path ends with the path: of the evidence a suffix stands for, the first.
-    tails = suffixes(known, "_text", wanted, "_norm")
-    shorter = tails.join(wanted, keys).filter(F.endswith("_text", F.col("_norm")))
-    columns = [*scope, "_norm", "evidence_id", "ord"]
-    best = first_per_key(
-        longer.select(*columns).unionByName(shorter.select(*columns)), [*scope, "_norm"], ["ord", "evidence_id"]
-    )
+    known = evidence.select(*scope, normal("source_path").alias("_norm"), "ord", F.col("evidence_id").alias("id"))
+    best = affixes.first_by_suffix(path.select(*scope, normal("path").alias("_norm")), known, text="_norm", scope=scope)
     return (
-        path.withColumn("_norm", norm)
-        .join(best.select(*scope, "_norm", "evidence_id"), [*scope, "_norm"], "left")
+        path.withColumn("_norm", normal("path"))
+        .join(best.select(*scope, "_norm", F.col("id").alias("evidence_id")), [*scope, "_norm"], "left")
         .withColumn("evidence_id", F.coalesce("evidence_id", sentinel_evidence(prefix)))
         .drop("_norm")
     )

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.session import configure
+from attestra.session import prepare
 
 
 def text_id(prefix: str, key: str | Column) -> Column:
@@ -42,7 +42,8 @@ class Bound:
     """Entities over one folder of sample tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = configure(spark), sf_dir
+        prepare(spark)
+        self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
