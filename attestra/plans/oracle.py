@@ -869,7 +869,10 @@ def _needed(text: str, seen: list[str]) -> None:
                 seen.append(name)
 
 
+# Other plans for the same results.
 _SQL["gate_from_store"] = _SQL["gate_by_project"]
+_SQL["claim_delta_of_snapshots"] = _SQL["claim_delta"]
+_SQL["keyed_delta_of_snapshots"] = _SQL["keyed_delta"]
 
 
 def statements() -> dict[str, str]:

@@ -19,6 +19,7 @@ from attestra.schemas import TABLES
 from attestra.session import cut_lineage, shared_folder
 from attestra.sources import documents, ledgers, reports, sinks
 from attestra.sources.rollups import RollupStore
+from attestra.sources.snapshots import SnapshotStore
 from attestra.sources.store import LedgerStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,6 +387,24 @@ def keyed_delta(b: Bound) -> DataFrame:
     )
 
 
+def _stored_snapshots(b: Bound) -> SnapshotStore:
+    """The two revisions, a project per customer, stored with their hash trees."""
+    store = SnapshotStore(b.spark, _written(b), scope=("o_custkey",))
+    for revision, claim in zip(("head", "staged"), b.orders_snapshots, strict=True):
+        store.put(revision, "claim", with_content_hash(claim, exclude=("ord",)), key="claim_id")
+    return store
+
+
+@query
+def claim_delta_of_snapshots(b: Bound) -> DataFrame:
+    return _stored_snapshots(b).active_claims("head", "staged").select("claim_id", "o_orderstatus")
+
+
+@query
+def keyed_delta_of_snapshots(b: Bound) -> DataFrame:
+    return _stored_snapshots(b).keyed_delta("head", "staged", "claim", key="claim_id").select("claim_id", "change")
+
+
 @query
 def rule_diff(b: Bound) -> DataFrame:
     part = b.table("part").select(

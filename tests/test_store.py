@@ -8,7 +8,7 @@ import sys
 import textwrap
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -78,7 +78,7 @@ ROW = st.tuples(st.sampled_from(["p", "q"]), st.sampled_from(["E1", "E2", "E3",
                 st.sampled_from(["task", "test"]), st.sampled_from(STATUSES))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, phases=[Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(ROW, max_size=12), st.lists(ROW, max_size=12))
 def test_change_sets_equal_counting_anew(spark, before, after):
     old, new = (spark.createDataFrame(rows, COVER) for rows in (before, after))
