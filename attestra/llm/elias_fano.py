@@ -12,6 +12,8 @@ from pyarrow import fs
 MAGIC = b"efseq001"
 #: Rows whose bits are spread out at a time while packing.
 CHUNK = 1 << 16
+#: Numbers of a bucket that are compared one by one.
+STEPS = 6
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -35,17 +37,26 @@ def unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     return (value & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
+_BYTES = np.uint64(0x0101010101010101)
+_TOPS = np.uint64(0x8080808080808080)
+#: Position of the set bit of a rank in a byte.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.int64).ravel()
+
+
 def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Position of the set bit that has ``rank`` set bits before it in its word."""
-    at = np.zeros(len(word), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = word & np.uint64((1 << width) - 1)
-        n = np.bitwise_count(low).astype(np.int64)
-        above = rank >= n
-        rank = np.where(above, rank - n, rank)
-        word = np.where(above, word >> np.uint64(width), low)
-        at += above * width
-    return at
+    """Position of the set bit that has ``rank`` set bits before it in its word.
+
+    The set bits of every byte and those before it are summed in the word itself; the bytes whose sum is not above the
+    rank are passed over, and a table has the position in the byte.
+    """
+    u = np.uint64
+    sums = word - ((word >> u(1)) & u(0x5555555555555555))
+    sums = (sums & u(0x3333333333333333)) + ((sums >> u(2)) & u(0x3333333333333333))
+    sums = ((sums + (sums >> u(4))) & u(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    rank = rank.astype(u)
+    shift = (((((rank * _BYTES) | _TOPS) - sums) & _TOPS) >> u(7)) * _BYTES >> u(53) & u(0x78)
+    rank -= (sums << u(8)) >> shift & u(0xFF)
+    return shift.astype(np.int64) + _IN_BYTE[((word >> shift & u(0xFF)) << u(3) | rank).astype(np.int64)]
 
 
 class EliasFano:
@@ -59,13 +70,18 @@ class EliasFano:
     def of(values: np.ndarray) -> EliasFano:
         n, limit = len(values), int(values[-1]) + 1 if len(values) else 1
         width = max(0, (limit // max(n, 1)).bit_length() - 1)
-        high = values >> width
+        return EliasFano.of_parts(values >> width, values & ((1 << width) - 1), width)
+
+    @staticmethod
+    def of_parts(high: np.ndarray, low: np.ndarray, width: int) -> EliasFano:
+        """A sequence of numbers (bucket, rest); buckets may be of different sizes."""
+        n = len(high)
         bits = np.zeros(((n + int(high[-1] if n else 0) + 1) + 63) // 64 * 64, np.uint8)
         bits[high + np.arange(n)] = 1
         words = np.packbits(bits, bitorder="little").view("<u8")
         ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
         zeros = (64 * np.arange(len(words)) - np.concatenate([[0], ones[:-1]])).astype(np.uint32 if len(bits) < 1 << 32 else np.int64)
-        return EliasFano(n, width, pack(values & ((1 << width) - 1), width), words, zeros)
+        return EliasFano(n, width, pack(low, width), words, zeros)
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
         shape = np.array([self.n, self.width], np.int64)
@@ -91,32 +107,48 @@ class EliasFano:
         return (high << self.width) | unpack(self.low, self.width, at)
 
     def successors(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position of the first number not below each value, and whether it equals it.
+        """Position of the first number not below each value, and whether it equals it."""
+        return self.successors_in(values >> self.width, values & ((1 << self.width) - 1))
+
+    def successors_in(self, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for values given as (bucket, rest).
 
-        The value's high bits name a bucket, whose ends are the zeros around it; the low bits are searched inside.
+        A bucket starts behind a zero; its numbers are compared from there on, a few one by one and those of a large bucket by
+        halving it.
         """
-        high = values >> self.width
         n_zeros = 64 * len(self.high) - self.n
-        inside = high < n_zeros
-        low_bits = values & ((1 << self.width) - 1)
-        first = np.where(high > 0, self._before_zero(np.minimum(high, n_zeros) - 1), 0)
-        last = np.where(inside, self._before_zero(np.minimum(high, n_zeros - 1)), self.n)
-        first, end = np.where(inside, first, self.n), last.copy()
-        open_ = np.flatnonzero(first < last)
-        while len(open_):
-            middle = (first[open_] + last[open_]) >> 1
-            below = unpack(self.low, self.width, middle) < low_bits[open_]
-            first[open_] = np.where(below, middle + 1, first[open_])
-            last[open_] = np.where(below, last[open_], middle)
-            open_ = open_[first[open_] < last[open_]]
-        equal = first < end
-        hit = np.flatnonzero(equal)
-        equal[hit] = unpack(self.low, self.width, first[hit]) == low_bits[hit]
+        first, equal = np.full(len(high), self.n), np.zeros(len(high), bool)
+        open_ = np.flatnonzero(high < n_zeros)
+        high, wanted = high[open_], wanted[open_]
+        at = np.where(high > 0, self._before_zero(high - 1), 0)
+        first[open_] = at
+        for _ in range(STEPS):
+            bit = at + high
+            inside = np.flatnonzero((self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
+            open_, at, high, wanted = open_[inside], at[inside], high[inside], wanted[inside]
+            low = unpack(self.low, self.width, at)
+            equal[open_] = low == wanted
+            below = np.flatnonzero(low < wanted)
+            open_, at, high, wanted = open_[below], at[below] + 1, high[below], wanted[below]
+            first[open_] = at
+            if not len(open_):
+                return first, equal
+        end = self._before_zero(high)
+        last, going = end.copy(), np.flatnonzero(at < end)
+        while len(going):
+            middle = (at[going] + last[going]) >> 1
+            below = unpack(self.low, self.width, middle) < wanted[going]
+            at[going] = np.where(below, middle + 1, at[going])
+            last[going] = np.where(below, last[going], middle)
+            going = going[at[going] < last[going]]
+        first[open_] = at
+        hit = np.flatnonzero(at < end)
+        equal[open_[hit]] = unpack(self.low, self.width, at[hit]) == wanted[hit]
         return first, equal
 
     def _before_zero(self, zero: np.ndarray) -> np.ndarray:
         """How many numbers lie before the given zero of the high bits."""
-        zero = np.maximum(zero, 0)
+        zero = np.maximum(zero, 0)  # of no use where there is none before
         word = np.searchsorted(self.zeros, zero, "right") - 1
         return 64 * word + _select(~self.high[word], zero - self.zeros[word]) - zero
 

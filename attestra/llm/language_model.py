@@ -8,12 +8,13 @@ sequences.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 import zlib
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from itertools import count
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -30,15 +31,100 @@ from attestra.session import shared_folder
 
 #: Documents whose remainder this is are held out of training.
 FOLDS, HELD_OUT = 7, 2
-#: Logarithms on their way to a shard are whole numbers of this part of a decade.
-FINE = 2000
+#: Logarithms on their way to a shard are whole numbers of this part of a decade, of so many bits.
+FINE, FINE_BITS = 128, 11
+#: How many low bits a context's followers have; one value says that it has no followers.
+SHIFT_BITS, NO_FOLLOWERS = 6, 63
 #: The shards' files of a level lie in so many folders.
 FOLDERS = 1000
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+#: Words are known by 96 bits of a hash. Short ones are hashed many at a time: two sums over a word's bytes, in which a byte counts a random
+#: number times a power of another for its place. Longer words have a hash function of their own.
+SHORT = 64
+_RANDOM = np.random.default_rng(2001).integers(1, 1 << 63, (2, 257), np.uint64) * np.uint64(2) + np.uint64(1)
+BYTES = _RANDOM[:, :256]
+PLACES = np.cumprod(np.repeat(_RANDOM[:, 256:], SHORT, axis=1), axis=1)
+
+
+@contextmanager
+def _keeping_memory() -> Iterator[None]:
+    """While a task makes and frees arrays all the time, it keeps their memory; at its end the system gets it back.
+
+    Sessions tell the C library to map large blocks one by one (``session.prepare``); here that would cost as much as the work itself.
+    """
+    try:
+        library = ctypes.CDLL(None)
+        set_option, trim = library.mallopt, library.malloc_trim
+    except (OSError, AttributeError):
+        yield
+        return
+    set_option(MMAP_THRESHOLD, 32 << 20)
+    set_option(TRIM_THRESHOLD, 256 << 20)
+    try:
+        yield
+    finally:
+        set_option(MMAP_THRESHOLD, 1 << 20)
+        set_option(TRIM_THRESHOLD, 1 << 20)
+        trim(0)
+
+
+def _in_kept_memory(run: Callable) -> Callable:
+    """A task's generator that runs in kept memory."""
+    @wraps(run)
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _keeping_memory():
+            yield from run(batches)
+
+    return kept
+
+
+class Words(NamedTuple):
+    key: np.ndarray
+    check: np.ndarray
+
+
+def _whole(word: bytes) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(word)
+    return int.from_bytes(digest[:8], "big"), int.from_bytes(digest[8:12], "big")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def words_of(text: bytes) -> tuple[Words, np.ndarray]:
+    """The words of a text and where they start. ASCII letters are lower-cased, and only ASCII blanks part words."""
+    lower = text.lower()
+    letters = np.frombuffer(lower, np.uint8)
+    inner = ~BLANK[letters]
+    edge = np.flatnonzero(inner[1:] != inner[:-1]) + 1
+    if len(letters) and inner[0]:
+        edge = np.concatenate([[0], edge])
+    if len(letters) and inner[-1]:
+        edge = np.concatenate([edge, [len(letters)]])
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    if not len(starts):
+        return Words(np.zeros(0, np.uint64), np.zeros(0, np.uint32)), starts
+    letters = letters[inner]
+    first = np.cumsum(sizes) - sizes
+    place = np.minimum(np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes), SHORT - 1)
+    key, check = (_mixed(np.add.reduceat(BYTES[i][letters] * PLACES[i][place], first)) for i in (0, 1))
+    check = (check >> np.uint64(32)).astype(np.uint32)
+    for i in np.flatnonzero(sizes > SHORT):
+        key[i], check[i] = _whole(lower[starts[i] : starts[i] + sizes[i]])
+    return Words(key, check), starts
+
+
+#: Fixed values of the C library.
+TRIM_THRESHOLD, MMAP_THRESHOLD = -1, -3
+
 #: What stands before the first and after the last word. Words hold no blanks.
-START, END = b"  ", b" "
-WORD = np.dtype([("key", ">u8"), ("check", ">u4"), ("rest", ">u4")])
+START, END = (Words(np.array([k], np.uint64), np.array([c], np.uint32)) for k, c in (_whole(b"  "), _whole(b" ")))
 
 #: What blocks send to the shards: counted words, and counted n-grams of a level as a monotone sequence.
 _WORDS = {"shard": pa.int64(), "key": pa.binary(), "check": pa.binary(), "counts": pa.binary(), "more": pa.binary()}
@@ -62,9 +148,9 @@ class Settings(NamedTuple):
     #: How many occurrences the shorter context's distribution counts for, from level 2 on.
     strengths: tuple[float, ...] = (1000.0, 5.0)
     #: Bytes of text for each shard of the trie.
-    shard_bytes: int = 8 << 20
+    shard_bytes: int = 16 << 20
     #: Tokens that are looked up together, and the bytes of a text that are cut into words at a time.
-    block: int = 1 << 21
+    block: int = 1 << 19
     span: int = 1 << 20
     #: Followers of a context that occurs more often are dealt over several files, at most 2 ** parts - 1.
     split: int = 1 << 21
@@ -106,68 +192,98 @@ class Block:
     """
 
     def __init__(self) -> None:
-        self.numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
-        self.parts: list[np.ndarray] = []
+        self.parts: list[Words] = []
         self.sizes: list[int] = []
         self.before: list[int] = []
         self.opened: list[bool] = []
         self.closed: list[bool] = []
         self.size = 0
 
-    def begin(self, history: list[bytes], opened: bool) -> None:
+    def begin(self, history: Words, opened: bool) -> None:
         self.sizes.append(0)
-        self.before.append(len(history))
+        self.before.append(len(history.key))
         self.opened.append(opened)
         self.closed.append(False)
         self.add(history)
 
-    def add(self, words: list[bytes]) -> None:
-        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
-        self.sizes[-1] += len(words)
-        self.size += len(words)
+    def add(self, words: Words) -> None:
+        self.parts.append(words)
+        self.sizes[-1] += len(words.key)
+        self.size += len(words.key)
 
     def end(self) -> None:
+        self.add(END)
         self.closed[-1] = True
 
-    def last(self, n: int) -> list[bytes]:
+    def last(self, n: int) -> Words:
         """The last words of the open segment."""
-        words = list(self.numbers)
-        recent = np.concatenate(self.parts)[-min(n, self.sizes[-1]) :]
-        return [words[i] for i in recent]
+        n = min(n, self.sizes[-1])
+        return Words(*(np.concatenate(c)[-n:] for c in zip(*self.parts, strict=True)))
 
     def freeze(self) -> None:
+        key, check = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.parts = []
+        self.tokens, keys = pd.factorize(key)
+        checks = np.empty(len(keys), np.uint32)
+        checks[self.tokens] = check
+        if (checks[self.tokens] != check).any():  # words that share a key
+            both = np.rec.fromarrays([key, check], names="key,check")
+            pairs, self.tokens = np.unique(both, return_inverse=True)
+            keys, checks = pairs["key"], pairs["check"]
+        self.words = Words(keys, checks)
         sizes = np.array(self.sizes)
-        self.tokens = np.concatenate(self.parts)
         self.segment = np.repeat(np.arange(len(sizes)), sizes)
         #: How many tokens of its segment lie before each token.
         self.depth = np.arange(len(self.tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.fresh = self.depth >= np.repeat(np.array(self.before), sizes)
-        self.parts = []
 
 
-def _pieces(body: bytes, span: int) -> Iterator[list[bytes]]:
-    """A text's words, a span at a time. ASCII letters are lower-cased, and only ASCII blanks part words."""
+def _pieces(body: bytes, span: int) -> Iterator[bytes]:
+    """A long text in pieces that end between words."""
     low = 0
     while low < len(body):
         cut = SPACE.search(body, low + span) if low + span < len(body) else None
         high = cut.start() if cut else len(body)
-        yield body[low:high].lower().split()
+        yield body[low:high]
         low = high
 
 
+def _together(texts: Iterable[bytes | None], span: int) -> Iterator[list[bytes]]:
+    """Short texts in lists of about a span, each long one in a list of its own."""
+    held, size = [], 0
+    for body in texts:
+        body = body or b""
+        held.append(body)
+        size += len(body) + 1
+        if size >= span:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def blocks(texts: Iterable[bytes | None], settings: Settings) -> Iterator[Block]:
     """Blocks of about ``settings.block`` tokens; a text's segments lie in one block or in consecutive ones."""
     block = Block()
-    for body in texts:
-        block.begin([START], True)
-        for words in _pieces(body or b"", settings.span):
-            block.add(words)
+    for bodies in _together(texts, settings.span):
+        *short, last = bodies
+        words, starts = words_of(b"\n".join(short))
+        ends = np.searchsorted(starts, np.cumsum([len(body) + 1 for body in short])).tolist()
+        for low, high in zip([0, *ends], ends):
+            block.begin(START, True)
+            block.add(Words(words.key[low:high], words.check[low:high]))
+            block.end()
+            if block.size >= settings.block:
+                yield block
+                block = Block()
+        block.begin(START, True)
+        for piece in _pieces(last, settings.span):
+            block.add(words_of(piece)[0])
             if block.size >= settings.block:
                 history = block.last(settings.order - 1)
                 yield block
                 block = Block()
                 block.begin(history, False)
-        block.add([END])
         block.end()
         if block.size >= settings.block:
             yield block
@@ -192,10 +308,6 @@ def _training_blocks(batches: Iterable[pa.RecordBatch], settings: Settings) -> I
 # -- level 1: words -----------------------------------------------------------------------------------------
 
 
-def _hashes(words: Iterable[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), WORD)
-
-
 def _shard_slices(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """``(value, rows)`` for every distinct value."""
     order = np.argsort(where, kind="stable")
@@ -205,24 +317,22 @@ def _shard_slices(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _count_words(docs: DataFrame, model: Model) -> Model:
-    """Write level 1 and return the model with its totals. Words are known by 96 bits of their hash."""
+    """Write level 1 and return the model with its totals."""
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _training_blocks(batches, model.settings):
             counted = block.fresh | ((block.depth == 0) & np.repeat(np.array(block.opened), block.sizes))
-            n = np.bincount(block.tokens[counted], minlength=len(block.numbers))
-            hashes = _hashes(block.numbers)
+            n = np.bincount(block.tokens[counted], minlength=len(block.words.key))
             used = np.flatnonzero(n)
-            hashes, n = hashes[used], n[used]
-            rows = []
-            for shard, at in _shard_slices((hashes["key"] % np.uint64(model.shards)).astype(np.int64)):
-                rows.append((shard, hashes["key"][at].tobytes(), hashes["check"][at].tobytes(), *_short_counts(n[at])))
-            yield _batch(rows, _WORDS)
-
-    start = _hashes([START])[0]
+            key, check, n = block.words.key[used], block.words.check[used], n[used]
+            shard = (key % np.uint64(model.shards)).astype(np.int64)
+            yield _batch([
+                (number, key[at].astype("<u8").tobytes(), check[at].astype("<u4").tobytes(), *_short_counts(n[at]))
+                for number, at in _shard_slices(shard)
+            ], _WORDS)
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.frombuffer(r, ">u8") for r in rows["key"]]).astype("<u8")
-        check = np.concatenate([np.frombuffer(r, ">u4") for r in rows["check"]]).astype("<u4")
+        key = np.concatenate([np.frombuffer(r, "<u8") for r in rows["key"]])
+        check = np.concatenate([np.frombuffer(r, "<u4") for r in rows["check"]])
         n = np.concatenate([_long_counts(a, b) for a, b in zip(rows["counts"], rows["more"], strict=True)])
         order_ = np.lexsort((check, key))
         key, check, n = key[order_], check[order_], n[order_]
@@ -231,10 +341,10 @@ def _count_words(docs: DataFrame, model: Model) -> Model:
         key, check = key[first], check[first]
         shard = int(rows["shard"].iloc[0])
         write_arrays(model.path(1, shard), {"key": key, "check": check, **_counts("count", n)})
-        real = ~((key == start["key"]) & (check == start["check"]))
+        real = ~((key == START.key) & (check == START.check))
         return pd.DataFrame({"words": [int(real.sum())], "tokens": [int(n[real].sum())]})
 
-    found = docs.mapInArrow(emit, _ddl(_WORDS))
+    found = docs.mapInArrow(_in_kept_memory(emit), _ddl(_WORDS))
     found = found.groupBy("shard").applyInPandas(write, "words long, tokens long")
     total = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("words"), F.lit(0)).alias("w")).collect()[0]
     return model._replace(n_tokens=total.t, n_words=total.w)
@@ -263,6 +373,14 @@ def _count_at(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.nd
     return values[unpack(arrays[f"{name}.ranks"], max(len(values) - 1, 0).bit_length(), at)]
 
 
+def word_counts(model: Model, number: np.ndarray) -> np.ndarray:
+    """How often the words of these numbers occur."""
+    n = np.zeros(len(number), np.int64)
+    for shard, rows in _shard_slices(number % model.shards):
+        n[rows] = _count_at(read_arrays(model.path(1, shard)), "count", number[rows] // model.shards)
+    return n
+
+
 class Level(NamedTuple):
     """For each token of a block: the entry of the n-gram that ends there, and the token's probability.
 
@@ -277,8 +395,7 @@ class Level(NamedTuple):
 
 
 def word_level(model: Model, block: Block) -> Level:
-    hashes = _hashes(block.numbers)
-    key, check = hashes["key"].astype("<u8"), hashes["check"].astype("<u4")
+    key, check = block.words
     shard = (key % np.uint64(model.shards)).astype(np.int64)
     at, n = np.full(len(key), -1), np.zeros(len(key), np.int64)
     for number, rows in _shard_slices(shard):
@@ -318,29 +435,55 @@ class Followers(NamedTuple):
 
 def _parts(n: np.ndarray, settings: Settings) -> np.ndarray:
     """Over how many files the followers of a context are dealt, by its count."""
-    return np.where(n > settings.split, np.minimum(-(-n // settings.split), (1 << settings.parts) - 1), 1)
+    parts = np.ones(len(n), np.int64)
+    large = np.flatnonzero(n > settings.split)
+    parts[large] = np.minimum(-(-n[large] // settings.split), (1 << settings.parts) - 1)
+    return parts
 
 
 def followers(level: Level, tokens: np.ndarray, settings: Settings) -> Followers:
     parent = tokens - 1
     rank, parts = level.rank[tokens], _parts(level.count[parent], settings)
-    file = (level.file[parent] << settings.parts) | np.where(parts > 1, 1 + rank % parts, 0)
-    rank = rank // parts
-    names, number = np.unique(file, return_inverse=True)
+    file = level.file[parent] << settings.parts
+    dealt = np.flatnonzero(parts > 1)
+    file[dealt] |= 1 + rank[dealt] % parts[dealt]
+    rank[dealt] //= parts[dealt]
+    number, names = pd.factorize(file)
     bits = [max(int(c.max()) if len(c) else 0, 1).bit_length() for c in (number, level.at[parent], rank)]
     if sum(bits) < 64:
         key = (number << (bits[1] + bits[2])) | (level.at[parent] << bits[2]) | rank
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     else:
-        _, first, inverse = np.unique(np.stack([number, level.at[parent], rank]), axis=1, return_index=True, return_inverse=True)
-    return Followers(tokens, inverse.ravel(), file[first], level.at[parent][first], rank[first], tokens[first])
+        order = np.lexsort((rank, level.at[parent], number))
+        columns = np.stack([number, level.at[parent], rank])[:, order]
+        new = np.concatenate([[True], (columns[:, 1:] != columns[:, :-1]).any(axis=0)])
+    first = order[new]
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return Followers(tokens, inverse, file[first], level.at[parent][first], rank[first], tokens[first])
+
+
+def _follower(file: np.ndarray | int, rank: np.ndarray, n: np.ndarray, settings: Settings) -> np.ndarray:
+    """A follower's rank among all of its context's, from its rank in its file; ``n`` is the context's count."""
+    parts = _parts(n, settings)
+    return np.where(parts > 1, rank * parts + (file & ((1 << settings.parts) - 1)) - 1, rank)
 
 
 def _with_followers(block: Block, level: Level, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens whose context is an entry of the level, and those of them whose shorter n-gram is one too."""
-    known = np.zeros(len(block.tokens), bool)
-    known[1:] = (block.depth[1:] >= depth) & (level.file[:-1] >= 0)
-    return np.flatnonzero(known), np.flatnonzero(known & (level.file >= 0))
+    here = level.file >= 0
+    known = block.depth >= depth
+    known[1:] &= here[:-1]
+    return np.flatnonzero(known), np.flatnonzero(known & here)
+
+
+def _each_once(at: np.ndarray, *look_up: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """What is found at sorted positions; repeated positions are looked up once."""
+    new = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
+    heads, inverse = at[new], np.cumsum(new) - 1
+    return [found(heads)[inverse] for found in look_up]
 
 
 def next_level(model: Model, block: Block, level: Level, depth: int) -> Level:
@@ -359,23 +502,26 @@ def next_level(model: Model, block: Block, level: Level, depth: int) -> Level:
         arrays = read_arrays(model.path(depth, number))
         if arrays is None:
             continue
-        base = EliasFano.from_arrays(arrays, "base")
-        low, high = base.get(wanted.parent[rows]), base.get(wanted.parent[rows] + 1)
-        inside = low + wanted.rank[rows] < high
-        rows, low = rows[inside], low[inside]
-        place, hit = EliasFano.from_arrays(arrays, "follower").successors(low + wanted.rank[rows])
+        limit, = arrays["limit"].tolist()
+        rows = rows[wanted.rank[rows] < limit]
+        bucket, shift = _each_once(wanted.parent[rows], EliasFano.from_arrays(arrays, "base").get, lambda at: unpack(arrays["shift"], SHIFT_BITS, at))
+        rows, bucket, shift = rows[shift < NO_FOLLOWERS], bucket[shift < NO_FOLLOWERS], shift[shift < NO_FOLLOWERS]
+        rank_ = wanted.rank[rows]
+        place, hit = EliasFano.from_arrays(arrays, "follower").successors_in(bucket + (rank_ >> shift), rank_ & ((1 << shift) - 1))
         rows, place = rows[hit], place[hit]
         file[rows], at[rows] = number, place
         found[rows] = arrays["log10"][unpack(arrays["code"], settings.probability_bits, place)]
         if not last:
             n[rows] = _count_at(arrays, "count", place)
-            rank[rows] = place - EliasFano.from_arrays(arrays, "start").get(wanted.parent[rows])
+            rank[rows] = place - _each_once(wanted.parent[rows], EliasFano.from_arrays(arrays, "start").get)[0]
     if not last:  # ranks in several files of one context
-        parts = _parts(level.count[wanted.first - 1], settings)
-        rank = np.where(parts > 1, rank * parts + (wanted.file & ((1 << settings.parts) - 1)) - 1, rank)
-    out = Level(*(np.full(len(block.tokens), fill) for fill in (-1, -1, -1, 0)), log10)
+        rank = _follower(wanted.file, rank, level.count[wanted.first - 1], settings)
     hit = file[wanted.inverse] >= 0
     to, of = tokens[hit], wanted.inverse[hit]
+    if last:
+        log10[to] = found[of]
+        return level._replace(log10=log10)
+    out = Level(*(np.full(len(block.tokens), fill) for fill in (-1, -1, -1, 0)), log10)
     out.file[to], out.at[to], out.rank[to], out.count[to], log10[to] = file[of], at[of], rank[of], n[of], found[of]
     return out
 
@@ -392,7 +538,7 @@ def _count_followers(docs: DataFrame, model: Model, depth: int) -> None:
             _, tokens = _with_followers(block, level, depth - 1)
             found = followers(level, tokens[block.fresh[tokens]], settings)
             n = np.bincount(found.inverse, minlength=len(found.file))
-            codes = np.round(-FINE * level.log10[found.first]).astype("<u2")
+            codes = np.minimum(np.round(-FINE * level.log10[found.first]), (1 << FINE_BITS) - 1).astype(np.int64)
             out: list[tuple] = []
             cuts = np.flatnonzero(found.file[1:] != found.file[:-1]) + 1
             for rows in np.split(np.arange(len(n)), cuts) if len(n) else ():
@@ -400,7 +546,7 @@ def _count_followers(docs: DataFrame, model: Model, depth: int) -> None:
                 keys = EliasFano.of((found.parent[rows] << bits) | found.rank[rows])
                 out.append((
                     int(found.file[rows[0]]), bits, keys.n, keys.width, keys.low.tobytes(), keys.high.tobytes(),
-                    *_short_counts(n[rows]), codes[rows].tobytes(),
+                    *_short_counts(n[rows]), pack(codes[rows], FINE_BITS).tobytes() if depth > 2 else b"",
                 ))
             yield _batch(out, _FOLLOWERS)
 
@@ -414,28 +560,36 @@ def _count_followers(docs: DataFrame, model: Model, depth: int) -> None:
             keys.append(((key >> r.bits) << top) | (key & ((1 << r.bits) - 1)))
         key = np.concatenate(keys)
         n = np.concatenate([_long_counts(a, b) for a, b in zip(rows["counts"], rows["more"], strict=True)])
-        code = np.concatenate([np.frombuffer(c, "<u2") for c in rows["code"]])
-        order_ = np.argsort(key, kind="stable")
-        key, n, code = key[order_], n[order_], code[order_]
+        order_ = np.argsort(key)
+        key, n = key[order_], n[order_]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, n, code = key[first], np.add.reduceat(n, first), code[first]
+        key, n = key[first], np.add.reduceat(n, first)
         parent, rank = key >> top, key & ((1 << top) - 1)
+        if depth > 2:
+            codes = [unpack(np.frombuffer(c, "<u8"), FINE_BITS, np.arange(m)) for c, m in zip(rows["code"], rows["n"], strict=True)]
+            shorter = 10.0 ** (np.concatenate(codes)[order_][first] / -FINE)
+        else:
+            shorter = (word_counts(model, _follower(file, rank, _count_at(above, "count", parent), settings)) + 1) / (
+                model.n_tokens + model.n_words + 1)
         n_parents = len(above["key"]) if depth == 2 else int(above["follower.shape"][0])
         start = np.searchsorted(parent, np.arange(n_parents + 1))
-        universe = np.zeros(n_parents + 1, np.int64)
-        heads = np.flatnonzero(start[1:] > start[:-1])
-        universe[heads + 1] = rank[start[heads + 1] - 1] + 1
-        base = np.cumsum(universe)
+        # A context with n followers has between n and 2 n buckets for them, so buckets are small also where contexts differ in size.
+        size, limit = np.diff(start), int(rank.max()) + 1
+        shift = np.maximum(np.floor(np.log2(limit / np.maximum(size, 1))), 0).astype(np.int64)
+        base = np.concatenate([[0], np.cumsum(np.where(size > 0, (limit - 1 >> shift) + 1, 0))[:-1]])
+        of = shift[parent]
+        follower = EliasFano.of_parts(base[parent] + (rank >> of), rank & ((1 << of) - 1), int(of.max()))
         weight, total = settings.strength(depth), _count_at(above, "count", parent)
-        p = (n + weight * 10.0 ** (code / -FINE)) / (total + weight)
+        p = (n + weight * shorter) / (total + weight)
         write_arrays(
             model.path(depth, file),
-            {**EliasFano.of(base).arrays("base"), **EliasFano.of(base[parent] + rank).arrays("follower"), **_probabilities(p, settings.probability_bits),
+            {"limit": np.array([limit]), **EliasFano.of(base).arrays("base"), **follower.arrays("follower"),
+             "shift": pack(np.where(size > 0, shift, NO_FOLLOWERS), SHIFT_BITS), **_probabilities(p, settings.probability_bits),
              **({} if depth == settings.order else EliasFano.of(start).arrays("start") | _counts("count", n))},
         )
         return pd.DataFrame({"entries": [len(n)]})
 
-    docs.mapInArrow(emit, _ddl(_FOLLOWERS)).groupBy("file").applyInPandas(write, "entries long").agg(F.sum("entries")).collect()
+    docs.mapInArrow(_in_kept_memory(emit), _ddl(_FOLLOWERS)).groupBy("file").applyInPandas(write, "entries long").agg(F.sum("entries")).collect()
 
 
 def _probabilities(p: np.ndarray, bits: int) -> dict[str, np.ndarray]:
@@ -526,5 +680,5 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
         rows.schema["id"], T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
         *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")],
     ])
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return rows.mapInArrow(_in_kept_memory(run), schema).withColumnRenamed("id", id_column)
 

@@ -122,3 +122,23 @@ def test_monotone_sequences():
     for width in (0, 1, 7, 63):
         values = rng.integers(0, 1 << width, 200000)
         assert (unpack(pack(values, width), width, np.arange(200000)) == values).all()
+
+
+def test_words_of_texts():
+    rng = random.Random(3)
+    alphabet = "abAB \t\n\x0b\x1f\x85é日0"
+    for text in ["", " ", "a", " a", "A b", "x" * 64, "x" * 65 + " " + "X" * 65, *("".join(rng.choices(alphabet, k=rng.randrange(200))) for _ in range(300))]:
+        words, starts = lm.words_of(text.encode())
+        want = text.encode().lower().split()
+        assert len(starts) == len(want)
+        names = {}
+        for word, pair in zip(want, zip(words.key.tolist(), words.check.tolist())):
+            assert names.setdefault(word, pair) == pair
+        assert len(set(names.values())) == len(names)
+
+
+def test_words_have_different_hashes():
+    rng = random.Random(4)
+    words = {bytes(rng.choices(b"ab", k=rng.randrange(1, 65))) for _ in range(100_000)} | {str(i).encode() for i in range(200_000)}
+    found, _ = lm.words_of(b" ".join(words))
+    assert len(set(found.key.tolist())) == len(words)
