@@ -78,48 +78,52 @@ def document_diff(
     differs, in type too, is modified. Order of keys and spacing do not count. A missing or broken
     document is an empty one.
 
-    Each level of nesting is one pass over the pairs that still differ, until none is open.
+    The levels of nesting are a recursive query over the pairs that still differ. Its result is materialised once, as three kinds of
+    rows are read from it. A key that is repeated in an object counts with its last value (``session.SETTINGS``).
     """
-    one = "_document"
-    keys = [*scope, one]
+    keys = [*scope, "_document"]
 
     def side(document: DataFrame, name: str) -> DataFrame:
-        return document.select(*scope, F.lit(1).alias(one), F.try_parse_json(F.col(text)).alias(name))
+        return document.select(*scope, F.lit(1).alias("_document"), F.try_parse_json(F.col(text)).alias(name))
 
     empty = F.parse_json(F.lit("{}"))
     pair = side(base, "_b").join(side(current, "_c"), keys, "full_outer").select(
-        *scope, F.array().cast("array<string>").alias("_path"), F.coalesce("_b", empty).alias("_b"), F.coalesce("_c", empty).alias("_c")
+        *scope, F.coalesce("_b", empty).alias("_b"), F.coalesce("_c", empty).alias("_c")
     )
-    object_b, object_c = (F.try_variant_get(v, "$", "map<string,variant>") for v in ("_b", "_c"))
-    list_b, list_c = (F.try_variant_get(v, "$", "array<variant>") for v in ("_b", "_c"))
-    differ = F.to_json("_b") != F.to_json("_c")
-    path = F.concat_ws(".", "_path").alias("path")
-    found = None
-    open_pairs = materialise(pair.filter(differ))
-    while not open_pairs.isEmpty():
-        both_objects = object_b.isNotNull() & object_c.isNotNull()
-        both_lists = list_b.isNotNull() & list_c.isNotNull()
-        children = open_pairs.filter(both_objects).select(
-            *scope, "_path", object_b.alias("_b"), object_c.alias("_c"),
-            F.explode(F.array_union(F.map_keys(object_b), F.map_keys(object_c))).alias("_key"),
-        ).select(
-            *scope, F.concat("_path", F.array("_key")).alias("_path"),
-            F.map_contains_key("_b", F.col("_key")).alias("_in_b"), F.map_contains_key("_c", F.col("_key")).alias("_in_c"),
-            F.element_at("_b", F.col("_key")).alias("_b"), F.element_at("_c", F.col("_key")).alias("_c"),
-        )
-        one_sided = children.filter(~(F.col("_in_b") & F.col("_in_c"))).select(
-            *scope, path, F.lit(None).cast("string").alias("rule_id"), F.when(F.col("_in_b"), "delete").otherwise("add").alias("action")
-        )
-        values = open_pairs.filter(~both_objects & ~both_lists).select(
-            *scope, path, F.lit(None).cast("string").alias("rule_id"), F.lit("modify").alias("action")
-        )
-        lists = open_pairs.filter(both_lists).select(*scope, "_path", list_b.alias("_b"), list_c.alias("_c"))
-        for part in (one_sided, values, _list_diff(lists, scope)):
-            found = part if found is None else found.unionByName(part)
-        open_pairs = materialise(children.filter(F.col("_in_b") & F.col("_in_c") & differ).select(*scope, "_path", "_b", "_c"))
-    if found is None:
-        found = open_pairs.select(*scope, path, F.lit(None).cast("string").alias("rule_id"), F.lit("modify").alias("action"))
-    return found
+    node = materialise(base.sparkSession.sql(_DIFFERENT_NODES.format(scope="".join(f"`{c}`, " for c in scope), pair="{pair}"), pair=pair))
+    path, none = F.concat_ws(".", "_path").alias("path"), F.lit(None).cast("string").alias("rule_id")
+    both = F.col("_in_b") & F.col("_in_c")
+    objects, lists = (
+        F.try_variant_get("_b", "$", kind).isNotNull() & F.try_variant_get("_c", "$", kind).isNotNull()
+        for kind in ("map<string,variant>", "array<variant>")
+    )
+    whole = node.filter(~both | ~(objects | lists)).select(
+        *scope, path, none, F.when(both, "modify").when(F.col("_in_b"), "delete").otherwise("add").alias("action")
+    )
+    opened = node.filter(both & lists).select(
+        *scope, "_path", *[F.try_variant_get(v, "$", "array<variant>").alias(v) for v in ("_b", "_c")]
+    )
+    return whole.unionByName(_list_diff(opened, scope))
+
+
+#: Every pair of values that differs, from the documents down through objects that both sides have.
+_DIFFERENT_NODES = """
+WITH RECURSIVE node AS (
+  SELECT {scope}CAST(array() AS ARRAY<STRING>) AS _path, _b, _c, true AS _in_b, true AS _in_c
+  FROM {pair} WHERE to_json(_b) <> to_json(_c)
+  UNION ALL
+  SELECT {scope}_path, _b, _c, _in_b, _in_c FROM (
+    SELECT {scope}concat(_path, array(_key)) AS _path, element_at(_mb, _key) AS _b, element_at(_mc, _key) AS _c,
+      map_contains_key(_mb, _key) AS _in_b, map_contains_key(_mc, _key) AS _in_c
+    FROM (
+      SELECT {scope}_path, _mb, _mc, explode(array_union(map_keys(_mb), map_keys(_mc))) AS _key FROM (
+        SELECT {scope}_path, try_variant_get(_b, '$', 'map<string,variant>') AS _mb, try_variant_get(_c, '$', 'map<string,variant>') AS _mc
+        FROM node WHERE _in_b AND _in_c)
+      WHERE _mb IS NOT NULL AND _mc IS NOT NULL))
+  WHERE NOT (_in_b AND _in_c AND to_json(_b) = to_json(_c))
+)
+SELECT * FROM node
+"""
 
 
 def _list_diff(lists: DataFrame, scope: Sequence[str]) -> DataFrame:

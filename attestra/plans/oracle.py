@@ -266,6 +266,11 @@ _SQL: dict[str, str] = {
             FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN n ON l_orderkey = o_orderkey),
         s AS (SELECT *, CASE WHEN n_evidence = 0 THEN 'missing' WHEN level = '4' OR u > 0 THEN 'unclear' WHEN c = n_evidence THEN 'covered' ELSE 'partial' END AS status FROM r)
         SELECT project_id, req_id, status, n_evidence, status = 'missing' AND level IN ('1', '2') AS is_gap FROM s""",
+    "decision_log": """
+        SELECT CAST(user_id % 20 AS VARCHAR) AS project_id, CASE WHEN event_type <> 'error' THEN row_number() OVER (
+                PARTITION BY user_id % 20, event_type = 'error'
+                ORDER BY event_type <> 'purchase', ts, event_type, CAST(event_id AS VARCHAR)) END AS decision_id, CAST(event_id AS VARCHAR) AS "targetId"
+        FROM events""",
     "published_report": """
         WITH run AS (SELECT * FROM (VALUES ('RUN-1', 'RUN-1', 0), ('last', 'RUN-2', 2000)) v(asked, run_id, bound)),
         n AS (SELECT asked, c_nationkey, count(*) AS n FROM customer JOIN run ON c_acctbal < bound GROUP BY ALL)

@@ -21,6 +21,7 @@ from attestra.sources import documents, ledgers, reports, sinks
 from attestra.sources.rollups import RollupStore
 from attestra.sources.snapshots import SnapshotStore
 from attestra.sources.store import LedgerStore
+from attestra.streaming import decisions
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -1554,6 +1555,24 @@ def written_index(b: Bound) -> DataFrame:
     return b.spark.read.parquet(path).select("project_id", "run_id", "evidence_id", "status", F.array_join("covers", ",").alias("covers"))
 
 
+@query
+def decision_log(b: Bound) -> DataFrame:
+    """Events as decision requests, streamed to the log in two batches; the second sends all of the first one's purchases again."""
+    folder = _written(b)
+    request = b.table("events").select(
+        (F.col("user_id") % 20).cast("string").alias("project_id"), F.col("event_type").alias("category"),
+        F.col("event_id").cast("string").alias("targetId"), F.when(F.col("event_type") != "error", "accept_risk").alias("action"),
+        F.lit("seen").alias("reason"), F.col("user_id").cast("string").alias("decidedBy"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+    )
+    first = F.col("category") == "purchase"
+    for batch in (first, F.lit(True)):
+        request.filter(batch).write.mode("append").json(f"{folder}/requests")
+        decisions.start(b.spark, f"{folder}/requests", f"{folder}/log", f"{folder}/rejected", f"{folder}/state").awaitTermination()
+    rejected = b.spark.read.parquet(f"{folder}/rejected").select("project_id", F.lit(None).cast("bigint").alias("decision_id"), "targetId")
+    return b.spark.read.parquet(f"{folder}/log").select("project_id", "decision_id", "targetId").unionByName(rejected)
+
+
 @query
 def published_report(b: Bound) -> DataFrame:
     """Gate decisions of three runs in one report: the second is published twice, the third breaks off before its last section."""

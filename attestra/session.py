@@ -17,6 +17,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Of a key that an object repeats, the last value counts, as where documents are loaded otherwise.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    # Recursive queries go as deep as documents are nested.
+    "spark.sql.cteRecursionLevelLimit": "-1",
+    "spark.sql.cteRecursionRowLimit": "-1",
     # Python workers hold a few batches at a time, and there are as many workers as cores.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from attestra.schemas import TABLES
+from attestra.session import cut_lineage
 from attestra.sources.ledgers import invalid_decisions, new_decisions
 
 
@@ -18,6 +19,34 @@ def request_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(T.DataType.fromDDL(TABLES["decision"])).json(path)
 
 
+#: A request that comes again within this time of its first arrival is the same one.
+REPEAT_WINDOW = "30 days"
+
+
+def without_repeats(requests: DataFrame, window: str = REPEAT_WINDOW) -> DataFrame:
+    """Each request once: one that is sent again within ``window``, in the same batch or a later one, is left out.
+
+    Requests are the same if all their fields are. The state holds a key per request of the window and lies in the query's checkpoint, so
+    a restart forgets nothing. The time that counts is that of arrival: no request is ever too late, whatever its own time stamp
+    says, and after the window a repeated one counts as a new decision.
+    """
+    return (
+        requests.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", window)
+        .dropDuplicatesWithinWatermark(requests.columns).drop("_arrived")
+    )
+
+
+def repeats(query: StreamingQuery) -> dict[str, int]:
+    """Over the query's last batches: requests left out as repeated, rows that came too late (none should), keys held."""
+    totals = {"repeated": 0, "late": 0, "held": 0}
+    for progress in query.recentProgress:
+        for state in progress.stateOperators:
+            totals["repeated"] += int(state.customMetrics.get("numDroppedDuplicateRows", 0))
+            totals["late"] += state.numRowsDroppedByWatermark
+            totals["held"] = state.numRowsTotal
+    return totals
+
+
 LAST = "project_id string, decision_id bigint, batch bigint"
 
 
@@ -39,6 +68,7 @@ def append_requests(requests: DataFrame, log_path: str, rejected_path: str) -> C
         ).partitionBy("batch").parquet(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = cut_lineage(batch)  # read several times; the stream's state is gone through once
         before = table(last_path, LAST, batch_id - 1).drop("batch")
         put(new_decisions(batch, before), log_path, batch_id)
         put(invalid_decisions(batch), rejected_path, batch_id)
@@ -48,13 +78,15 @@ def append_requests(requests: DataFrame, log_path: str, rejected_path: str) -> C
     return write
 
 
-def start(spark: SparkSession, request_path: str, log_path: str, rejected_path: str, checkpoint: str) -> StreamingQuery:
-    """Append all requests present to the log, then stop. ``checkpoint`` is a folder all executors share."""
+def start(
+    spark: SparkSession, request_path: str, log_path: str, rejected_path: str, checkpoint: str, *, repeat_window: str = REPEAT_WINDOW
+) -> StreamingQuery:
+    """Append all requests present to the log, each once, then stop. ``checkpoint`` is a folder all executors share."""
     log = T.StructType([*T.DataType.fromDDL(TABLES["decision"]).fields, T.StructField("batch", T.LongType())])
     for schema, path in ((log, log_path), (LAST, f"{log_path}-last")):
         spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(path)
     requests = request_stream(spark, request_path)
     return (
-        requests.writeStream.foreachBatch(append_requests(requests, log_path, rejected_path))
+        without_repeats(requests, repeat_window).writeStream.foreachBatch(append_requests(requests, log_path, rejected_path))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

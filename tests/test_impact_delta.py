@@ -96,6 +96,14 @@ DIFFERENCES = {
 }
 
 
+def test_repeated_keys_and_deep_documents(spark):
+    deep = '{"a":' * 130 + "%d" + "}" * 130
+    pairs = [('{"a":1,"a":2}', '{"a":2}'), ('{"a":1,"a":2}', '{"a":1}'), ('{"b":{"k":1,"k":{"x":3}}}', '{"b":{"k":{"x":4}}}'), (deep % 1, deep % 2)]
+    sides = [spark.createDataFrame([(i, p[n]) for i, p in enumerate(pairs)], "project_id int, text string") for n in (0, 1)]
+    found = rows_of(delta.document_diff(*sides), "project_id", "path", "action")
+    assert found == {(1, "a", "modify"), (2, "b.k.x", "modify"), (3, ".".join(["a"] * 130), "modify")}
+
+
 def test_structural_differences(spark):
     sides = [spark.createDataFrame([(name, case[i]) for name, case in DIFFERENCES.items()], "project_id string, text string") for i in (0, 1)]
     found = rows_of(delta.document_diff(*sides), "project_id", "path", "rule_id", "action")

@@ -290,3 +290,23 @@ def test_decision_stream(spark, tmp_path):
     stream.start(spark, requests, log, rejected, check).awaitTermination(120)
     assert list_of(spark.read.parquet(log), "decision_id", "targetId") == [(1, "t"), (2, "u")]
     assert spark.read.parquet(rejected).count() == 1
+
+
+def test_repeated_requests_are_logged_once(spark, tmp_path):
+    requests, log, rejected, check = (str(tmp_path / n) for n in ("in", "log", "rejected", "check"))
+    (tmp_path / "in").mkdir()
+
+    def send(name, *targets):
+        entry = {"project_id": "p", "category": "c", "action": "accept_risk", "reason": "r", "decidedBy": "d", "timestamp": "2001-01-01T00:00:00Z"}
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({**entry, "targetId": t}) for t in targets))
+
+    def run():
+        query = stream.start(spark, requests, log, rejected, check)
+        query.awaitTermination(120)
+        return stream.repeats(query)
+
+    send("a.json", "t", "t", "u")
+    assert run() == {"repeated": 1, "late": 0, "held": 2}
+    send("b.json", "u", "v")  # a new query: its state comes from the checkpoint
+    assert run() == {"repeated": 1, "late": 0, "held": 3}
+    assert list_of(spark.read.parquet(log), "decision_id", "targetId") == [(1, "t"), (2, "u"), (3, "v")]
