@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import pandas as pd
@@ -19,13 +20,29 @@ from attestra.session import cut_lineage, stored
 
 #: Depth of the tree below the token count: so many leading tokens.
 LEADING = 3
-#: Lines with fewer tokens carry no template.
-MIN_TOKENS = 3
-#: A template recurs if so many documents have it; one of fewer than SHORT tokens needs SHORT_DOCS.
-MIN_DOCS, SHORT, SHORT_DOCS = 2, 8, 10
 #: The rest of a line is compared in so many fields; so many of a leaf's fields must not vary.
 FIELDS, SIMILARITY = 8, 0.75
 WILDCARD = b"<*>"
+
+
+@dataclass(frozen=True)
+class Recurrence:
+    """When a template recurs: in ``min_docs`` documents; one of fewer than ``short`` tokens in ``short_docs``.
+
+    Lines of fewer than ``min_tokens`` tokens are not looked at. ``Recurrence(1, 2, 0, 2)`` makes no
+    difference between short and long lines: any line with a word recurs with two documents.
+    """
+
+    min_tokens: int = 3
+    min_docs: int = 2
+    short: int = 8
+    short_docs: int = 10
+
+    def reached(self, docs: str) -> str:
+        return f"{docs} >= CASE WHEN tokens < {self.short} THEN {self.short_docs} ELSE {self.min_docs} END"
+
+
+RECURRENCE = Recurrence()
 _variable = re.compile(rb"[0-9@]|://").search
 
 
@@ -38,69 +55,70 @@ def _long(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) - (1 << 63)
 
 
-def line_of(line: bytes) -> tuple[int, int, int, list[int]] | None:
-    """``(tokens, leaf, template, fields)`` of a line, or None if it is too short.
+def line_of(line: bytes, min_tokens: int = RECURRENCE.min_tokens) -> tuple[int, int, int, int, list[int], list[int]] | None:
+    """``(tokens, leaf, template, rest, heads, fields)`` of a line, or None if it is too short.
 
     The leaf is the tree's path: token count, then the masked leading tokens. The template is the whole
-    masked line. ``fields`` are hashes of the masked tokens that follow, in FIELDS even stretches (a token
-    each, if there are no more).
+    masked line, the rest is the token count and all but the leading tokens. ``heads`` are hashes of the
+    leading tokens, ``fields`` those of the masked tokens that follow, in FIELDS even stretches (a token each,
+    if there are no more).
     """
     tokens = line.split()
     n = len(tokens)
-    if n < MIN_TOKENS:
+    if n < max(min_tokens, 1):
         return None
     if _variable(line):
         tokens = [masked(t) for t in tokens]
     head, rest = tokens[:LEADING], tokens[LEADING:]
-    leaf = _long(b"%d " % n + b" ".join(head))
+    count = b"%d " % n
     cuts = range(len(rest) + 1) if len(rest) <= FIELDS else [len(rest) * i // FIELDS for i in range(FIELDS + 1)]
-    fields = [xxhash.xxh32_intdigest(b" ".join(rest[a:b])) - (1 << 31) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return n, leaf, _long(b" ".join(tokens)), fields
+    short = lambda part: xxhash.xxh32_intdigest(b" ".join(part)) - (1 << 31)
+    return (
+        n, _long(count + b" ".join(head)), _long(b" ".join(tokens)), _long(count + b" ".join(rest)),
+        [short([t]) for t in head], [short(rest[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)],
+    )
 
 
-def _lines(docs: DataFrame, row: str, id_column: str, text: str) -> DataFrame:
-    """A row per line with a template: where it is, its place in the tree and its fields.
+def _lines(docs: DataFrame, row: str, id_column: str, text: str, min_tokens: int) -> DataFrame:
+    """A row per line with a template: where it is, its place in the tree, its leading tokens and its fields.
 
-    ``leaf_first`` and ``template_first`` mark a leaf's and a template's first line in the document.
+    ``template_first`` marks a template's first line in the document.
     """
-    names = [f"f{i}" for i in range(FIELDS)]
+    names = [*(f"h{i}" for i in range(LEADING)), *(f"f{i}" for i in range(FIELDS))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row_id, doc_id, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                leaves: set[int] = set()
                 templates: set[int] = set()
                 for number, line in enumerate(body.split(b"\n")):
-                    if (found := line_of(line)) is None:
+                    if (found := line_of(line, min_tokens)) is None:
                         continue
-                    n, leaf, template, fields = found
+                    n, leaf, template, rest, heads, fields = found
                     out.append((
-                        row_id, doc_id, number, n, leaf, template, leaf not in leaves, template not in templates,
-                        len(fields), *fields, *[0] * (FIELDS - len(fields)),
+                        row_id, doc_id, number, n, leaf, template, rest, template not in templates,
+                        len(fields), *heads, *[0] * (LEADING - len(heads)), *fields, *[0] * (FIELDS - len(fields)),
                     ))
-                    leaves.add(leaf)
                     templates.add(template)
             if out:
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int32()] * (1 + FIELDS)]
+                kinds = [
+                    pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.bool_(),
+                    *[pa.int32()] * (1 + LEADING + FIELDS),
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    names=["row", "doc", "line", "tokens", "leaf", "template", "leaf_first", "template_first", "n_fields", *names],
+                    names=["row", "doc", "line", "tokens", "leaf", "template", "rest", "template_first", "n_fields", *names],
                 )
 
     rows = only(docs, row, id_column, text).toDF("row", "doc", "_text").select("row", "doc", text_bytes("_text").alias("_text"))
     schema = (
-        "row bigint, doc bigint, line int, tokens int, leaf bigint, template bigint, leaf_first boolean, "
+        "row bigint, doc bigint, line int, tokens int, leaf bigint, template bigint, rest bigint, "
         "template_first boolean, n_fields int, " + ", ".join(f"{n} int" for n in names)
     )
     return stored(rows.mapInArrow(run, schema), "lines")
 
 
-def _recurs(docs: str) -> str:
-    return f"{docs} >= CASE WHEN tokens < {SHORT} THEN {SHORT_DOCS} ELSE {MIN_DOCS} END"
-
-
 def _field_keys() -> Column:
     """A line's keys: a hash of its leaf with each choice of as many fields as must be equal; null if it must have all."""
     keys = None
@@ -113,67 +131,61 @@ def _field_keys() -> Column:
     return keys
 
 
-def _lines_alike(lines: DataFrame) -> DataFrame:
-    """``(row, line)`` of lines that share enough fields with a line of a document with a smaller id.
+def _head_keys() -> Column:
+    """A line's keys by the paths on which one leading token is a wildcard: a hash of the others with the rest."""
+    return F.array(*[
+        F.xxhash64("rest", F.lit(-1 - i), *[f"h{j}" for j in range(LEADING) if j != i]) for i in range(LEADING)
+    ])
 
-    A leaf has as many templates as there are choices of equal fields that recur, so lines that fit none
-    of them spoil none. Only lines of leaves with several documents and templates get keys, and keys are
-    aggregated to a row for each document and then to one each, so no pairs are made.
+
+def _met(lines: DataFrame, part: str, keys: Column) -> DataFrame:
+    """``(row, line, doc, tokens, key)`` of the lines whose ``part`` several documents have in several templates.
+
+    Other lines have no line to agree with, or are found by their whole template.
     """
-    leaves = (
-        lines.groupBy("leaf")
-        .agg(
-            F.count_if("leaf_first").alias("docs"), F.min("doc").alias("_first"), F.max("doc").alias("_last"),
-            F.first("tokens").alias("tokens"), F.min("template").alias("_t0"), F.max("template").alias("_t1"),
-        )
-        .filter(_recurs("docs")).filter("_first != _last AND _t0 != _t1").select("leaf")
+    shared = (
+        lines.groupBy(part)
+        .agg(F.min("doc").alias("_first"), F.max("doc").alias("_last"), F.min("template").alias("_t0"), F.max("template").alias("_t1"))
+        .filter("_first != _last AND _t0 != _t1").select(part)
     )
-    met = cut_lineage(lines.drop("template", "leaf_first", "template_first").join(leaves, "leaf"))
-    keyed = met.select("row", "line", "doc", "tokens", F.explode(_field_keys()).alias("key"))
+    return lines.join(shared, part).select("row", "line", "doc", "tokens", F.explode(keys).alias("key"))
+
+
+def _lines_alike(lines: DataFrame, when: Recurrence) -> DataFrame:
+    """``(row, line)`` of lines that agree in enough with lines of other documents, the first of which is not theirs.
+
+    A leaf has as many templates as there are choices of equal fields that recur, so lines that fit none
+    of them spoil none; and a line is on the paths, too, on which one of its leading tokens is a wildcard and
+    all the rest is as it stands. Keys are aggregated to a row for each document and then to one each, so no
+    pairs are made.
+    """
+    # Three of at least four places agree on a path with a wildcard, as many as in a leaf.
+    headed = lines.filter("n_fields > 0")
+    keyed = cut_lineage(_met(lines, "leaf", _field_keys()).unionByName(_met(headed, "rest", _head_keys())))
     several = (
         keyed.groupBy("key", "row").agg(F.first("doc").alias("doc"), F.first("tokens").alias("tokens"))
         .groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("key_doc"), F.max("doc").alias("_last"), F.first("tokens").alias("tokens"))
-        .filter(_recurs("docs")).filter("key_doc != _last").select("key", "key_doc")
+        .filter(when.reached("docs")).filter("key_doc != _last").select("key", "key_doc")
     )
     return keyed.join(cut_lineage(several), "key").filter("doc != key_doc").select("row", "line")
 
 
-def recurring_lines(lines: DataFrame, several_per_leaf: bool = False) -> DataFrame:
+def recurring_lines(lines: DataFrame, when: Recurrence = RECURRENCE) -> DataFrame:
     """``(row, line)`` of the lines to drop.
 
-    Leaves and templates are aggregated to a row each, so a template that a large part of all documents
-    holds is combined before the shuffle; the joins back stream the lines against one row per leaf or
-    template. Leaves whose lines differ in too many fields are no template; their lines still count by
-    their own whole template. With ``several_per_leaf``, such a leaf may have templates: see ``_lines_alike``.
+    Templates are aggregated to a row each, so one that a large part of all documents holds is combined
+    before the shuffle; the join back streams the lines against one row per template. Lines that are not
+    equal when masked meet by what they agree in: see ``_lines_alike``.
     """
-    spread = [F.min(f"f{i}").alias(f"low{i}") for i in range(FIELDS)] + [F.max(f"f{i}").alias(f"high{i}") for i in range(FIELDS)]
     # Lines without an id are of one document, which comes first.
-    doc = F.coalesce("doc", F.lit(-(1 << 63)))
-    lines = lines.withColumn("doc", doc)
+    lines = lines.withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63))))
     several = (
         lines.groupBy("template")
         .agg(F.count_if("template_first").alias("docs"), F.min("doc").alias("template_doc"), F.max("doc").alias("_last"), F.first("tokens").alias("tokens"))
-        .filter(_recurs("docs")).filter("template_doc != _last").select("template", "template_doc")
-    )
-    at = lines.select("row", "line", "doc", "leaf", "template")
-    if several_per_leaf:
-        by_template = at.join(cut_lineage(several), "template").filter("doc != template_doc").select("row", "line")
-        return by_template.unionByName(_lines_alike(lines))
-    leaves = (
-        lines.groupBy("leaf")
-        .agg(
-            F.count_if("leaf_first").alias("docs"), F.min("doc").alias("leaf_doc"), F.max("doc").alias("_last"),
-            F.first("tokens").alias("tokens"), F.first("n_fields").alias("n_fields"),
-            F.min("template").alias("_t0"), F.max("template").alias("_t1"), *spread,
-        )
-        .filter(_recurs("docs")).filter("leaf_doc != _last AND _t0 != _t1 AND n_fields > 0")
+        .filter(when.reached("docs")).filter("template_doc != _last").select("template", "template_doc")
     )
-    same = sum((F.col(f"low{i}") == F.col(f"high{i}")).cast("int") * (F.col("n_fields") > i).cast("int") for i in range(FIELDS))
-    leaves = leaves.filter(same >= F.col("n_fields") * SIMILARITY).select("leaf", "leaf_doc")
-    several, leaves = cut_lineage(several), cut_lineage(leaves)
-    by_template = at.join(several, "template").filter("doc != template_doc").select("row", "line")
-    by_leaf = at.join(leaves, "leaf").filter("doc != leaf_doc").select("row", "line")
-    return by_template.unionByName(by_leaf)
+    by_template = lines.select("row", "line", "doc", "template").join(cut_lineage(several), "template").filter("doc != template_doc")
+    return by_template.select("row", "line").unionByName(_lines_alike(lines, when))
 
 
 @F.pandas_udf(T.StringType())
@@ -192,24 +204,24 @@ def _without(bodies: pd.Series, dropped: pd.Series) -> pd.Series:
 _without = _without.asNondeterministic()
 
 
-def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", several_per_leaf: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", when: Recurrence = RECURRENCE) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and counts ``n_lines`` and ``n_dropped``.
 
     A line's template comes from a tree of fixed depth: its token count, then its leading tokens. Tokens that
-    look variable are wildcards throughout. In a leaf, fields that vary are generalised too, if most of the
-    others do not vary; one other line can undo that, unless ``several_per_leaf`` lets a leaf have a template for
-    each group of lines in it that agree in so many fields. A template that recurs across documents is kept in the document with the smallest id
+    look variable are wildcards throughout. In a leaf, lines that agree in six of eight fields (three quarters)
+    have a template, as many as there are such groups; a name among the leading tokens is a wildcard if all the
+    rest agrees. A template that recurs across documents (``when``) is kept in the document with the smallest id
     and dropped everywhere else, so what is repeated stays once. Rows that share an id, or have none, are one
-    document: their lines alone never make a template recur. Lines are parted by line feeds; short
-    and blank lines stay. Rows and other columns stay; null texts stay null. ``n_lines`` counts the lines before.
+    document: their lines alone never make a template recur. Lines are parted by line feeds; blank lines stay.
+    Rows and other columns stay; null texts stay null. ``n_lines`` counts the lines before.
 
     ``docs`` must be a stored table with whole numbers as ids (see ``with_row``).
     """
     keyed, row = with_row(docs)
-    lines = _lines(keyed, row, id_column, text)
+    lines = _lines(keyed, row, id_column, text, when.min_tokens)
     taken = [*keyed.columns]
     drop, n_lines, n_dropped = (free_name(taken, c) for c in ("_drop", "n_lines", "n_dropped"))
-    drops = recurring_lines(lines, several_per_leaf).groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(drop))
+    drops = recurring_lines(lines, when).groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(drop))
     joined = keyed.join(drops, row, "left")
     body = F.col(f"`{text}`")
     lines_of = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
@@ -223,9 +235,9 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text: str =
 def keep_new_text(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs`` without recurring lines, and without the documents that had words and have none left.
 
-    A leaf of the tree may have several templates.     ``length`` is set to the characters of a text that has changed, if there is such a column.
+    ``length`` is set to the characters of a text that has changed, if there is such a column.
     """
-    found = drop_recurring_lines(docs, id_column, text, several_per_leaf=True)
+    found = drop_recurring_lines(docs, id_column, text)
     n_dropped = F.col(found.columns[-1])
     body = F.col(f"`{text}`")
     kept = found.filter((n_dropped == 0) | F.coalesce(body.rlike(r"\S"), F.lit(True)))

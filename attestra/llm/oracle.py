@@ -6,6 +6,9 @@ token counts.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 EMBEDDINGS = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
@@ -96,8 +99,10 @@ SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, text_crc32, 'key' AS law, old
 FROM d JOIN sums USING (r) JOIN old USING (r) JOIN new USING (r)
 """
 
-_FIELDS = ", ".join(f"count(DISTINCT f[{i}]) AS v{i}" for i in range(1, 9))
-_SAME = " + ".join(f"(k >= {i} AND v{i} = 1)::INTEGER" for i in range(1, 9))
+#: (fields, choice of those that must be equal) where not all must.
+_CHOICES = ", ".join(
+    f"({k}, {list(c)})" for k in range(1, 9) for c in combinations(range(1, k + 1), ceil(0.75 * k)) if len(c) < k
+)
 
 LINES = f"""
 WITH d AS (
@@ -111,15 +116,16 @@ t AS (
   SELECT r, doc, i, w, len(w) AS n, w[1:3] AS head, least(len(w) - 3, 8) AS k,
     list_transform(range(least(len(w) - 3, 8)), lambda j: w[4 + (len(w) - 3) * j // least(len(w) - 3, 8) : 3 + (len(w) - 3) * (j + 1) // least(len(w) - 3, 8)]) AS f
   FROM t WHERE len(w) >= 3
+), place AS (
+  SELECT r, doc, i, n, 'whole' AS kind, NULL AS choice, [w] AS parts FROM e
+  UNION ALL SELECT r, doc, i, n, 'fields', choice, [head] || list_select(f, choice) FROM e JOIN (VALUES {_CHOICES}) c(k, choice) USING (k)
+  UNION ALL SELECT r, doc, i, n, 'leading', choice, [list_select(head, choice), w[4:]] FROM e, (VALUES ([2, 3]), ([1, 3]), ([1, 2])) c(choice) WHERE k > 0
 ), template AS (
-  SELECT w, min(doc) AS first FROM e GROUP BY w, n
+  SELECT n, kind, choice, parts, min(doc) AS first FROM place GROUP BY n, kind, choice, parts
   HAVING count(DISTINCT r) >= CASE WHEN n < 8 THEN 10 ELSE 2 END AND min(doc) <> max(doc)
-), leaf AS (
-  SELECT n, head, first FROM (
-    SELECT n, head, k, min(doc) AS first, max(doc) AS last, count(DISTINCT r) AS docs, count(DISTINCT w) AS ws, {_FIELDS} FROM e GROUP BY n, head, k)
-  WHERE docs >= CASE WHEN n < 8 THEN 10 ELSE 2 END AND first <> last AND ws > 1 AND k > 0 AND {_SAME} >= 0.75 * k
 ), gone AS (
-  SELECT r, i FROM e JOIN template USING (w) WHERE doc <> first UNION SELECT r, i FROM e JOIN leaf USING (n, head) WHERE doc <> first
+  SELECT DISTINCT r, i FROM place p JOIN template t ON p.n = t.n AND p.kind = t.kind AND p.parts = t.parts
+    AND p.choice IS NOT DISTINCT FROM t.choice WHERE doc <> first
 ), left_over AS (
   SELECT r, string_agg(line, chr(10) ORDER BY i) FILTER (NOT g) AS text, count(*) AS n_lines, count(*) FILTER (g) AS n_dropped
   FROM (SELECT l.*, gone.r IS NOT NULL AS g FROM l LEFT JOIN gone USING (r, i)) GROUP BY r

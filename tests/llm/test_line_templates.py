@@ -8,35 +8,28 @@ from itertools import combinations
 from attestra.llm import line_templates as lt
 
 
-def brute(docs):
-    """By the rules as stated, with plain lists of fields instead of hashes."""
-    leaves, templates = defaultdict(list), defaultdict(list)
+def brute(docs, when=lt.RECURRENCE):
+    """By the rules as stated, with plain tokens and fields instead of hashes."""
+    holders = defaultdict(set)
     for row, (doc, text) in enumerate(docs):
         for number, line in enumerate((text or "").split("\n")):
             tokens = [lt.masked(t) for t in line.encode().split()]
-            if len(tokens) < lt.MIN_TOKENS:
+            n = len(tokens)
+            if n < max(when.min_tokens, 1):
                 continue
-            rest = tokens[3:]
+            head, rest = tokens[:3], tokens[3:]
             k = min(len(rest), lt.FIELDS)
             fields = [tuple(rest[len(rest) * i // k : len(rest) * (i + 1) // k]) for i in range(k)]
-            entry = (-1 if doc is None else doc, row, number, tuple(tokens), fields)
-            leaves[len(tokens), tuple(tokens[:3])].append(entry)
-            templates[tuple(tokens)].append(entry)
+            places = [(n, "whole", tuple(tokens))]
+            places += [(n, "fields", tuple(head), c, tuple(fields[i] for i in c)) for c in combinations(range(k), math.ceil(lt.SIMILARITY * k))]
+            places += [(n, "leading", i, tuple(head[:i] + head[i + 1 :]), tuple(rest)) for i in range(3) if k]
+            for place in places:
+                holders[place].add((-1 if doc is None else doc, row, number))
     gone = set()
-
-    def drop(entries, n):
-        docs_with = {e[0] for e in entries}
-        rows_with = {e[1] for e in entries}
-        if len(docs_with) > 1 and len(rows_with) >= (lt.SHORT_DOCS if n < lt.SHORT else lt.MIN_DOCS):
-            gone.update((e[1], e[2]) for e in entries if e[0] != min(docs_with))
-
-    for tokens, entries in templates.items():
-        drop(entries, len(tokens))
-    for (n, _), entries in leaves.items():
-        k = len(entries[0][4])
-        same = sum(len({e[4][i] for e in entries}) == 1 for i in range(k))
-        if k and len({e[3] for e in entries}) > 1 and same >= lt.SIMILARITY * k:
-            drop(entries, n)
+    for (n, *_), lines in holders.items():
+        needed = when.short_docs if n < when.short else when.min_docs
+        if len({d for d, _, _ in lines}) > 1 and len({r for _, r, _ in lines}) >= needed:
+            gone |= {(r, i) for d, r, i in lines if d != min(lines)[0]}
     out = []
     for row, (doc, text) in enumerate(docs):
         lines = [] if text is None else text.split("\n")
@@ -118,23 +111,18 @@ def test_a_leaf_has_several_templates(spark, tmp_path):
     assert len({lt.line_of(c.encode())[1] for c in [*copies, strange[0]]}) == 1 == len({lt.line_of(c.encode())[1] for c in [*names, strange[1]]})
 
 
-def test_several_templates_equal_brute_force(spark, tmp_path):
-    docs, holders = corpus(), defaultdict(set)
-    for row, (doc, text) in enumerate(docs):
-        for number, line in enumerate((text or "").split("\n")):
-            tokens = [lt.masked(t) for t in line.encode().split()]
-            rest = tokens[3:]
-            k = min(len(rest), lt.FIELDS)
-            fields = [tuple(rest[len(rest) * i // k : len(rest) * (i + 1) // k]) for i in range(k)]
-            if len(tokens) >= lt.MIN_TOKENS:
-                for c in combinations(range(k), math.ceil(lt.SIMILARITY * k)):
-                    holders[len(tokens), tuple(tokens[:3]), c, tuple(fields[i] for i in c)].add((-1 if doc is None else doc, row, number))
-    gone = set()
-    for (n, *_), lines in holders.items():
-        if len({d for d, _, _ in lines}) > 1 and len({r for _, r, _ in lines}) >= (lt.SHORT_DOCS if n < lt.SHORT else lt.MIN_DOCS):
-            gone |= {(r, i) for d, r, i in lines if d != min(lines)[0]}
-    expected = [(d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (r, i) not in gone)) for r, (d, t) in enumerate(docs)]
+def test_names_among_the_leading_tokens(spark, tmp_path):
+    lines = [f"user {chr(97 + i) * 4} has logged in to the main site now" for i in range(20)]
+    others = ["user aaaa had logged in to the main page now", "the user has seen all of the main site now"]
+    docs = list(enumerate([*lines, *others]))
+    frame = stored(spark, str(tmp_path / "d"), docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lt.drop_recurring_lines(frame).collect() if r.text} == {0: lines[0], **dict(docs[20:])}
+
+
+def test_one_threshold_for_all_lines(spark, tmp_path):
+    docs = corpus() + [(900, "One\ntwo words\nOne"), (901, "two words\nOne"), (902, "\n\n")]
     frame = stored(spark, str(tmp_path / "d"), docs, "doc_id long, text string")
-    got = [(r.doc_id, r.text) for r in lt.drop_recurring_lines(frame, several_per_leaf=True).collect()]
-    assert sorted(got, key=repr) == sorted(expected, key=repr)
-    assert len(gone) > sum(r[3] for r in brute(docs))
+    when = lt.Recurrence(1, 2, 0, 2)
+    rows = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in lt.drop_recurring_lines(frame, when=when).collect()), key=repr)
+    assert rows == brute(docs, when)
+    assert (901, "", 2, 2) in rows and (902, "\n\n", 3, 0) in rows
