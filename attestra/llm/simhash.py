@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from attestra.llm.components import components
 from attestra.llm.rows import only, text_bytes, with_row
-from attestra.session import cut_lineage
+from attestra.session import cut_lineage, stored
 
 SHINGLE = 3
 SEED = 42
@@ -151,21 +151,156 @@ def hex_digits(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of near-duplicates, with all its columns: the one with the smallest id.
+#: Near copies: shingles of so many words, at this Jaccard similarity or more.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Their fingerprints have so many 64-bit words. Binary vectors of Jaccard similarity s have the cosine 2s / (1 + s), so
+#: bits differ at a rate of acos(2s / (1 + s)) / pi: 0.152 for 0.8. Pairs are candidates up to 0.18, for the spread of draws.
+NEAR_WORDS = 4
+NEAR_BITS = int(64 * NEAR_WORDS * 0.18)
+NEAR_POSITIONS = 8 * NEAR_WORDS
+#: Posting lists are keyed by so many positional bytes, in so many families; a candidate shares this many bytes in all.
+NEAR_KEY, NEAR_FAMILIES, NEAR_SHARED = 3, 192, 3
+WIDE = [f"w{i}" for i in range(NEAR_WORDS)]
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """NEAR_WORDS independent hashes of each 64-bit hash, as a row of bytes."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    z = hashes[:, None] + step * np.arange(1, NEAR_WORDS + 1, dtype=np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).view(np.uint8)
+
+
+def shingle_set(text: bytes, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """Hashes of the distinct lower-cased shingles; fewer words: of the whole sequence; none: empty."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter({digest(b" ".join(words[i : i + size]), SEED) for i in range(max(len(words) - size, 0) + 1)}, np.uint64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _shingle_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in texts:
+        yield pd.Series([shingle_set(t).view(np.int64) for t in part], dtype=object)
+
+
+def wide_fingerprint_of(text: bytes, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """SimHash of NEAR_WORDS signed words over the distinct lower-cased shingles; no words: zeros."""
+    hashes = shingle_set(text, size)
+    if not len(hashes):
+        return np.zeros(NEAR_WORDS, np.int64)
+    counts = np.zeros(64 * NEAR_WORDS, np.int64)
+    for at in range(0, len(hashes), 255):  # so many ones fit into a byte
+        counts += np.unpackbits(_mixed(hashes[at : at + 255]), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes)).view(np.int64)
+
+
+@F.pandas_udf(T.StructType([T.StructField(w, T.LongType()) for w in WIDE]))
+def _wide_fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for part in texts:
+        values = np.array([wide_fingerprint_of(t) for t in part], np.int64).reshape(-1, NEAR_WORDS)
+        yield pd.DataFrame(values, columns=WIDE)
+
+
+_wide_fingerprint = _wide_fingerprint.asNondeterministic()
+
 
-    Of rows with that id, the first stored one stays; a row without an id stays only if no row of its
-    component has one. ``docs`` must be a stored table (see ``with_row``).
+def near_families() -> np.ndarray:
+    """The byte positions of each family of posting lists, spread over all positions by a fixed seed."""
+    rng = np.random.default_rng(SEED)
+    chosen: dict[tuple[int, ...], None] = {}
+    while len(chosen) < NEAR_FAMILIES:
+        chosen[tuple(sorted(rng.choice(NEAR_POSITIONS, NEAR_KEY, replace=False).tolist()))] = None
+    return np.array(list(chosen))
+
+
+def _near_keys() -> Callable[..., Column]:
+    families = near_families()
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(*words: pd.Series) -> pd.Series:
+        positional = np.column_stack([w.to_numpy(np.int64) for w in words]).view(np.uint8).reshape(-1, NEAR_POSITIONS).astype(np.int64)
+        key = np.broadcast_to(np.arange(len(families), dtype=np.int64), (len(positional), len(families)))
+        for column in families.T:
+            key = key << 8 | positional[:, column]
+        return pd.Series(list(key), dtype=object)
+
+    return keys
+
+
+def _candidates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b, bits)`` of the pairs that share enough positional bytes and differ in few enough bits."""
+    sides = [nodes.select(F.col("node").alias(side), *[F.col(w).alias(f"{side}{w}") for w in WIDE]) for side in "ab"]
+    held = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
+    shared = sum((shared_bytes(F.col(f"a{w}"), F.col(f"b{w}")) for w in WIDE), F.lit(0))
+    bits = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WIDE), F.lit(0))
+    return held.filter(shared >= NEAR_SHARED).select("a", "b", bits.alias("bits")).filter(F.col("bits") <= NEAR_BITS)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``(a, b)`` pairs whose shingles are similar enough; ``texts`` is ``(node, text)``, read for these nodes only."""
+    pairs = cut_lineage(pairs.select("a", "b"))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut_lineage(texts.join(used, "node", "left_semi").select("node", _shingle_set(text_bytes("text")).alias("held")))
+    both = (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("_a")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("held").alias("_b")), "b")
+        .select("a", "b", F.size("_a").alias("na"), F.size("_b").alias("nb"), F.size(F.array_intersect("_a", "_b")).alias("n"))
+    )
+    return both.filter(F.col("n") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+
+
+def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b)`` links that join the near copies among ``nodes``, directly or in steps.
+
+    ``nodes`` has a distinct whole number ``node`` for each distinct wide fingerprint, ``texts`` a ``text`` for each.
+    The index posts a fingerprint under the NEAR_KEY positional bytes of each family. First every entry is compared
+    with the smallest of each of its lists and verified against the nearest of these, which joins nearly all of a
+    group of near copies, however large. Then entries of a list that are in different components by now are
+    compared, so a list costs its length times its stragglers and strangers, not its square. No pair that meets
+    in a list is lost: one that is not compared is joined already. Every link is verified on all shingles.
+    """
+    keys = _near_keys()
+    postings = stored(nodes.select("node", F.explode(keys(*WIDE)).alias("key")), "postings")
+    lists = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).filter("pivot != _last")
+    met = cut_lineage(postings.join(lists.select("key", "pivot"), "key"))
+    to_pivot = _candidates(met.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), nodes)
+    nearest = to_pivot.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b")
+    stars = cut_lineage(_similar(nearest, texts))
+    rooted = met.join(components(stars), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("_first"), F.max("root").alias("_last")).filter("_first != _last")
+    left = cut_lineage(rooted.join(several.select("key"), "key"))
+    right = left.select("key", F.col("node").alias("b"), F.col("root").alias("_root"))
+    rest = left.join(right, "key").filter("root < _root").select(F.col("node").alias("a"), "b")
+    return stars.unionByName(_similar(_candidates(rest, nodes), texts))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies, with all its columns: the one with the smallest id.
+
+    Near copies are texts whose distinct five-word shingles (shorter texts: the whole sequence) have a Jaccard
+    similarity of 0.8 or more; candidates come from 256-bit SimHash fingerprints (see ``near_links``). At this
+    similarity no byte is guaranteed to agree, so the minimum of shared bytes is a likely one, and the index
+    finds a share of the pairs that rises with similarity; a test holds it against brute force.
+    Null, empty and blank texts have the fingerprint zero and are one group. Of rows with the smallest id, the
+    first stored one stays; a row without an id stays only if no row of its group has one. ``docs`` must be a
+    stored table (see ``with_row``). Other columns are not read and may have any name.
     """
     keyed, row = with_row(docs)
-    rows = cut_lineage(keyed.select(
-        F.col(row).alias("row"), F.col(f"`{id_column}`").alias("id"), fingerprint(f"`{text}`").alias("fingerprint")
-    ))
-    roots = fingerprint_components(rows)
-    first = rows.groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    rows = keyed.select(
+        F.col(row).alias("row"), F.col(f"`{id_column}`").alias("id"), _wide_fingerprint(text_bytes(f"`{text}`")).alias("wide")
+    ).select("row", "id", "wide.*")
+    nodes = cut_lineage(
+        rows.groupBy(*WIDE).agg(F.min("row").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    )
+    texts = keyed.select(F.col(row).alias("node"), F.col(f"`{text}`").alias("text"))
+    roots = components(near_links(nodes, texts))
     kept = (
-        first.join(roots, "fingerprint", "left")
-        .groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("first").alias("first"))
+        nodes.join(roots, "node", "left")
+        .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
         .select(F.col("first.row").alias(row))
     )
     return keyed.join(cut_lineage(kept), row, "left_semi").drop(row)

@@ -13,7 +13,7 @@ from attestra.llm import decontamination, oracle, queries, simhash
 from attestra.llm.rows import read, tokenizer_file
 from tests.llm.test_decontamination import brute as contaminated
 from tests.llm.test_line_templates import brute as without_lines
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_components
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="sample tables are not here")
@@ -38,9 +38,10 @@ def test_every_operator_has_a_query():
 
 
 def brute_keep_one(docs):
-    prints = {d.doc_id: brute_fingerprint(d.text) for d in docs}
-    ids = sorted(prints)
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if bin(prints[a] ^ prints[b]).count("1") <= 2]
+    sets = {d.doc_id: set(simhash.shingle_set((d.text or "").encode()).tolist()) for d in docs}
+    ids = sorted(sets)
+    close = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if close(sets[a], sets[b])]
     return {i for i, root in brute_components(pairs, ids).items() if i == root}
 
 

@@ -97,3 +97,46 @@ def test_components_of_a_million_links(spark):
     found = components(pairs)
     assert found.count() == 2 * n
     assert found.filter(f"root != node % {n}").count() == 0
+
+
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_near_copies_by_similarity(spark, tmp_path):
+    """Pairs of random texts with some words changed: the share caught by exact Jaccard similarity."""
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    docs, pairs = [], {}
+    for i in range(600):
+        words = say(rng.choice([60, 150, 400]))
+        other = list(words)
+        for _ in range(rng.randrange(1, 1 + len(words) // 25)):
+            other[rng.randrange(len(words))] = "changed"
+        a, b = " ".join(words), " ".join(other)
+        pairs[2 * i] = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        docs += [(2 * i, a), (2 * i + 1, b)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    kept = {r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    assert all(i in kept for i in pairs)
+    caught = lambda low, high: [i + 1 not in kept for i, s in pairs.items() if low <= s < high]
+    shares = {(low, high): sum(c) / len(c) for low, high in ((0, 0.7), (0.7, 0.8), (0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1)) if (c := caught(low, high))}
+    print({k: round(v, 3) for k, v in shares.items()})
+    similar = caught(0.8, 1)
+    assert sum(similar) / len(similar) >= 0.9
+    assert shares[0.9, 0.95] >= 0.98 and shares[0, 0.7] == shares[0.7, 0.8] == 0
+
+
+def test_a_large_group_of_near_copies_leaves_one(spark, tmp_path):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    docs = []
+    for i in range(3000):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        docs.append((i, " ".join(words)))
+    docs += [(9000 + i, " ".join(f"w{rng.randrange(5000)}" for _ in range(80))) for i in range(100)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{tmp_path}/d")).collect())
+    assert kept == [0, *range(9000, 9100)]
