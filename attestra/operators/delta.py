@@ -169,13 +169,11 @@ def baseline_drift(
     for drifted projects. ``baseline``: scope - projects whose locked version can be read.
     """
 
-    def hash_of(key: str, name: str) -> DataFrame:
-        return manifest.filter(F.col("file_key") == key).groupBy(*scope).agg(F.max("sha256").alias(name))
+    def hash_of(key: str, name: str) -> Column:
+        return F.max(F.when(F.col("file_key") == key, F.col("sha256"))).alias(name)
 
-    out = (
-        run_config.join(hash_of("architecture_constraints", "_rules"), list(scope), "left")
-        .join(hash_of("prd", "_requirements"), list(scope), "left")
-    )
+    hashes = manifest.groupBy(*scope).agg(hash_of("architecture_constraints", "_rules"), hash_of("prd", "_requirements"))
+    out = run_config.join(hashes, list(scope), "left")
     n = F.lit(0).cast("bigint")
     if diff is not None:
         out = out.join(diff.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")), list(scope), "left")

@@ -5,6 +5,7 @@ import datetime as dt
 
 from attestra.functions.hashing import with_content_hash
 from attestra.operators import delta, impact
+from attestra.plans.queries import REGISTRY
 from tests.conftest import list_of, rows_of
 
 
@@ -182,3 +183,30 @@ def test_reuse_and_carry_over(table):
         ("a.py", "test", "x", None), ("z.py", "test", "x", None), ("z.py", "tool", "x", "coverage"), ("y.py", "tool", "x", "lint"), ("y.py", "task", "x", None)])
     carried = delta.carry_over(old, new)
     assert rows_of(carried, "source_path", "source_type", "carried_over") == {("z.py", "test", True), ("z.py", "tool", True)}
+
+
+def test_drift_is_computed_once(spark, tmp_path):
+    """Three kinds of findings read it; their union ran the joins of all of them in each of its tasks."""
+    spark.createDataFrame(
+        [(i, 3 + i % 3, float(i * 1000 - 2000), "BUILDING") for i in range(10)],
+        "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(
+        [(i % 10, "F", 1000.0 * i * i) for i in range(30)], "o_custkey long, o_orderstatus string, o_totalprice double"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    out = REGISTRY["drift_findings"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("c_acctbal") == 0 and plan.count("Join") <= 1
+    assert out.count() > 0
+
+
+def test_hashes_of_a_manifest_by_key(spark):
+    """Other keys do not count, a repeated key counts with its greatest hash, a project without a manifest has not drifted."""
+    config = spark.createDataFrame(
+        [(p, "x", "p", "c", "p", "py", []) for p in ("both", "rules", "other", "gone")], f"project_id string, {CONFIG}")
+    manifest = spark.createDataFrame(
+        [("both", "architecture_constraints", "a"), ("both", "architecture_constraints", "x"), ("both", "prd", None), ("both", "prd", "p"),
+         ("rules", "architecture_constraints", "a"), ("other", "notes", "z"), (None, "prd", "q")],
+        "project_id string, file_key string, sha256 string")
+    drift = delta.baseline_drift(config, manifest)
+    assert rows_of(drift, "project_id", "drift", "requirements_drift") == {
+        ("both", "none", False), ("rules", "format_only", False), ("other", "none", False), ("gone", "none", False)}
