@@ -39,7 +39,7 @@ class SnapshotStore:
         if "ord" in rows.columns:
             last = last_per_key(stored.select(*self.scope, key, *content, "ord"), [*self.scope, key], ["ord"])
             trees = trees.unionByName(digests.leaf_digests(last, ledger="last", **options))
-        trees.coalesce(1).write.parquet(f"{place}/tree")
+        trees.hint("rebalance").write.parquet(f"{place}/tree")
         commits.publish(self.spark, self.path, {name: place}, run_id=revision, keep=True)
 
     def _read(self, place: str) -> DataFrame:

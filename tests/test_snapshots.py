@@ -80,3 +80,19 @@ def test_only_differing_folders_are_read(spark, tmp_path):
     assert same.count() == 0
     with pytest.raises(KeyError):
         store.rows("old", "task")
+
+
+def test_tree_is_written_by_several_tasks(spark, tmp_path):
+    """A tree grows with the projects: all its digests were computed by the one task that wrote its file."""
+    names = {f"spark.sql.adaptive.{name}": "2k" for name in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize")}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        store = SnapshotStore(spark, str(tmp_path), groups=1, leaves=1)
+        store.put("head", "claim", table_of(spark, [(f"p{i}", "C", f"h{i}", i) for i in range(400)]), key="claim_id")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert store.tree("head", "claim").count() == 400
+    assert len(store.tree("head", "claim").inputFiles()) > 1
