@@ -161,7 +161,8 @@ def _lines_alike(lines: DataFrame, when: Recurrence) -> DataFrame:
     """
     # Three of at least four places agree on a path with a wildcard, as many as in a leaf.
     headed = lines.filter("n_fields > 0")
-    keyed = cut_lineage(_met(lines, "leaf", _field_keys()).unionByName(_met(headed, "rest", _head_keys())))
+    # A line's keys share all their other columns: in columns they take a fraction of what rows take.
+    keyed = stored(_met(lines, "leaf", _field_keys()).unionByName(_met(headed, "rest", _head_keys())), "line-keys")
     several = (
         keyed.groupBy("key", "row").agg(F.first("doc").alias("doc"), F.first("tokens").alias("tokens"))
         .groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("key_doc"), F.max("doc").alias("_last"), F.first("tokens").alias("tokens"))
