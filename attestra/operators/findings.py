@@ -370,21 +370,18 @@ def run_flags(
     scope: Sequence[str] = SCOPE,
 ) -> DataFrame:
     """Nine named conditions over a run's totals, one row per project."""
-    keys = list(scope)
-    totals = gap.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("_gaps"), F.bool_or(F.col("item_type").isin("ac", "requirement")).alias("_coverage")
+    # One aggregate and one join for all five kinds of rows: each join would sort both of its sides.
+    kinds = {
+        "_gaps": (gap, {"_coverage": F.col("item_type").isin("ac", "requirement")}),
+        "_risks": (risk, {"_must": F.col("severity") == "must", "_low": F.col("confidence") == "low_confidence"}),
+        "_unclear": (unclear, {}), "_violations": (violation, {}), "_files": (uncovered, {}),
+    }
+    rows = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [of.select(*scope, F.lit(True).alias(name), *[hit.alias(flag) for flag, hit in hits.items()]) for name, (of, hits) in kinds.items()],
     )
-    risks = risk.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("_risks"), F.bool_or(F.col("severity") == "must").alias("_must"),
-        F.count_if(F.col("confidence") == "low_confidence").alias("_low"),
-    )
-
-    def count(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*scope).agg(F.count(F.lit(1)).alias(name))
-
-    out = gate.select(*scope, "gate_decision")
-    for part in (totals, risks, count(unclear, "_unclear"), count(violation, "_violations"), count(uncovered, "_files")):
-        out = out.join(part, keys, "left")
+    totals = rows.groupBy(*scope).agg(*[F.count_if(c).alias(c) for c in rows.columns if c not in scope])
+    out = gate.select(*scope, "gate_decision").join(totals, list(scope), "left")
 
     def some(name: str, more_than: int = 0) -> Column:
         return F.coalesce(F.col(name) > more_than, F.lit(False))
@@ -393,10 +390,10 @@ def run_flags(
         *scope,
         (F.col("gate_decision") == "blocked").alias("gate_blocked"),
         (F.col("gate_decision") == "fail").alias("gate_fail"),
-        F.coalesce("_must", F.lit(False)).alias("has_must_risks"),
+        some("_must").alias("has_must_risks"),
         (some("_gaps", 5) | some("_risks", 10)).alias("high_gap_risk_count"),
         some("_low").alias("has_low_confidence"),
-        F.coalesce("_coverage", F.lit(False)).alias("has_coverage_gaps"),
+        some("_coverage").alias("has_coverage_gaps"),
         some("_unclear").alias("has_unclear_constraints"),
         some("_violations").alias("has_violations"),
         some("_files").alias("has_uncovered_evolution_scope"),

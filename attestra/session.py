@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Shuffled keys and flags compress well: a task's share is some tens of times as large in memory, once per sort and aggregate.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     # Row-emitting joins stream the side that can be hot on the left against unique keys on the
     # right, so the adaptive planner can split a hot partition of the left side.
     "spark.sql.adaptive.skewJoin.enabled": "true",
