@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from attestra.llm.components import components
 from attestra.llm.rows import only, text_bytes, with_row
-from attestra.session import cut_lineage, stored
+from attestra.session import cut_lineage
 
 SHINGLE = 3
 SEED = 42
@@ -161,6 +162,9 @@ NEAR_POSITIONS = 8 * NEAR_WORDS
 #: Posting lists are keyed by so many positional bytes, in so many families; a candidate shares this many bytes in all.
 NEAR_KEY, NEAR_FAMILIES, NEAR_SHARED = 3, 192, 3
 WIDE = [f"w{i}" for i in range(NEAR_WORDS)]
+#: Entries of a list are near if a 64-bit word apart from the key differs in so many bits at most. Of pairs at a similarity of 0.8 some one in
+#: 25,000 differs in more (each meets in several families, with other words), of strangers with even bits all but one in 120.
+SKETCH_BITS = 22
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:
@@ -217,18 +221,100 @@ def near_families() -> np.ndarray:
     return np.array(list(chosen))
 
 
-def _near_keys() -> Callable[..., Column]:
+def _postings(nodes: DataFrame) -> DataFrame:
+    """``(key, node, sketch)`` for each node and family; the sketch is a word of the fingerprint that holds no byte of the key."""
     families = near_families()
+    free = np.array([min(set(range(NEAR_WORDS)) - {p // 8 for p in family}) for family in families.tolist()])
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys(*words: pd.Series) -> pd.Series:
-        positional = np.column_stack([w.to_numpy(np.int64) for w in words]).view(np.uint8).reshape(-1, NEAR_POSITIONS).astype(np.int64)
-        key = np.broadcast_to(np.arange(len(families), dtype=np.int64), (len(positional), len(families)))
-        for column in families.T:
-            key = key << 8 | positional[:, column]
-        return pd.Series(list(key), dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                node, *words = (c.to_numpy().astype(np.int64) for c in batch.slice(low, 512).columns)
+                wide = np.column_stack(words)
+                positional = wide.view(np.uint8).reshape(-1, NEAR_POSITIONS).astype(np.int64)
+                key = np.broadcast_to(np.arange(len(families), dtype=np.int64), (len(wide), len(families)))
+                for column in families.T:
+                    key = key << 8 | positional[:, column]
+                columns = key.ravel(), np.repeat(node, len(families)), wide[:, free].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "sketch"])
 
-    return keys
+    return nodes.select("node", *WIDE).mapInArrow(run, "key bigint, node bigint, sketch bigint")
+
+
+def _sublists(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, pivot, node)`` of the entries that are near another one of their list, in one sublist with it.
+
+    Entries come sorted by key and node. A list longer than LONG_LIST is one sublist as it is.
+    """
+    if not len(key):
+        return key, node, node
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    used = np.repeat(size > 1, size)
+    first = np.repeat(first, size)[used]
+    key, node, sketch, pivot, size = key[used], node[used], sketch[used], node[first], np.repeat(size, size)[used]
+    short = np.flatnonzero(size <= LONG_LIST)
+    k, x = key[short], sketch[short].view(np.uint64)
+    left, right = [], []
+    for step in range(1, int(size[short].max(initial=1))):
+        at = np.flatnonzero(k[step:] == k[:-step])
+        at = at[np.bitwise_count(x[at] ^ x[at + step]) <= SKETCH_BITS]
+        left.append(at)
+        right.append(at + step)
+    label = np.arange(len(short))
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        while True:
+            least = np.minimum(label[a], label[b])
+            if (label[a] == least).all() and (label[b] == least).all():
+                break
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+        pivot[short] = node[short][label]
+        kept = size > LONG_LIST
+        kept[short[a]] = kept[short[b]] = True
+    else:
+        kept = size > LONG_LIST
+    return key[kept], pivot[kept], node[kept]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_sublists`` of sorted postings. A list that goes on in the next batch waits for it, but for one that is long already."""
+    held = [np.zeros(0, np.int64)] * 3
+    running = None  # key and pivot of a long list of which the beginning is out already
+    for batch in batches:
+        key, node, sketch = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+        if not len(key):
+            continue
+        out = []
+        if running:
+            n = int(np.searchsorted(key, running[0], "right"))
+            out.append((key[:n], np.full(n, running[1]), node[:n]))
+            key, node, sketch = key[n:], node[n:], sketch[n:]
+        if len(key):
+            running = None
+            last = int(np.searchsorted(key, key[-1]))
+            if len(key) - last > LONG_LIST:
+                running = key[-1], node[last]
+                out.append((key[last:], np.full(len(key) - last, node[last]), node[last:]))
+            out.append(_sublists(key[:last], node[:last], sketch[:last]))
+            held = [np.zeros(0, np.int64)] * 3 if running else [key[last:], node[last:], sketch[last:]]
+        for part in out:
+            if len(part[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["key", "pivot", "node"])
+    part = _sublists(*held)
+    if len(part[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["key", "pivot", "node"])
+
+
+def near_lists(nodes: DataFrame) -> DataFrame:
+    """``(key, pivot, node)``: the posting lists of the index, parted into sublists of entries near one another.
+
+    Strangers meet in lists of three bytes by chance, the more so the larger the table. An entry whose sketch is within SKETCH_BITS
+    of no other one in its list is left out there, so what goes on grows with the near copies and not with the square of the
+    table. A sublist holds what such steps join, and its pivot is its smallest node. Lists are found and parted in sorted order.
+    """
+    return _postings(nodes).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "key bigint, pivot bigint, node bigint")
 
 
 def _candidates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -257,24 +343,22 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, b)`` links that join the near copies among ``nodes``, directly or in steps.
 
     ``nodes`` has a distinct whole number ``node`` for each distinct wide fingerprint, ``texts`` a ``text`` for each.
-    The index posts a fingerprint under the NEAR_KEY positional bytes of each family. First every entry is compared
-    with the smallest of each of its lists and verified against the nearest of these, which joins nearly all of a
-    group of near copies, however large. Then entries of a list that are in different components by now are
-    compared, so a list costs its length times its stragglers and strangers, not its square. No pair that meets
-    in a list is lost: one that is not compared is joined already. Every link is verified on all shingles.
+    The index posts a fingerprint under the NEAR_KEY positional bytes of each family, and lists are parted into sublists
+    of near entries (see ``near_lists``). First every entry is compared with the smallest of each of its sublists and
+    verified against the nearest of these, which joins nearly all of a group of near copies, however large. Then entries
+    of a sublist that are in different components by now are compared, so a sublist costs its length times its stragglers,
+    not its square. No pair that is near in a list is lost: one that is not compared is joined already. Every link
+    is verified on all shingles.
     """
-    keys = _near_keys()
-    postings = stored(nodes.select("node", F.explode(keys(*WIDE)).alias("key")), "postings")
-    lists = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).filter("pivot != _last")
-    met = cut_lineage(postings.join(lists.select("key", "pivot"), "key"))
+    met = cut_lineage(near_lists(nodes))
     to_pivot = _candidates(met.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), nodes)
     nearest = to_pivot.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b")
     stars = cut_lineage(_similar(nearest, texts))
-    rooted = met.join(components(stars), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("_first"), F.max("root").alias("_last")).filter("_first != _last")
-    left = cut_lineage(rooted.join(several.select("key"), "key"))
-    right = left.select("key", F.col("node").alias("b"), F.col("root").alias("_root"))
-    rest = left.join(right, "key").filter("root < _root").select(F.col("node").alias("a"), "b")
+    rooted = met.join(components(stars), "node", "left").select("key", "pivot", "node", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key", "pivot").agg(F.min("root").alias("_first"), F.max("root").alias("_last")).filter("_first != _last")
+    left = cut_lineage(rooted.join(several.select("key", "pivot"), ["key", "pivot"]))
+    right = left.select("key", "pivot", F.col("node").alias("b"), F.col("root").alias("_root"))
+    rest = left.join(right, ["key", "pivot"]).filter("root < _root").select(F.col("node").alias("a"), "b")
     return stars.unionByName(_similar(_candidates(rest, nodes), texts))
 
 

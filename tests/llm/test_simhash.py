@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -140,3 +142,43 @@ def test_a_large_group_of_near_copies_leaves_one(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
     kept = sorted(r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{tmp_path}/d")).collect())
     assert kept == [0, *range(9000, 9100)]
+
+
+def wide_nodes(spark, values):
+    rows = [(i, *np.array(v, np.uint64).view(np.int64).tolist()) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "node long, " + ", ".join(f"{w} long" for w in simhash.WIDE))
+
+
+def test_strangers_that_meet_by_chance_go_no_further(spark):
+    """Chance meetings in lists grow with the square of the table; only near entries are kept and looked up."""
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 1 << 64, (12000, simhash.NEAR_WORDS), np.uint64, endpoint=False)
+    for i in range(0, 200, 2):  # near copies: 20 of 256 bits
+        flips = np.zeros(256, np.uint8)
+        flips[rng.choice(256, 20, replace=False)] = 1
+        values[i + 1] = values[i] ^ np.packbits(flips).view(np.uint64)
+    nodes = wide_nodes(spark, values).cache()
+    met = [(r.key, r.pivot, r.node) for r in simhash.near_lists(nodes).collect()]
+    by_chance = simhash._postings(nodes).filter("node >= 200").groupBy("key").count().filter("count > 1").count()
+    assert by_chance > 500
+    assert sum(node >= 200 for _, _, node in met) < by_chance / 10
+    assert {(2 * i, 2 * i + 1) for i in range(100)} <= {(pivot, node) for _, pivot, node in met}
+
+
+def test_sublists_do_not_depend_on_batches():
+    rng = np.random.default_rng(9)
+    entries = []
+    for key, size in enumerate([1, 2, 64, 65, 500, 1, 3, 30]):
+        base = rng.integers(0, 1 << 64, 1, np.uint64)
+        base = np.append(base, ~base)
+        entries += [(key, 1000 * key + i, int((base[i % 2] ^ np.uint64(1 << int(rng.integers(63)))).view(np.int64))) for i in range(size)]
+
+    def parted(step):
+        batches = (pa.record_batch([pa.array(c, pa.int64()) for c in zip(*entries[i : i + step])], names=["key", "node", "sketch"]) for i in range(0, len(entries), step))
+        return sorted(tuple(r.values()) for b in simhash._met(batches) for r in b.to_pylist())
+
+    whole = parted(len(entries))
+    assert all(parted(step) == whole for step in (1, 7, 64, 100))
+    assert [sum(k == key for k, _, _ in whole) for key in range(8)] == [0, 0, 64, 65, 500, 0, 2, 30]
+    assert {p for k, p, _ in whole if k == 2} == {2000, 2001} and {p for k, p, _ in whole if k == 4} == {4000}
+    assert list(simhash._met(iter(()))) == []
