@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
@@ -20,6 +21,10 @@ from attestra.llm.rows import only
 #: The byte-level alphabet's printable ranges, and the pre-tokenizer's pattern.
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same on texts of ASCII characters alone, for the standard library's engine, which is faster.
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: Characters of text whose new words are encoded together.
+TOGETHER = 1 << 20
 #: Encoded pre-tokens that a worker remembers. It saves work and changes no result.
 REMEMBERED = 1 << 16
 #: Fragments up to this length are merged without a heap.
@@ -59,6 +64,13 @@ class Vocabulary:
             for a, b in zip(token, token[1:], strict=False):
                 inside[a << 8 | b] = 1
         self.inside = bytes(inside)
+        #: The same tables as arrays, for many fragments at a time; pairs are sorted.
+        self._inside = np.frombuffer(self.inside, np.uint8).astype(bool)
+        self._of_byte = np.array(self.of_byte, np.int64)
+        self._merged = np.array(self.merged, np.int64)
+        pairs = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(pairs)
+        self._pairs, self._ranks = pairs[order], np.fromiter(self.rank.values(), np.int64, len(self.rank))[order]
 
     def fragments(self, word: bytes) -> Iterator[bytes]:
         """Cut at every byte pair that occurs inside no token: no merge can ever cross it."""
@@ -69,6 +81,63 @@ class Vocabulary:
                 start = i
         yield word[start:]
 
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, which has one character at least: all words are cut and merged together, fragments of a length at a time."""
+        data = [word.encode() for word in words]
+        text = np.frombuffer(b"".join(data), np.uint8)
+        ends = np.cumsum([len(d) for d in data])
+        starts = np.concatenate([[0], ends[:-1]])
+        new = np.ones(len(text), bool)
+        new[1:] = ~self._inside[text[:-1].astype(np.int64) << 8 | text[1:]]
+        new[starts] = True
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(text)))
+        part = self._of_byte[text]
+        for n in np.unique(size).tolist():
+            if 1 < n <= SHORT:
+                at = first[size == n][:, None] + np.arange(n)
+                part[at] = self._merge_many(part[at])
+        for low, n in zip(first[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+            ids = self.merge(text[low : low + n].tobytes())
+            part[low : low + n] = ids + [GONE] * (n - len(ids))
+        kept = part != GONE
+        cuts = np.concatenate([[0], 4 * np.cumsum(np.add.reduceat(kept, starts, dtype=np.int64))]).tolist()
+        out = part[kept].astype("<u4").tobytes()
+        return [out[low:high] for low, high in pairwise(cuts)]
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << ID_BITS | right
+        if not len(self._pairs):
+            return np.full(pair.shape, NO_MERGE)
+        at = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == pair, self._ranks[at], NO_MERGE)
+
+    def _merge_many(self, part: np.ndarray) -> np.ndarray:
+        """``merge`` of fragments of one length, a row of byte ids each; what is merged away is GONE, at the end of the row."""
+        out = np.full(part.shape, GONE)
+        where, ranks = np.arange(len(part)), self._rank_of(part[:, :-1], part[:, 1:])
+        while ranks.shape[1]:
+            at = ranks.argmin(axis=1)  # the leftmost of the least
+            least = ranks[np.arange(len(part)), at]
+            live = least < NO_MERGE
+            if not live.all():
+                out[where[~live], : part.shape[1]] = part[~live]
+                where, part, ranks, at, least = where[live], part[live], ranks[live], at[live], least[live]
+            row, width = np.arange(len(part)), part.shape[1]
+            part[row, at] = new = self._merged[least]
+            keep = np.ones(part.shape, bool)
+            keep[row, at + 1] = False
+            part = part[keep].reshape(len(row), width - 1)
+            keep = np.ones(ranks.shape, bool)
+            keep[row, at] = False
+            ranks = ranks[keep].reshape(len(row), width - 2)
+            to = np.flatnonzero(at < width - 2)
+            ranks[to, at[to]] = self._rank_of(new[to], part[to, at[to] + 1])
+            to = np.flatnonzero(at > 0)
+            ranks[to, at[to] - 1] = self._rank_of(part[to, at[to] - 1], new[to])
+        out[where, : part.shape[1]] = part
+        return out
+
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the lowest-ranked pair is merged first, the leftmost on a tie.
 
@@ -113,23 +182,36 @@ class Vocabulary:
 
 
 class Remembered(dict):
-    """What ``compute`` gives for a key. Of the keys, those asked for lately stay: when REMEMBERED are held,
-    they become the old ones, and the old ones before go."""
+    """Values by key. Of the keys, those asked for lately stay: when REMEMBERED are held, they become the old ones, and the old
+    ones before go."""
 
-    def __init__(self, compute: Callable):
+    def __init__(self, compute: Callable[[list], list]):
         super().__init__()
         self.compute, self.old = compute, {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
+    def values_of(self, keys: set) -> dict:
+        """The value of each key; those that are not held are computed together."""
+        found, new = {}, []
+        for key in keys:
+            value = self.get(key)
+            if value is None:
+                value = self.old.get(key)
+                if value is None:
+                    new.append(key)
+                    continue
+                self._keep(key, value)
+            found[key] = value
+        for key, value in zip(new, self.compute(new) if new else (), strict=True):
+            self._keep(key, value)
+            found[key] = value
+        return found
+
+    def _keep(self, key, value) -> None:
         if len(key) <= 64:
             if len(self) >= REMEMBERED:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
-        return value
 
 
 class Codec:
@@ -140,20 +222,36 @@ class Codec:
         self.words = regex.compile(PATTERN)
         added = sorted(vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.of_word = Remembered(self._word)
-
-    def _word(self, word: str) -> bytes:
-        merge = self.vocabulary.merge
-        return np.array([i for f in self.vocabulary.fragments(word.encode()) for i in merge(f)], "<u4").tobytes()
+        self.of_words = Remembered(vocabulary.ids_of_words)
 
-    def encode(self, text: str) -> bytes:
+    def _cut(self, text: str) -> list[list[str] | bytes]:
+        """Pre-tokens of the text between added tokens, and the ids of these."""
         out = []
         for i, part in enumerate(self.added.split(text) if self.added else (text,)):
             if i % 2:
                 out.append(self.vocabulary.added[part].to_bytes(4, "little"))
             else:
-                out += map(self.of_word.__getitem__, self.words.findall(part))
-        return b"".join(out)
+                out.append((ASCII_WORDS if part.isascii() else self.words).findall(part))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Texts in turn; the new words of about TOGETHER characters are encoded at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self._cut(text))
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, cut: list[list[list[str] | bytes]]) -> Iterator[bytes]:
+        ids = self.of_words.values_of({word for parts in cut for part in parts if not isinstance(part, bytes) for word in part})
+        for parts in cut:
+            yield b"".join([part if isinstance(part, bytes) else b"".join(map(ids.__getitem__, part)) for part in parts])
 
     def decode(self, ids: bytes) -> str:
         of = self.vocabulary.bytes_of
@@ -191,7 +289,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped)
         for batch in batches:
-            ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = list(codec.encode_all(t or "" for t in batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=[id_column, "n_tokens", "ids"],
@@ -224,7 +322,7 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped)
         for batch in batches:
-            ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = list(codec.encode_all(t or "" for t in batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),

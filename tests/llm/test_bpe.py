@@ -73,3 +73,28 @@ def test_rows(spark, reference):
     assert bpe.round_trip(docs.limit(0), PATH).collect() == []
     twice = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert sorted(r.text for r in twice) == sorted((t or "") for t in [*TEXTS, "a", "a"])
+
+
+def test_ascii_texts_are_cut_alike(reference):
+    rng = random.Random(4)
+    codec = bpe.Codec(bpe.Vocabulary(open(PATH, encoding="utf-8").read()))
+    texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)} {chr(c)}" for c in range(128)]
+    texts += ["".join(chr(rng.randrange(128)) if rng.random() < 0.5 else rng.choice(" 'stmdrevl") for _ in range(60)) for _ in range(2000)]
+    for text, mine in zip(texts, codec.encode_all(texts), strict=True):
+        assert bpe.ASCII_WORDS.findall(text) == codec.words.findall(text)
+        assert np.frombuffer(mine, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_new_words_are_merged_together(monkeypatch):
+    vocabulary = bpe.Vocabulary(open(PATH, encoding="utf-8").read())
+    rng = random.Random(6)
+    words = ["".join(chr(rng.choice(range(97, 123))) for _ in range(rng.randrange(1, 60))) for _ in range(3000)] + ["é日本語", "x", " ñ" * 9]
+    alone = [np.array([i for f in vocabulary.fragments(w.encode()) for i in vocabulary.merge(f)], "<u4").tobytes() for w in words]
+    assert vocabulary.ids_of_words(words) == alone
+    monkeypatch.setattr(bpe, "REMEMBERED", 100)
+    calls = []
+    monkeypatch.setattr(bpe.Vocabulary, "_merge_short", lambda self, fragment: calls.append(fragment))
+    codec = bpe.Codec(vocabulary)
+    short = [w for w in words if len(w) <= 30]
+    assert list(codec.encode_all([" ".join(short)] * 3)) == [codec.encode(" ".join(short))] * 3
+    assert calls == [] and len(codec.of_words) <= 100 and len(codec.of_words.old) <= 100
