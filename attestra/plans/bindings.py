@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.session import prepare
+from attestra.session import prepare, split_finely
 
 
 def text_id(prefix: str, key: str | Column) -> Column:
@@ -43,6 +43,7 @@ class Bound:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         prepare(spark)
+        split_finely(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

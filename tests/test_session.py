@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from attestra.plans.bindings import Bound
 from attestra.session import prepare
 
 
@@ -18,3 +19,27 @@ def test_keys_that_compress_well_are_dealt_over_tasks(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_governance_shuffles_are_not_held_to_few_partitions(spark, tmp_path):
+    """With two partitions for all shuffles, a task had half of the input, however large."""
+    held = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    names = {
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    }
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        Bound(spark, str(tmp_path))
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        Bound(spark, str(tmp_path))
+        rows = spark.range(4_000_000).select(F.xxhash64("id").alias("key")).groupBy("key").count()
+        assert rows.groupBy(F.spark_partition_id()).count().count() > 2
+        spark.conf.set("spark.sql.shuffle.partitions", "1000")
+        Bound(spark, str(tmp_path))
+        assert spark.conf.get(held) == "1000"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+        spark.conf.unset(held)
