@@ -55,9 +55,8 @@ def number_by_range(
     on its own. The range a row fell into is sampled, so it is materialised with the row: a lost
     executor then cannot bring back other ranges.
     """
-    if partitions is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *scope, *order).withColumn("_range", F.spark_partition_id())
+    # Without a number Spark cuts as many ranges as its shuffles start with, and adaptive execution joins small neighbours.
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *scope, *order).withColumn("_range", F.spark_partition_id())
     return _number_in_groups(materialise(ranged), scope, ["_range"], order, name).drop("_range")
 
 

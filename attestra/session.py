@@ -30,6 +30,8 @@ SETTINGS = {
 
 #: Partitions that the governance queries' shuffles start with: of 10 GB, some 26 MB each.
 FINE = 384
+#: Bytes of a file that a task of theirs reads at most: keys of a scan are often all different, and its aggregate holds each of them.
+FINE_READ = 8 << 20
 
 
 def local_session(app: str = "attestra", cores: str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -73,9 +75,11 @@ def split_finely(spark: SparkSession) -> None:
     """Shuffles start with at least FINE partitions, whatever their number elsewhere; adaptive execution joins small ones.
 
     A task's share of a shuffle cannot be smaller than a partition, so with a fixed few of them it would grow with the input.
+    So it would in a scan, whose share Spark lets grow to 128 MB; it is FINE_READ bytes, or a row group where these are larger.
     """
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(FINE, own)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(FINE_READ))
 
 
 def shared_folder(spark: SparkSession) -> str:

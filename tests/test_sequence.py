@@ -34,6 +34,27 @@ def test_ranges_split_one_hot_project_of_texts(spark):
     assert len(sizes) == 8 and max(sizes) < 1500
 
 
+def test_ranges_are_as_many_as_shuffles_start_with(spark):
+    """Ranges were as few as the session's shuffle partitions, so each grew with the input."""
+    names = {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "40", "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    }
+    before = {name: spark.conf.get(name, None) for name in names}
+    df = spark.range(4000).select(F.lit("hot").alias("project_id"), F.xxhash64("id").cast("string").alias("path"))
+    parts = []
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        out = seq.number_by_range(df, order=["path"], materialise=lambda d: parts.append(cut_lineage(d)) or parts[0])
+        assert [r.seq for r in out.orderBy("path").collect()] == list(range(1, 4001))
+        assert parts[0].select("_range").distinct().count() > 10
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_first_and_last_per_key(table):
     df = table("k string, ord int, v string", [("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")])
     assert rows_of(seq.first_per_key(df, ["project_id", "k"], ["ord"]), "k", "v") == {("a", "y"), ("b", "z")}

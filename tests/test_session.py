@@ -43,3 +43,17 @@ def test_governance_shuffles_are_not_held_to_few_partitions(spark, tmp_path):
         for name, value in before.items():
             spark.conf.set(name, value)
         spark.conf.unset(held)
+
+
+def test_governance_scans_are_read_in_small_shares(spark, tmp_path):
+    """A scan's aggregate keeps the keys of its share, which Spark lets grow to 128 MB with the input."""
+    held = "spark.sql.files.maxPartitionBytes"
+    before = {name: spark.conf.get(name, None) for name in (held, "spark.sql.files.minPartitionNum")}
+    spark.range(2_500_000).select(F.xxhash64("id").alias("key")).coalesce(1).write.parquet(str(tmp_path / "keys.parquet"))
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.unset(held)
+        assert Bound(spark, str(tmp_path)).table("keys").rdd.getNumPartitions() > 2
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
