@@ -10,7 +10,7 @@ import numpy as np
 from pyarrow import fs
 
 MAGIC = b"efseq001"
-#: Rows whose bits are spread out at a time while packing.
+#: Numbers that are packed at a time, a multiple of 64.
 CHUNK = 1 << 16
 #: Numbers of a bucket that are compared one by one.
 STEPS = 6
@@ -18,23 +18,38 @@ STEPS = 6
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
     """Whole numbers of ``width`` bits each, one after the other, in 64-bit words with a spare one behind."""
-    out = np.zeros((len(values) * width + 63) // 64 * 8 + 8, np.uint8)
+    out = np.zeros((len(values) * width + 63) // 64 + 1, "<u8")
     for low in range(0, len(values) if width else 0, CHUNK):
-        part = np.ascontiguousarray(values[low : low + CHUNK], "<u8").view(np.uint8).reshape(-1, 8)
-        packed = np.packbits(np.unpackbits(part, axis=1, bitorder="little")[:, :width].ravel(), bitorder="little")
-        out[low * width // 8 : low * width // 8 + len(packed)] = packed
-    return out.view("<u8")
+        part = np.ascontiguousarray(values[low : low + CHUNK], "<u8") & np.uint64((1 << width) - 1)
+        shift = (np.arange(len(part)) * width & 63).astype(np.uint64)
+        # The first number that starts in each word; the last one may go on in the next word.
+        first = -(-64 * np.arange((len(part) * width + 63) // 64) // width)
+        first = first[first < len(part)]
+        last = np.append(first[1:], len(part)) - 1
+        at, size = low * width // 64, len(first)
+        out[at : at + size] |= np.bitwise_or.reduceat(part << shift, first)
+        out[at + 1 : at + 1 + size] |= (part[last] >> np.uint64(1)) >> (np.uint64(63) - shift[last])
+    return out
 
 
 def unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     """The packed numbers at the given positions."""
     if not width:
         return np.zeros(len(at), np.int64)
+    # In place: new arrays cost as much as the look-ups.
     bit = at * width
-    word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-    one = np.uint64(1)
-    value = (words[word] >> shift) | ((words[word + 1] << one) << (np.uint64(63) - shift))
-    return (value & np.uint64((1 << width) - 1)).astype(np.int64)
+    word = bit >> 6
+    bit &= 63
+    shift = bit.view(np.uint64)
+    value = words.take(word)
+    value >>= shift
+    word += 1
+    high = words.take(word)
+    high <<= np.uint64(1)
+    high <<= np.uint64(63) - shift
+    value |= high
+    value &= np.uint64((1 << width) - 1)
+    return value.view(np.int64)
 
 
 _BYTES = np.uint64(0x0101010101010101)

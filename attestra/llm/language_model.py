@@ -150,7 +150,7 @@ class Settings(NamedTuple):
     #: Bytes of text for each shard of the trie.
     shard_bytes: int = 16 << 20
     #: Tokens that are looked up together, and the bytes of a text that are cut into words at a time.
-    block: int = 1 << 19
+    block: int = 1 << 20
     span: int = 1 << 20
     #: Followers of a context that occurs more often are dealt over several files, at most 2 ** parts - 1.
     split: int = 1 << 21

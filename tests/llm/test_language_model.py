@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -142,3 +143,22 @@ def test_words_have_different_hashes():
     words = {bytes(rng.choices(b"ab", k=rng.randrange(1, 65))) for _ in range(100_000)} | {str(i).encode() for i in range(200_000)}
     found, _ = lm.words_of(b" ".join(words))
     assert len(set(found.key.tolist())) == len(words)
+
+
+def test_packing_copies_no_bits_one_by_one():
+    """Every bit took a byte while numbers were packed, 64 of each number."""
+    rng = np.random.default_rng(3)
+    for width in (1, 7, 10, 20, 33, 63, 64):
+        for n in (0, 1, 63, 64, 65, 1000):
+            values = [int(v) for v in rng.integers(0, 1 << width, n, np.uint64, endpoint=False)] if width < 64 else [(1 << 64) - 1 - i for i in range(n)]
+            words = pack(np.array(values, np.uint64), width)
+            whole = sum(v << i * width for i, v in enumerate(values))
+            assert words.tobytes() == whole.to_bytes((n * width + 63) // 64 * 8 + 8, "little")
+            assert unpack(words, width, np.arange(n)).astype(np.uint64).tolist() == values
+    values = rng.integers(0, 1 << 10, 1 << 16)
+    tracemalloc.start()
+    try:
+        pack(values, 10)
+        assert tracemalloc.get_traced_memory()[1] < 3 << 20
+    finally:
+        tracemalloc.stop()
