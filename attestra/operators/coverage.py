@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestra.functions import status as st
 from attestra.operators.sequence import SCOPE, last_per_key
 from attestra.schemas import COVERAGE_THRESHOLD
+from attestra.session import dealt
 
 
 def explode_covers(evidence: DataFrame) -> DataFrame:
@@ -23,6 +24,11 @@ def _rows_where(condition: Column | None, weight: str | None) -> Column:
     return F.coalesce(F.sum(n if condition is None else F.when(condition, n)), F.lit(0)).cast("bigint")
 
 
+def _dealt_by_item(cover: DataFrame, weight: str | None, scope: Sequence[str]) -> DataFrame:
+    """Evidence is as long as its ledger; rows with a weight are few per item already."""
+    return dealt(cover, *scope, "item_id") if weight is None else cover
+
+
 def requirement_coverage(
     requirement: DataFrame, cover: DataFrame, *, weight: str | None = None, scope: Sequence[str] = SCOPE
 ) -> DataFrame:
@@ -34,7 +40,7 @@ def requirement_coverage(
     ``cover``: scope, item_id, source_type, status; with ``weight``, the column that tells how many rows one stands for.
     """
     tasks = (
-        cover.filter(F.col("source_type") == "task")
+        _dealt_by_item(cover.filter(F.col("source_type") == "task"), weight, scope)
         .groupBy(*scope, F.col("item_id").alias("req_id"))
         .agg(
             _rows_where(None, weight).alias("n_evidence"),
@@ -64,7 +70,7 @@ def criterion_coverage(
     """Covered if any passing test covers the criterion, else missing; ``criterion`` carries its
     requirement's ``priority``. A gap needs a must requirement and required testing."""
     passing = (
-        cover.filter((F.col("source_type") == "test") & (F.col("status") == "covered"))
+        _dealt_by_item(cover.filter((F.col("source_type") == "test") & (F.col("status") == "covered")), weight, scope)
         .groupBy(*scope, F.col("item_id").alias("ac_id"))
         .agg(_rows_where(None, weight).alias("n_evidence"))
     )

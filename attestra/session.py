@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,10 +29,13 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
-#: Partitions that the governance queries' shuffles start with: of 10 GB, some 26 MB each.
-FINE = 384
+#: Partitions that the governance queries' shuffles start with: of 10 GB, some 50 MB each. With more than
+#: ``spark.shuffle.sort.bypassMergeThreshold`` of them a task keeps all it writes in memory, a whole row group of a scan.
+FINE = 200
 #: Bytes of a file that a task of theirs reads at most: keys of a scan are often all different, and its aggregate holds each of them.
 FINE_READ = 8 << 20
+#: Values of the hash that rows are dealt by, many for each partition.
+SHARES = 1 << 16
 
 
 def local_session(app: str = "attestra", cores: str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -82,6 +86,16 @@ def split_finely(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(FINE_READ))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over tasks by a hash of ``keys``, in even shares; adaptive execution splits a hot key's.
+
+    For aggregates of a scan with many keys: they hold every key of their share, and a scan's is one row group at least, however
+    large its writer made it. The hash itself is no key, so what is split is still aggregated before it meets.
+    """
+    share = "_share"
+    return df.withColumn(share, F.pmod(F.xxhash64(*keys), F.lit(SHARES)).cast("int")).hint("rebalance", F.col(share)).drop(share)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate data that driver and executors share.
 

@@ -39,3 +39,18 @@ def rows_of(df, *columns):
 
 def list_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def aggregated_scans(df, column):
+    """Whether each scan that reads ``column`` has an aggregate before its rows are exchanged."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    found = []
+    for at, line in enumerate(lines):
+        if "FileScan" in line and f"{column}#" in line:
+            depth, above = len(line) - len(line.lstrip(" :+-")), []
+            for upper in reversed(lines[:at]):
+                if len(upper) - len(upper.lstrip(" :+-")) < depth:
+                    depth = len(upper) - len(upper.lstrip(" :+-"))
+                    above.append(upper)
+            found.append(any("Aggregate" in node for node in above[:next(i for i, node in enumerate(above) if "Exchange" in node)]))
+    return found

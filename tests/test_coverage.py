@@ -1,7 +1,7 @@
 """Coverage of requirements, criteria and tasks."""
 
 from attestra.operators import coverage as cov
-from tests.conftest import list_of, rows_of
+from tests.conftest import aggregated_scans, list_of, rows_of
 
 REQ = "req_id string, title string, priority string, ord bigint"
 COVER = "item_id string, evidence_id string, source_type string, status string"
@@ -137,3 +137,20 @@ def test_half_even_rounding_and_no_statements(table):
 def test_explode_covers_counts_an_item_once(table):
     ev = table("evidence_id string, covers array<string>", [("E1", ["A", "A", "B"]), ("E2", [])])
     assert list_of(cov.explode_covers(ev), "evidence_id", "item_id") == [("E1", "A"), ("E1", "B")]
+
+
+def test_evidence_of_a_scan_is_dealt_before_it_is_counted(table, tmp_path):
+    """A scan's aggregate held all items of its share, which is a row group at least."""
+    path = str(tmp_path / "evidence.parquet")
+    statuses = ["covered", "covered", "unclear"]
+    rows = [(f"R{i % 40}", f"E{i}", kind, statuses[i % 3]) for i in range(300) for kind in ("task", "test")]
+    table(COVER, rows).coalesce(1).write.parquet(path)
+    cover = table(COVER, []).sparkSession.read.parquet(path)
+    req = table(REQ, [(f"R{i}", "t", "must", i) for i in range(41)])
+    out = cov.requirement_coverage(req, cover)
+    assert aggregated_scans(out, "source_type") == [False]
+    assert {r.req_id: r.n_evidence for r in out.collect()} == {f"R{i}": len(range(i, 300, 40)) if i < 40 else 0 for i in range(41)}
+    criterion = req.select("project_id", req.req_id.alias("ac_id"), "priority", "ord").selectExpr("*", "true AS is_testing_required")
+    out = cov.criterion_coverage(criterion, cover)
+    assert aggregated_scans(out, "source_type") == [False]
+    assert {r.ac_id for r in out.collect() if r.is_gap} == {"R40"}
