@@ -16,7 +16,7 @@ from attestra.operators.sequence import number_rows
 from attestra.plans import analysis
 from attestra.plans.bindings import Bound, module_file, priority_of, text_id
 from attestra.schemas import TABLES
-from attestra.session import cut_lineage, shared_folder
+from attestra.session import cut_lineage, dealt, shared_folder
 from attestra.sources import documents, ledgers, reports, sinks
 from attestra.sources.rollups import RollupStore
 from attestra.sources.snapshots import SnapshotStore
@@ -638,7 +638,8 @@ def _affected_orders(b: Bound) -> DataFrame:
 
 def _cover_keys(b: Bound) -> DataFrame:
     """Orders some returned line covers."""
-    lines = b.table("lineitem").filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    returned = b.table("lineitem").filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("o_orderkey"))
+    lines = dealt(returned, "o_orderkey").distinct()
     return b.order_project.join(lines, "o_orderkey", "left_semi").select(
         "project_id", F.col("o_orderkey").cast("string").alias("item_id")
     )
@@ -743,7 +744,7 @@ def _gate_parts(b: Bound) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.lit("late order").alias("description"), F.col("o_orderkey").cast("string").alias("target_id"),
         F.lit("act").alias("suggested_action"), F.lit("cost").alias("business_impact"), F.col("o_orderkey").alias("ord"),
     )
-    decision = b.decision.withColumn("project_id", F.col("user_id"))
+    decision = dealt(b.decision.withColumn("project_id", F.col("user_id")), "project_id", "targetId")
     rows = gate.gap_findings(gap, decision).unionByName(gate.risk_findings(risk, decision))
     project = b.table("customer").select(
         F.col("c_custkey").alias("project_id"), F.when(F.col("c_acctbal") < -700, "draft").otherwise("active").alias("status")
